@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -48,6 +48,20 @@ def _sets(column: pa.Array, n: int):
             yield lo + i, W.shingle_set(h[first[i] : first[i + 1]], n)
 
 
+def _gaps(keys: np.ndarray) -> bytes:
+    """Ascending numbers as 16-bit gaps; the largest value stands for itself and no number."""
+    gap = np.diff(keys.astype(np.int64), prepend=0)
+    whole = gap // 65535
+    out = np.full(len(gap) + int(whole.sum()), 65535, dtype=np.uint16)
+    out[np.cumsum(whole + 1) - 1] = gap % 65535
+    return out.tobytes()
+
+
+def _ungapped(blob: bytes) -> np.ndarray:
+    gap = np.frombuffer(blob, np.uint16)
+    return np.cumsum(gap, dtype=np.int64)[gap != 65535]
+
+
 def _count_blobs(n: int):
     """Sorted bucket numbers of the shingles of a task, cut into ranges; repeats within the task are counted."""
 
@@ -61,7 +75,7 @@ def _count_blobs(n: int):
             more = counts > 1
             yield pa.RecordBatch.from_pydict({
                 "range": pa.array(use, pa.int32()),
-                "once": pa.array([low[cut[i] : cut[i + 1]][~more[cut[i] : cut[i + 1]]].tobytes() for i in use], pa.binary()),
+                "once": pa.array([_gaps(low[cut[i] : cut[i + 1]][~more[cut[i] : cut[i + 1]]]) for i in use], pa.binary()),
                 "often": pa.array([low[cut[i] : cut[i + 1]][more[cut[i] : cut[i + 1]]].tobytes() for i in use], pa.binary()),
                 "times": pa.array([counts[cut[i] : cut[i + 1]][more[cut[i] : cut[i + 1]]].tobytes() for i in use], pa.binary()),
             })
@@ -96,7 +110,7 @@ def _count_ranges(common: int):
                     if at is not None:
                         yield out()
                     at, counts = r, np.zeros(1 << 24, dtype=np.uint32)
-                counts[np.frombuffer(once, np.uint32)] += np.uint32(1)
+                counts[_ungapped(once)] += np.uint32(1)
                 counts[np.frombuffer(often, np.uint32)] += np.frombuffer(times, np.uint16)
         if at is not None:
             yield out()
@@ -245,6 +259,26 @@ def _shared_enough(met: DataFrame, crowded: DataFrame) -> DataFrame:
     return counted.where(F.col("c") + F.least(F.coalesce("rx", F.lit(0)), F.coalesce("ry", F.lit(0))) >= enough).select("x", "y")
 
 
+def _boundary_pairs(inside: DataFrame, edge: DataFrame, window: Column, sets: DataFrame) -> DataFrame:
+    """Pairs (x in the ball of p, y at its boundary) that may link.
+
+    What x and y share within p is at most what y shares with p.  Where a link asks
+    for more, x and y share as many shingles that p lacks; those are met one by one.
+    """
+    need = F.ceil(3 * (F.col("nx") + F.col("ny")) / 7) - F.col("inter")
+    inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
+    easy = inside.join(edge, "p").where(window & (need <= 0)).select("x", "y")
+    pivot = sets.select(F.col("cid").alias("p"), F.col("shingles").alias("sp"))
+
+    def beyond(side: DataFrame, c: str) -> DataFrame:
+        own = side.join(pivot, "p").join(sets.select(F.col("cid").alias(c), "shingles"), c)
+        return own.withColumn("g", F.explode(F.array_except("shingles", "sp"))).drop("shingles", "sp")
+
+    met = beyond(inside, "x").join(beyond(edge, "y"), ["p", "g"]).where(window)
+    hard = met.groupBy("p", "x", "y").agg(F.count("*").alias("k"), F.first(need).alias("need")).where("need > 0 and k >= need")
+    return _ordered(easy.unionAll(hard.select("x", "y")), "x", "y")
+
+
 #: Rounds of pivots before what is left of a region is compared pair by pair.
 ROUNDS = 8
 
@@ -274,14 +308,14 @@ def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowd
         met = _verify(_ordered(toward, "cid", "p").unionAll(small), sets)
         found.append(met.where(good).select("x", "y"))
         union = F.col("nx") + F.col("ny") - F.col("inter")
-        dist = met.select("x", "y", (1 - F.col("inter") / union).alias("d"), good.alias("ball")).where("d <= 0.5 + 1e-9")
-        dist = dist.select(F.col("x").alias("cid"), F.col("y").alias("p"), "d", "ball").unionAll(dist.select(F.col("y").alias("cid"), F.col("x").alias("p"), "d", "ball"))
+        dist = met.select("x", "y", (1 - F.col("inter") / union).alias("d"), "inter", good.alias("ball")).where("d <= 0.5 + 1e-9")
+        dist = dist.select(F.col("x").alias("cid"), F.col("y").alias("p"), "d", "inter", "ball").unionAll(dist.select(F.col("y").alias("cid"), F.col("x").alias("p"), "d", "inter", "ball"))
         placed = keep(cut.where(F.col("cid") != F.col("p")).join(dist, ["cid", "p"], "left"), "placed")
-        cell = placed.where("d is not null").select("p", "cid", "n", "d", "ball").distinct()
+        cell = keep(placed.where("d is not null").select("p", "cid", "n", "d", "inter", "ball").distinct(), "cells")
         inside = cell.where("ball").select("p", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-        edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
+        edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), "inter")
         window = _near_size("nx", "ny") & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
-        found.append(_verify(_ordered(inside.join(edge, "p").where(window), "x", "y"), sets).where(good).select("x", "y"))
+        found.append(_verify(_boundary_pairs(inside, edge, window, sets), sets).where(good).select("x", "y"))
         members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n")
     out = found[0]
     for more in found[1:]:
