@@ -61,7 +61,7 @@ def _suffix_keys(least, key):
 
 
 def _contexts(key, side):
-    """The words to the right of each candidate's key, and those to its left in reverse: two sortable byte strings of 4 bytes a word."""
+    """The words to the right of each candidate's key, and those to its left in reverse: two sortable byte strings of 3 bytes a word."""
 
     def run(batches):
         for batch in batches:
@@ -70,13 +70,13 @@ def _contexts(key, side):
             places = batch.column(2)
             for r, h, *_ in _texts(batch.column(1)):
                 at = np.array(places[r].as_py(), dtype=np.int64)
-                small = (h >> np.uint64(32)).astype(">u4")
+                small = (h >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
                 raw, back, n = small.tobytes(), small[::-1].tobytes(), len(h)
                 g = W.grams(h, key)[at].view(np.int64).tolist()
                 for a, k in zip(at.tolist(), g):
                     out[0].append(k)
-                    out[1].append(raw[4 * (a + key) : 4 * (a + key + side)])
-                    out[2].append(back[4 * (n - a) : 4 * (n - a + side)])
+                    out[1].append(raw[3 * (a + key) : 3 * (a + key + side)])
+                    out[2].append(back[3 * (n - a) : 3 * (n - a + side)])
                     out[3].append(rows[r])
                     out[4].append(a)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32())], names=["key", "right", "left", "row", "at"])
@@ -90,11 +90,11 @@ def _common(a: bytes, b: bytes | None) -> int:
         return 0
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
-        return n // 4
-    lo, hi = 0, n // 4
+        return n // 3
+    lo, hi = 0, n // 3
     while lo < hi:
         mid = (lo + hi + 1) // 2
-        if a[: 4 * mid] == b[: 4 * mid]:
+        if a[: 3 * mid] == b[: 3 * mid]:
             lo = mid
         else:
             hi = mid - 1
@@ -107,20 +107,20 @@ def _extended(need):
     def run(batches):
         for batch in batches:
             cols = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)}
-            out = ([], [], [], [], [])
+            out = ([], [], [], [])
             for i in range(batch.num_rows):
                 left, right = cols["left"][i], cols["right"][i]
                 spans = []
                 if cols["some"][i] != cols["other"][i]:
-                    spans.append((len(left) // 4, len(right) // 4))
+                    spans.append((len(left) // 3, len(right) // 3))
                 for p in ("p", "n"):
                     if cols[f"{p}left"][i] is not None and not cols["some"][i] == cols["other"][i] == cols[f"{p}some"][i] == cols[f"{p}other"][i]:
                         spans.append((_common(left, cols[f"{p}left"][i]), _common(right, cols[f"{p}right"][i])))
                 for a, b in set(spans):
                     if a + b >= need:
-                        for o, v in zip(out, (cols["key"][i], right, left, a, b)):
+                        for o, v in zip(out, (cols["key"][i], cols["ctx"][i], a, b)):
                             o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())], names=["key", "right", "left", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["key", "ctx", "before", "after"])
 
     return run
 
@@ -165,15 +165,18 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     again = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     places = keys.join(again.hint("shuffle_merge"), "key").groupBy("row").agg(F.collect_set("at").alias("places"), F.count("*").alias("c"))
     found = keep(places.join(rows.select("row", "text"), "row").select("row", "text", "places").mapInArrow(_contexts(key, side), "key long, right binary, left binary, row long, at int"), "contexts")
-    merged = found.groupBy("key", "right", "left").agg(F.min("row").alias("some"), F.max("row").alias("other"), F.count("*").alias("c"), F.count_distinct(F.struct("row", "at")).alias("d"))
-    merged = keep(merged.withColumn("other", F.when(F.col("c") > F.col("d"), F.col("some") + 1).otherwise(F.col("other"))).drop("c", "d"), "merged")
+    found = found.withColumn("ctx", F.xxhash64("right", "left"))
+    merged = found.groupBy("key", "ctx").agg(F.min("right").alias("right"), F.min("left").alias("left"), F.min("row").alias("some"), F.max("row").alias("other"), F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    # one row key at one place, more than once: the row itself is repeated
+    twin = (F.col("c") > 1) & (F.col("lo") == F.col("hi")) & (F.col("some") == F.col("other"))
+    merged = keep(merged.withColumn("other", F.when(twin, F.col("some") + 1).otherwise(F.col("other"))).drop("c", "lo", "hi"), "merged")
     hits = None
-    half = 4 * ((side + 1) // 2)
+    half = 3 * ((side + 1) // 2)
     for by, then in (("right", "left"), ("left", "right")):
         order = Window.partitionBy("key", F.substring(by, 1, half)).orderBy(by, then)
         beside = merged.select("*", *[f(F.col(c)).over(order).alias(f"{p}{c}") for p, f in (("p", F.lag), ("n", F.lead)) for c in ("left", "right", "some", "other")])
-        got = beside.mapInArrow(_extended(side), "key long, right binary, left binary, before int, after int")
+        got = beside.mapInArrow(_extended(side), "key long, ctx long, before int, after int")
         hits = got if hits is None else hits.unionAll(got)
-    spans = found.join(hits.distinct(), ["key", "right", "left"]).select("row", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + key + F.col("after")).alias("b")).alias("span"))
+    spans = found.select("key", "ctx", "row", "at").join(hits.distinct(), ["key", "ctx"]).select("row", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + key + F.col("after")).alias("b")).alias("span"))
     spans = spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
     return rows.join(spans, "row").select("doc_id", "text", "spans").mapInArrow(_merged, "doc_id long, first_word long, end_word long, start long, end long")
