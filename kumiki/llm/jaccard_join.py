@@ -7,7 +7,9 @@ Two levels of pivots cut the space:
    ones last, and a document's home region is that of its first shingle; its
    window reaches over the regions of its first ``n - ceil(3n/4) + 1``
    shingles.  Two sets at distance 1/4 or less cannot both avoid all regions
-   of the other's window, so each link lies within a region.
+   of the other's window, so each link lies within a region.  Its smaller set
+   even holds that region's shingle early, and its place in each set bounds the size
+   of the other: crowded regions keep only members that an early one can link to.
 2. In a crowded region a member p is the pivot: one distance for each member, no
    pairs.  Its cell is the ball of radius 1/4, all of it linked through p.  By the
    triangle inequality a link from the ball to the outside ends within 1/2 of p,
@@ -30,7 +32,7 @@ from . import words as W
 from .components import components
 from .tables import keep, text_rows
 
-#: Regions with more members are cut by pivots rather than compared pair by pair.
+#: Regions with more early members are cut by pivots; with fewer, each member meets so many at most.
 CROWDED = 24
 #: A shingle's count bucket is its leading 32 bits; buckets above this count are ranked last.
 COMMON = 24
@@ -242,6 +244,32 @@ def _pairs_within(members: DataFrame) -> DataFrame:
     return a.join(b, "s").where((F.col("x") < F.col("y")) & _near_size("nx", "ny"))
 
 
+def _reach(at: Column, n: Column) -> Column:
+    """The largest size of a set to link to, if the shingle at this place in the order is the first that both share.
+
+    Then at most ``n - at`` shingles are shared, and a link shares at least 3/7 of the summed sizes.
+    """
+    return F.floor(7 * (n - at) / 3) - n
+
+
+def _early() -> Column:
+    """A member whose shingle comes so early that it may link to a set as large as its own."""
+    return F.col("reach") >= F.col("n")
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """``members(s, cid, n, reach)`` without those that no early member of their region, not larger than they, can link to."""
+    least = members.where(_early()).groupBy("s").agg(F.min("n").alias("led"))
+    return members.join(least, "s").where(F.col("led") <= F.least("n", "reach")).drop("led")
+
+
+def _led_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) that may link by the region's shingle as the first that they share: each size is within the other's reach."""
+    a = members.where(_early()).select("s", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))
+    b = members.select("s", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
+    return _ordered(a.join(b, "s").where((F.col("na") <= F.least("nb", "rb")) & (F.col("nb") <= F.col("ra")) & _near_size("na", "nb")), "a", "b")
+
+
 def _shared_enough(met: DataFrame, crowded: DataFrame) -> DataFrame:
     """Pairs whose common window shingles do not rule a link out.
 
@@ -279,27 +307,28 @@ def _boundary_pairs(inside: DataFrame, edge: DataFrame, window: Column, sets: Da
     return _ordered(easy.unionAll(hard.select("x", "y")), "x", "y")
 
 
-#: Rounds of pivots before what is left of a region is compared pair by pair.
+#: Rounds of pivots before the early members left of a region are compared with its members.
 ROUNDS = 8
 
 
 def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowded: int) -> DataFrame:
     """Links (x, y) between class ids whose components are those of all links."""
-    few, members = regions.where(F.col("m") <= crowded), regions.where(F.col("m") > crowded).select("s", "cid", "n")
+    few, members = regions.where(F.col("m") <= crowded), regions.where(F.col("m") > crowded).select("s", "cid", "n", "reach")
     candidates = keep(_shared_enough(_pairs_within(few), members), "candidates")
+    members = keep(_led(members), "led")
     ids = candidates.select(F.col("x").alias("cid")).unionAll(candidates.select(F.col("y").alias("cid"))).unionAll(members.select("cid"))
     sets = _sets_of(docs, classes, ids, n)
     good = linked(F.col("inter"), F.col("nx"), F.col("ny"))
     found = [_verify(candidates, sets).where(good).select("x", "y")]
     for turn in range(ROUNDS + 1):
-        size = F.count("*").alias("m")
-        first = F.min(F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("p"), F.col("n").alias("np"))).alias("pivot")
-        pivots = members.groupBy("s").agg(size, first).select("s", "m", "pivot.p", "pivot.np")
-        members = keep(members.join(pivots, "s"), "members")
-        if members.isEmpty():
+        first = F.min(F.when(_early(), F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("p"), F.col("n").alias("np")))).alias("pivot")
+        pivots = members.groupBy("s").agg(F.count_if(_early()).alias("m"), F.min(F.when(_early(), F.col("n"))).alias("led"), first).select("s", "m", "led", "pivot.p", "pivot.np")
+        members = keep(members.join(pivots, "s").where(F.col("led") <= F.least("n", "reach")).drop("led"), "members")
+        most = members.agg(F.max("m")).first()[0]
+        if most is None:
             break
-        last = turn == ROUNDS
-        small = _pairs_within(members if last else members.where(F.col("m") <= crowded)).select("x", "y")
+        last = turn == ROUNDS or most <= crowded
+        small = _led_pairs(members if last else members.where(F.col("m") <= crowded))
         if last:
             found.append(_verify(small, sets).where(good).select("x", "y"))
             break
@@ -311,12 +340,12 @@ def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowd
         dist = met.select("x", "y", (1 - F.col("inter") / union).alias("d"), "inter", good.alias("ball")).where("d <= 0.5 + 1e-9")
         dist = dist.select(F.col("x").alias("cid"), F.col("y").alias("p"), "d", "inter", "ball").unionAll(dist.select(F.col("y").alias("cid"), F.col("x").alias("p"), "d", "inter", "ball"))
         placed = keep(cut.where(F.col("cid") != F.col("p")).join(dist, ["cid", "p"], "left"), "placed")
-        cell = keep(placed.where("d is not null").select("p", "cid", "n", "d", "inter", "ball").distinct(), "cells")
-        inside = cell.where("ball").select("p", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-        edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), "inter")
-        window = _near_size("nx", "ny") & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
+        cell = keep(placed.where("d is not null").groupBy("p", "cid", "n", "d", "inter", "ball").agg(F.max("reach").alias("reach")), "cells")
+        inside = cell.where("ball").select("p", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("reach").alias("rx"))
+        edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("reach").alias("ry"), "inter")
+        window = _near_size("nx", "ny") & (F.col("nx") <= F.col("ry")) & (F.col("ny") <= F.col("rx")) & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
         found.append(_verify(_boundary_pairs(inside, edge, window, sets), sets).where(good).select("x", "y"))
-        members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n")
+        members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n", "reach")
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
@@ -342,7 +371,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> D
     rows = base.mapInArrow(_windows(n, hot, df), "doc_id long, n long, f1 long, f2 long, front array<long>").withColumn("rid", F.monotonically_increasing_id())
     rows = keep(rows, "windows")
     classes = keep(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    heads = rows.join(classes.select("cid"), rows.rid == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "n", F.explode("front").alias("s"))
+    heads = rows.join(classes.select("cid"), rows.rid == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "n", F.posexplode("front").alias("at", "s"))
+    heads = heads.select("cid", "n", "s", _reach(F.col("at"), F.col("n")).alias("reach"))
     counted = heads.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     regions = keep(heads.join(counted, "s"), "regions")
     roots = components(links(base, classes, regions, n, crowded).select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -209,3 +209,31 @@ def test_word_hashes_do_not_depend_on_blocks():
     assert whole == [h.tolist() for x in t for _, h, _ in labelled.per_text(pa.array([x], pa.string()))]
     assert whole[0][:2] == whole[4] and len(whole[0]) == 3
     assert list(W.blocks(t, 8))[0][:2] == (0, 1) or len(list(W.blocks(t, 8))) > 1
+
+
+def test_jaccard_common_line_in_short_texts(spark):
+    r = random.Random(9)
+    word = lambda: "w" + str(r.randrange(10**6))
+    line = " ".join(word() for _ in range(24))
+    rows = []
+    for extra in (0, 1, 2, 3, 5, 9):
+        for _ in range(30):
+            own = [word() for _ in range(extra)]
+            rows.append((len(rows), " ".join([*own, line] if r.random() < 0.5 else [line, *own])))
+            if own and r.random() < 0.3:
+                own[r.randrange(extra)] = word()
+                rows.append((len(rows), " ".join([*own, line])))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
