@@ -14,7 +14,8 @@ Two levels of pivots cut the space:
    pairs.  Its cell is the ball of radius 1/4, all of it linked through p.  By the
    triangle inequality a link from the ball to the outside ends within 1/2 of p,
    so only those boundary documents are replicated into the cell, where x meets
-   y if ``|d(x,p) - d(y,p)| <= 1/4``.  The members outside the ball form a region
+   y if ``|d(x,p) - d(y,p)| <= 1/4``; a few members of the ball meet the boundary
+   first, and what links to one of them needs no other.  The members outside the ball form a region
    that is cut again by a pivot of its own, until regions are no longer crowded.
 
 Equal sets are joined beforehand, so copies never meet in a region.
@@ -307,6 +308,27 @@ def _boundary_pairs(inside: DataFrame, edge: DataFrame, window: Column, sets: Da
     return _ordered(easy.unionAll(hard.select("x", "y")), "x", "y")
 
 
+#: Members of a ball that its boundary is measured against before the boundary join: those closest to the pivot, and as many others.
+SUB_PIVOTS = 8
+
+
+def _settle(inside: DataFrame, edge: DataFrame, window: Column, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of boundary documents to a few members of their ball, and the boundary documents left without one.
+
+    All of a ball is linked through its pivot, so one link into it gives a boundary document
+    its component; further links into the same ball join nothing more.  Those left are met exactly.
+    """
+    inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
+    some = None
+    for order in (("dx", "x"), (F.xxhash64("x"), "x")):
+        best = inside.withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(*order))).where(F.col("place") <= SUB_PIVOTS).drop("place")
+        some = best if some is None else some.unionAll(best)
+    tried = keep(some.distinct().join(edge, "p").where(window).select("p", "x", "y"), "tried")
+    met = _verify(_ordered(tried, "x", "y"), sets).where(linked(F.col("inter"), F.col("nx"), F.col("ny"))).select("x", "y")
+    hit = tried.join(met.select(F.col("x").alias("a"), F.col("y").alias("b")), (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left_semi")
+    return met, keep(edge.join(hit.select("p", "y").distinct(), ["p", "y"], "left_anti"), "edge")
+
+
 #: Rounds of pivots before the early members left of a region are compared with its members.
 ROUNDS = 8
 
@@ -344,7 +366,9 @@ def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowd
         inside = cell.where("ball").select("p", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("reach").alias("rx"))
         edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("reach").alias("ry"), "inter")
         window = _near_size("nx", "ny") & (F.col("nx") <= F.col("ry")) & (F.col("ny") <= F.col("rx")) & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
-        found.append(_verify(_boundary_pairs(inside, edge, window, sets), sets).where(good).select("x", "y"))
+        if not inside.join(edge.select("p").distinct(), "p", "left_semi").isEmpty():
+            settled, edge = _settle(inside, edge, window, sets)
+            found += [settled, _verify(_boundary_pairs(inside, edge, window, sets), sets).where(good).select("x", "y")]
         members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n", "reach")
     out = found[0]
     for more in found[1:]:
