@@ -227,6 +227,14 @@ def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> Dat
     return keep(met.dropDuplicates(["cid"]).select("cid", "n", "shingles"), "sets")
 
 
+def _narrowed(sets: DataFrame, *ids: DataFrame) -> DataFrame:
+    """The sets of the classes ``ids`` alone, written out: joins that follow move no others."""
+    who = ids[0]
+    for more in ids[1:]:
+        who = who.unionAll(more)
+    return keep(sets.join(who.distinct(), "cid", "left_semi"), "sets")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, nx, ny, inter) of the distinct ``pairs(x, y)``, with exact intersections, written out."""
     left = sets.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("shingles").alias("sx"))
@@ -318,7 +326,6 @@ def _settle(inside: DataFrame, edge: DataFrame, window: Column, sets: DataFrame)
     All of a ball is linked through its pivot, so one link into it gives a boundary document
     its component; further links into the same ball join nothing more.  Those left are met exactly.
     """
-    inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
     some = None
     for order in (("dx", "x"), (F.xxhash64("x"), "x")):
         best = inside.withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(*order))).where(F.col("place") <= SUB_PIVOTS).drop("place")
@@ -349,6 +356,8 @@ def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowd
         most = members.agg(F.max("m")).first()[0]
         if most is None:
             break
+        if turn:
+            sets = _narrowed(sets, members.select("cid"))
         last = turn == ROUNDS or most <= crowded
         small = _led_pairs(members if last else members.where(F.col("m") <= crowded))
         if last:
@@ -366,9 +375,11 @@ def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowd
         inside = cell.where("ball").select("p", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("reach").alias("rx"))
         edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("reach").alias("ry"), "inter")
         window = _near_size("nx", "ny") & (F.col("nx") <= F.col("ry")) & (F.col("ny") <= F.col("rx")) & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
-        if not inside.join(edge.select("p").distinct(), "p", "left_semi").isEmpty():
-            settled, edge = _settle(inside, edge, window, sets)
-            found += [settled, _verify(_boundary_pairs(inside, edge, window, sets), sets).where(good).select("x", "y")]
+        inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
+        if not inside.isEmpty():
+            near = _narrowed(sets, inside.select(F.col("x").alias("cid")), edge.select("y"), edge.select("p"))
+            settled, edge = _settle(inside, edge, window, near)
+            found += [settled, _verify(_boundary_pairs(inside, edge, window, near), near).where(good).select("x", "y")]
         members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n", "reach")
     out = found[0]
     for more in found[1:]:
