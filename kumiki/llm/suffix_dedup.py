@@ -162,7 +162,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     keys = keep(rows.select("row", "text").mapInArrow(_suffix_keys(least, key), "key long, row long, at int"), "suffixes")
-    again = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    # written out, as an aggregate above the exchange would keep a hot key of this join from being split
+    again = keep(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "again")
     places = keys.join(again.hint("shuffle_merge"), "key").groupBy("row").agg(F.collect_set("at").alias("places"), F.count("*").alias("c"))
     found = keep(places.join(rows.select("row", "text"), "row").select("row", "text", "places").mapInArrow(_contexts(key, side), "key long, right binary, left binary, row long, at int"), "contexts")
     found = found.withColumn("ctx", F.xxhash64("right", "left"))
@@ -177,6 +178,6 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
         beside = merged.select("*", *[f(F.col(c)).over(order).alias(f"{p}{c}") for p, f in (("p", F.lag), ("n", F.lead)) for c in ("left", "right", "some", "other")])
         got = beside.mapInArrow(_extended(side), "key long, ctx long, before int, after int")
         hits = got if hits is None else hits.unionAll(got)
-    spans = found.select("key", "ctx", "row", "at").join(hits.distinct(), ["key", "ctx"]).select("row", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + key + F.col("after")).alias("b")).alias("span"))
+    spans = found.select("key", "ctx", "row", "at").join(keep(hits.distinct(), "hits").hint("shuffle_merge"), ["key", "ctx"]).select("row", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + key + F.col("after")).alias("b")).alias("span"))
     spans = spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
     return rows.join(spans, "row").select("doc_id", "text", "spans").mapInArrow(_merged, "doc_id long, first_word long, end_word long, start long, end long")
