@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .tables import keep, text_rows
 
-#: Known words (one id is for all others), in classes of equal size; words on each side; width of the network.
+#: Commonest words, each an output of its own, in classes of equal size; words on each side; width of the network.
 VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
 #: Rounds of training, each over all documents; share of the positions that a round masks.
 ROUNDS, MASKED = 2, 0.08
@@ -20,11 +20,11 @@ _BATCH = 8192
 
 
 class WindowNet:
-    """h = tanh(sum of one embedding for each place of the window); P(word) = P(class | h) P(word | class, h)."""
+    """h = tanh(sum of one embedding for each place of the window); P(output) = P(class | h) P(output | class, h)."""
 
-    def __init__(self, seed: int = 3):
+    def __init__(self, seed: int = 3, outputs: int = VOCABULARY):
         r = np.random.RandomState(seed)
-        v, d, c = VOCABULARY + 1, WIDTH, VOCABULARY // CLASS  # the last id lies outside the text
+        v, d, c = outputs + 1, WIDTH, outputs // CLASS  # the last id lies outside the text
         self.p = [(r.randn(2 * SIDE, v, d) * 0.1).astype(np.float32), np.zeros(d, np.float32), np.zeros((d, c), np.float32), np.zeros(c, np.float32), np.zeros((c, d, CLASS), np.float32), np.zeros((c, CLASS), np.float32)]
         self.g = [np.full(x.shape, 1e-3, np.float32) for x in self.p]
 
@@ -96,21 +96,36 @@ class WindowNet:
             self.p[k] -= rate * g / np.sqrt(self.g[k])
 
 
-def _ids(h: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """0 for other words, 1.. by falling count for known ones."""
-    if not len(known):
-        return np.zeros(len(h), dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, rank[at], 0)
+class Vocabulary:
+    """All words of the corpus: the commonest are outputs of their own, the others share hashed outputs, whose number grows with the root of theirs.
 
+    A word of a hashed output has its share of the output's count as its probability
+    there, so that the probabilities of all words of the corpus sum to one.
+    """
+
+    def __init__(self, known: np.ndarray, rank: np.ndarray, totals: np.ndarray):
+        self.known, self.rank, self.totals = known, rank, totals
+        self.outputs = VOCABULARY + len(totals)
+
+    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The output of each word, and whether it is a hashed one."""
+        hashed = VOCABULARY + ((h >> np.uint64(1)) % np.uint64(len(self.totals))).astype(np.int64)
+        if not len(self.known):
+            return hashed, np.ones(len(h), dtype=bool)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        other = self.known[at] != h
+        return np.where(other, hashed, self.rank[at]), other
 
-def _windows(column, known, rank):
-    """For blocks of texts: contexts, targets and each text's first position."""
+
+def _windows(column, words: Vocabulary):
+    """For blocks of texts: contexts, targets, each text's first position, hashes and whether the target is a hashed output."""
+    outside = words.outputs
     for lo, hi, buf, offs in W.blocks(column, 1 << 19):
         starts, ends, first = W.split(buf, offs)
-        ids = _ids(W.hashes(buf, starts, ends), known, rank)
+        h = W.hashes(buf, starts, ends)
+        ids, other = words.ids(h)
         n = len(ids)
-        padded = np.full(n + 2 * SIDE, VOCABULARY, dtype=np.int64)
+        padded = np.full(n + 2 * SIDE, outside, dtype=np.int64)
         padded[SIDE : SIDE + n] = ids
         doc = np.repeat(np.arange(hi - lo), np.diff(first))
         context = np.empty((n, 2 * SIDE), dtype=np.int64)
@@ -119,12 +134,12 @@ def _windows(column, known, rank):
             at = np.arange(n) + d
             inside = (at >= 0) & (at < n)
             inside[inside] = doc[at[inside]] == doc[inside]
-            context[~inside, j] = VOCABULARY
-        yield lo, hi, context, ids, first
+            context[~inside, j] = outside
+        yield lo, hi, context, ids, first, h, other
 
 
-def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest words of all documents, by hash, and their ids."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(w, c): every word of all documents, by hash, and its count; written out."""
 
     def count(batches):
         for batch in batches:
@@ -133,22 +148,35 @@ def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h, c = np.unique(W.hashes(buf, starts, ends), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["w", "c"])
 
-    top = rows.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(VOCABULARY - 1).collect()
+    return keep(rows.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The commonest words and their outputs; the sizes of the hashed outputs of all others."""
+    top = counts.orderBy(F.desc("c"), "w").limit(VOCABULARY).collect()
+    many = CLASS * max(1, math.ceil(math.sqrt(counts.count()) / CLASS))
+    output = F.pmod(F.shiftrightunsigned("w", 1), F.lit(many)).alias("o")
+    totals = np.zeros(many, dtype=np.int64)
+    for r in counts.groupBy(output).agg(F.sum("c").alias("c")).collect():
+        totals[r.o] = r.c
     h = np.array([r.w for r in top], dtype=np.int64).view(np.uint64)
+    np.subtract.at(totals, ((h >> np.uint64(1)) % np.uint64(many)).astype(np.int64), np.array([r.c for r in top], dtype=np.int64))
     order = np.argsort(h)
-    return h[order], order + 1
+    return Vocabulary(h[order], order, totals)
 
 
-def train(rows: DataFrame, known: np.ndarray, rank: np.ndarray, rounds: int = ROUNDS, masked: float = MASKED) -> WindowNet:
+def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS, masked: float = MASKED) -> WindowNet:
     """Each task runs over its documents from the common start; the networks are averaged by positions, in a tree."""
-    spark, net = rows.sparkSession, WindowNet()
+    spark, net = rows.sparkSession, WindowNet(outputs=words.outputs)
+    held_words = spark.sparkContext.broadcast(words)
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.pack())
 
         def run(batches, start=start, turn=turn):
-            own, seen, held = WindowNet().load(np.frombuffer(start.value, np.float32)), 0, []
+            words = held_words.value
+            own, seen, held = WindowNet(outputs=words.outputs).load(np.frombuffer(start.value, np.float32)), 0, []
             for batch in batches:
-                for _, _, context, ids, _ in _windows(batch.column(0), known, rank):
+                for _, _, context, ids, *_ in _windows(batch.column(0), words):
                     pick = np.random.RandomState((len(ids) + 7919 * turn) % (1 << 31)).rand(len(ids)) < masked
                     held.append((context[pick], ids[pick]))
                     if sum(len(y) for _, y in held) >= _BATCH:
@@ -176,13 +204,13 @@ def train(rows: DataFrame, known: np.ndarray, rank: np.ndarray, rounds: int = RO
 
         nets = keep(rows.select("text").mapInArrow(run, "seen long, net binary"), "nets")
         many = nets.count()
-        while many > 64:
+        while many > 16:
             many = math.ceil(many / 16)
             nets = keep(nets.repartition(many).mapInArrow(add, "seen long, net binary"), "nets")
-        got = nets.collect()  # at most 64 networks of half a megabyte
+        got = nets.collect()  # at most 16 networks
         if got:
             total = sum(np.frombuffer(r.net, np.float32).astype(np.float64) for r in got)
-            net = WindowNet().load(total / sum(r.seen for r in got))
+            net = WindowNet(outputs=words.outputs).load(total / sum(r.seen for r in got))
     return net
 
 
@@ -190,26 +218,40 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, score, mean_score of every row of ``docs(doc_id, text)``.
 
     score is the sum over all words of log P(word | two words on either side), words
-    cut at ASCII white space, A-Z folded, those beyond the vocabulary as one; the
-    vocabulary and the network come from all documents.  mean_score is score by
-    words.  Null texts, empty ones and ones without words score 0, mean_score null.
+    cut at ASCII white space, A-Z folded; a word beyond the commonest has the
+    probability of its hashed output times its share of that output's count, so every
+    word has its own.  Counts and network come from all documents.  mean_score is score
+    by words.  Null texts, empty ones and ones without words score 0, mean_score null.
     Repeated rows have equal scores; a null doc_id stays null.
     """
     rows = text_rows(docs)
-    known, rank = vocabulary(rows)
-    net = rows.sparkSession.sparkContext.broadcast(train(rows, known, rank).pack())
+    counts = word_counts(rows)
+    words = vocabulary(counts)
+    sc = rows.sparkSession.sparkContext
+    net, held_words = sc.broadcast(train(rows, words).pack()), sc.broadcast(words)
 
     def run(batches):
-        model = WindowNet().load(np.frombuffer(net.value, np.float32))
+        words = held_words.value
+        model = WindowNet(outputs=words.outputs).load(np.frombuffer(net.value, np.float32))
+        size = np.log(np.maximum(words.totals, 1))
         for batch in batches:
-            score, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-            for lo, hi, context, ids, first in _windows(batch.column(1), known, rank):
+            score, count, rare = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64), []
+            for lo, hi, context, ids, first, h, other in _windows(batch.column(1), words):
                 total = np.zeros(len(ids) + 1)
                 for k in range(0, len(ids), 1 << 15):
                     total[k + 1 : k + 1 + (1 << 15)] = model.log_probabilities(context[k : k + (1 << 15)], ids[k : k + (1 << 15)])
+                total[1:][other] -= size[ids[other] - VOCABULARY]
                 total = np.cumsum(total)
                 score[lo:hi], count[lo:hi] = total[first[1:]] - total[first[:-1]], np.diff(first)
-            mean = pa.array(score / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(score), mean], names=["doc_id", "n_words", "score", "mean_score"])
+                rare += [h[a:b][other[a:b]].view(np.int64) for a, b in zip(first[:-1], first[1:])]
+            ends = np.array([0] + [len(x) for x in rare], dtype=np.int32).cumsum(dtype=np.int32)
+            others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(score), others], names=["doc_id", "n_words", "score", "rare"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, score double, mean_score double")
+    scored = rows.mapInArrow(run, "doc_id long, n_words long, score double, rare array<long>").withColumn("rid", F.monotonically_increasing_id())
+    scored = keep(scored, "scored")
+    # Words that occur once add log 1; whole numbers give one sum in any order.
+    log = F.round(F.log("c") * float(1 << 32)).cast("long")
+    more = scored.select("rid", F.explode("rare").alias("w")).join(counts.where("c > 1"), "w").groupBy("rid").agg(F.sum(log).alias("more"))
+    out = scored.drop("rare").join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce(F.col("more") / float(1 << 32), F.lit(0.0)))
+    return out.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))

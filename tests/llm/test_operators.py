@@ -237,3 +237,21 @@ def test_jaccard_common_line_in_short_texts(spark):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_lm_rare_words_have_their_own_probability(spark):
+    common = " ".join(f"c{k}" for k in range(1100))
+    rows = [(k, common) for k in range(12)] + [(100 + k, "twice seen words") for k in range(5)] + [(200, "once met here")]
+    counts = lm_score.word_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = lm_score.vocabulary(counts)
+    held = {r.w: r.c for r in counts.collect()}
+    h = np.array(sorted(held), dtype=np.int64).view(np.uint64)
+    ids, other = words.ids(h)
+    assert len(held) == 1106 and (~other).sum() == lm_score.VOCABULARY and len(set(ids[other].tolist())) > 1
+    share = {}
+    for w, o in zip(h[other].view(np.int64).tolist(), ids[other].tolist()):
+        share[o] = share.get(o, 0) + held[w] / words.totals[o - lm_score.VOCABULARY]
+    assert all(abs(x - 1) < 1e-9 for x in share.values())
+    got = {r.doc_id: r.score for r in lm_score.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and abs(got[100] - got[104]) < 1e-9
+    assert got[100] - got[200] > 1  # the same outputs' network scores differ little; seen five times against once
