@@ -14,8 +14,8 @@ from .tables import keep, text_rows
 
 #: Commonest words, each an output of its own, in classes of equal size; words on each side; width of the network.
 VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
-#: Rounds of training, each over all documents; share of the positions that a round masks.
-ROUNDS, MASKED = 2, 0.08
+#: Rounds of training; each masks its own share of the positions, so that all rounds together mask every position once.
+ROUNDS = 2
 _BATCH = 8192
 
 
@@ -165,7 +165,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], order, totals)
 
 
-def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS, masked: float = MASKED) -> WindowNet:
+def masked_in(turn: int, n: int, rounds: int) -> np.ndarray:
+    """The positions of a block of ``n`` words that round ``turn`` masks: the rounds' shares are disjoint and cover the block."""
+    return np.random.RandomState(n % (1 << 31)).randint(0, rounds, n) == turn
+
+
+def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet:
     """Each task runs over its documents from the common start; the networks are averaged by positions, in a tree."""
     spark, net = rows.sparkSession, WindowNet(outputs=words.outputs)
     held_words = spark.sparkContext.broadcast(words)
@@ -177,7 +182,7 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS, masked: floa
             own, seen, held = WindowNet(outputs=words.outputs).load(np.frombuffer(start.value, np.float32)), 0, []
             for batch in batches:
                 for _, _, context, ids, *_ in _windows(batch.column(0), words):
-                    pick = np.random.RandomState((len(ids) + 7919 * turn) % (1 << 31)).rand(len(ids)) < masked
+                    pick = masked_in(turn, len(ids), rounds)
                     held.append((context[pick], ids[pick]))
                     if sum(len(y) for _, y in held) >= _BATCH:
                         x, y = (np.concatenate(c) for c in zip(*held))

@@ -255,3 +255,13 @@ def test_lm_rare_words_have_their_own_probability(spark):
     got = {r.doc_id: r.score for r in lm_score.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == len(rows) and abs(got[100] - got[104]) < 1e-9
     assert got[100] - got[200] > 1  # the same outputs' network scores differ little; seen five times against once
+
+
+def test_lm_training_masks_every_position_once(spark, monkeypatch):
+    for n in (1, 7, 5000):
+        assert (sum(lm_score.masked_in(turn, n, lm_score.ROUNDS).astype(int) for turn in range(lm_score.ROUNDS)) == 1).all()
+    nets, kept = [], lm_score.keep
+    monkeypatch.setattr(lm_score, "keep", lambda df, name: nets.append((name, out := kept(df, name))) or out)
+    rows = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300))) for k in range(40)], "doc_id long, text string")
+    lm_score.train(rows, lm_score.vocabulary(lm_score.word_counts(rows)))
+    assert sum(r.seen for name, df in nets if name == "nets" for r in df.collect()) == 40 * 300
