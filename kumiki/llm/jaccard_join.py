@@ -421,9 +421,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> D
 def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
     """The rows of ``docs`` without all but one of each group that links join.
 
-    The row whose doc_id names the group stays; of repeated such rows, one.
+    Rows are numbered once and decided one by one, whatever their doc_id: of a group the
+    row of the smallest doc_id stays, null ids last, of such rows the first.
     Documents without words stay.  All columns of ``docs`` are returned.
     """
-    groups = jaccard_components(docs, n).where("n_shingles > 0 and (doc_id <> component_id or (doc_id is null and component_id is not null))").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(groups, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    return stay
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n).where("n_shingles > 0")
+    groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    shared = groups.groupBy("_group").agg(F.count("*").alias("m")).where("m > 1").select("_group")
+    members = groups.join(shared, "_group").join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+    gone = members.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -265,3 +265,13 @@ def test_lm_training_masks_every_position_once(spark, monkeypatch):
     rows = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300))) for k in range(40)], "doc_id long, text string")
     lm_score.train(rows, lm_score.vocabulary(lm_score.word_counts(rows)))
     assert sum(r.seen for name, df in nets if name == "nets" for r in df.collect()) == 40 * 300
+
+
+def test_one_of_each_decides_by_row(spark):
+    r = random.Random(5)
+    w = lambda: " ".join("v" + str(r.randrange(10**6)) for _ in range(60))
+    a, b, c, d, e, alone = (w() for _ in range(6))
+    rows = [(3, a), (3, a), (5, a + " more"), (5, b), (None, c), (7, c), (None, d), (None, d), (None, d), (None, alone), (8, e), (8, e), (9, None), (9, None)]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(3, a), (5, b), (7, c), (None, d), (None, alone), (8, e), (9, None), (9, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
