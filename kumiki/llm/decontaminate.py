@@ -193,6 +193,18 @@ def _words(text: str) -> np.ndarray:
     return W.hashes(raw, starts, ends)
 
 
+def _indexes(items: DataFrame):
+    """Broadcast indexes that together hold all items with a text and an item_id."""
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(total / INDEX_BYTES))
+    if parts > 1:
+        held = keep(held, "items")
+    for part in range(parts):
+        own = held if parts == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]))
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): test items found in each text.
 
@@ -206,18 +218,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     without doc_id are read but not named.  Repeated rows of either table give one
     row for each doc_id and item_id.
     """
-    spark = docs.sparkSession
-    rows = text_rows(docs)
-    held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(total / INDEX_BYTES))
-    if parts > 1:
-        held = keep(held, "items")
-    out = None
-    for part in range(parts):
-        own = held if parts == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = spark.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]))
-
+    rows, out = text_rows(docs), None
+    for index in _indexes(items):
         def run(batches, index=index):
             for batch in batches:
                 got = []
@@ -235,6 +237,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no test item is found; all columns stay."""
-    gone = keep(leaks(docs, items).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` in which no test item is found, each decided by its own text; all columns stay."""
+    at = docs.columns.index("text")
+    for index in _indexes(items):
+
+        def run(batches, index=index):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for lo, _, buf, offs in W.blocks(batch.column(at).cast(pa.string())):
+                    starts, ends, first = W.split(buf, offs)
+                    for m in index.value.matches(W.hashes(buf, starts, ends), first):
+                        clean[lo + m[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -275,3 +275,14 @@ def test_one_of_each_decides_by_row(spark):
     got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(3, a), (5, b), (7, c), (None, d), (None, alone), (8, e), (9, None), (9, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_drop_leaks_decides_by_row(spark, monkeypatch):
+    item = " ".join(f"q{k}" for k in range(20))
+    other = " ".join(f"z{k}" for k in range(20))
+    d = spark.createDataFrame([(None, "so " + item), (None, "clean"), (4, item), (4, "clean too"), (5, other), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, other), (None, "clean")], "item_id long, text string")
+    for size in (decontaminate.INDEX_BYTES, 40):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+        got = sorted(str(tuple(r)) for r in decontaminate.drop_leaks(d, items).collect())
+        assert got == sorted(map(str, [(None, "clean"), (4, "clean too"), (6, None)]))
