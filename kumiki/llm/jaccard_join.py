@@ -336,12 +336,52 @@ def _settle(inside: DataFrame, edge: DataFrame, window: Column, sets: DataFrame)
     return met, keep(edge.join(hit.select("p", "y").distinct(), ["p", "y"], "left_anti"), "edge")
 
 
+#: Members of a ball and its boundary that meet in one task, twice as many where two blocks meet.
+CELL = 256
+
+
+def _cell_pairs(rows: pa.Table) -> pa.Table:
+    """Links (x, y, inner) in a cell of one or two blocks, with at least one member of the ball; inner where both are in it."""
+    cid, block, n, ball = (rows.column(c).to_numpy() for c in ("cid", "i", "n", "ball"))
+    sets = rows.column("shingles").combine_chunks()
+    owner = np.repeat(np.arange(len(cid)), pc.list_value_length(sets).to_numpy())
+    _, at, many = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = many[at] > 1
+    owner, at = owner[shared], (np.cumsum(many > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    inter, width = np.zeros((len(cid), len(cid))), 8192
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, [lo, lo + width])
+        has = np.zeros((len(cid), width), dtype=np.float32)
+        has[owner[a:b], at[a:b] - lo] = 1
+        inter += has @ has.T
+    good = (100 * inter >= 75 * (n[:, None] + n[None] - inter)) & (cid[:, None] < cid[None]) & (ball[:, None] | ball[None])
+    if (block != block[0]).any():
+        good &= block[:, None] != block[None]
+    x, y = np.nonzero(good)
+    return pa.table({"x": cid[x], "y": cid[y], "inner": ball[x] & ball[y]})
+
+
+def _cell_links(cell: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links (x, y, inner) within each ball and from it to its boundary: blocks of ``cell(p, cid, ball)`` meet two by two."""
+    blocks = cell.groupBy("p").agg(F.ceil(F.count("*") / CELL).alias("k"))
+    placed = cell.select("p", "cid", "ball").join(blocks, "p").withColumn("i", F.pmod(F.xxhash64("cid"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # Two blocks meet in one cell; what has a block to itself meets in the cell (i, i).
+    placed = placed.select("p", "cid", "ball", "i", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    met = placed.join(sets.select("cid", "n", "shingles"), "cid").groupBy("p", "a", "b")
+    return keep(met.applyInArrow(_cell_pairs, "x long, y long, inner boolean"), "cells")
+
+
 #: Rounds of pivots before the early members left of a region are compared with its members.
 ROUNDS = 8
 
 
-def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowded: int) -> DataFrame:
-    """Links (x, y) between class ids whose components are those of all links."""
+def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowded: int, every: bool = False) -> DataFrame:
+    """Links (x, y, inner) between class ids whose components are those of all links; with ``every``, all links.
+
+    Links with ``inner`` join nothing that the others do not.  A link may come more than once.
+    """
     few, members = regions.where(F.col("m") <= crowded), regions.where(F.col("m") > crowded).select("s", "cid", "n", "reach")
     candidates = keep(_shared_enough(_pairs_within(few), members), "candidates")
     members = keep(_led(members), "led")
@@ -376,14 +416,17 @@ def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowd
         edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("reach").alias("ry"), "inter")
         window = _near_size("nx", "ny") & (F.col("nx") <= F.col("ry")) & (F.col("ny") <= F.col("rx")) & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
         inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
-        if not inside.isEmpty():
+        if every:
+            found.append(_cell_links(cell, _narrowed(sets, cell.select("cid"))))
+        elif not inside.isEmpty():
             near = _narrowed(sets, inside.select(F.col("x").alias("cid")), edge.select("y"), edge.select("p"))
             settled, edge = _settle(inside, edge, window, near)
             found += [settled, _verify(_boundary_pairs(inside, edge, window, near), near).where(good).select("x", "y")]
         members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n", "reach")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+    out = None
+    for more in found:
+        more = more.select("x", "y", F.col("inner") if "inner" in more.columns else F.lit(False).alias("inner"))
+        out = more if out is None else out.unionAll(more)
     return out
 
 
@@ -401,6 +444,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> D
     Sets are compared by 64-bit hashes of their shingles, classes by 128 bits.
     Documents that repeat a doc_id with different texts are separate members.
     """
+    return _components(docs, n, crowded, every=False)
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> DataFrame:
+    """``jaccard_components`` with n_links: the rows, copies included, that each row links to; all links are sought."""
+    return _components(docs, n, crowded, every=True)
+
+
+def _components(docs: DataFrame, n: int, crowded: int, every: bool) -> DataFrame:
     base = text_rows(docs)
     hot, df = common_shingles(base, n)
     rows = base.mapInArrow(_windows(n, hot, df), "doc_id long, n long, f1 long, f2 long, front array<long>").withColumn("rid", F.monotonically_increasing_id())
@@ -410,12 +462,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> D
     heads = heads.select("cid", "n", "s", _reach(F.col("at"), F.col("n")).alias("reach"))
     counted = heads.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     regions = keep(heads.join(counted, "s"), "regions")
-    roots = components(links(base, classes, regions, n, crowded).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = links(base, classes, regions, n, crowded, every)
+    if every:
+        found = keep(found.groupBy("x", "y").agg(F.min("inner").alias("inner")), "found")
+    roots = components(found.where("not inner").select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("f1", "f2", "n", "component_id", "copies")
+    named = named.join(names, "root")
+    more = []
+    if every:
+        ends = found.select("x", "y").unionAll(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        others = ends.join(classes.select(F.col("cid").alias("y"), F.col("copies").alias("c")), "y").groupBy(F.col("x").alias("cid")).agg(F.sum("c").alias("others"))
+        named = named.join(others, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        more = ["n_links"]
+    named = named.select("f1", "f2", "n", "component_id", "copies", *more)
     out = rows.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("class_size"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("class_size"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more])
 
 
 def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:

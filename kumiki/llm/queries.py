@@ -32,6 +32,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.spot_fingerprints(_docs(spark, sf_dir))
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, pipeline)
+    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op4_jaccard_links, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -286,3 +286,21 @@ def test_drop_leaks_decides_by_row(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
         got = sorted(str(tuple(r)) for r in decontaminate.drop_leaks(d, items).collect())
         assert got == sorted(map(str, [(None, "clean"), (4, "clean too"), (6, None)]))
+
+
+def test_jaccard_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL", 16)
+    r = random.Random(11)
+    word = lambda: "u" + str(r.randrange(10**6))
+    base, rows = [word() for _ in range(90)], [(0, ""), (1, None), (2, "alone here")]
+    for edits in (0, 1, 1, 2, 2, 3) * 12:
+        own = list(base)
+        for _ in range(edits):
+            own[r.randrange(90)] = word()
+        rows.append((len(rows), " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    want = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in jaccard_join.jaccard_links(d, crowded=4).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == want and len(set(want)) > 4
+    assert {i: x.component_id for i, x in got.items()} == {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(d, crowded=4).collect()}
