@@ -19,8 +19,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Character classes: name, pattern of the whole candidate, least entropy of a window in bits.
 CLASSES = (("entropy_hex", r"^[0-9A-Fa-f]+$", 3.0), ("entropy_base64", r"^[A-Za-z0-9+/_=-]+$", 3.7))
-#: Candidates that are never secrets: no digit, only digits and signs, UUIDs, paths of plain words, runs of one sign.
-ALLOWED = (r"^[^0-9]*$", r"^[0-9+/_=-]*$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^([A-Za-z]+|[0-9]+)([-_/=+]([A-Za-z]+|[0-9]+))+$", r"(.)\1{9}")
+#: Candidates that are never secrets: plain words and numbers between signs (a word has one case, or capitals that two small letters
+#: follow), only digits and signs, UUIDs.  A window with a run of ten equal signs has under 3 bits, so runs need no rule.
+ALLOWED = (r"^(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Z]{2}[a-z]|[a-z][A-Z](?![a-z]{2})))", r"^[0-9+/_=-]*$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 
 _MARK = "\x01"
 

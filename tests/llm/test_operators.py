@@ -304,3 +304,12 @@ def test_jaccard_links_are_all_counted(spark, monkeypatch):
     got = {x.doc_id: x for x in jaccard_join.jaccard_links(d, crowded=4).collect()}
     assert [got[i].n_links for i in range(len(rows))] == want and len(set(want)) > 4
     assert {i: x.component_id for i, x in got.items()} == {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(d, crowded=4).collect()}
+
+
+def test_entropy_sees_keys_with_runs_and_without_digits(spark):
+    key, bare = "Zx9kQ2mW7pLr4TvB8nYc3HdF", "ZxQkJqmWvpLrXTvBgnYcRHdF"
+    plain = ["/usr/share/localization/templates/emailNotification", "getUserNameFromDatabaseTable", "CONSTANT_NAME_OF_SOMETHING_LONG", "z" * 40, "abc/2024/quarterly_report/final"]
+    rows = [(0, key + "A" * 12 + "Qw"), (1, bare)] + [(2 + k, p) for k, p in enumerate(plain)]
+    got = {r.doc_id: r.text for r in secret_scan.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert key[:20] not in got[0] and bare not in got[1]
+    assert [got[2 + k] for k in range(len(plain))] == plain
