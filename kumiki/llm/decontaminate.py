@@ -17,7 +17,8 @@ K1, B = 1.2, 0.75
 SEGMENT, PASSAGE, STEP = 32, 64, 32
 #: A segment is retrieved when a passage scores this share of the segment's score for itself.
 THRESHOLD = 0.5
-#: Share of the five-word shingles of the question, the answer, or all of an item that must be in the text.
+#: Share of the five-word shingles of all of an item, of its question or of its answer that must be in the text.
+#: A part of fewer words than a shingle does not decide by itself: "yes" is in most texts.
 OVERLAP = 0.75
 #: Text of test items that one index holds; larger tables are indexed in parts, each broadcast by itself.
 INDEX_BYTES = 1 << 20
@@ -37,9 +38,10 @@ class BlockMaxIndex:
                 continue
             cut = text.strip().rfind("\n")
             q, a = (_words(text.strip()[:cut]), _words(text.strip()[cut:])) if cut >= 0 else (h, h[:0])
-            self.items.append((item_id, np.unique(W.shingle_set(h, shingle)), W.shingle_set(q, shingle), W.shingle_set(a, shingle), min(shingle, len(h)), len(h)))
-            for piece in np.array_split(h, math.ceil(len(h) / SEGMENT)):
-                segments.append((len(self.items) - 1, piece))
+            self.items.append((item_id, *[(W.shingle_set(part, shingle), min(shingle, len(part)), len(part) >= shingle) for part in (h, q, a)]))
+            for part in [h] + [part for part in (q, a) if shingle <= len(part) < len(h)]:  # parts that decide are retrieved by themselves too
+                for piece in np.array_split(part, math.ceil(len(part) / SEGMENT)):
+                    segments.append((len(self.items) - 1, piece))
         self.owner = np.array([s[0] for s in segments], dtype=np.int64)
         counts: dict[int, list[tuple[int, int]]] = {}
         for k, (_, piece) in enumerate(segments):
@@ -177,13 +179,14 @@ class BlockMaxIndex:
                 best[key] = max(best.get(key, 0.0), score)
         out, sets = [], {}
         for (doc, owner), score in sorted(best.items()):
-            item, whole, question, answer, k, _ = self.items[owner]
-            if (doc, k) not in sets:
-                sets = {(doc, k): np.unique(W.grams(h[first[doc] : first[doc + 1]], k))}
-            share = lambda s: float(np.isin(s, sets[doc, k], assume_unique=True).mean()) if len(s) else 1.0  # noqa: B023, E731
-            every = share(whole)
-            if every >= OVERLAP:
-                out.append((doc, item, score, every, share(question), share(answer)))
+            item, *parts = self.items[owner]
+            for _, k, _ in parts:
+                if k and (doc, k) not in sets:
+                    sets = {key: held for key, held in sets.items() if key[0] == doc}
+                    sets[doc, k] = np.unique(W.grams(h[first[doc] : first[doc + 1]], k))
+            every, question, answer = (float(np.isin(s, sets[doc, k], assume_unique=True).mean()) if k else 1.0 for s, k, _ in parts)
+            if every >= OVERLAP or any(share >= OVERLAP and decides for share, (_, _, decides) in zip((question, answer), parts[1:])):
+                out.append((doc, item, score, every, question, answer))
         return out
 
 
@@ -210,7 +213,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Every passage of 64 words, one starting at each 32nd word of every text, is a
     query; all segments of items above the threshold are retrieved, and an item is
-    reported when the whole text holds three quarters of its five-word shingles
+    reported when the whole text holds three quarters of the five-word shingles of
+    all of it, or of its question or its answer where that has five words or more
     (words cut at ASCII white space, A-Z folded; fewer words make one shingle).
     The question is an item's text before its last line, the answer that line;
     without a line feed all is question, and an empty part overlaps fully.

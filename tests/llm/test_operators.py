@@ -313,3 +313,12 @@ def test_entropy_sees_keys_with_runs_and_without_digits(spark):
     got = {r.doc_id: r.text for r in secret_scan.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert key[:20] not in got[0] and bare not in got[1]
     assert [got[2 + k] for k in range(len(plain))] == plain
+
+
+def test_question_or_answer_alone_is_found(spark):
+    question, answer = " ".join(f"q{k}" for k in range(14)), " ".join(f"a{k}" for k in range(12))
+    items = spark.createDataFrame([(1, question + "\n" + answer), (2, " ".join(f"p{k}" for k in range(14)) + "\nyes it is")], "item_id long, text string")
+    d = spark.createDataFrame([(0, "see " + question + " end"), (1, "see " + answer + " end"), (2, "yes it is"), (3, " ".join(f"p{k}" for k in range(14)) + " yes it is")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(d, items).collect()}
+    assert got == {(0, 1): (1.0, 0.0), (1, 1): (0.0, 1.0), (3, 2): (1.0, 1.0)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, items).collect()} == {2}
