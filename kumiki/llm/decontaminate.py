@@ -30,7 +30,7 @@ _BLOCK = 16
 class BlockMaxIndex:
     """Postings of item segments with impacts (BM25 over the segment's own score), and the largest impact of every block of postings."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int = 5):
+    def __init__(self, items: list[tuple[int, str]], shingle: int = 5, parts: bool = True):
         self.items, segments = [], []
         for item_id, text in items:
             h = _words(text)
@@ -38,8 +38,8 @@ class BlockMaxIndex:
                 continue
             cut = text.strip().rfind("\n")
             q, a = (_words(text.strip()[:cut]), _words(text.strip()[cut:])) if cut >= 0 else (h, h[:0])
-            self.items.append((item_id, *[(W.shingle_set(part, shingle), min(shingle, len(part)), len(part) >= shingle) for part in (h, q, a)]))
-            for part in [h] + [part for part in (q, a) if shingle <= len(part) < len(h)]:  # parts that decide are retrieved by themselves too
+            self.items.append((item_id, *[(W.shingle_set(part, shingle), min(shingle, len(part)), parts and len(part) >= shingle) for part in (h, q, a)]))
+            for part in [h] + [part for part in (q, a) if parts and shingle <= len(part) < len(h)]:  # parts that decide are retrieved by themselves too
                 for piece in np.array_split(part, math.ceil(len(part) / SEGMENT)):
                     segments.append((len(self.items) - 1, piece))
         self.owner = np.array([s[0] for s in segments], dtype=np.int64)
@@ -196,7 +196,7 @@ def _words(text: str) -> np.ndarray:
     return W.hashes(raw, starts, ends)
 
 
-def _indexes(items: DataFrame):
+def _indexes(items: DataFrame, by_part: bool = True):
     """Broadcast indexes that together hold all items with a text and an item_id."""
     held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -205,16 +205,16 @@ def _indexes(items: DataFrame):
         held = keep(held, "items")
     for part in range(parts):
         own = held if parts == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]))
+        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], parts=by_part))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, by_part: bool = True) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): test items found in each text.
 
     Every passage of 64 words, one starting at each 32nd word of every text, is a
     query; all segments of items above the threshold are retrieved, and an item is
     reported when the whole text holds three quarters of the five-word shingles of
-    all of it, or of its question or its answer where that has five words or more
+    all of it, or with ``by_part`` of its question or its answer of five words or more
     (words cut at ASCII white space, A-Z folded; fewer words make one shingle).
     The question is an item's text before its last line, the answer that line;
     without a line feed all is question, and an empty part overlaps fully.
@@ -223,7 +223,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     row for each doc_id and item_id.
     """
     rows, out = text_rows(docs), None
-    for index in _indexes(items):
+    for index in _indexes(items, by_part):
         def run(batches, index=index):
             for batch in batches:
                 got = []
