@@ -1,28 +1,28 @@
 """Exact Jaccard self-join of documents over word shingles, by pivots in the metric space.
 
-Jaccard distance is a metric, so a document's links lie in a ball around it.
-Two levels of pivots cut the space:
-
-1. Every shingle is a pivot (a one-element set).  Shingles are ranked, common
-   ones last, and a document's home region is that of its first shingle; its
-   window reaches over the regions of its first ``n - ceil(3n/4) + 1``
-   shingles.  Two sets at distance 1/4 or less cannot both avoid all regions
-   of the other's window, so each link lies within a region.  Its smaller set
-   even holds that region's shingle early, and its place in each set bounds the size
-   of the other: crowded regions keep only members that an early one can link to.
-2. In a crowded region a member p is the pivot: one distance for each member, no
-   pairs.  Its cell is the ball of radius 1/4, all of it linked through p.  By the
-   triangle inequality a link from the ball to the outside ends within 1/2 of p,
-   so only those boundary documents are replicated into the cell, where x meets
-   y if ``|d(x,p) - d(y,p)| <= 1/4``; a few members of the ball meet the boundary
-   first, and what links to one of them needs no other.  The members outside the ball form a region
-   that is cut again by a pivot of its own, until regions are no longer crowded.
-
-Equal sets are joined beforehand, so copies never meet in a region.
+Jaccard distance is a metric, so a document's links lie in a ball of radius 1/4 around it.
+
+1. Equal sets are one class, so copies never meet.
+2. A linked set has three quarters of its shingles in another set.  Shingles are
+   counted in ranges of their hash values; classes with fewer recurring shingles link with nothing
+   and go no further.
+3. Of the others, every shingle heads a region of the sets that hold it early: with
+   shingles in order of their counts, among the first ``n - ceil(3n/4) + 1``.  Of two linked
+   sets each holds a shingle early that the other holds early too.
+4. A member of each region is its pivot, and each set is measured against the pivots of
+   its regions.  The ball of a pivot p has the sets within 1/4 of it.  By the triangle
+   inequality a link from the ball ends within 1/2 of p: only those boundary sets are
+   replicated into the cell of p, in which every link that has an end in the ball is found.
+   What is outside the ball stays in the region, which is cut again by another pivot, until
+   regions are small or balls take out no more; the rest of a region is one more cell.
+5. Sets within 1/8 of the same pivot are linked with each other by the triangle inequality:
+   they are counted, not compared.  Large cells are cut into blocks that meet two by two.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,15 +31,19 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import keep, text_rows
+from .tables import drop, drop_since, keep, kept, text_rows
 
-#: Regions with more early members are cut by pivots; with fewer, each member meets so many at most.
-CROWDED = 24
-#: A shingle's count bucket is its leading 32 bits; buckets above this count are ranked last.
-COMMON = 24
-#: Most of the common buckets that are broadcast (8 bytes each); any subset gives the same links.
-MOST_COMMON = 1 << 19
-_RANGES, _FLUSH = 256, 1 << 22
+#: Shingles that a task counts before it sends them, and that a range of hash values holds on average.
+CHUNK, RANGE = 1 << 21, 1 << 22
+#: Regions of more members are cut by pivots again, at most so many times and while balls take a twentieth out.
+CROWDED, ROUNDS = 768, 12
+#: Members and shingles of a block, on average; a cell holds one or two blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 19
+#: Ids that a broadcast may hold (8 bytes each); more are met by a shuffle.
+MOST_IDS = 1 << 21
+_NOBODY = 0xFFFFFFFF
+#: The number of the last cells, above that of any round.
+_LAST = 15
 
 
 def _sets(column: pa.Array, n: int):
@@ -51,165 +55,166 @@ def _sets(column: pa.Array, n: int):
             yield lo + i, W.shingle_set(h[first[i] : first[i + 1]], n)
 
 
-def _gaps(keys: np.ndarray) -> bytes:
-    """Ascending numbers as 16-bit gaps; the largest value stands for itself and no number."""
-    gap = np.diff(keys.astype(np.int64), prepend=0)
-    whole = gap // 65535
-    out = np.full(len(gap) + int(whole.sum()), 65535, dtype=np.uint16)
-    out[np.cumsum(whole + 1) - 1] = gap % 65535
-    return out.tobytes()
-
-
-def _ungapped(blob: bytes) -> np.ndarray:
-    gap = np.frombuffer(blob, np.uint16)
-    return np.cumsum(gap, dtype=np.int64)[gap != 65535]
+def _digest(s: np.ndarray) -> tuple[int, int, int]:
+    """Two 64-bit sums that with the size name a set."""
+    one, two = s.sum(dtype=np.uint64), W.mix(s + np.uint64(len(s))).sum(dtype=np.uint64)
+    return int(one.view(np.int64)), int(two.view(np.int64)), len(s)
 
 
-def _count_blobs(n: int):
-    """Sorted bucket numbers of the shingles of a task, cut into ranges; repeats within the task are counted."""
+_CHUNK_SCHEMA = "part int, chunk long, keys binary, slots binary, ids array<long>, f1 array<long>, f2 array<long>, n array<long>, head array<long>, recur array<long>"
 
-    def run(batches):
-        def flush(parts):
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            cut = np.searchsorted(keys, np.arange(_RANGES + 1, dtype=np.uint64) << np.uint64(24))
-            use = [i for i in range(_RANGES) if cut[i] < cut[i + 1]]
-            low = (keys & np.uint64(0xFFFFFF)).astype(np.uint32)
-            counts = np.minimum(counts, 65535).astype(np.uint16)
-            more = counts > 1
-            yield pa.RecordBatch.from_pydict({
-                "range": pa.array(use, pa.int32()),
-                "once": pa.array([_gaps(low[cut[i] : cut[i + 1]][~more[cut[i] : cut[i + 1]]]) for i in use], pa.binary()),
-                "often": pa.array([low[cut[i] : cut[i + 1]][more[cut[i] : cut[i + 1]]].tobytes() for i in use], pa.binary()),
-                "times": pa.array([counts[cut[i] : cut[i + 1]][more[cut[i] : cut[i + 1]]].tobytes() for i in use], pa.binary()),
-            })
-
-        parts, held = [], 0
-        for batch in batches:
-            for _, s in _sets(batch.column(0), n):
-                parts.append(s >> np.uint64(32))
-                held += len(s)
-                if held >= _FLUSH:
-                    yield from flush(parts)
-                    parts, held = [], 0
-        if held:
-            yield from flush(parts)
 
-    return run
+def _chunks(n: int, ranges: int):
+    """A task's documents in chunks: one row (part -1) of their digests, and for each range of hash values the chunk's shingles, once each.
 
-
-def _count_ranges(common: int):
-    """Buckets counted above ``common`` in a partition sorted by range; one table of counters at a time."""
+    ``slots`` names the document of a shingle that no other of the chunk has; one that
+    recurs within the chunk is counted here, in ``recur``.  Of equal sets in a
+    chunk the first, their ``head``, sends the shingles.
+    """
+    names = [c.split()[0] for c in _CHUNK_SCHEMA.split(", ")]
+
+    def flush(ids, digests, heads, sets):
+        chunk = int.from_bytes(os.urandom(8), "little") >> 1
+        owner = np.repeat(np.array([k for k, _ in sets], dtype=np.uint32), [len(s) for _, s in sets])
+        h = np.concatenate([s for _, s in sets]) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        edge = np.ones(len(h) + 1, dtype=bool)
+        edge[1:-1] = h[1:] != h[:-1]
+        alone = edge[:-1] & edge[1:]
+        recur = np.bincount(owner[~alone], minlength=len(ids))
+        first = np.flatnonzero(edge[:-1])
+        keys, slots = h[first], np.where(alone[first], owner[first], np.uint32(_NOBODY)).astype(np.uint32)
+        part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        low = keys.astype(np.uint32)
+        cut = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+        use = np.flatnonzero(np.diff(cut)).tolist()
+        f1, f2, size = (list(c) for c in zip(*digests))
+        none = [None] * len(use)
+        rows = [[-1, *use], [chunk] * (len(use) + 1), [None, *(low[cut[i] : cut[i + 1]].tobytes() for i in use)], [None, *(slots[cut[i] : cut[i + 1]].tobytes() for i in use)]]
+        rows += [[c, *none] for c in (ids, f1, f2, size, heads, recur.tolist())]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
 
     def run(batches):
-        at, counts = None, None
-
-        def out():
-            hot = np.flatnonzero(counts > common)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array((np.int64(at) << 24) + hot, pa.int64()), "df": pa.array(counts[hot].astype(np.int64), pa.int64())})
+        def fresh():
+            return [], [], [], [], {}
 
+        (ids, digests, heads, sets, seen), held = fresh(), 0
         for batch in batches:
-            for r, once, often, times in zip(*(c.to_pylist() for c in batch.columns)):
-                if r != at:
-                    if at is not None:
-                        yield out()
-                    at, counts = r, np.zeros(1 << 24, dtype=np.uint32)
-                counts[_ungapped(once)] += np.uint32(1)
-                counts[np.frombuffer(often, np.uint32)] += np.frombuffer(times, np.uint16)
-        if at is not None:
-            yield out()
+            own = batch.column(0).to_pylist()
+            for row, s in _sets(batch.column(1), n):
+                digest, slot = _digest(s), len(ids)
+                head = seen.setdefault(digest, slot)
+                ids.append(own[row])
+                digests.append(digest)
+                heads.append(head)
+                if head == slot and len(s):
+                    sets.append((slot, s))
+                    held += len(s)
+                if held >= CHUNK or len(ids) >= CHUNK:
+                    yield flush(ids, digests, heads, sets)
+                    (ids, digests, heads, sets, seen), held = fresh(), 0
+        if ids:
+            yield flush(ids, digests, heads, sets)
 
     return run
 
 
-def common_shingles(docs: DataFrame, n: int, common: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingle buckets of all documents and their counts, at most MOST_COMMON.
-
-    They only order the shingles; links are the same under any order.
-    """
-    blobs = docs.select("text").mapInArrow(_count_blobs(n), "range int, once binary, often binary, times binary")
-    hot = blobs.repartition("range").sortWithinPartitions("range").mapInArrow(_count_ranges(common), "bucket long, df long")
-    rows = hot.orderBy(F.desc("df"), "bucket").limit(MOST_COMMON).toPandas().sort_values("bucket")
-    return rows["bucket"].to_numpy(np.uint64), rows["df"].to_numpy(np.int64)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return pc.fill_null(column, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-
-
-def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
-    """Two 64-bit sums that together name a set."""
-    one = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-    two = np.array([W.mix(s + np.uint64(len(s))).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-    return [pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    lengths = np.array([0] + [len(s) for s in arrays], dtype=np.int32).cumsum(dtype=np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat.view(np.int64)))
-
-
-def _windows(n: int, hot: np.ndarray, df: np.ndarray):
-    """Per document: set size, a 128-bit digest of the set and the shingles of its window in rank order."""
-
-    def front(s):
-        if len(s) and len(hot):
-            b = s >> np.uint64(32)
-            at = np.minimum(np.searchsorted(hot, b), len(hot) - 1)
-            weight = np.where(hot[at] == b, df[at], 0)
-            if weight.any():
-                s = s[np.lexsort((s, weight))]
-        return s[: len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0]
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                piece = batch.slice(lo, 1024)
-                sets = [s for _, s in _sets(piece.column(1), n)]
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), sizes, *_digests(sets), _lists([front(s) for s in sets])], names=["doc_id", "n", "f1", "f2", "front"])
-
-    return run
-
+def _runs(batches, keys: int):
+    """Lists of the rows (as one batch each) that share the first ``keys`` columns, of batches sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)])
+        cut = np.concatenate(([0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            mark = tuple(marks[:, a].tolist())
+            if mark != last and held:
+                yield held
+                held = []
+            last = mark
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def _recurring(batches):
+    """(chunk, slots): in each range, the documents of the shingles that more than one chunk sent."""
+    for held in _runs(batches, 1):
+        chunks = [c for b in held for c in b.column(1).to_pylist()]
+        low = [np.frombuffer(k, np.uint32) for b in held for k in b.column(2).to_pylist()]
+        slots = [np.frombuffer(k, np.uint32) for b in held for k in b.column(3).to_pylist()]
+        size = [len(k) for k in low]
+        keys = np.concatenate(low)
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        again = np.zeros(len(keys), dtype=bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        out, at = ([], []), 0
+        for chunk, k, s in zip(chunks, size, slots):
+            mine = s[again[at : at + k]]
+            mine = mine[mine != _NOBODY]
+            at += k
+            if len(mine):
+                out[0].append(chunk)
+                out[1].append(mine.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["chunk", "slots"])
+
+
+def _judged(batches):
+    """(doc_id, n, f1, f2, maybe) of each document of a chunk; maybe: enough of its shingles recur for a link."""
+    for held in _runs(batches, 1):
+        told, more = None, []
+        for b in held:
+            for r in range(b.num_rows):
+                if b.column(2)[r].is_valid:
+                    told = [b.column(c)[r].values for c in range(2, 8)]
+                else:
+                    more.append(np.frombuffer(b.column(1)[r].as_py(), np.uint32))
+        ids, f1, f2, n, head, recur = told
+        count = recur.to_numpy(zero_copy_only=False) + np.bincount(np.concatenate(more), minlength=len(ids)) if more else recur.to_numpy(zero_copy_only=False)
+        size = n.to_numpy(zero_copy_only=False)
+        maybe = (size > 0) & (4 * count[head.to_numpy(zero_copy_only=False)] >= 3 * size)
+        for lo in range(0, len(ids), 1 << 14):
+            yield pa.RecordBatch.from_arrays([c.slice(lo, 1 << 14) for c in (ids, n, f1, f2)] + [pa.array(maybe[lo : lo + (1 << 14)])], names=["doc_id", "n", "f1", "f2", "maybe"])
+
+
+def digested(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, f1, f2, maybe, rid) of every row of ``docs(doc_id, text)``, written out."""
+    ranges = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 / RANGE) + 1)
+    chunks = keep(docs.mapInArrow(_chunks(n, ranges), _CHUNK_SCHEMA), "chunks")
+    dealt = chunks.where("part >= 0").select("part", "chunk", "keys", "slots").repartition("part").sortWithinPartitions("part")
+    again = dealt.mapInArrow(_recurring, "chunk long, slots binary")
+    told = chunks.where("part < 0").select("chunk", F.lit(None).cast("binary").alias("slots"), "ids", "f1", "f2", "n", "head", "recur")
+    more = again.select("chunk", "slots", *[F.lit(None).cast("array<long>").alias(c) for c in ("ids", "f1", "f2", "n", "head", "recur")])
+    rows = told.unionAll(more).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_judged, "doc_id long, n long, f1 long, f2 long, maybe boolean")
+    out = keep(rows.withColumn("rid", F.monotonically_increasing_id()), "digests")
+    drop(chunks)
+    return out
 
-def _full_sets(n: int, bits: np.ndarray):
-    """Whole sets of the documents that a one-megabyte filter lets through; those it lets through in vain join nothing."""
 
+def _full_sets(n: int):
     def run(batches):
         for batch in batches:
-            at = W.mix(_ids(batch.column(0))) & np.uint64(len(bits) * 64 - 1)
-            use = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
-            if not len(use):
-                continue
-            batch = batch.take(pa.array(use))
-            for lo in range(0, len(use), 256):
-                piece = batch.slice(lo, 256)
-                sets = [s for _, s in _sets(piece.column(1), n)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), *_digests(sets), _lists(sets)], names=["doc_id", "f1", "f2", "shingles"])
+            for lo in range(0, batch.num_rows, 256):
+                sets = [s for _, s in _sets(batch.column(0).slice(lo, 256), n)]
+                f1, f2, size = zip(*map(_digest, sets))
+                ends = np.array([0, *size]).cumsum().astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["f1", "f2", "n", "shingles"])
 
     return run
 
 
-def _filter_bits(ids: DataFrame, words: int = 1 << 17) -> np.ndarray:
-    """A bitmap of fixed size over the hashed ids."""
-
-    def run(batches):
-        bits = np.zeros(words, dtype=np.uint64)
-        for batch in batches:
-            at = W.mix(_ids(batch.column(0))) & np.uint64(words * 64 - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int64()), "bits": pa.array(bits[used].view(np.int64), pa.int64())})
-
-    parts = ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(words, dtype=np.uint64)
-    out[parts["at"].to_numpy(np.int64)] = parts["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def _near_size(a: str, b: str) -> Column:
-    """Sizes that leave room for a link."""
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+def _sets_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(cid, n, copies, shingles) of the ``classes``, written out: the texts of their ids are hashed again."""
+    key = F.coalesce("doc_id", F.lit(-1))
+    ids = classes.select(key.alias("k")).distinct()
+    ids = F.broadcast(ids) if classes.count() <= MOST_IDS else ids
+    held = docs.withColumn("k", key).join(ids, "k", "left_semi").select("text").mapInArrow(_full_sets(n), "f1 long, f2 long, n long, shingles array<long>")
+    named = held.join(classes.select("cid", "f1", "f2", "n", "copies"), ["f1", "f2", "n"])
+    return keep(named.dropDuplicates(["f1", "f2", "n"]).select("cid", "n", "copies", "shingles"), "sets")
 
 
 def linked(inter: Column, a: Column, b: Column) -> Column:
@@ -217,226 +222,164 @@ def linked(inter: Column, a: Column, b: Column) -> Column:
     return 100 * inter >= 75 * (a + b - inter)
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(cid, n, shingles) of the classes ``ids(cid)``: their texts are hashed again, the others' are passed over."""
-    who = keep(ids.distinct().join(classes.select("cid", "doc_id", "n"), "cid"), "wanted")
-    bits = _filter_bits(who.select("doc_id"))
-    sets = docs.mapInArrow(_full_sets(n, bits), "doc_id long, f1 long, f2 long, shingles array<long>")
-    named = who.select("cid", "n").join(classes.select("cid", "f1", "f2"), "cid")
-    met = sets.withColumn("n", F.size("shingles").cast("long")).join(named, ["f1", "f2", "n"])
-    return keep(met.dropDuplicates(["cid"]).select("cid", "n", "shingles"), "sets")
-
-
-def _narrowed(sets: DataFrame, *ids: DataFrame) -> DataFrame:
-    """The sets of the classes ``ids`` alone, written out: joins that follow move no others."""
-    who = ids[0]
-    for more in ids[1:]:
-        who = who.unionAll(more)
-    return keep(sets.join(who.distinct(), "cid", "left_semi"), "sets")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, nx, ny, inter) of the distinct ``pairs(x, y)``, with exact intersections, written out."""
-    left = sets.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("shingles").alias("sy"))
-    met = pairs.select("x", "y").distinct().join(left, "x").join(right, "y")
-    return keep(met.select("x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).cast("long").alias("inter")), "verified")
-
-
-def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
-
-
-def _pairs_within(members: DataFrame) -> DataFrame:
-    """Pairs of sizes that may link, within regions known to be small."""
-    a, b = (members.select("s", F.col("cid").alias(c), F.col("n").alias(f"n{c}")) for c in "xy")
-    return a.join(b, "s").where((F.col("x") < F.col("y")) & _near_size("nx", "ny"))
-
-
-def _reach(at: Column, n: Column) -> Column:
-    """The largest size of a set to link to, if the shingle at this place in the order is the first that both share.
-
-    Then at most ``n - at`` shingles are shared, and a link shares at least 3/7 of the summed sizes.
-    """
-    return F.floor(7 * (n - at) / 3) - n
-
-
-def _early() -> Column:
-    """A member whose shingle comes so early that it may link to a set as large as its own."""
-    return F.col("reach") >= F.col("n")
-
-
-def _led(members: DataFrame) -> DataFrame:
-    """``members(s, cid, n, reach)`` without those that no early member of their region, not larger than they, can link to."""
-    least = members.where(_early()).groupBy("s").agg(F.min("n").alias("led"))
-    return members.join(least, "s").where(F.col("led") <= F.least("n", "reach")).drop("led")
-
-
-def _led_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (x, y) that may link by the region's shingle as the first that they share: each size is within the other's reach."""
-    a = members.where(_early()).select("s", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))
-    b = members.select("s", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"))
-    return _ordered(a.join(b, "s").where((F.col("na") <= F.least("nb", "rb")) & (F.col("nb") <= F.col("ra")) & _near_size("na", "nb")), "a", "b")
-
-
-def _shared_enough(met: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Pairs whose common window shingles do not rule a link out.
-
-    Of two windows the one that ends first in rank order lies wholly in the
-    other's reach, so each of its shingles that is not shared is a difference.
-    Shingles shared in crowded regions were not counted; they are allowed for.
-    """
-    counted = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
-    room = crowded.groupBy("cid").agg(F.count("*").alias("room"))
-    for c in "xy":
-        counted = counted.join(room.select(F.col("cid").alias(c), F.col("room").alias(f"r{c}")), c, "left")
-    need = F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)
-    window = lambda v: F.col(v) - F.floor((3 * F.col(v) + 3) / 4) + 1
-    enough = F.least(window("nx") - F.col("nx") + need, window("ny") - F.col("ny") + need)
-    return counted.where(F.col("c") + F.least(F.coalesce("rx", F.lit(0)), F.coalesce("ry", F.lit(0))) >= enough).select("x", "y")
-
-
-def _boundary_pairs(inside: DataFrame, edge: DataFrame, window: Column, sets: DataFrame) -> DataFrame:
-    """Pairs (x in the ball of p, y at its boundary) that may link.
-
-    What x and y share within p is at most what y shares with p.  Where a link asks
-    for more, x and y share as many shingles that p lacks; those are met one by one.
-    """
-    need = F.ceil(3 * (F.col("nx") + F.col("ny")) / 7) - F.col("inter")
-    inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
-    easy = inside.join(edge, "p").where(window & (need <= 0)).select("x", "y")
-    pivot = sets.select(F.col("cid").alias("p"), F.col("shingles").alias("sp"))
-
-    def beyond(side: DataFrame, c: str) -> DataFrame:
-        own = side.join(pivot, "p").join(sets.select(F.col("cid").alias(c), "shingles"), c)
-        return own.withColumn("g", F.explode(F.array_except("shingles", "sp"))).drop("shingles", "sp")
-
-    met = beyond(inside, "x").join(beyond(edge, "y"), ["p", "g"]).where(window)
-    hard = met.groupBy("p", "x", "y").agg(F.count("*").alias("k"), F.first(need).alias("need")).where("need > 0 and k >= need")
-    return _ordered(easy.unionAll(hard.select("x", "y")), "x", "y")
+def _early(sets: DataFrame) -> DataFrame:
+    """(s, cid, n): the shingles that each set holds early and that another set has too, written out."""
+    held = sets.select("cid", "n", F.explode("shingles").alias("s"))
+    counts = keep(held.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    own = Window.partitionBy("cid")
+    placed = held.join(counts, "s").withColumn("c", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("df", "s")))
+    # shingles of no other set come first in the order: c of the set's n are left for the places after them
+    out = keep(placed.where("n - c + r <= n - floor((3 * n + 3) / 4) + 1").select("s", "cid", "n"), "members")
+    drop(counts)
+    return out
 
 
-#: Members of a ball that its boundary is measured against before the boundary join: those closest to the pivot, and as many others.
-SUB_PIVOTS = 8
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, p, kind) of the pairs within distance 1/2: kind 2 within 1/8, 1 within 1/4 (a link), 0 beyond; written out."""
+    near, pivot = sets.select("cid", "n", "shingles"), sets.select(F.col("cid").alias("p"), F.col("n").alias("np"), F.col("shingles").alias("sp"))
+    met = pairs.join(near, "cid").join(pivot, "p").select("cid", "p", "n", "np", F.size(F.array_intersect("shingles", "sp")).cast("long").alias("i"))
+    kind = F.when(8 * F.col("i") >= 7 * (F.col("n") + F.col("np") - F.col("i")), 2).when(linked(F.col("i"), F.col("n"), F.col("np")), 1).otherwise(0)
+    return keep(met.where("2 * i >= n + np - i").select("cid", "p", kind.alias("kind")), "measured")
 
 
-def _settle(inside: DataFrame, edge: DataFrame, window: Column, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of boundary documents to a few members of their ball, and the boundary documents left without one.
+def _marks(members: DataFrame, sets: DataFrame, crowded: int, rounds: int) -> DataFrame:
+    """(g, p, cid, kind): the cells of each set; g names the cell, kind 0 is its boundary.  Written out.
 
-    All of a ball is linked through its pivot, so one link into it gives a boundary document
-    its component; further links into the same ball join nothing more.  Those left are met exactly.
+    Two linked sets share a cell that has one of them in its ball, or a last cell.
     """
-    some = None
-    for order in (("dx", "x"), (F.xxhash64("x"), "x")):
-        best = inside.withColumn("place", F.row_number().over(Window.partitionBy("p").orderBy(*order))).where(F.col("place") <= SUB_PIVOTS).drop("place")
-        some = best if some is None else some.unionAll(best)
-    tried = keep(some.distinct().join(edge, "p").where(window).select("p", "x", "y"), "tried")
-    met = _verify(_ordered(tried, "x", "y"), sets).where(linked(F.col("inter"), F.col("nx"), F.col("ny"))).select("x", "y")
-    hit = tried.join(met.select(F.col("x").alias("a"), F.col("y").alias("b")), (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left_semi")
-    return met, keep(edge.join(hit.select("p", "y").distinct(), ["p", "y"], "left_anti"), "edge")
-
-
-#: Members of a ball and its boundary that meet in one task, twice as many where two blocks meet.
-CELL = 256
-
-
-def _cell_pairs(rows: pa.Table) -> pa.Table:
-    """Links (x, y, inner) in a cell of one or two blocks, with at least one member of the ball; inner where both are in it."""
-    cid, block, n, ball = (rows.column(c).to_numpy() for c in ("cid", "i", "n", "ball"))
-    sets = rows.column("shingles").combine_chunks()
-    owner = np.repeat(np.arange(len(cid)), pc.list_value_length(sets).to_numpy())
-    _, at, many = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    out, before = None, None
+    for turn in range(rounds + 1):
+        first = F.min(F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("p"), F.col("n").alias("np"))).alias("first")
+        heads = keep(members.groupBy("s").agg(first, F.count("*").alias("m")).where("m > 1").select("s", "first.p", "first.np", "m"), "heads")
+        size = heads.agg(F.max("m"), F.sum("m")).first()
+        if size[0] is None:
+            break
+        # the first turn always measures; later ones where regions are still large and the last ball took enough out
+        last = turn == rounds or (turn and (size[0] <= crowded or size[1] > 0.95 * before))
+        before = size[1]
+        placed = members.join(heads.drop("m"), "s").where("cid <> p")
+        pairs = placed.groupBy("cid", "p").agg(F.first("n").alias("n"), F.first("np").alias("np"))
+        if last:
+            found = keep(pairs.select("cid", "p", F.lit(1).alias("kind")), "last")
+        else:
+            found = _measured(pairs.where("2 * least(n, np) >= greatest(n, np)").select("cid", "p"), sets)
+            # a pivot without a set in its ball besides itself has no links in its cell
+            full = found.where("kind > 0").select("p").distinct()
+            found, measured = found.join(full, "p", "left_semi"), found
+        number = F.shiftleft("p", 4) + (_LAST if last else turn)
+        cell = found.unionByName(found.select("p").distinct().select(F.col("p").alias("cid"), "p", F.lit(1 if last else 2).alias("kind"))).select(number.alias("g"), "p", "cid", "kind")
+        out = cell if out is None else out.unionAll(cell)
+        if last:
+            break
+        members = keep(placed.join(measured.where("kind > 0").select("cid", "p"), ["cid", "p"], "left_anti").select("s", "cid", "n"), "members")
+    return None if out is None else keep(out, "marks")
+
+
+def _cells(marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, root, others) from every cell: a set's root among the cell's links, and the rows that its links counted here lead to."""
+    own = marks.groupBy("cid").agg(F.collect_list(F.struct("g", "kind")).alias("own"))
+    own = own.withColumn("home", F.array_min(F.transform(F.filter("own", lambda m: m.kind == 2), lambda m: m.g)))
+    rows = marks.join(own, "cid").join(sets.select("cid", "n", "copies"), "cid").withColumn("class", F.when(F.col("home") == F.col("g"), 1).when(F.col("kind") > 0, 0).otherwise(2))
+    rows = keep(rows, "placed")
+    blocks = lambda members, shingles: F.ceil(F.greatest(members / BLOCK_MEMBERS, shingles / BLOCK_SHINGLES))
+    of = lambda c: blocks(F.count_if(F.col("class") == c), F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)))
+    sized = rows.groupBy("g").agg(of(0).alias("k0"), of(1).alias("k1"), of(2).alias("k2"), blocks(F.count("*"), F.sum("n")).alias("k"))
+    # blocks are numbered class by class; a cell that fits one block is one
+    placed = rows.join(sized, "g").withColumn("k0", F.when(F.col("k") <= 1, 1).otherwise(F.col("k0"))).withColumn("k1", F.when(F.col("k") <= 1, 0).otherwise(F.col("k1"))).withColumn("k2", F.when(F.col("k") <= 1, 0).otherwise(F.col("k2")))
+    start, many = F.expr("CASE class WHEN 0 THEN 0 WHEN 1 THEN k0 ELSE k0 + k1 END"), F.expr("CASE class WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END")
+    placed = placed.withColumn("i", F.when(F.col("k") <= 1, 0).otherwise(start + F.pmod(F.xxhash64("cid"), F.greatest(many, F.lit(1)))).cast("long"))
+    # inner blocks meet all, those of the close sets also the boundary
+    meets = F.expr("filter(sequence(0L, k0 + k1 + k2 - 1), j -> least(i, j) < k0 OR (least(i, j) < k0 + k1 AND greatest(i, j) >= k0 + k1))")
+    met = placed.withColumn("j", F.explode(meets)).select("g", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "cid", "kind", "home", "own")
+    met = met.join(sets.select("cid", "n", "copies", "shingles"), "cid")
+    dealt = met.select("g", "a", "b", "i", "cid", "n", "copies", "kind", "home", "own", "shingles").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
+    return keep(dealt.mapInArrow(_cell_rows, "cid long, root long, others long"), "cells")
+
+
+def _cell_rows(batches):
+    for held in _runs(batches, 3):
+        yield _cell_links(pa.Table.from_batches(held).combine_chunks())
+
+
+def _overlaps(sets: pa.ListArray) -> np.ndarray:
+    """Sizes of the intersections of all sets of a cell, by products of indicator matrices."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+    _, at, many = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
     shared = many[at] > 1
     owner, at = owner[shared], (np.cumsum(many > 1) - 1)[at[shared]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    inter, width = np.zeros((len(cid), len(cid))), 8192
+    inter, width = np.zeros((m, m)), 8192
     for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
         a, b = np.searchsorted(at, [lo, lo + width])
-        has = np.zeros((len(cid), width), dtype=np.float32)
+        wide = min(width, int(at[-1]) + 1 - lo)
+        has = np.zeros((m, wide), dtype=np.float32)
         has[owner[a:b], at[a:b] - lo] = 1
         inter += has @ has.T
-    good = (100 * inter >= 75 * (n[:, None] + n[None] - inter)) & (cid[:, None] < cid[None]) & (ball[:, None] | ball[None])
-    if (block != block[0]).any():
-        good &= block[:, None] != block[None]
-    x, y = np.nonzero(good)
-    return pa.table({"x": cid[x], "y": cid[y], "inner": ball[x] & ball[y]})
-
-
-def _cell_links(cell: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links (x, y, inner) within each ball and from it to its boundary: blocks of ``cell(p, cid, ball)`` meet two by two."""
-    blocks = cell.groupBy("p").agg(F.ceil(F.count("*") / CELL).alias("k"))
-    placed = cell.select("p", "cid", "ball").join(blocks, "p").withColumn("i", F.pmod(F.xxhash64("cid"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    # Two blocks meet in one cell; what has a block to itself meets in the cell (i, i).
-    placed = placed.select("p", "cid", "ball", "i", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    met = placed.join(sets.select("cid", "n", "shingles"), "cid").groupBy("p", "a", "b")
-    return keep(met.applyInArrow(_cell_pairs, "x long, y long, inner boolean"), "cells")
+    return inter
 
 
-#: Rounds of pivots before the early members left of a region are compared with its members.
-ROUNDS = 8
-
-
-def links(docs: DataFrame, classes: DataFrame, regions: DataFrame, n: int, crowded: int, every: bool = False) -> DataFrame:
-    """Links (x, y, inner) between class ids whose components are those of all links; with ``every``, all links.
-
-    Links with ``inner`` join nothing that the others do not.  A link may come more than once.
-    """
-    few, members = regions.where(F.col("m") <= crowded), regions.where(F.col("m") > crowded).select("s", "cid", "n", "reach")
-    candidates = keep(_shared_enough(_pairs_within(few), members), "candidates")
-    members = keep(_led(members), "led")
-    ids = candidates.select(F.col("x").alias("cid")).unionAll(candidates.select(F.col("y").alias("cid"))).unionAll(members.select("cid"))
-    sets = _sets_of(docs, classes, ids, n)
-    good = linked(F.col("inter"), F.col("nx"), F.col("ny"))
-    found = [_verify(candidates, sets).where(good).select("x", "y")]
-    for turn in range(ROUNDS + 1):
-        first = F.min(F.when(_early(), F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("p"), F.col("n").alias("np")))).alias("pivot")
-        pivots = members.groupBy("s").agg(F.count_if(_early()).alias("m"), F.min(F.when(_early(), F.col("n"))).alias("led"), first).select("s", "m", "led", "pivot.p", "pivot.np")
-        members = keep(members.join(pivots, "s").where(F.col("led") <= F.least("n", "reach")).drop("led"), "members")
-        most = members.agg(F.max("m")).first()[0]
-        if most is None:
-            break
-        if turn:
-            sets = _narrowed(sets, members.select("cid"))
-        last = turn == ROUNDS or most <= crowded
-        small = _led_pairs(members if last else members.where(F.col("m") <= crowded))
-        if last:
-            found.append(_verify(small, sets).where(good).select("x", "y"))
+def _cell_links(rows: pa.Table) -> pa.RecordBatch:
+    number = lambda c: rows.column(c).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+    g, block, cid, n, copies, kind, home = (number(c) for c in ("g", "i", "cid", "n", "copies", "kind", "home"))
+    inter, m = _overlaps(rows.column("shingles").combine_chunks()), len(cid)
+    good = (100 * inter >= 75 * (n[:, None] + n[None] - inter)) & ((kind > 0)[:, None] | (kind > 0)[None])
+    good[np.arange(m), np.arange(m)] = False
+    if (block != block[0]).any():
+        good &= block[:, None] != block[None]
+    root = np.arange(m)
+    while True:
+        least = np.minimum(root, np.where(good, root[None], m).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == root).all():
             break
-        cut = members.where(F.col("m") > crowded)
-        toward = cut.where((F.col("cid") != F.col("p")) & (2 * F.least("n", "np") >= F.greatest("n", "np")))
-        met = _verify(_ordered(toward, "cid", "p").unionAll(small), sets)
-        found.append(met.where(good).select("x", "y"))
-        union = F.col("nx") + F.col("ny") - F.col("inter")
-        dist = met.select("x", "y", (1 - F.col("inter") / union).alias("d"), "inter", good.alias("ball")).where("d <= 0.5 + 1e-9")
-        dist = dist.select(F.col("x").alias("cid"), F.col("y").alias("p"), "d", "inter", "ball").unionAll(dist.select(F.col("y").alias("cid"), F.col("x").alias("p"), "d", "inter", "ball"))
-        placed = keep(cut.where(F.col("cid") != F.col("p")).join(dist, ["cid", "p"], "left"), "placed")
-        cell = keep(placed.where("d is not null").groupBy("p", "cid", "n", "d", "inter", "ball").agg(F.max("reach").alias("reach")), "cells")
-        inside = cell.where("ball").select("p", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("reach").alias("rx"))
-        edge = cell.where("not ball").select("p", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("reach").alias("ry"), "inter")
-        window = _near_size("nx", "ny") & (F.col("nx") <= F.col("ry")) & (F.col("ny") <= F.col("rx")) & (F.abs(F.col("dx") - F.col("dy")) <= 0.25 + 1e-9)
-        inside = inside.join(edge.select("p").distinct(), "p", "left_semi")
-        if every:
-            found.append(_cell_links(cell, _narrowed(sets, cell.select("cid"))))
-        elif not inside.isEmpty():
-            near = _narrowed(sets, inside.select(F.col("x").alias("cid")), edge.select("y"), edge.select("p"))
-            settled, edge = _settle(inside, edge, window, near)
-            found += [settled, _verify(_boundary_pairs(inside, edge, window, near), near).where(good).select("x", "y")]
-        members = placed.where(~F.coalesce("ball", F.lit(False))).select("s", "cid", "n", "reach")
-    out = None
-    for more in found:
-        more = more.select("x", "y", F.col("inner") if "inner" in more.columns else F.lit(False).alias("inner"))
-        out = more if out is None else out.unionAll(more)
-    return out
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size of every row of ``docs(doc_id, text)``.
+        root = least
+    # a link is counted in the first of the cells that hold it; sets at home in one cell are counted by its size
+    count = good & ((home < 0)[:, None] | (home[:, None] != home[None]))
+    own = rows.column("own").combine_chunks()
+    who = np.repeat(np.arange(m), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+    flat = own.flatten()
+    cell, inside = flat.field("g").to_numpy(zero_copy_only=False), flat.field("kind").to_numpy(zero_copy_only=False) > 0
+    before = cell < g[0]
+    if before.any():
+        names, at = np.unique(cell[before], return_inverse=True)
+        has, ball = np.zeros((m, len(names)), dtype=np.float32), np.zeros((m, len(names)), dtype=np.float32)
+        has[who[before], at] = 1
+        ball[who[before], at] = inside[before]
+        met = ball @ has.T
+        count &= (met + met.T) == 0
+    others = count @ copies
+    use = np.flatnonzero((others > 0) | (root != np.arange(m)))
+    return pa.RecordBatch.from_arrays([pa.array(cid[use]), pa.array(cid[root[use]]), pa.array(others[use])], names=["cid", "root", "others"])
+
+
+def _joined(docs: DataFrame, classes: DataFrame, n: int, crowded: int, rounds: int) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b) whose components are those of all links, and (cid, others): the rows that each class links to besides its own."""
+    sets = _sets_of(docs, classes.where("maybe"), n)
+    members = _early(sets)
+    marks = _marks(members, sets, crowded, rounds)
+    if marks is None:
+        return None
+    cells = _cells(marks, sets)
+    balls = marks.where(F.col("kind") > 0).where(F.col("cid") != F.col("p")).where(F.col("g") % 16 != _LAST)
+    links = balls.select(F.col("cid").alias("a"), F.col("p").alias("b")).unionAll(cells.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    homes = marks.where("kind = 2").groupBy("cid").agg(F.min("g").alias("home")).join(sets.select("cid", "copies"), "cid")
+    homes = keep(homes, "homes")
+    total = homes.groupBy("home").agg(F.sum("copies").alias("total"))
+    close = homes.join(total, "home").select("cid", (F.col("total") - F.col("copies")).alias("others"))
+    others = cells.select("cid", "others").unionAll(close).groupBy("cid").agg(F.sum("others").alias("others"))
+    return links, others
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size, n_links of every row of ``docs(doc_id, text)``.
 
     Texts are lower-cased in A-Z and cut at ASCII white space; a set holds the
     distinct ``n``-word shingles, or the whole sequence when it has fewer words.
     Two documents link when ``100 * intersection >= 75 * union``; component_id
-    is the smallest doc_id that links reach.  Null and empty texts, and texts
+    is the smallest doc_id that links reach, n_links the number of other rows that the
+    row links to, copies included.  Null and empty texts, and texts
     without words, have the empty set, size 0, and are linked with nothing: their
     component is their own doc_id.  Rows repeat as they are given; equal sets
     share a component, class_size counts their rows.  A null doc_id names a
@@ -444,40 +387,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> D
     Sets are compared by 64-bit hashes of their shingles, classes by 128 bits.
     Documents that repeat a doc_id with different texts are separate members.
     """
-    return _components(docs, n, crowded, every=False)
-
-
-def jaccard_links(docs: DataFrame, n: int = 5, crowded: int = CROWDED) -> DataFrame:
-    """``jaccard_components`` with n_links: the rows, copies included, that each row links to; all links are sought."""
-    return _components(docs, n, crowded, every=True)
-
-
-def _components(docs: DataFrame, n: int, crowded: int, every: bool) -> DataFrame:
     base = text_rows(docs)
-    hot, df = common_shingles(base, n)
-    rows = base.mapInArrow(_windows(n, hot, df), "doc_id long, n long, f1 long, f2 long, front array<long>").withColumn("rid", F.monotonically_increasing_id())
-    rows = keep(rows, "windows")
-    classes = keep(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
-    heads = rows.join(classes.select("cid"), rows.rid == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "n", F.posexplode("front").alias("at", "s"))
-    heads = heads.select("cid", "n", "s", _reach(F.col("at"), F.col("n")).alias("reach"))
-    counted = heads.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
-    regions = keep(heads.join(counted, "s"), "regions")
-    found = links(base, classes, regions, n, crowded, every)
-    if every:
-        found = keep(found.groupBy("x", "y").agg(F.min("inner").alias("inner")), "found")
-    roots = components(found.where("not inner").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root")
-    more = []
-    if every:
-        ends = found.select("x", "y").unionAll(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        others = ends.join(classes.select(F.col("cid").alias("y"), F.col("copies").alias("c")), "y").groupBy(F.col("x").alias("cid")).agg(F.sum("c").alias("others"))
-        named = named.join(others, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-        more = ["n_links"]
-    named = named.select("f1", "f2", "n", "component_id", "copies", *more)
-    out = rows.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("class_size"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more])
+    rows = digested(base, n)
+    classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("maybe").alias("maybe"))
+    classes = keep(classes, "classes")
+    joined = _joined(base, classes, n, crowded, min(rounds, _LAST - 1))
+    named = classes.select("cid", "f1", "f2", "n", "least", "copies")
+    if joined is None:
+        named = named.withColumn("component_id", F.col("least")).withColumn("others", F.lit(0))
+    else:
+        links, others = joined
+        roots = components(links)
+        named = named.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").join(others, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        named = keep(named, "named")
+        names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = named.join(names, "root")
+    # classes of one row without a link say nothing that the row does not
+    told = keep(named.where("copies > 1 OR others > 0").select("f1", "f2", "n", "component_id", "copies", "others"), "told")
+    out = rows.select("doc_id", "n", "f1", "f2").join(told, ["f1", "f2", "n"], "left")
+    copies = F.coalesce("copies", F.lit(1)).cast("long")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), copies.alias("class_size"), (copies - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -487,11 +416,11 @@ def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
     row of the smallest doc_id stays, null ids last, of such rows the first.
     Documents without words stay.  All columns of ``docs`` are returned.
     """
-    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n).where("n_shingles > 0")
+    rows, mark = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), kept()
+    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n).where("n_links > 0")
     groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
-    shared = groups.groupBy("_group").agg(F.count("*").alias("m")).where("m > 1").select("_group")
-    members = groups.join(shared, "_group").join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
+    members = groups.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
     first = members.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    gone = members.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select("_row")
+    gone = keep(groups.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select("_row"), "gone")
+    drop_since(docs.sparkSession, mark, gone)
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -29,11 +29,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
-
-
-def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_links(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_join.jaccard_components(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op4_jaccard_links, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, pipeline)
+    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -85,8 +81,9 @@ met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON
 edge AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.doc_id)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.root AS component_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.root AS component_id, coalesce(l.c, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS c FROM both_ways GROUP BY a) l ON l.a = d.doc_id
 JOIN (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
 

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Shuffle files go when the execution that made them ends; kept tables are read from the shared folder.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_KEPT: list[str] = []
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table, read by Spark alone so that any store it can open will do."""
@@ -16,9 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets one of its own; a cluster's session must name it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='kumiki-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -28,8 +37,39 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kumiki/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    _KEPT.append(path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` returned and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._kept)
+
+
+def kept() -> int:
+    """How many tables ``keep`` has written: a mark for ``drop_since``."""
+    return len(_KEPT)
+
+
+def drop_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Delete the tables kept since ``mark``, except those that are still read."""
+    stay = {df._kept for df in but}
+    for path in [p for p in _KEPT[mark:] if p not in stay]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:

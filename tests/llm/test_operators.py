@@ -289,7 +289,7 @@ def test_drop_leaks_decides_by_row(spark, monkeypatch):
 
 
 def test_jaccard_links_are_all_counted(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CELL", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 16)
     r = random.Random(11)
     word = lambda: "u" + str(r.randrange(10**6))
     base, rows = [word() for _ in range(90)], [(0, ""), (1, None), (2, "alone here")]
@@ -301,9 +301,10 @@ def test_jaccard_links_are_all_counted(spark, monkeypatch):
     sets = [shingles(t) for _, t in rows]
     want = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: x for x in jaccard_join.jaccard_links(d, crowded=4).collect()}
+    got = {x.doc_id: x for x in jaccard_join.jaccard_components(d, crowded=4).collect()}
     assert [got[i].n_links for i in range(len(rows))] == want and len(set(want)) > 4
-    assert {i: x.component_id for i, x in got.items()} == {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(d, crowded=4).collect()}
+    for rounds in (0, 1):  # last cells alone, and after one ball
+        assert {x.doc_id: (x.component_id, x.n_links) for x in jaccard_join.jaccard_components(d, crowded=4, rounds=rounds).collect()} == {i: (x.component_id, x.n_links) for i, x in got.items()}
 
 
 def test_entropy_sees_keys_with_runs_and_without_digits(spark):
