@@ -26,44 +26,74 @@ ALLOWED = (r"^(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Z]{2}[a-z]|[a-z][A-Z](?![a-
 _MARK = "\x01"
 
 
+_SPANS = "array<struct<start:int,end:int,match:string>>"
+#: Pieces of a split text that are placed one after the other; such runs are placed by their lengths.
+_RUN = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def found(text: Column, pattern: str) -> Column:
-    """(start, end, match) of each leftmost non-overlapping match, in code points."""
+    """(start, end, match) of each leftmost non-overlapping match, in code points.
+
+    Pieces between marks are matches and what lies between them in turn.  Runs of
+    pieces are placed from 0 on, then moved by the length of the runs before.
+    """
     marked = F.regexp_replace(F.translate(text, _MARK, "\x02"), pattern, f"{_MARK}$0{_MARK}")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
+    none = F.array().cast(_SPANS)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
     def step(acc, piece):
         end = acc.at + F.length(piece)
         return F.struct(end.alias("at"), (~acc.hit).alias("hit"), F.when(acc.hit, F.concat(acc.out, F.array(F.struct(acc.at.alias("start"), end.alias("end"), piece.alias("match"))))).otherwise(acc.out).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(F.split(marked, _MARK, -1), start, step, lambda acc: acc.out)).otherwise(none)
+    def placed(pieces):
+        # _RUN is even, so every run begins between matches
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _RUN).cast("int")), lambda k: F.aggregate(F.slice(pieces, k * _RUN + 1, _RUN), start, step))
+        moved = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        shift = lambda acc, run: F.transform(run.out, lambda s: F.struct((s.start + acc.at).alias("start"), (s.end + acc.at).alias("end"), s.match.alias("match")))
+        return F.flatten(F.aggregate(runs, moved, lambda acc, run: F.struct((acc.at + run.at).alias("at"), F.concat(acc.out, F.array(shift(acc, run))).alias("out")), lambda acc: acc.out))
+
+    return F.when(text.rlike(pattern), _bound(F.split(marked, _MARK, -1), placed)).otherwise(none)
 
 
 def hot_window(candidate: Column, least: float, window: int = WINDOW) -> Column:
     """(first, last): start of the first and end of the last window whose Shannon entropy reaches ``least`` bits; (0, 0) if none.
 
-    The window moves by one character: the count of the one that leaves falls, that
+    One pass over the characters: the count of the one that leaves the window falls, that
     of the one that enters rises, and the sum of c log2 c is corrected for the two.
     """
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    chars = F.split(candidate, "")
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
     w = lambda c: F.get(weight, c)
+    code = lambda char: F.position(char, F.lit(ALPHABET)) - 1
+    put = lambda counts, k, v: F.concat(F.slice(counts, 1, k), F.array(v), F.slice(counts, k + 2, len(ALPHABET)))
+    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def move(acc, char):
+        full = acc["at"] >= window
+
+        def left(k):
+            """counts and sum without the character that leaves."""
+            c = F.get(acc.counts, k)
+            return F.struct(put(acc.counts, k, c - 1).alias("counts"), (acc["sum"] - w(c) + w(c - 1)).alias("sum"))
 
-    def code(i):
-        return F.position(F.get(chars, i), F.lit(ALPHABET)) - 1
+        def entered(old, k):
+            c = F.get(old.counts, k)
+            total = old["sum"] + w(c + 1) - w(c)
+            hot = (acc["at"] >= window - 1) & (math.log2(window) - total / window >= least - 1e-9)
+            fresh = hot & (acc["last"] == 0)
+            return F.struct(
+                F.concat(F.when(full, F.substring(acc.held, 2, window)).otherwise(acc.held), char).alias("held"), (acc["at"] + 1).alias("at"), put(old.counts, k, c + 1).alias("counts"), total.alias("sum"),
+                F.when(fresh, acc["at"] - (window - 1)).otherwise(acc.first).alias("first"), F.when(hot, acc["at"] + 1).otherwise(acc["last"]).alias("last"),
+            )
 
-    def move(acc, i):
-        enters, leaves = code(i), F.when(i >= window, code(i - window)).otherwise(-1)
-        counts = F.transform(acc.counts, lambda v, k: v - F.when(k == leaves, 1).otherwise(0) + F.when(k == enters, 1).otherwise(0))
-        gone = F.when(leaves >= 0, F.get(acc.counts, leaves)).otherwise(0)
-        there = F.get(acc.counts, enters) - F.when(leaves == enters, 1).otherwise(0)
-        total = acc["sum"] - F.when(leaves >= 0, w(gone) - w(gone - 1)).otherwise(0.0) + w(there + 1) - w(there)
-        hot = (i >= window - 1) & (math.log2(window) - total / window >= least)
-        first = F.when(hot & (acc.first == 0) & (acc["last"] == 0), i - (window - 1)).otherwise(acc.first)
-        return F.struct(counts.alias("counts"), total.alias("sum"), first.alias("first"), F.when(hot, i + 1).otherwise(acc["last"]).alias("last"))
+        before = F.when(full, _bound(code(F.substring(acc.held, 1, 1)), left)).otherwise(F.struct(acc.counts.alias("counts"), acc["sum"].alias("sum")))
+        return _bound(F.struct(before.alias("old"), code(char).alias("k")), lambda x: entered(x.old, x.k))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, move, lambda acc: F.struct(acc.first.alias("first"), acc["last"].alias("last")))
+    return F.aggregate(F.split(candidate, ""), start, move, lambda acc: F.struct(acc.first.alias("first"), acc["last"].alias("last")))
 
 
 def _kind(spans: Column, kind: str, rank: int) -> Column:
@@ -74,30 +104,38 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with secrets: array of (start, rank, kind, end) by start, then kind; rank 0 to 2 are the base patterns.
+def _free(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
 
-    A null text counts as empty and has no secret; the whole of any text is read.
+
+def scan_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
+    """``docs`` with ``name``: array of (start, rank, kind, end) by start, then kind; rank 0 to 2 are the base patterns.
+
+    A null text counts as empty and has no secret; the whole of any text is read,
+    in time that grows with its length, candidates of any length included.
     Each kind's matches are leftmost and do not overlap; kinds may.  An entropy
     span inside a base span is not repeated.  Rows, repeated ones included, and
-    other columns stay as they are, but a column named secrets is replaced.
+    other columns stay as they are, but a column of that name is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    base_, runs_, more_ = (_free(docs, c) for c in ("_base", "_runs", "_more"))
     assign = F.filter(found(text, ASSIGN), lambda s: F.length(F.regexp_extract(s.match, ASSIGN, 2)) >= VALUE_LENGTH)
     base = F.concat(_kind(assign, "assign", 0), _kind(found(text, ACCESS), "access", 1), _kind(found(text, HEX), "hex", 2))
-    rows = docs.withColumn("_base", base).withColumn("_runs", found(text, CANDIDATE))
-    open_ = F.filter("_runs", lambda s: ~_any(s.match, ALLOWED))
-    rows = rows.withColumn("_runs", open_)
-    more = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    rows = docs.withColumn(base_, base).withColumn(runs_, found(text, CANDIDATE))
+    rows = rows.withColumn(runs_, F.filter(runs_, lambda s: ~_any(s.match, ALLOWED)))
+    more = none
     for rank, (kind, pattern, least) in enumerate(CLASSES, 3):
         others = [p for _, p, _ in CLASSES[: rank - 3]]
-        mine = F.filter("_runs", lambda s: s.match.rlike(pattern) & ~_any(s.match, others))  # noqa: B023
+        mine = F.filter(runs_, lambda s: s.match.rlike(pattern) & ~_any(s.match, others))  # noqa: B023
         hot = F.transform(mine, lambda s: F.struct(s.start.alias("at"), hot_window(s.match, least).alias("w")))  # noqa: B023
         hot = F.filter(hot, lambda h: h.w["last"] > 0)
         more = F.concat(more, F.transform(hot, lambda h: F.struct((h.at + h.w.first).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (h.at + h.w["last"]).alias("end"))))  # noqa: B023
-    rows = rows.withColumn("_more", F.when(F.size("_runs") > 0, more).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
-    new = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b.start <= m.start) & (b.end >= m.end)))
-    return rows.withColumn("secrets", F.array_sort(F.concat("_base", new))).drop("_base", "_runs", "_more")
+    rows = rows.withColumn(more_, F.when(F.size(runs_) > 0, more).otherwise(none))
+    new = F.filter(more_, lambda m: ~F.exists(base_, lambda b: (b.start <= m.start) & (b.end >= m.end)))
+    return rows.withColumn(name, F.array_sort(F.concat(base_, new))).drop(base_, runs_, more_)
 
 
 def _any(value: Column, patterns) -> Column:
@@ -108,17 +146,18 @@ def _any(value: Column, patterns) -> Column:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    rows = scan_secrets(docs)
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document; long candidates are scanned like all others."""
+    rows = scan_secrets(docs.select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s.rank <= 2)
     number = lambda k: F.size(F.filter("secrets", lambda s: s.rank == k)).cast("long")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("secrets")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of a secret replaced; overlapping spans are one."""
-    rows = scan_secrets(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """``docs`` with every span of a secret replaced; overlapping spans are one.  All columns stay, a null text stays null."""
+    name = _free(docs, "secrets")
+    rows = scan_secrets(docs, name)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -126,5 +165,5 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         kept = F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
         return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(fresh, F.concat(acc.out, kept, F.lit(mask))).otherwise(acc.out).alias("out"))
 
-    masked = F.aggregate("secrets", start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, 2147483647)))
-    return rows.withColumn("text", F.when(F.size("secrets") > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
+    masked = F.aggregate(name, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, 2147483647)))
+    return rows.withColumn("text", F.when(F.size(name) > 0, masked).otherwise(F.col("text"))).select(*docs.columns)

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -88,6 +89,45 @@ def test_entropy_spans_and_masks(spark):
     assert "Zx9kQ2" not in secret_scan.mask_secrets(d).first().text
 
 
+def entropy_span(t, least, window=20):
+    """First hot window's start and last one's end, with every window counted anew."""
+    hot = [i for i in range(len(t) - window + 1) if -sum(c / window * math.log2(c / window) for c in collections.Counter(t[i : i + window]).values()) >= least - 1e-9]
+    return (hot[0], hot[-1] + window) if hot else None
+
+
+def test_entropy_against_all_windows(spark):
+    r, plain = random.Random(8), [re.compile(p) for p in secret_scan.ALLOWED]
+    rows = []
+    for k in range(60):
+        alphabet = ["0123456789abcdef", "ABCab01", secret_scan.ALPHABET, "aB3"][k % 4]
+        c = "".join(r.choice(alphabet[: r.randint(2, len(alphabet))]) for _ in range(r.randint(18, 70)))
+        rows.append((k, f"é {c} end"))
+    got = {x.doc_id: x.secrets for x in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = 0
+    for k, t in rows:
+        want = []
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            if any(p.search(m[0]) for p in plain):
+                continue
+            kind, _, least = next(c for c in secret_scan.CLASSES if re.search(c[1], m[0]))
+            if span := entropy_span(m[0], least):
+                want.append((kind, m.start() + span[0], m.start() + span[1]))
+        base = [(s.start, s.end) for s in got[k] if s.rank <= 2]
+        want = [w for w in want if not any(a <= w[1] and b >= w[2] for a, b in base)]
+        seen += len(want)
+        assert [(s.kind, s.start, s.end) for s in got[k] if s.rank > 2] == want
+    assert seen > 10
+
+
+def test_secrets_of_very_long_candidates_and_many_matches(spark):
+    long = {0: "a-1-" * 250_000, 1: "0aF" * 300_000, 2: "Zx9kQ2mW" * 100_000, 3: ("é " + "0123456789abcdef" + "g ") * 5000, 4: "password=" + "x" * 1_000_000, 5: "=" * 500_000, 6: "AKIA" * 200_000}
+    got = {x.doc_id: x for x in secret_scan.secret_digest(spark.createDataFrame(list(long.items()), "doc_id long, text string")).collect()}
+    assert got[3].n_hex == 5000 and got[4].n_assign == 1 and got[5].spans == "" and got[6].n_access == 1
+    assert got[3].spans.split(",")[4999] == f"hex:{4999 * 20 + 2}:{4999 * 20 + 18}"
+    masked = {x.doc_id: x for x in secret_scan.mask_secrets(spark.createDataFrame([(1, "token=abcdefghijkl", 5, "s", None, 2)], "doc_id long, text string, _base int, secrets string, _runs int, _more int")).collect()}
+    assert tuple(masked[1]) == (1, "[secret]", 5, "s", None, 2)
+
+
 def test_source_mix(docs):
     rows = source_mix.mix_sources(docs).collect()
     sizes = {r.doc_id: len(re.findall(WORD, r.text or "")) for r in docs.collect()}
