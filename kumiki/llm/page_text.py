@@ -6,6 +6,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,12 @@ _UNSEEN = frozenset("script style noscript template head title svg math iframe o
 _RAW = frozenset("script style textarea title iframe noscript template".split())
 _SECTIONS = frozenset("article main nav header footer aside form section body figure table".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_HEAD = frozenset("html head base link meta title style script noscript template".split())
+_IMPLIED = {"li": ("li",), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
+#: Characters of a tag within which quotes may hide its end; in a longer one the first ">" ends it.
+_QUOTED = 1 << 14
 _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _LINK = re.compile(r"https?://|www\.")
@@ -29,75 +35,160 @@ _NOTICE = re.compile(r"\b(cookies?|consent|subscribe|newsletter|sign (?:in|up)|l
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "linked")
-
-    def __init__(self, text, tags, names, linked):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
-
-
-def leaf_blocks(page: str) -> list[Block]:
+    __slots__ = ("text", "leaf", "near", "tags", "names", "linked")
+
+    def __init__(self, text, leaf, near, tags, names, linked):
+        self.text, self.leaf, self.near, self.tags, self.names, self.linked = text, leaf, near, tags, names, linked
+
+
+class _Open:
+    """The open elements of a page: each is pushed and popped once, and what a block asks of them is counted as they come and go."""
+
+    def __init__(self, known):
+        self.known, self.stack, self.blocks, self.inline = known, [], [], [Counter()]
+        self.sections, self.tags, self.names, self.unseen, self.links = [], Counter(), Counter(), 0, 0
+
+    def push(self, tag: str, parts: tuple[str, ...]) -> None:
+        parts = tuple(p for p in parts if self.known is None or f"name={p}" in self.known)
+        self.stack.append((tag, parts))
+        self.names.update(parts)
+        self.unseen += tag in _UNSEEN
+        self.links += tag == "a"
+        if tag in _INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.blocks.append(len(self.stack) - 1)
+            self.inline.append(Counter())
+            self.tags[tag] += 1
+            if tag in _SECTIONS:
+                self.sections.append(tag)
+
+    def cut(self, to: int) -> None:
+        """Close all elements from place ``to`` on."""
+        while len(self.stack) > to:
+            tag, parts = self.stack.pop()
+            for p in parts:
+                self.names[p] -= 1
+                if not self.names[p]:
+                    del self.names[p]
+            self.unseen -= tag in _UNSEEN
+            self.links -= tag == "a"
+            if tag in _INLINE:
+                self.inline[-1][tag] -= 1
+            else:
+                self.blocks.pop()
+                self.inline.pop()
+                self.tags[tag] -= 1
+                if not self.tags[tag]:
+                    del self.tags[tag]
+                if tag in _SECTIONS:
+                    self.sections.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the last open element of its name; an inline one none beyond its block."""
+        if tag in _INLINE:
+            if self.inline[-1][tag]:
+                self.cut(next(k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag))
+        elif self.tags[tag]:
+            self.cut(next(k for k in reversed(self.blocks) if self.stack[k][0] == tag))
+
+    def innermost(self) -> str:
+        return self.stack[self.blocks[-1]][0] if self.blocks else "none"
+
+
+def _tags(page: str):
+    """(start, end, name, closing, attributes) of each tag and comment (name None), in time that grows with the page.
+
+    After a raw element's start tag the scan goes on at its end tag.
+    """
+    at, last = page.find("<"), page.rfind(">")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif at > last:
+            return
+        elif m := _NAME.match(page, at):
+            end = page.find(">", m.end()) + 1
+            if any(page.count(q, m.end(), min(end, m.end() + _QUOTED)) % 2 for q in "\"'"):
+                quoted = _ATTRIBUTES.match(page, m.end(), m.end() + _QUOTED)
+                end = quoted.end() if quoted else end
+            name, closing = m[1].lower(), page[at + 1] == "/"
+            yield at, end, name, closing, page[m.end() : end - 1]
+            if name in _RAW and not closing:
+                shut = _SHUT[name].search(page, end)
+                end = shut.start() if shut else len(page)
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            end = page.find(">", at) + 1
+            yield at, end, None, False, ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+_SHUT = {name: re.compile(rf"</{name}\b", re.I) for name in _RAW}
+
+
+def leaf_blocks(page: str, known=None) -> list[Block]:
     """Runs of text between block-level tags, with the tags and name parts of their ancestors.
 
-    Scripts, styles, comments and the head are left out; inline tags do not cut a
-    block and a line break is white space.  Character references are decoded.
+    Scripts, styles, comments and the head are left out; the head ends at its end tag or
+    at the first tag that cannot stand in it.  Inline tags do not cut a block and a line
+    break is white space.  Character references are decoded.  With ``known``, only the
+    name parts that are features of a model are kept, so that a block has a bounded number.
     """
-    out, stack, raw, link, at, n = [], [], [], 0, 0, len(page)
+    out, held, raw, link, at = [], _Open(known), [], 0, 0
 
-    def flush():
-        nonlocal raw, link
-        if raw:
-            text = " ".join(html.unescape("".join(raw)).split())
-            if text and not any(t in _UNSEEN for t, _ in stack):
-                names = [p for _, parts in stack for p in parts]
-                out.append(Block(text, [t for t, _ in stack], names, min(1.0, link / len(text))))
-        raw, link = [], 0
-
-    while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
+    def text(end):
+        nonlocal link
         if end > at:
             raw.append(page[at:end])
-            if any(t == "a" for t, _ in stack):
+            if held.links:
                 link += len(page[at:end].strip())
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+
+    def flush():
+        nonlocal link
+        if raw and not held.unseen:
+            words = " ".join(html.unescape("".join(raw)).split())
+            if words:
+                near = held.sections[-1] if held.sections else "none"
+                out.append(Block(words, held.innermost(), near, list(held.tags), list(held.names), min(1.0, link / len(words))))
+        raw.clear()
+        link = 0
+
+    skipped = 0
+    for start, end, name, closing, attrs in _tags(page):
+        if skipped:  # the end of a raw element, whose text is no text of the page
+            at, skipped = start, 0
+        text(start)
+        at = end
+        if name is None:
             continue
-        name, closing, attrs = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if name == "br":
             raw.append(" ")
+        if not closing and name not in _HEAD and held.tags["head"]:
+            flush()
+            held.close("head")
         if name in _VOID:
             if name not in _INLINE:
                 flush()
             continue
+        if name not in _INLINE:
+            flush()
         if closing:
-            if name not in _INLINE:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE and name in _INLINE:
-                    break
+            held.close(name)
             continue
         if name not in _INLINE:
-            flush()
-            for stop, closes in (("p", name in _CLOSES_P), ("li", name == "li"), ("option", name == "option"), ("tr", name == "tr"), ("td", name in ("td", "th")), ("dd", name in ("dd", "dt"))):
-                if closes:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == stop:
-                            del stack[k:]
-                            break
-                        if stack[k][0] not in _INLINE:
-                            break
-        parts = tuple(p.lower() for a in _NAMES.findall(attrs) for p in _PART.findall("".join(a))) if attrs else ()
+            inner = held.innermost()
+            if inner == "p" and name in _CLOSES_P or inner in _IMPLIED.get(name, ()):
+                held.cut(held.blocks[-1])
+        names = tuple(p.lower() for a in _NAMES.findall(attrs) for p in _PART.findall("".join(a))) if attrs else ()
         if not attrs.rstrip().endswith("/") or name not in ("svg", "path"):
-            stack.append((name, parts))
-        if name in _RAW:
-            shut = re.compile(rf"</{name}\b", re.I).search(page, at)
-            at = shut.start() if shut else n
+            held.push(name, names)
+        skipped = name in _RAW
+    if not skipped:
+        text(len(page))
     flush()
     return out
 
@@ -106,11 +197,10 @@ def _features(blocks: list[Block]) -> list[list[str]]:
     out, n = [], len(blocks)
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        near = next((t for t in reversed(b.tags) if t in _SECTIONS), "none")
-        leaf = next((t for t in reversed(b.tags) if t not in _INLINE), "none")
+        near, leaf = b.near, b.leaf
         f = ["1", f"leaf={leaf}", f"near={near}", f"leaf={leaf} near={near}", f"words={min(6, words.bit_length())}", f"linked={int(b.linked * 4)}", f"place={4 * i // n}"]
-        f += [f"in={t}" for t in {t for t in b.tags if t not in _INLINE}]
-        f += [f"name={p}" for p in set(b.names)]
+        f += [f"in={t}" for t in b.tags]
+        f += [f"name={p}" for p in b.names]
         f.append(f"words={min(6, words.bit_length())} linked={b.linked > 0.5}")
         f.append(f"stop={b.text[-1] in '.!?…:;»”\"'}")
         if _NOTICE.search(b.text):
@@ -199,7 +289,8 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     sentence = lambda: words(3, 18).capitalize() + r.choice(".....!?")
     said = ["comments", "the cookie", "all rights reserved.", "privacy terms", "subscribe", "https://x.example.com/a", "(c) 2020 copyright", "search", "related menu", "a reply", "years ago", "share", "sponsored", "log in"]
-    para = lambda: " ".join(sentence() + (" " + r.choice(said) if r.random() < 0.12 else "") for _ in range(r.choice([1, 1, 2, 3, 5, 9])))
+    brief = lambda: r.choice([words(1, 1), words(1, 2), r.choice(said)]).capitalize() + r.choice([".", ".", "!", "!!", "?", ""])
+    para = lambda: brief() if r.random() < 0.15 else " ".join(sentence() + (" " + r.choice(said) if r.random() < 0.12 else "") for _ in range(r.choice([1, 1, 2, 3, 5, 9])))
     link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
     names = lambda *c: r.choice(["", r.choice([f' class="{x}"', f' id="{x}"', f" class='{word()} {x}'", f' class="site-{x}"', f' class="{x}-{word()}"'])]) if (x := r.choice(c)) else ""
     must = lambda *c: r.choice([f' class="{(x := r.choice(c))}"', f' id="{x}"', f' class="{x} {word()}"', f' class="{x}-{word()}"', f' class="main-{x}"' if x in ("nav", "menu") else f' class="{x}"']) if (x := r.choice(c)) else ""
@@ -305,15 +396,16 @@ def trained(pages: int = TRAIN_PAGES) -> ChainCRF:
 
 
 def main_text(page: str | None, model: ChainCRF) -> str:
-    blocks = leaf_blocks(page or "")
-    return "\n".join(b.text for b, y in zip(blocks, model.decode(_features(blocks))) if y)
+    """The blocks that the field labels as main text, joined by two line feeds."""
+    blocks = leaf_blocks(page or "", model.at)
+    return "\n\n".join(b.text for b, y in zip(blocks, model.decode(_features(blocks))) if y)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages(page_id, url, html)``.
 
-    The blocks that the field labels as main text, in page order, joined by a line
-    feed.  A null or empty page, or one without such a block, has the empty text.
+    The blocks that the field labels as main text, in page order, joined by two line
+    feeds.  A null or empty page, or one without such a block, has the empty text.
     Repeated rows give repeated rows; null ids and urls stay null.
     """
     model = trained()

@@ -1,8 +1,10 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -226,11 +228,59 @@ def test_swapped_terms_score_alike():
 
 def test_pages(spark):
     model = page_text.trained()
-    exact = [page_text.main_text(p, model) == "\n".join(main) for p, main in map(page_text.labelled_page, range(9000, 9100))]
+    exact = [page_text.main_text(p, model) == "\n\n".join(main) for p, main in map(page_text.labelled_page, range(9000, 9100))]
     assert np.mean(exact) > 0.8
     page = "<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>First  line.<br>More <b>text</b>.<p>Second one here.</article><script>var x='<p>no</p>'</script><footer>&copy; x</footer></body></html>"
     rows = page_text.extract_pages(spark.createDataFrame([(1, "u", page), (2, None, None), (None, "u", "")], "page_id long, url string, html string")).collect()
-    assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, "A & B\nFirst line. More text.\nSecond one here.", 5 + 1 + 22 + 1 + 16), (2, "", 0), (None, "", 0)]
+    assert [(r.page_id, r.text, r.n_chars) for r in rows] == [(1, "A & B\n\nFirst line. More text.\n\nSecond one here.", 5 + 2 + 22 + 2 + 16), (2, "", 0), (None, "", 0)]
+
+
+def test_leaf_blocks_of_loose_pages():
+    text = lambda page: [b.text for b in page_text.leaf_blocks(page)]
+    # end tags of html, head, body, p, li, td, tr left out
+    assert text("<html><head><title>T</title><meta charset=x><body><p>One<p>Two<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == ["One", "Two", "a", "b", "c", "d", "e"]
+    assert text("<head><title>T</title><p>after") == ["after"] and text("<head><style>x</style></head>tail") == ["tail"]
+    assert text("<p title='a > b'>x</p><p title=\"it's\">y</p><a href='>z") == ["x", "y z"]
+    assert text("a <!-- b <p> --> c <!-- open <p>d") == ["a c"] and text("1 < 2 <p>3 <4") == ["1 < 2", "3 <4"]
+    assert text("<script>if (a < b) '</p>'</script><p>x</p><textarea>no <p>no</textarea>y<script>open") == ["x", "y"]
+    assert text("<div><b>x</div>y</b><p>z</p></b></i>w") == ["x", "y", "z", "w"]
+    deep = page_text.leaf_blocks("<article><section><p>x <a href=y>link</a></p></section></article>")
+    assert [(b.leaf, b.near, sorted(b.tags), round(b.linked, 2)) for b in deep] == [("p", "section", ["article", "p", "section"], round(4 / 6, 2))]
+
+
+def test_pages_take_linear_time():
+    model = page_text.trained()
+    for page in ("<div class=a>x" * 100_000, "<a " * 300_000, "<a '\"" * 200_000 + ">", "<p>x</b>" * 100_000, "<i>" * 100_000 + "</b>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<" * 300_000, "<!-- " * 200_000, "<a \"' >" * 30_000):
+        began = time.time()
+        page_text.main_text(page, model)
+        assert time.time() - began < 20
+
+
+def test_chain_field_against_all_chains():
+    r = random.Random(3)
+    pages = [[[f"f{r.randrange(4)}", f"g{r.randrange(3)}"] for _ in range(r.randint(1, 6))] for _ in range(30)]
+    labels = [[int(r.random() < (0.8 if "f1" in f else 0.3)) for f in page] for page in pages]
+    model = page_text.ChainCRF(ridge=0.3, steps=400).fit(pages, labels)
+
+    def score(page, y, w, trans):
+        return sum(w[model.at[f]] for block, t in zip(page, y) if t for f in block) + sum(trans[a][b] for a, b in zip(y, y[1:]))
+
+    def loss(w, trans):
+        out = 0.0
+        for page, y in zip(pages, labels):
+            every = [score(page, z, w, trans) for z in itertools.product((0, 1), repeat=len(page))]
+            out += np.logaddexp.reduce(every) - score(page, y, w, trans)
+        return (out + 0.15 * sum(x * x for x in w)) / len(pages)
+
+    for page in pages:
+        best = max(itertools.product((0, 1), repeat=len(page)), key=lambda z: score(page, z, model.w, model.trans))
+        assert abs(score(page, model.decode(page), model.w, model.trans) - score(page, best, model.w, model.trans)) < 1e-9
+    least = loss(model.w, model.trans)
+    for k in range(len(model.w)):  # the sum over all chains is least where the fit ended
+        for step in (-0.05, 0.05):
+            assert loss([x + step * (i == k) for i, x in enumerate(model.w)], model.trans) > least - 1e-5
+    for a, b, step in itertools.product((0, 1), (0, 1), (-0.05, 0.05)):
+        assert loss(model.w, [[x + step * ((i, j) == (a, b)) for j, x in enumerate(row)] for i, row in enumerate(model.trans)]) > least - 1e-5
 
 
 def test_empty_tables(spark, docs):
