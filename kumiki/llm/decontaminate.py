@@ -1,8 +1,9 @@
-"""Benchmark passages in training texts: BM25 with block-max WAND, then checked overlap."""
+"""Benchmark passages in training texts: BM25 over word shingles with block-max WAND, then checked overlap of question and answer."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -13,76 +14,74 @@ from . import words as W
 from .tables import keep, text_rows
 
 K1, B = 1.2, 0.75
-#: Words of an indexed segment at most, and of a query passage; every run of SEGMENT words lies in a passage.
-SEGMENT, PASSAGE, STEP = 32, 64, 32
-#: A segment is retrieved when a passage scores this share of the segment's score for itself.
-THRESHOLD = 0.5
-#: Share of the five-word shingles of all of an item, of its question or of its answer that must be in the text.
-#: A part of fewer words than a shingle does not decide by itself: "yes" is in most texts.
+SHINGLE = 5
+#: Share of the shingles of an item's question, and of its answer, that a text must hold.
 OVERLAP = 0.75
-#: Text of test items that one index holds; larger tables are indexed in parts, each broadcast by itself.
-INDEX_BYTES = 1 << 20
-#: Stretches of segments for which a passage is bounded at once.
-STRETCHES = 128
+#: Text of test items that one index holds, and indexes that a pass over the documents asks; larger tables take more passes.
+INDEX_BYTES, INDEXES = 1 << 20, 64
 _BLOCK = 16
+_SPACES = " \t\n\x0b\x0c\r"
+
+
+def _words(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    starts, ends, _ = W.split(raw, np.array([0, len(raw)]))
+    return W.hashes(raw, starts, ends)
+
+
+def parts_of(text: str) -> tuple[str, str]:
+    """Question and answer of an item: what stands before its last line, and that line; without a line feed all is question."""
+    text = text.strip(_SPACES)
+    cut = text.rfind("\n")
+    return (text[:cut], text[cut + 1 :]) if cut >= 0 else (text, "")
 
 
 class BlockMaxIndex:
-    """Postings of item segments with impacts (BM25 over the segment's own score), and the largest impact of every block of postings."""
+    """Postings of items by shingle, with the largest impact of every block of postings.
+
+    Impacts are BM25 weights over the least score that an item can have when the
+    overlaps hold: the sum of its lightest shingles that suffice.  So an item with
+    enough overlap scores 1 or more, and all above 1 are retrieved.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int = 5, parts: bool = True):
-        self.items, segments = [], []
+    def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE):
+        self.items, counts = [], []
         for item_id, text in items:
-            h = _words(text)
-            if not len(h):
+            whole, parts = _words(text), [_words(part) for part in parts_of(text)]
+            if not len(whole):
                 continue
-            cut = text.strip().rfind("\n")
-            q, a = (_words(text.strip()[:cut]), _words(text.strip()[cut:])) if cut >= 0 else (h, h[:0])
-            self.items.append((item_id, *[(W.shingle_set(part, shingle), min(shingle, len(part)), parts and len(part) >= shingle) for part in (h, q, a)]))
-            for part in [h] + [part for part in (q, a) if parts and shingle <= len(part) < len(h)]:  # parts that decide are retrieved by themselves too
-                for piece in np.array_split(part, math.ceil(len(part) / SEGMENT)):
-                    segments.append((len(self.items) - 1, piece))
-        self.owner = np.array([s[0] for s in segments], dtype=np.int64)
-        counts: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, piece) in enumerate(segments):
-            for t, c in zip(*np.unique(piece, return_counts=True)):
-                counts.setdefault(int(t), []).append((k, int(c)))
-        n, mean = max(1, len(segments)), np.mean([len(p) for _, p in segments]) if segments else 1.0
-        length = np.array([len(p) for _, p in segments], dtype=float)
-        self.terms = np.array(sorted(counts), dtype=np.uint64)
-        whole = np.zeros(n)
-        raw = []
-        for t in self.terms.tolist():
-            docs = np.array([d for d, _ in counts[t]])
-            tf = np.array([c for _, c in counts[t]], dtype=float)
-            idf = math.log(1 + (n - len(docs) + 0.5) / (len(docs) + 0.5))
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[docs] / mean))
-            whole[docs] += impact
-            raw.append((docs, impact))
-        self.lists = [(d, i / whole[d]) for d, i in raw]
-        self.most = np.array([i.max() for _, i in self.lists]) if raw else np.zeros(0)
-        # For each term and each stretch of segments the largest impact: the sum over a passage's
-        # terms bounds what any segment of the stretch can score.
-        stretch = max(1, math.ceil(n / STRETCHES))
-        self.bounds = np.zeros((len(self.terms), math.ceil(n / stretch)), dtype=np.float32)
-        for t, (d, i) in enumerate(self.lists):
-            np.maximum.at(self.bounds[t], d // stretch, i.astype(np.float32))
-        self.blocks = [([int(d[min(k + _BLOCK, len(d)) - 1]) for k in range(0, len(d), _BLOCK)], [float(i[k : k + _BLOCK].max()) for k in range(0, len(d), _BLOCK)]) for d, i in self.lists]
-        self.lists = [(d.tolist(), i.tolist()) for d, i in self.lists]
-        self.maybe = np.zeros(1 << 16, dtype=bool)
-        self.maybe[(self.terms >> np.uint64(48)).astype(np.int64)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that the index has, and their terms."""
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
-        if not len(at) or not len(self.terms):
-            return at[:0], at[:0]
-        t = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
-        hit = self.terms[t] == h[at]
-        return at[hit], t[hit]
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All segments that score ``threshold`` or more for the distinct query terms, by block-max WAND."""
+            sizes = [min(shingle, len(part)) for part in parts]
+            sets = [W.shingle_set(part, shingle) for part in parts]
+            self.items.append((item_id, (W.shingle_set(whole, shingle), min(shingle, len(whole))), sets, sizes))
+            counts.append(Counter(g for part, k in zip(parts, sizes) if k for g in W.grams(part, k).tolist()))
+        self.lengths = sorted({k for _, (_, size), _, sizes in self.items for k in (size, *sizes) if k})
+        postings: dict[int, list[tuple[int, int]]] = {}
+        for k, held in enumerate(counts):
+            for g, tf in held.items():
+                postings.setdefault(g, []).append((k, tf))
+        n = len(self.items)
+        length = [sum(held.values()) for held in counts]
+        mean = sum(length) / n if n else 1.0
+        weight: list[dict[int, float]] = [{} for _ in range(n)]
+        for g, own in postings.items():
+            idf = math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5))
+            for k, tf in own:
+                weight[k][g] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[k] / mean))
+        least = []
+        for k, (_, _, sets, _) in enumerate(self.items):
+            needs = [sum(sorted(weight[k][g] for g in part.tolist())[: math.ceil(OVERLAP * len(part))]) for part in sets]
+            shared = len(np.intersect1d(*sets))  # a shingle of both parts scores once
+            least.append(max(needs) if shared else sum(needs))
+        self.terms = np.array(sorted(postings), dtype=np.uint64)
+        self.lists = [([k for k, _ in postings[g]], [weight[k][g] / least[k] for k, _ in postings[g]]) for g in self.terms.tolist()]
+        self.most = np.array([max(i) for _, i in self.lists])
+        self.blocks = [([d[min(k + _BLOCK, len(d)) - 1] for k in range(0, len(d), _BLOCK)], [max(i[k : k + _BLOCK]) for k in range(0, len(d), _BLOCK)]) for d, i in self.lists]
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(self.terms >> np.uint64(44)).astype(np.int64)] = True
+
+    def search(self, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
+        """All items that score ``threshold`` or more for the distinct query terms, by block-max WAND."""
+        threshold -= 1e-9
         cursor = [[self.lists[t][0][0], 0, t] for t in terms]
         found = []
         while cursor:
@@ -90,7 +89,7 @@ class BlockMaxIndex:
             bound, pivot = 0.0, -1
             for k, (_, _, t) in enumerate(cursor):
                 bound += self.most[t]
-                if bound >= threshold - 1e-9:
+                if bound >= threshold:
                     pivot = k
                     break
             if pivot < 0:
@@ -99,7 +98,7 @@ class BlockMaxIndex:
             while pivot + 1 < len(cursor) and cursor[pivot + 1][0] == doc:
                 pivot += 1
             tight, ends = 0.0, 1 << 60
-            for d, place, t in cursor[: pivot + 1]:
+            for _, place, t in cursor[: pivot + 1]:
                 last, best = self.blocks[t]
                 b = place // _BLOCK
                 while b < len(last) and last[b] < doc:
@@ -107,13 +106,13 @@ class BlockMaxIndex:
                 if b < len(last):
                     tight += best[b]
                     ends = min(ends, last[b])
-            if tight < threshold - 1e-9:
+            if tight < threshold:
                 nxt = ends + 1 if ends < 1 << 60 else doc + 1
                 if pivot + 1 < len(cursor):
                     nxt = min(nxt, cursor[pivot + 1][0])
                 self._advance(cursor, pivot + 1, max(nxt, doc + 1))
             elif cursor[0][0] == doc:
-                score = sum(self.lists[t][1][p] for d, p, t in cursor[: pivot + 1])
+                score = sum(self.lists[t][1][p] for _, p, t in cursor[: pivot + 1])
                 if score >= threshold:
                     found.append((doc, score))
                 self._advance(cursor, pivot + 1, doc + 1)
@@ -135,103 +134,90 @@ class BlockMaxIndex:
             c[0], c[1] = (docs[place], place) if place < len(docs) else (1 << 61, place)
         cursor[:] = [c for c in cursor if c[0] < 1 << 61]
 
-    def passages(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(document, terms) of the passages that some stretch's bound does not rule out.
-
-        ``h`` has the words of several documents, ``first`` the index of each one's
-        first word and one more.  A passage is two neighbouring halves of STEP words;
-        terms in both count twice in the first bound, once in the second.
-        """
-        at, t = self.find(h)
-        if not len(at):
+    def queries(self, grams: dict[int, np.ndarray], first: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(document, terms) of the documents whose terms' largest impacts can reach 1; ``grams`` has those of all words by length."""
+        docs, terms = [], []
+        for k, g in grams.items():
+            at = np.flatnonzero(self.maybe[(g >> np.uint64(44)).astype(np.int64)])
+            if not len(at):
+                continue
+            t = np.minimum(np.searchsorted(self.terms, g[at]), len(self.terms) - 1)
+            hit = self.terms[t] == g[at]
+            at, t = at[hit], t[hit]
+            doc = np.searchsorted(first, at, side="right") - 1
+            inside = at + k <= first[doc + 1]
+            docs.append(doc[inside])
+            terms.append(t[inside])
+        if not docs:
             return []
-        words = np.diff(first)
-        base = np.concatenate(([0], np.cumsum(-(-words // STEP) + 1)))  # one empty half between documents
-        doc = np.searchsorted(first, at, side="right") - 1
-        half = base[doc] + (at - first[doc]) // STEP
-        pairs = np.unique(half * len(self.terms) + t)
-        half, term = pairs // len(self.terms), pairs % len(self.terms)
+        pairs = np.unique(np.concatenate(docs) * len(self.terms) + np.concatenate(terms))
+        doc, term = pairs // len(self.terms), pairs % len(self.terms)
+        cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else doc
+        bound = np.add.reduceat(self.most[term], cut) if len(doc) else []
+        ends = np.append(cut[1:], len(doc))
+        return [(int(doc[a]), term[a:b]) for a, b, most in zip(cut, ends, bound) if most >= 1 - 1e-9]
+
+    def matches(self, grams: dict[int, np.ndarray], first: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
+        """(document, item id, score, overlap, question overlap, answer overlap) of each item verified in a document."""
         out = []
-        for lo in range(0, len(half), 1 << 15):  # halves overlap by one from piece to piece
-            hi = int(np.searchsorted(half, half[min(lo + (1 << 15), len(half)) - 1] + 1, side="right"))
-            start = int(np.searchsorted(half, half[lo]))
-            h_, t_ = half[start:hi], term[start:hi]
-            cut = np.flatnonzero(np.concatenate(([True], h_[1:] != h_[:-1])))
-            score, number = np.add.reduceat(self.bounds[t_], cut, axis=0), h_[cut]
-            both = score.copy()
-            joined = np.flatnonzero(number[1:] == number[:-1] + 1)
-            both[joined] += score[joined + 1]
-            for k in np.flatnonzero((both >= THRESHOLD - 1e-4).any(axis=1)).tolist():
-                end = cut[k + 1] if k + 1 < len(cut) else len(t_)
-                if k + 1 < len(cut) and number[k + 1] == number[k] + 1:
-                    end = cut[k + 2] if k + 2 < len(cut) else len(t_)
-                mine = np.unique(t_[cut[k] : end])
-                if (self.bounds[mine].sum(axis=0) >= THRESHOLD - 1e-4).any():
-                    out.append((int(np.searchsorted(base, number[k], side="right")) - 1, mine))
-        return out
-
-    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
-        """(document, item id, best passage score, overlap, question overlap, answer overlap) of each item verified in a document."""
-        best: dict[tuple[int, int], float] = {}
-        for doc, terms in self.passages(h, first):
-            for segment, score in self.search(terms.tolist(), THRESHOLD):
-                key = doc, int(self.owner[segment])
-                best[key] = max(best.get(key, 0.0), score)
-        out, sets = [], {}
-        for (doc, owner), score in sorted(best.items()):
-            item, *parts = self.items[owner]
-            for _, k, _ in parts:
-                if k and (doc, k) not in sets:
-                    sets = {key: held for key, held in sets.items() if key[0] == doc}
-                    sets[doc, k] = np.unique(W.grams(h[first[doc] : first[doc + 1]], k))
-            every, question, answer = (float(np.isin(s, sets[doc, k], assume_unique=True).mean()) if k else 1.0 for s, k, _ in parts)
-            if every >= OVERLAP or any(share >= OVERLAP and decides for share, (_, _, decides) in zip((question, answer), parts[1:])):
-                out.append((doc, item, score, every, question, answer))
+        for doc, terms in self.queries(grams, first) if len(self.terms) else ():
+            held = self.terms[terms]
+            for item, score in self.search(terms.tolist()):
+                item_id, (whole, size), sets, _ = self.items[item]
+                question, answer = (float(np.isin(s, held).mean()) if len(s) else 1.0 for s in sets)
+                if min(question, answer) >= OVERLAP:
+                    every = np.isin(whole, grams[size][first[doc] : first[doc + 1] - size + 1])
+                    out.append((doc, item_id, score, float(every.mean()), question, answer))
         return out
 
 
-def _words(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    starts, ends, _ = W.split(raw, np.array([0, len(raw)]))
-    return W.hashes(raw, starts, ends)
-
-
-def _indexes(items: DataFrame, by_part: bool = True):
-    """Broadcast indexes that together hold all items with a text and an item_id."""
+def _indexes(items: DataFrame):
+    """Broadcast indexes that together hold all items with a text and an item_id, in lists of at most INDEXES."""
     held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / INDEX_BYTES))
     if parts > 1:
         held = keep(held, "items")
+    made = []
     for part in range(parts):
         own = held if parts == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], parts=by_part))
+        made.append(items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()])))
+    return [made[k : k + INDEXES] for k in range(0, parts, INDEXES)]
 
 
-def leaks(docs: DataFrame, items: DataFrame, by_part: bool = True) -> DataFrame:
+def _found(column: pa.Array, indexes):
+    """(row, item id, ...) of all items of the indexes in each text; words are hashed once."""
+    lengths = sorted({k for index in indexes for k in index.value.lengths})
+    for lo, _, buf, offs in W.blocks(column):
+        starts, ends, first = W.split(buf, offs)
+        h = W.hashes(buf, starts, ends)
+        grams = {k: W.grams(h, k) for k in lengths}
+        for index in indexes:
+            for m in index.value.matches({k: grams[k] for k in index.value.lengths}, first):
+                yield lo + m[0], *m[1:]
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap): test items found in each text.
 
-    Every passage of 64 words, one starting at each 32nd word of every text, is a
-    query; all segments of items above the threshold are retrieved, and an item is
-    reported when the whole text holds three quarters of the five-word shingles of
-    all of it, or with ``by_part`` of its question or its answer of five words or more
-    (words cut at ASCII white space, A-Z folded; fewer words make one shingle).
-    The question is an item's text before its last line, the answer that line;
-    without a line feed all is question, and an empty part overlaps fully.
+    Every whole text is a query; all items whose BM25 score shows that the overlaps may
+    hold are retrieved, and an item is reported when the text holds three quarters of
+    the five-word shingles of its question and three quarters of those of its answer,
+    wherever they stand (words cut at ASCII white space, A-Z folded; a part of fewer
+    words is one shingle of its own length).  The question is an item's text before its
+    last line, the answer that line; without a line feed all is question, and an empty
+    part overlaps fully.  ``overlap`` is the share of the shingles of the whole item.
     Null and empty texts hold nothing, null and empty items are never found, rows
     without doc_id are read but not named.  Repeated rows of either table give one
-    row for each doc_id and item_id.
+    row for each doc_id and item_id, with the largest figures.
     """
     rows, out = text_rows(docs), None
-    for index in _indexes(items, by_part):
-        def run(batches, index=index):
+    for indexes in _indexes(items):
+
+        def run(batches, indexes=indexes):
             for batch in batches:
-                got = []
-                for lo, hi, buf, offs in W.blocks(batch.column(1)):
-                    starts, ends, first = W.split(buf, offs)
-                    h = W.hashes(buf, starts, ends)
-                    ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                    got += [(ids[m[0]], *m[1:]) for m in index.value.matches(h, first) if ids[m[0]] is not None]
+                ids = batch.column(0).to_pylist()
+                got = [(ids[row], *more) for row, *more in _found(batch.column(1), indexes) if ids[row] is not None]
                 cols = list(zip(*got)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
@@ -243,15 +229,13 @@ def leaks(docs: DataFrame, items: DataFrame, by_part: bool = True) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no test item is found, each decided by its own text; all columns stay."""
     at = docs.columns.index("text")
-    for index in _indexes(items):
+    for indexes in _indexes(items):
 
-        def run(batches, index=index):
+        def run(batches, indexes=indexes):
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for lo, _, buf, offs in W.blocks(batch.column(at).cast(pa.string())):
-                    starts, ends, first = W.split(buf, offs)
-                    for m in index.value.matches(W.hashes(buf, starts, ends), first):
-                        clean[lo + m[0]] = False
+                for row, *_ in _found(batch.column(at).cast(pa.string()), indexes):
+                    clean[row] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

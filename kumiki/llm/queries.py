@@ -53,9 +53,8 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"), by_part=False)
-    # The SQL asks for the overlap of whole items; drop_leaks also goes by questions and answers.
-    return found.where(F.col("overlap") >= decontaminate.OVERLAP).select("doc_id", "item_id", F.round("overlap", 9).alias("overlap"))
+    share = lambda c: F.round(c, 9).alias(c)
+    return decontaminate.leaks(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", share("question_overlap"), share("answer_overlap"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +107,20 @@ SELECT doc_id, size, source_size, target,
 FROM f
 """
 
-OP10_SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, {_SHINGLES} AS g FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 0),
-b AS (SELECT item_id, {_SHINGLES} AS g FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
-n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
-SELECT d.doc_id, b.item_id, round(count(*)::DOUBLE / n.n, 9) AS overlap
-FROM d JOIN b ON d.g = b.g JOIN n ON n.item_id = b.item_id
-GROUP BY d.doc_id, b.item_id, n.n HAVING count(*) >= 0.75 * n.n
+OP10_SQL = rf"""
+WITH t AS (SELECT item_id, regexp_replace({_FOLD}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM benchmark),
+p AS (SELECT item_id, 'question' AS part, CASE WHEN contains(t, chr(10)) THEN regexp_replace(t, '\n[^\n]*$', '') ELSE t END AS t FROM t
+  UNION ALL SELECT item_id, 'answer', CASE WHEN contains(t, chr(10)) THEN regexp_extract(t, '\n([^\n]*)$', 1) ELSE '' END FROM t),
+w AS (SELECT item_id, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM p),
+k AS (SELECT item_id, part, ws, least(len(ws), 5) AS k FROM w WHERE len(ws) > 0),
+b AS (SELECT DISTINCT item_id, part, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS g FROM k),
+n AS (SELECT item_id, part, k, count(*) AS n FROM b GROUP BY ALL),
+x AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(list_slice(ws, i, i + k - 1), ' '))) AS g FROM x, (SELECT DISTINCT k FROM k) WHERE len(ws) >= k),
+o AS (SELECT d.doc_id, b.item_id, b.part, count(*)::DOUBLE / any_value(n.n) AS share FROM d JOIN b ON d.k = b.k AND d.g = b.g JOIN n ON n.item_id = b.item_id AND n.part = b.part GROUP BY d.doc_id, b.item_id, b.part)
+SELECT q.doc_id, q.item_id, round(q.share, 9) AS question_overlap, round(CASE WHEN n.n IS NULL THEN 1.0 ELSE coalesce(a.share, 0.0) END, 9) AS answer_overlap
+FROM o q LEFT JOIN n ON n.item_id = q.item_id AND n.part = 'answer' LEFT JOIN o a ON a.doc_id = q.doc_id AND a.item_id = q.item_id AND a.part = 'answer'
+WHERE q.part = 'question' AND q.share >= 0.75 AND (n.n IS NULL OR a.share >= 0.75)
 """
 
 
