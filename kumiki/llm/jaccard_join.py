@@ -33,15 +33,15 @@ from . import words as W
 from .components import components
 from .tables import drop, drop_since, keep, kept, text_rows
 
-#: Shingles that a task counts before it sends them, and that a range of hash values holds on average.
-CHUNK, RANGE = 1 << 21, 1 << 22
+#: Shingles and documents that a task counts before it sends them, and shingles that a range of hash values holds on average.
+CHUNK, CHUNK_ROWS, RANGE = 1 << 21, 60_000, 1 << 20
 #: Regions of more members are cut by pivots again, at most so many times and while balls take a twentieth out.
 CROWDED, ROUNDS = 768, 12
 #: Members and shingles of a block, on average; a cell holds one or two blocks.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Ids that a broadcast may hold (8 bytes each); more are met by a shuffle.
 MOST_IDS = 1 << 21
-_NOBODY = 0xFFFFFFFF
+_NOBODY = 0xFFFF
 #: The number of the last cells, above that of any round.
 _LAST = 15
 
@@ -68,7 +68,7 @@ def _chunks(n: int, ranges: int):
     """A task's documents in chunks: one row (part -1) of their digests, and for each range of hash values the chunk's shingles, once each.
 
     ``slots`` names the document of a shingle that no other of the chunk has; one that
-    recurs within the chunk is counted here, in ``recur``.  Of equal sets in a
+    recurs within the chunk is counted here, in ``recur``.  They ascend and are sent as differences.  Of equal sets in a
     chunk the first, their ``head``, sends the shingles.
     """
     names = [c.split()[0] for c in _CHUNK_SCHEMA.split(", ")]
@@ -84,11 +84,14 @@ def _chunks(n: int, ranges: int):
         alone = edge[:-1] & edge[1:]
         recur = np.bincount(owner[~alone], minlength=len(ids))
         first = np.flatnonzero(edge[:-1])
-        keys, slots = h[first], np.where(alone[first], owner[first], np.uint32(_NOBODY)).astype(np.uint32)
-        part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        low = keys.astype(np.uint32)
-        cut = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+        keys, slots = h[first], np.where(alone[first], owner[first], _NOBODY).astype(np.int64)
+        part = (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+        cut = np.searchsorted(part, np.arange(ranges + 1))
+        order = np.argsort(part << 16 | slots, kind="stable")
+        low, slots = keys.astype(np.uint32)[order], np.diff(slots[order], prepend=0)
         use = np.flatnonzero(np.diff(cut)).tolist()
+        slots[cut[use]] += np.append(0, np.cumsum(slots))[cut[use]]  # a part's first one is whole
+        slots = slots.astype(np.uint16)
         f1, f2, size = (list(c) for c in zip(*digests))
         none = [None] * len(use)
         rows = [[-1, *use], [chunk] * (len(use) + 1), [None, *(low[cut[i] : cut[i + 1]].tobytes() for i in use)], [None, *(slots[cut[i] : cut[i + 1]].tobytes() for i in use)]]
@@ -112,7 +115,7 @@ def _chunks(n: int, ranges: int):
                 if head == slot and len(s):
                     sets.append((slot, s))
                     held += len(s)
-                if held >= CHUNK or len(ids) >= CHUNK:
+                if held >= CHUNK or len(ids) >= CHUNK_ROWS:
                     yield flush(ids, digests, heads, sets)
                     (ids, digests, heads, sets, seen), held = fresh(), 0
         if ids:
@@ -145,7 +148,7 @@ def _recurring(batches):
     for held in _runs(batches, 1):
         chunks = [c for b in held for c in b.column(1).to_pylist()]
         low = [np.frombuffer(k, np.uint32) for b in held for k in b.column(2).to_pylist()]
-        slots = [np.frombuffer(k, np.uint32) for b in held for k in b.column(3).to_pylist()]
+        slots = [np.cumsum(np.frombuffer(k, np.uint16), dtype=np.uint16) for b in held for k in b.column(3).to_pylist()]
         size = [len(k) for k in low]
         keys = np.concatenate(low)
         order = np.argsort(keys, kind="stable")
@@ -172,7 +175,7 @@ def _judged(batches):
                 if b.column(2)[r].is_valid:
                     told = [b.column(c)[r].values for c in range(2, 8)]
                 else:
-                    more.append(np.frombuffer(b.column(1)[r].as_py(), np.uint32))
+                    more.append(np.frombuffer(b.column(1)[r].as_py(), np.uint16))
         ids, f1, f2, n, head, recur = told
         count = recur.to_numpy(zero_copy_only=False) + np.bincount(np.concatenate(more), minlength=len(ids)) if more else recur.to_numpy(zero_copy_only=False)
         size = n.to_numpy(zero_copy_only=False)
