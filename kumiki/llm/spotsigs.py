@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -73,30 +74,50 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
-def _with_next(rows: DataFrame, rows_each: int = 2048) -> DataFrame:
-    """Rows (b, doc_id, tie, text, real): stretches b of doc_id order, each closed by a copy of the row that follows it."""
-    ids = rows.groupBy().agg(F.count("*").alias("n")).first()
-    parts = max(1, math.ceil(ids.n / rows_each))
-    steps = [i / parts for i in range(1, parts)][: 1 << 14]
-    cuts = sorted(set(rows.groupBy().agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)) if steps else F.array(F.lit(0.5)), F.lit(20 * parts)).alias("c")).first().c or [])) if steps else []
-    spark = rows.sparkSession
-    edges = spark.sparkContext.broadcast(cuts)
+#: Stretches of neighbouring rows at most, rows of one at least, and sampled rows for each that place their bounds.
+STRETCHES, STRETCH_ROWS, SAMPLED = 4096, 2048, 32
+
+
+def _bounds(rows: DataFrame) -> list[tuple[int, int]]:
+    """(doc_id, tie) of rows that cut all rows into stretches of about equal numbers, by a sample of bounded size; a null id is the least."""
+    n = rows.count()
+    parts = min(STRETCHES, math.ceil(n / STRETCH_ROWS))
+    if parts < 2:
+        return []
+    every = max(1, n // (SAMPLED * parts))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(1)), F.lit(every)) == 0).groupBy("doc_id", "tie").count().collect()
+    keys = sorted((_LEAST if r.doc_id is None else r.doc_id, r.tie) for r in sample)
+    return sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+
+
+_LEAST = -(1 << 63)
+
+
+def _with_next(rows: DataFrame) -> DataFrame:
+    """Rows (b, doc_id, tie, text, closing): stretches b of the order, each closed by a copy of the row that follows it, the last by the first."""
+    spark, rows = rows.sparkSession, rows.withColumn("tie", F.xxhash64("text"))
+    edges = spark.sparkContext.broadcast(_bounds(rows.select("doc_id", "tie")))
 
     def stretch(batches):
-        bounds = np.array(edges.value, dtype=np.int64)
+        bounds = edges.value
+        firsts = np.array([i for i, _ in bounds], dtype=np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, side="right").astype(np.int32)), *batch.columns], names=["b", *batch.schema.names])
-
-    placed = rows.mapInArrow(stretch, "b int, doc_id long, text string")
-    tie = F.xxhash64("text").alias("tie")
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", tie)
-    heads = keep(placed.groupBy("b").agg(F.min_by(F.struct("doc_id", tie, "text"), order).alias("head")), "heads")
-    ring = Window.orderBy("b")
-    at_end = F.min("b").over(Window.partitionBy())
-    closing = heads.select("head", F.lag("b").over(ring).alias("p"), at_end.alias("least"), F.max("b").over(Window.partitionBy()).alias("most"))
-    closing = closing.select(F.coalesce("p", "most").alias("b"), "head.doc_id", "head.tie", "head.text", F.lit(1).alias("closing"))
-    return placed.select("b", "doc_id", tie, "text", F.lit(0).alias("closing")).unionAll(closing)
+            ids = batch.column(0).fill_null(_LEAST).to_numpy(zero_copy_only=False)
+            b = np.searchsorted(firsts, ids, side="right")
+            # rows of an id that a bound has are placed by their ties
+            for k in np.flatnonzero(np.isin(ids, firsts)).tolist():
+                b[k] = bisect.bisect_right(bounds, (int(ids[k]), batch.column(2)[k].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), *batch.columns], names=["b", *batch.schema.names])
+
+    placed = rows.select("doc_id", "text", "tie").mapInArrow(stretch, "b int, doc_id long, text string, tie long")
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
+    heads = keep(placed.groupBy("b").agg(F.min_by(F.struct("doc_id", "tie", "text"), order).alias("head")), "heads")
+    used = sorted(r.b for r in heads.select("b").collect())  # at most STRETCHES numbers
+    if not used:
+        return placed.withColumn("closing", F.lit(0)).limit(0)
+    before = spark.createDataFrame(list(zip(used, [used[-1], *used[:-1]])), "b int, p int")
+    closing = heads.join(F.broadcast(before), "b").select(F.col("p").alias("b"), "head.doc_id", "head.text", "head.tie", F.lit(1).alias("closing"))
+    return placed.withColumn("closing", F.lit(0)).unionByName(closing)
 
 
 def spot_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
@@ -130,7 +151,7 @@ def spot_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for b, i, t, closing in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for b, i, t, closing in zip(*(batch.column(c).to_pylist() for c in ("b", "doc_id", "text", "closing"))):
                 held.append((i, t, b, closing))
                 size += len(t)
                 if len(held) > 1 and (size > W.BLOCK_BYTES or len(held) > 512):
