@@ -7,12 +7,14 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words as W
 from .tables import keep, text_rows
 
-#: Commonest words, each an output of its own, in classes of equal size; words on each side; width of the network.
+#: Words fall in so many cells, by the leading bits of their hash; cells are counted over all documents.
+CELL_BITS = 24
+_COUNTS = "part int, cells binary, counts binary"
+#: Commonest cells, each an output of its own, in classes of equal size; words on each side; width of the network.
 VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
 #: Rounds of training; each masks its own share of the positions, so that all rounds together mask every position once.
 ROUNDS = 2
@@ -97,33 +99,43 @@ class WindowNet:
 
 
 class Vocabulary:
-    """All words of the corpus: the commonest are outputs of their own, the others share hashed outputs, whose number grows with the root of theirs.
+    """Cells of words by hash.  The commonest cells are outputs of their own, the others share hashed outputs, whose number grows with the root of theirs.
 
-    A word of a hashed output has its share of the output's count as its probability
-    there, so that the probabilities of all words of the corpus sum to one.
+    A cell of a hashed output has its share of the output's count as its probability
+    there, so that the probabilities of all cells sum to one.
     """
 
-    def __init__(self, known: np.ndarray, rank: np.ndarray, totals: np.ndarray):
-        self.known, self.rank, self.totals = known, rank, totals
-        self.outputs = VOCABULARY + len(totals)
-
-    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The output of each word, and whether it is a hashed one."""
-        hashed = VOCABULARY + ((h >> np.uint64(1)) % np.uint64(len(self.totals))).astype(np.int64)
+    def __init__(self, counts: np.ndarray):
+        use = np.flatnonzero(counts)
+        top = use[np.lexsort((use, -counts[use].astype(np.int64)))[:VOCABULARY]]
+        many = CLASS * max(1, math.ceil(math.sqrt(len(use)) / CLASS))
+        rest = counts.astype(np.float64)
+        rest[top] = 0
+        self.totals = np.bincount(np.arange(len(counts)) % many, rest, many).astype(np.int64)
+        order = np.argsort(top)
+        self.known, self.rank, self.outputs = top[order], order, VOCABULARY + many
+
+    def ids(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The output of each cell, and whether it is a hashed one."""
+        hashed = VOCABULARY + cells % len(self.totals)
         if not len(self.known):
-            return hashed, np.ones(len(h), dtype=bool)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        other = self.known[at] != h
+            return hashed, np.ones(len(cells), dtype=bool)
+        at = np.minimum(np.searchsorted(self.known, cells), len(self.known) - 1)
+        other = self.known[at] != cells
         return np.where(other, hashed, self.rank[at]), other
 
 
+def cell_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _windows(column, words: Vocabulary):
-    """For blocks of texts: contexts, targets, each text's first position, hashes and whether the target is a hashed output."""
+    """For blocks of texts: contexts, targets, each text's first position, cells and whether the target is a hashed output."""
     outside = words.outputs
     for lo, hi, buf, offs in W.blocks(column, 1 << 19):
         starts, ends, first = W.split(buf, offs)
-        h = W.hashes(buf, starts, ends)
-        ids, other = words.ids(h)
+        cells = cell_of(W.hashes(buf, starts, ends))
+        ids, other = words.ids(cells)
         n = len(ids)
         padded = np.full(n + 2 * SIDE, outside, dtype=np.int64)
         padded[SIDE : SIDE + n] = ids
@@ -135,34 +147,56 @@ def _windows(column, words: Vocabulary):
             inside = (at >= 0) & (at < n)
             inside[inside] = doc[at[inside]] == doc[inside]
             context[~inside, j] = outside
-        yield lo, hi, context, ids, first, h, other
+        yield lo, hi, context, ids, first, cells, other
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(w, c): every word of all documents, by hash, and its count; written out."""
+def cell_counts(rows: DataFrame) -> np.ndarray:
+    """How often the words of each cell stand in all documents: tasks count, ranges of cells are added up."""
+    low = CELL_BITS - 8
 
-    def count(batches):
-        for batch in batches:
-            for _, _, buf, offs in W.blocks(batch.column(0), 8 << 20):
-                starts, ends, _ = W.split(buf, offs)
-                h, c = np.unique(W.hashes(buf, starts, ends), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["w", "c"])
+    def cut(counts, base=0):
+        for part in range(len(counts) >> low):
+            own = counts[part << low : (part + 1) << low]
+            use = np.flatnonzero(own)
+            if len(use):
+                yield pa.RecordBatch.from_arrays([pa.array([base + part], pa.int32()), pa.array([use.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[use].tobytes()], pa.binary())], names=["part", "cells", "counts"])
 
-    return keep(rows.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    def count(batches):
+        counts, held, size = np.zeros(1 << CELL_BITS, dtype=np.int64), [], 0
 
+        def add():
+            cells, c = np.unique(np.concatenate(held), return_counts=True)
+            counts[cells] += c
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The commonest words and their outputs; the sizes of the hashed outputs of all others."""
-    top = counts.orderBy(F.desc("c"), "w").limit(VOCABULARY).collect()
-    many = CLASS * max(1, math.ceil(math.sqrt(counts.count()) / CLASS))
-    output = F.pmod(F.shiftrightunsigned("w", 1), F.lit(many)).alias("o")
-    totals = np.zeros(many, dtype=np.int64)
-    for r in counts.groupBy(output).agg(F.sum("c").alias("c")).collect():
-        totals[r.o] = r.c
-    h = np.array([r.w for r in top], dtype=np.int64).view(np.uint64)
-    np.subtract.at(totals, ((h >> np.uint64(1)) % np.uint64(many)).astype(np.int64), np.array([r.c for r in top], dtype=np.int64))
-    order = np.argsort(h)
-    return Vocabulary(h[order], order, totals)
+        for batch in batches:
+            for _, _, buf, offs in W.blocks(batch.column(0)):
+                starts, ends, _ = W.split(buf, offs)
+                held.append(cell_of(W.hashes(buf, starts, ends)))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        yield from cut(counts)
+
+    def total(batches):
+        at, counts = None, None
+        for batch in batches:
+            for part, cells, c in zip(*(col.to_pylist() for col in batch.columns)):
+                if part != at:
+                    if at is not None:
+                        yield from cut(counts, at)
+                    at, counts = part, np.zeros(1 << low, dtype=np.int64)
+                counts[np.frombuffer(cells, np.uint16)] += np.frombuffer(c, np.int64)
+        if at is not None:
+            yield from cut(counts, at)
+
+    dealt = rows.select("text").mapInArrow(count, _COUNTS).repartition("part").sortWithinPartitions("part")
+    out = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    for r in dealt.mapInArrow(total, _COUNTS).collect():  # at most 10 bytes for each of 2**CELL_BITS cells
+        out[(r.part << low) + np.frombuffer(r.cells, np.uint16).astype(np.int64)] = np.frombuffer(r.counts, np.int64)
+    return out
 
 
 def masked_in(turn: int, n: int, rounds: int) -> np.ndarray:
@@ -220,43 +254,36 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, score, mean_score of every row of ``docs(doc_id, text)``.
-
-    score is the sum over all words of log P(word | two words on either side), words
-    cut at ASCII white space, A-Z folded; a word beyond the commonest has the
-    probability of its hashed output times its share of that output's count, so every
-    word has its own.  Counts and network come from all documents.  mean_score is score
-    by words.  Null texts, empty ones and ones without words score 0, mean_score null.
-    Repeated rows have equal scores; a null doc_id stays null.
+    """doc_id, n_words, score, log_probability of every row of ``docs(doc_id, text)``.
+
+    log_probability is the sum over all words of log P(word | two words on either side), score
+    that sum by the number of words.  Words are cut at ASCII white space, A-Z folded, and fall in
+    2**CELL_BITS cells by hash; a cell beyond the commonest has the probability of its hashed
+    output times its share of that output's count.  Counts and network come from all documents.
+    Null texts, empty ones and ones without words have 0 for both.  Repeated rows have equal
+    scores, to six places; a null doc_id stays null.  The network is the average of those that
+    the tasks train, so it depends on how the rows are dealt to tasks, the counts do not.
     """
     rows = text_rows(docs)
-    counts = word_counts(rows)
-    words = vocabulary(counts)
+    counts = cell_counts(rows)
+    words = Vocabulary(counts)
     sc = rows.sparkSession.sparkContext
     net, held_words = sc.broadcast(train(rows, words).pack()), sc.broadcast(words)
+    held_counts = sc.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # four bytes a cell
 
     def run(batches):
-        words = held_words.value
+        words, counts = held_words.value, held_counts.value
         model = WindowNet(outputs=words.outputs).load(np.frombuffer(net.value, np.float32))
         size = np.log(np.maximum(words.totals, 1))
         for batch in batches:
-            score, count, rare = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64), []
-            for lo, hi, context, ids, first, h, other in _windows(batch.column(1), words):
-                total = np.zeros(len(ids) + 1)
+            total, many = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
+            for lo, hi, context, ids, first, cells, other in _windows(batch.column(1), words):
+                logs = np.zeros(len(ids) + 1)
                 for k in range(0, len(ids), 1 << 15):
-                    total[k + 1 : k + 1 + (1 << 15)] = model.log_probabilities(context[k : k + (1 << 15)], ids[k : k + (1 << 15)])
-                total[1:][other] -= size[ids[other] - VOCABULARY]
-                total = np.cumsum(total)
-                score[lo:hi], count[lo:hi] = total[first[1:]] - total[first[:-1]], np.diff(first)
-                rare += [h[a:b][other[a:b]].view(np.int64) for a, b in zip(first[:-1], first[1:])]
-            ends = np.array([0] + [len(x) for x in rare], dtype=np.int32).cumsum(dtype=np.int32)
-            others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(score), others], names=["doc_id", "n_words", "score", "rare"])
-
-    scored = rows.mapInArrow(run, "doc_id long, n_words long, score double, rare array<long>").withColumn("rid", F.monotonically_increasing_id())
-    scored = keep(scored, "scored")
-    # Words that occur once add log 1; whole numbers give one sum in any order.
-    log = F.round(F.log("c") * float(1 << 32)).cast("long")
-    more = scored.select("rid", F.explode("rare").alias("w")).join(counts.where("c > 1"), "w").groupBy("rid").agg(F.sum(log).alias("more"))
-    out = scored.drop("rare").join(more, "rid", "left").withColumn("score", F.col("score") + F.coalesce(F.col("more") / float(1 << 32), F.lit(0.0)))
-    return out.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))
+                    logs[k : min(len(ids), k + (1 << 15))] = model.log_probabilities(context[k : k + (1 << 15)], ids[k : k + (1 << 15)])
+                logs[:-1][other] += np.log(np.maximum(counts[cells[other]], 1)) - size[ids[other] - VOCABULARY]
+                many[lo:hi] = np.diff(first)
+                total[lo:hi] = np.where(many[lo:hi] > 0, np.add.reduceat(logs, first[:-1]) if hi > lo else 0.0, 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), pa.array(np.round(total / np.maximum(many, 1), 6)), pa.array(np.round(total, 6))], names=["doc_id", "n_words", "score", "log_probability"])
+
+    return rows.mapInArrow(run, "doc_id long, n_words long, score double, log_probability double")

@@ -370,22 +370,37 @@ def test_jaccard_common_line_in_short_texts(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
-def test_lm_rare_words_have_their_own_probability(spark):
+def test_lm_scores_are_sums_over_masked_words(spark):
     common = " ".join(f"c{k}" for k in range(1100))
-    rows = [(k, common) for k in range(12)] + [(100 + k, "twice seen words") for k in range(5)] + [(200, "once met here")]
-    counts = lm_score.word_counts(spark.createDataFrame(rows, "doc_id long, text string"))
-    words = lm_score.vocabulary(counts)
-    held = {r.w: r.c for r in counts.collect()}
-    h = np.array(sorted(held), dtype=np.int64).view(np.uint64)
-    ids, other = words.ids(h)
-    assert len(held) == 1106 and (~other).sum() == lm_score.VOCABULARY and len(set(ids[other].tolist())) > 1
-    share = {}
-    for w, o in zip(h[other].view(np.int64).tolist(), ids[other].tolist()):
-        share[o] = share.get(o, 0) + held[w] / words.totals[o - lm_score.VOCABULARY]
-    assert all(abs(x - 1) < 1e-9 for x in share.values())
-    got = {r.doc_id: r.score for r in lm_score.pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(got) == len(rows) and abs(got[100] - got[104]) < 1e-9
-    assert got[100] - got[200] > 1  # the same outputs' network scores differ little; seen five times against once
+    rows = [(k, common) for k in range(12)] + [(100 + k, "twice seen words") for k in range(5)] + [(200, "once met here"), (201, None), (202, " \t"), (None, "Seen words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm_score.cell_counts(d)
+    held = collections.Counter(w for _, t in rows for w in folded(t).split())
+    cells = {w: int(lm_score.cell_of(W.hashes_of([w]))[0]) for w in held}
+    want = np.zeros(len(counts), dtype=np.int64)
+    for w, c in held.items():
+        want[cells[w]] += c
+    assert (counts == want).all()
+    words = lm_score.Vocabulary(counts)
+    use = np.flatnonzero(counts)
+    ids, other = words.ids(use)
+    assert (~other).sum() == lm_score.VOCABULARY
+    share = np.bincount(ids[other], counts[use[other]], words.outputs)[lm_score.VOCABULARY :] / np.maximum(words.totals, 1)
+    assert np.allclose(share[words.totals > 0], 1)
+    net = lm_score.train(d, words)
+    got = {r.doc_id: r for r in lm_score.pseudo_likelihood(d).collect()}
+    assert len(got) == len(rows) and got[100].score == got[104].score and got[201].score == got[202].score == 0.0
+    assert got[100].score - got[200].score > 1  # seen five times against once
+    for i, t in ((100, "twice seen words"), (None, "Seen words"), (3, common)):
+        own = [words.ids(np.array([cells[w]])) for w in folded(t).split()]
+        out, total = [int(x[0]) for x, _ in own], 0.0
+        for k, w in enumerate(folded(t).split()):
+            context = [out[k + j] if 0 <= k + j < len(out) else words.outputs for j in (-2, -1, 1, 2)]
+            h = np.tanh(sum(net.p[0][j][c] for j, c in enumerate(context)) + net.p[1])
+            z, y = h @ net.p[2] + net.p[3], h @ net.p[4][out[k] // lm_score.CLASS] + net.p[5][out[k] // lm_score.CLASS]
+            total += z[out[k] // lm_score.CLASS] - np.log(np.exp(z).sum()) + y[out[k] % lm_score.CLASS] - np.log(np.exp(y).sum())
+            total += math.log(counts[cells[w]] / words.totals[out[k] - lm_score.VOCABULARY]) if own[k][1][0] else 0.0
+        assert abs(got[i].log_probability - total) < 2e-3 * abs(total) and abs(got[i].score * len(out) - got[i].log_probability) < 1e-2
 
 
 def test_lm_training_masks_every_position_once(spark, monkeypatch):
@@ -394,7 +409,7 @@ def test_lm_training_masks_every_position_once(spark, monkeypatch):
     nets, kept = [], lm_score.keep
     monkeypatch.setattr(lm_score, "keep", lambda df, name: nets.append((name, out := kept(df, name))) or out)
     rows = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300))) for k in range(40)], "doc_id long, text string")
-    lm_score.train(rows, lm_score.vocabulary(lm_score.word_counts(rows)))
+    lm_score.train(rows, lm_score.Vocabulary(lm_score.cell_counts(rows)))
     assert sum(r.seen for name, df in nets if name == "nets" for r in df.collect()) == 40 * 300
 
 
