@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import words as W
 from .labelled import fold, per_text, score_table, sigmoid, training_sample
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 6000
-DIM = 1 << 18
+DIM = 1 << 20
 _NUMBERS = 4096  # the first features: buckets of simple shares
 
 # Byte classes of the character n-grams: letters by case, digits, white space, every ASCII sign by itself.
@@ -25,11 +26,11 @@ def _bucket(kind: int, share: float) -> int:
 
 
 def features(column: pa.Array) -> list[np.ndarray]:
-    """Indicators of each text: n-grams (1 to 5) of the run-compressed byte classes, words and word pairs by pattern of repetition, and bucketed shares."""
+    """Indicators of each text: words and word pairs (A-Z folded), n-grams (1 to 5) of the run-compressed byte classes, and bucketed shares of repeated words and signs."""
     out = []
     for buf, h, lengths in per_text(column):
-        parts = []
         n, words = len(buf), len(h)
+        parts = [h >> np.uint64(44), W.grams(h, 2) >> np.uint64(44)]
         if n:
             c = _CLASS[buf]
             turn = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
@@ -41,7 +42,7 @@ def features(column: pa.Array) -> list[np.ndarray]:
                     g = g[:-1] * np.uint64(1031) + sign[k:]
                 if not len(g):
                     break
-                parts.append((g * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 7919)) >> np.uint64(47))
+                parts.append((g * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 7919)) >> np.uint64(44))
         numbers = [_bucket(0, np.log2(words + 1) / 16)]
         if words:
             numbers += [
@@ -99,7 +100,7 @@ class NaiveBayesSVM:
                     w[rows[i]] += step * values[i]
                     b += step
                     dual[i] = new
-        self.weights, self.bias = w * ratio * scale, b
+        self.weights, self.bias, self.dual, self.upper = w * ratio * scale, b, dual, upper
 
     def _calibrate(self, margin, y):
         """Platt's sigmoid by Newton steps with a small ridge."""

@@ -278,6 +278,32 @@ def test_classifiers(spark):
     assert toxicity.drop_toxic(d, lab).columns == d.columns
 
 
+def test_dual_descent_ends_at_the_optimum():
+    r = np.random.RandomState(7)
+    rows = [np.unique(r.randint(0, 40, 12)) for _ in range(80)]
+    y = np.array([float(5 in f or 9 in f) if r.rand() < 0.9 else float(r.rand() < 0.5) for f in rows])
+    model = quality.NaiveBayesSVM(rounds=3000)
+    count = [np.full(quality.DIM, 1.0), np.full(quality.DIM, 1.0)]
+    for f, t in zip(rows, y):
+        count[int(t)][f] += 1
+    ratio = np.log(count[1] / (2 + y.sum())) - np.log(count[0] / (2 + (1 - y).sum()))
+    model._descend(rows, np.where(y > 0, 1.0, -1.0), ratio)
+    for f, t, dual, upper in zip(rows, y, model.dual, model.upper):  # the conditions of the hinge loss's dual
+        slack = (1 if t else -1) * model.margin(f) - 1
+        assert slack > -1e-6 if dual == 0 else slack < 1e-6 if dual == upper else abs(slack) < 1e-6
+    assert 0 < (model.dual == 0).sum() and 0 < (model.dual > 0).sum()
+    fitted = quality.NaiveBayesSVM().fit(rows, y)
+    assert fitted.margin(np.array([5, 9])) > fitted.margin(np.array([1, 2]))
+
+
+def test_quality_features_are_words_and_pairs():
+    one = lambda t: set(quality.features(__import__("pyarrow").array([t]))[0].tolist())
+    at = lambda h: {int(x) % (quality.DIM - quality._NUMBERS) + quality._NUMBERS for x in h >> np.uint64(44)}
+    h = W.hashes_of(["alpha", "beta", "gamma"])
+    assert at(h) | at(W.grams(h, 2)) <= one("Alpha beta\tGAMMA") and not at(W.grams(h[1:], 2)) & one("gamma alpha beta")
+    assert one("") == one(None) != one("x")
+
+
 def test_swapped_terms_score_alike():
     f = lambda t: toxicity.features(__import__("pyarrow").array([t]))[0]
     rows = [f("muslims are vile")] * 6 + [f("muslims met")] * 2 + [f("we met")] * 20
