@@ -41,51 +41,61 @@ class WindowNet:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
+        """One column for each context."""
         h = self.p[0][0][context[:, 0]]
         for j in range(1, 2 * SIDE):
             h += self.p[0][j][context[:, j]]
-        return np.tanh(h + self.p[1])
+        h += self.p[1]
+        return np.ascontiguousarray(np.tanh(h, out=h).T)
+
+    def _slices(self, cls: np.ndarray):
+        """Targets in order of their classes, and (class, first, last) of each class that has some."""
+        order = np.argsort(cls, kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(len(self.p[3]) + 1)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
         cls, within = target // CLASS, target % CLASS
-        z = h @ self.p[2] + self.p[3]
-        z -= z.max(axis=1, keepdims=True)
-        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(len(self.p[3]) + 1))
-        for c in range(len(self.p[3])):
-            i = order[cut[c] : cut[c + 1]]
-            if len(i):
-                y = h[i] @ self.p[4][c] + self.p[5][c]
-                y -= y.max(axis=1, keepdims=True)
-                out[i] += y[np.arange(len(i)), within[i]] - np.log(np.exp(y).sum(axis=1))
+        order, slices = self._slices(cls)
+        h, cls, within, column = self.hidden(context[order]), cls[order], within[order], np.arange(len(target))
+        z = self.p[2].T @ h + self.p[3][:, None]
+        z -= z.max(axis=0)
+        mine = z[cls, column]
+        mine -= np.log(np.exp(z, out=z).sum(axis=0))
+        for c, a, b in slices:
+            y = self.p[4][c].T @ h[:, a:b] + self.p[5][c][:, None]
+            y -= y.max(axis=0)
+            mine[a:b] += y[within[a:b], column[: b - a]]
+            mine[a:b] -= np.log(np.exp(y, out=y).sum(axis=0))
+        out = np.empty(len(target), dtype=np.float32)
+        out[order] = mine
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float = 0.1) -> None:
         """One AdaGrad step on the mean negative log-probability."""
-        n, h = len(target), self.hidden(context)
-        cls, within = target // CLASS, target % CLASS
-        z = h @ self.p[2] + self.p[3]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), cls] -= 1
-        back = z @ self.p[2].T
-        grads = [(2, h.T @ z), (3, z.sum(0))]
+        n, cls, within = len(target), target // CLASS, target % CLASS
+        order, slices = self._slices(cls)
+        context, cls, within, column = context[order], cls[order], within[order], np.arange(n)
+        h = self.hidden(context)
+        z = self.p[2].T @ h + self.p[3][:, None]
+        z -= z.max(axis=0)
+        np.exp(z, out=z)
+        z /= z.sum(axis=0)
+        z[cls, column] -= 1
+        back = self.p[2] @ z
+        grads = [(2, h @ z.T), (3, z.sum(axis=1))]
         inner, bias = np.zeros_like(self.p[4]), np.zeros_like(self.p[5])
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(len(self.p[3]) + 1))
-        for c in range(len(self.p[3])):
-            i = order[cut[c] : cut[c + 1]]
-            if len(i):
-                y = h[i] @ self.p[4][c] + self.p[5][c]
-                y = np.exp(y - y.max(axis=1, keepdims=True))
-                y /= y.sum(axis=1, keepdims=True)
-                y[np.arange(len(i)), within[i]] -= 1
-                inner[c], bias[c] = h[i].T @ y, y.sum(0)
-                back[i] += y @ self.p[4][c].T
+        for c, a, b in slices:
+            y = self.p[4][c].T @ h[:, a:b] + self.p[5][c][:, None]
+            y -= y.max(axis=0)
+            np.exp(y, out=y)
+            y /= y.sum(axis=0)
+            y[within[a:b], column[: b - a]] -= 1
+            inner[c], bias[c] = h[:, a:b] @ y.T, y.sum(axis=1)
+            back[:, a:b] += self.p[4][c] @ y
         back *= 1 - h * h
-        grads += [(4, inner), (5, bias), (1, back.sum(0))]
+        back = np.ascontiguousarray(back.T)
+        grads += [(4, inner), (5, bias), (1, back.sum(axis=0))]
         table = np.zeros_like(self.p[0])
         for j in range(2 * SIDE):
             order = np.argsort(context[:, j], kind="stable")
