@@ -21,7 +21,7 @@ def raw_cost(pairs: DataFrame, right_feats: DataFrame, left_feats: DataFrame, pa
     """Adds cost: the sum over templates k of the cost of (right feature, left feature), absent ones 0."""
     r = right_feats.select(F.col("id").alias("right_id"), "k", F.col("feat").alias("rf"))
     left = left_feats.select(F.col("id").alias("left_id"), "k", F.col("feat").alias("lf"))
-    hit = pairs.distinct().join(r, "right_id").join(left, ["left_id", "k"]).join(F.broadcast(pair_cost), ["rf", "lf"])
+    hit = pairs.distinct().join(r, "right_id").join(left, ["left_id", "k"]).join(pair_cost, ["rf", "lf"])
     total = hit.groupBy("right_id", "left_id").agg(F.sum("cost").cast("int").alias("cost"))
     return matrix_cost(pairs, total)
 
@@ -45,12 +45,23 @@ def split_templates(right_feats: DataFrame, left_feats: DataFrame, raw: int = DU
     return sorted(out)
 
 
-def dense_matrix(right_feats: DataFrame, left_feats: DataFrame, pair_cost: DataFrame) -> DataFrame:
-    """(right_id, left_id, cost) of every pair of ids whose templates cost something, clamped to 16 bits."""
+def summed(right_feats: DataFrame, left_feats: DataFrame, pair_cost: DataFrame) -> DataFrame:
+    """(right_id, left_id, cost) of every pair of ids whose templates cost something: the sum over them."""
     r = right_feats.select(F.col("id").alias("right_id"), "k", F.col("feat").alias("rf"))
     left = left_feats.select(F.col("id").alias("left_id"), "k", F.col("feat").alias("lf"))
-    hit = r.join(F.broadcast(pair_cost), "rf").join(left, ["k", "lf"]).groupBy("right_id", "left_id").agg(F.sum("cost").alias("cost"))
-    return hit.select("right_id", "left_id", F.least(F.greatest("cost", F.lit(-32768)), F.lit(32767)).cast("int").alias("cost"))
+    return r.join(pair_cost, "rf").join(left, ["k", "lf"]).groupBy("right_id", "left_id").agg(F.sum("cost").alias("cost"))
+
+
+def dense_matrix(right_feats: DataFrame, left_feats: DataFrame, pair_cost: DataFrame) -> DataFrame:
+    """The sums clamped to 16 bits."""
+    return summed(right_feats, left_feats, pair_cost).select("right_id", "left_id", F.least(F.greatest("cost", F.lit(-32768)), F.lit(32767)).cast("int").alias("cost"))
+
+
+def dual_matrix(right_feats: DataFrame, left_feats: DataFrame, pair_cost: DataFrame, raw_templates: list[int]) -> DataFrame:
+    """(right_id, left_id, cost) of every pair of ids by ``dual_cost``, without the pairs that cost nothing."""
+    inside = F.col("k").isin(raw_templates)
+    parts = dense_matrix(right_feats.where(~inside), left_feats.where(~inside), pair_cost).unionByName(summed(right_feats.where(inside), left_feats.where(inside), pair_cost))
+    return parts.groupBy("right_id", "left_id").agg(F.sum("cost").cast("int").alias("cost"))
 
 
 def dual_cost(pairs: DataFrame, right_feats: DataFrame, left_feats: DataFrame, pair_cost: DataFrame, raw_templates: list[int]) -> DataFrame:

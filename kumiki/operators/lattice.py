@@ -37,13 +37,17 @@ def groupable_runs(infos: DataFrame) -> DataFrame:
 def prefix_matches(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, sent_id, start, end, lex_rank, word_id, left_id, right_id, word_cost): every word at every place.
 
-    A hash join on the substring, once for each surface length that the lexicon has.
+    A hash join on the substring, once for each surface length that the lexicon has (the
+    lengths are collected); substrings are cut from the line's characters, so a row carries its own only.
     ``lexicon`` carries lex_rank (user words before system words).
     """
-    lengths = F.broadcast(lexicon.select(F.length("surface").alias("n")).distinct())
-    rows = sentences.where("text <> ''").select(*SENT, "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("start"))
-    rows = rows.join(lengths, F.col("start") + F.col("n") <= F.length("text"))
-    rows = rows.select(*SENT, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end"), F.substring("text", F.col("start") + 1, F.col("n")).alias("surface"))
+    lengths = sorted(r.n for r in lexicon.select(F.length("surface").alias("n")).distinct().collect())
+    if not lengths:
+        lengths = [1]
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    chars = F.transform(F.array(F.split("text", "")), lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.transform(F.filter(sizes, lambda n: i + n <= F.size(c)), lambda n: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice(c, i + 1, n), "").alias("surface"))))))
+    rows = sentences.where("text <> ''").select(*SENT, F.explode(F.element_at(chars, 1)).alias("m"))
+    rows = rows.select(*SENT, F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.surface")
     return rows.join(lexicon, "surface").select(*SENT, "start", "end", "lex_rank", "word_id", "left_id", "right_id", "word_cost")
 
 

@@ -99,6 +99,36 @@ def connection_cost_dual(spark, sf_dir):
     return C.dual_cost(lattice_edges(spark, sf_dir).select("right_id", "left_id"), right, left, pair, C.split_templates(right, left))
 
 
+def word_counts_documents(spark, sf_dir):
+    """How often each lexicon word stands in the lines of all documents."""
+    lines = _lines(spark, sf_dir, "documents", "doc_id")
+    return N.prefix_matches(lines, dictionary(spark).words()).groupBy("lex_rank", "word_id").agg(F.count("*").alias("cnt"))
+
+
+def lattice_counts_documents(spark, sf_dir):
+    """Nodes of the lattices of all documents' lines by kind of word and length."""
+    d, lines = dictionary(spark), _lines(spark, sf_dir, "documents", "doc_id")
+    matches = N.prefix_matches(lines, d.words())
+    runs = N.groupable_runs(N.char_infos(N.char_positions(lines), d.categories, d.points))
+    nodes = N.lattice_nodes(matches, N.unknown_candidates(runs, matches, d.unknown))
+    return nodes.groupBy("lex_rank", (F.col("end") - F.col("start")).alias("n_chars")).agg(F.count("*").alias("cnt"), F.sum("ix").alias("ix_sum"))
+
+
+def mapping_file(spark, sf_dir):
+    """New ids by falling shares, written as the lines of mapping files and read back."""
+    probs = N.connid_probs(connid_counts(spark, sf_dir), X.SIZE, X.SIZE)
+    rows = [L.id_order(L.order_lines(probs, side)).select(F.lit(side).alias("side"), "old_id", "new_id") for side in ("left", "right")]
+    return rows[0].unionAll(rows[1])
+
+
+def lexicon_scraped(spark, sf_dir):
+    """A small lexicon's lines from rows of 14 cells: parts' names, types as cells 4 to 7, brands as cell 13."""
+    part = ship(spark).read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.split("p_type", " ")
+    row = F.concat_ws(",", L.quoted(F.concat(F.lit('"'), "p_name", F.lit(', x"'))), F.lit("1,2,3"), F.get(kind, F.lit(0)), F.lit("*"), F.coalesce(F.get(kind, F.lit(1)), F.lit("*")), F.lit("*"), *[F.lit("_")] * 5, F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("*"))
+    return L.scraped(part.select(F.col("p_partkey").alias("line_no"), row.alias("value")))
+
+
 def _tokens(spark, sf_dir, user=False, table="benchmark", key="item_id", **options):
     return T.Tokenizer(dictionary(spark, user), **options).transform(_lines(spark, sf_dir, table, key))
 
@@ -261,10 +291,14 @@ def weight_scaling(spark, sf_dir):
 
 
 def bench_stats(spark, sf_dir):
-    """Minimum, mean and maximum without the two extremes, on given values (event values for each type)."""
-    rows = ship(spark).read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
-    a = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return a.where("n > 2").select("event_type", (F.col("n") - 2).alias("kept"), F.round(F.col("most") - F.col("least"), 6).alias("range"))
+    """Minimum, mean and maximum of what is left of given values (events of each type) when one smallest and one largest are dropped."""
+    rows = ship(spark).read.parquet(f"{sf_dir}/events.parquet").where("value is not null").select("event_type", "value")
+    ends = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("n > 2")
+    inner = rows.join(ends, "event_type").groupBy("event_type", "n", "total", "lo", "hi").agg(*[F.count_if(F.col("value") == F.col(c)).alias(f"n_{c}") for c in ("lo", "hi")], F.min(F.when(F.col("value") > F.col("lo"), F.col("value"))).alias("next_lo"), F.max(F.when(F.col("value") < F.col("hi"), F.col("value"))).alias("next_hi"))
+    left = lambda c, equal: F.when((F.col(f"n_{c}") > 1) | equal, F.col(c)).otherwise(F.col(f"next_{c}"))
+    equal = F.col("lo") == F.col("hi")
+    out = inner.select("event_type", (F.col("n") - 2).alias("kept"), left("lo", equal).alias("least"), ((F.col("total") - F.col("lo") - F.col("hi")) / (F.col("n") - 2)).alias("mean"), left("hi", equal).alias("most"))
+    return out.select("event_type", "kept", *[F.round(c, 6).alias(c) for c in ("least", "mean", "most")])
 
 
 def text_model_costs(spark, sf_dir):
@@ -274,7 +308,7 @@ def text_model_costs(spark, sf_dir):
     return L.text_model_costs(lines, 7.0)
 
 
-_QUERIES = (char_positions, char_categories, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_dual, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs)
+_QUERIES = (char_positions, char_categories, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_dual, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -322,6 +356,7 @@ def _tables(user: bool = False) -> str:
     ])
 
 
+_DOCUMENT_LINES = "lines AS MATERIALIZED (SELECT doc_id, (i - 1)::BIGINT AS sent_id, s[i] AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i))"
 _LINES = "lines AS (SELECT item_id AS doc_id, (i - 1)::BIGINT AS sent_id, s[i] AS text FROM (SELECT item_id, string_split(coalesce(text, ''), chr(10)) AS s FROM benchmark), unnest(range(1, len(s) + 1)) AS t(i))"
 
 
@@ -373,6 +408,13 @@ def _sql(select: str, path: bool = False, **options) -> str:
     return f"WITH RECURSIVE {_lattice(**options)}{_PATH if path else ''}\n{select}"
 
 
+def _document_sql(select: str) -> str:
+    return _sql(select).replace(_LINES, _DOCUMENT_LINES)
+
+
+_MAPPING = "SELECT side, id AS old_id, (row_number() OVER (PARTITION BY side ORDER BY prob DESC, id))::INT AS new_id FROM p WHERE id <> 0"
+
+
 def _raw_sql() -> str:
     def feats(text, columns):
         rows = [(0, k, "") for k in range(X.TEMPLATES)] + [(int(i), k, f) for i, _, row in (line.partition("\t") for line in text.splitlines()) for k, f in enumerate(row.split(","))]
@@ -451,6 +493,10 @@ SELECT g.gold"""),
         "feature_templates": _templates_sql(),
         "label_table": f"WITH {_tables()}, n AS (SELECT count(*) AS n FROM lex) SELECT (word_id + 1)::BIGINT AS label_id, 'word' AS kind, feature, substr(surface, 1, 1) AS first_char FROM lex UNION ALL SELECT unk_id + 1 + n.n, 'unknown', feature, NULL FROM unk, n",
         "weight_scaling": "SELECT p_partkey, trunc(-(p_retailprice - 1400.0::DOUBLE) * (32767.0::DOUBLE / (SELECT max(abs(p_retailprice - 1400.0::DOUBLE)) FROM part)))::INT AS cost FROM part",
-        "bench_stats": "SELECT event_type, count(*) - 2 AS kept, round(max(value) - min(value), 6) AS range FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) > 2",
+        "bench_stats": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS up, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS down, count(*) OVER (PARTITION BY event_type) AS n, sum(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type) - max(value) OVER (PARTITION BY event_type) AS rest FROM events WHERE value IS NOT NULL), k AS (SELECT event_type, any_value(n) - 2 AS kept, round(min(CASE WHEN up = 2 THEN value END), 6) AS least, round(any_value(rest) / (any_value(n) - 2), 6) AS mean, round(min(CASE WHEN down = 2 THEN value END), 6) AS most FROM r WHERE n > 2 GROUP BY event_type) SELECT * FROM k",
+        "word_counts_documents": _document_sql("SELECT lex_rank, word_id::BIGINT AS word_id, count(*) AS cnt FROM matches GROUP BY 1, 2"),
+        "lattice_counts_documents": _document_sql('SELECT lex_rank, "end" - start AS n_chars, count(*) AS cnt, sum(ix)::BIGINT AS ix_sum FROM nodes GROUP BY 1, 2'),
+        "mapping_file": _sql("@").replace("\n@", f", {_COUNTS}, ids AS (SELECT s.side, i::INT AS id FROM (VALUES ('left'), ('right')) s(side), range({X.SIZE}) t(i)), p AS (SELECT side, id, coalesce(cnt, 0)::DOUBLE / sum(coalesce(cnt, 0)) OVER (PARTITION BY side) AS prob FROM ids LEFT JOIN counts USING (side, id)) {_MAPPING}"),
+        "lexicon_scraped": "SELECT p_partkey AS line_no, '\"\"\"' || p_name || ', x\"\"\",1,2,3,' || concat_ws('-', string_split(p_type, ' ')[1], string_split(p_type, ' ')[2]) || ',' || CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS value FROM part",
         "text_model_costs": "SELECT * FROM (SELECT c_mktsegment || '/' || c_name AS feature, trunc(-(printf('%.2f', c_acctbal / 1000)::DOUBLE) * 7.0::DOUBLE)::INT AS cost FROM customer) WHERE cost <> 0",
     }

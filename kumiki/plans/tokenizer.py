@@ -9,6 +9,7 @@ from ..errors import InvalidArgument
 from ..operators import viterbi as V
 from ..operators.lattice import SENT
 from ..shipping import ship
+from ..sources.lines import cells, quoted
 from .dictionary import Dictionary
 
 
@@ -60,11 +61,11 @@ def wakati(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def lines_format(tokens: DataFrame, sentences: DataFrame, detail: bool = False) -> DataFrame:
     """(doc_id, sent_id, out): a line ``surface<TAB>feature`` for each token, then EOS; with ``detail`` the type, ids and costs follow."""
-    cells = ["surface", "feature"] + (["lex_type", "left_id", "right_id", "word_cost", "total_cost"] if detail else [])
+    columns = ["surface", "feature"] + (["lex_type", "left_id", "right_id", "word_cost", "total_cost"] if detail else [])
     if detail:
-        line = F.concat(F.col("surface"), F.lit("\t"), F.col("feature"), *[x for c, n in zip(cells[2:], ("lex_type=", "left_id=", "right_id=", "word_cost=", "total_cost=")) for x in (F.lit("\t" + n), F.col(c).cast("string"))])
+        line = F.concat(F.col("surface"), F.lit("\t"), F.col("feature"), *[x for c, n in zip(columns[2:], ("lex_type=", "left_id=", "right_id=", "word_cost=", "total_cost=")) for x in (F.lit("\t" + n), F.col(c).cast("string"))])
     else:
-        line = F.concat_ws("\t", *cells)
+        line = F.concat_ws("\t", *columns)
     rows = _joined(tokens, sentences, line, "\n")
     return rows.withColumn("out", F.when(F.col("out") == "", "EOS").otherwise(F.concat("out", F.lit("\nEOS"))))
 
@@ -98,9 +99,25 @@ def corpus_split(examples: DataFrame, key: str, valid: float, test: float, seed:
 
 
 def picked(feature: Column, indices: list[int]) -> Column:
-    """Chosen cells of an unquoted feature, missing ones as ``*``."""
-    cells = F.split(feature, ",")
-    return F.concat_ws(",", *[F.coalesce(F.get(cells, F.lit(i)), F.lit("*")) for i in indices])
+    """Chosen cells of a feature, quoted where they must be, missing ones as ``*``."""
+    row = cells(feature)
+    return F.concat_ws(",", *[quoted(F.coalesce(F.get(row, F.lit(i)), F.lit("*"))) for i in indices])
+
+
+def ratio(text: str) -> float:
+    """A share from 0 to 1."""
+    value = float(text)
+    if not 0 <= value <= 1:
+        raise ValueError("a ratio lies in 0..1")
+    return value
+
+
+def corpus_spans(corpus: DataFrame, indices: list[int]) -> DataFrame:
+    """(doc_id, sent_id, char_start, char_end, features) of the tokens of tagged examples."""
+    before = Window.partitionBy("example_id").orderBy("token_pos").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("surface")).over(before), F.lit(0)).cast("long")
+    rows = corpus.select(F.col("example_id").alias("doc_id"), F.lit(0).cast("long").alias("sent_id"), start.alias("char_start"), F.length("surface").alias("n"), picked(F.col("feature"), indices).alias("features"))
+    return rows.select("doc_id", "sent_id", "char_start", (F.col("char_start") + F.col("n")).alias("char_end"), "features")
 
 
 def accuracy(gold: DataFrame, system: DataFrame) -> DataFrame:
@@ -114,5 +131,5 @@ def accuracy(gold: DataFrame, system: DataFrame) -> DataFrame:
 
 def demo_view(tokens: DataFrame) -> DataFrame:
     """surface, pos and pron: the first two feature cells, empty where missing."""
-    cells = F.split("feature", ",")
-    return tokens.select(*SENT, "token_pos", "surface", F.coalesce(F.get(cells, F.lit(0)), F.lit("")).alias("pos"), F.coalesce(F.get(cells, F.lit(1)), F.lit("")).alias("pron"))
+    row = F.split("feature", ",")
+    return tokens.select(*SENT, "token_pos", "surface", F.coalesce(F.get(row, F.lit(0)), F.lit("")).alias("pos"), F.coalesce(F.get(row, F.lit(1)), F.lit("")).alias("pron"))

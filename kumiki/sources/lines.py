@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +23,12 @@ def from_text(spark: SparkSession, text: str | Iterable[str]) -> DataFrame:
 
 
 def from_path(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a definition file; one file is one partition, so that numbers follow its order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("line_no", "value"))
-    return rows.select(F.col("line_no").cast("long").alias("line_no"), "value")
+    """(line_no, value) of one definition file; it is read in splits, and a line's number rises with its place in the file."""
+    from pyspark.sql import Window
+
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    # a line takes a byte at least, so a split's numbers end before the next split's first
+    return rows.select((F.col("block") + F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1).cast("long").alias("line_no"), "value")
 
 
 def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -39,6 +42,12 @@ def csv_row(text: str) -> list[str]:
     return next(csv.reader(io.StringIO(text)), [""])
 
 
+def cells(row: Column) -> Column:
+    """Cells of a quoted row as an array, like ``csv_row``."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(r',("[^"]*(?:""[^"]*)*"|[^,]*)'), 1)
+    return F.transform(found, lambda c: F.when(F.startswith(c, F.lit('"')) & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def quote_cell(cell: str) -> str:
     return '"' + cell.replace('"', '""') + '"' if re.search(r'[",\r\n]', cell) else cell
 
@@ -152,7 +161,7 @@ def bigram_features(lines: DataFrame) -> DataFrame:
     want = rows.withColumn("want", F.row_number().over(_by_line()))
     if not want.where("w <> 2 or id is null or id <> want").isEmpty():
         raise InvalidFormat("bigram features must be numbered 1, 2, ...")
-    rows = rows.select("id", F.posexplode(F.split("row", ",")).alias("k", "feat"))
+    rows = rows.select("id", F.posexplode(cells(F.col("row"))).alias("k", "feat"))
     zero = rows.groupBy("k").agg(F.lit(0).alias("id"), F.lit("").alias("feat")).select("id", "k", "feat")
     return rows.unionByName(zero)
 
@@ -187,6 +196,57 @@ def tagged_corpus(lines: DataFrame) -> DataFrame:
     return rows.select((F.col("e") - 1).cast("long").alias("example_id"), "token_pos", "surface", "feature")
 
 
+def order_lines(probs: DataFrame, side: str) -> DataFrame:
+    """(line_no, value) of a mapping file: ``id<TAB>share`` of ``connid_probs`` rows, falling shares first; ``id_order`` reads it."""
+    return probs.where(F.col("side") == side).select((F.col("rank") - 1).alias("line_no"), F.concat_ws("\t", F.col("id").cast("string"), F.col("prob").cast("string")).alias("value"))
+
+
+def scraped(lines: DataFrame) -> DataFrame:
+    """(line_no, value): the first four cells, the cells 4 to 7 other than ``*`` joined by a hyphen, and cell 13, empty if missing or ``*``."""
+    c = cells(F.col("value"))
+    some = F.array_join(F.filter(F.slice(c, 5, 4), lambda x: x != "*"), "-")
+    last = F.coalesce(F.nullif(F.get(c, F.lit(13)), F.lit("*")), F.lit(""))
+    return lines.where("value <> ''").select("line_no", F.array_join(F.transform(F.concat(F.slice(c, 1, 4), F.array(some, last)), quoted), ",").alias("value"))
+
+
+def id_features(lines: DataFrame, templates: list[Callable[[list[str]], str | None]]) -> dict[int, list[str | None]]:
+    """Features of ``id<SPACE>row`` lines by id, a few thousand, by the templates; id 0 must be BOS/EOS and no id may miss."""
+    out = {}
+    for r in lines.where("value <> ''").collect():
+        m = re.fullmatch(r"([0-9]+) (.*)", r.value)
+        if not m:
+            raise InvalidFormat(f"line {r.line_no}: an id and features are needed")
+        row = csv_row(m[2])
+        if m[1] == "0" and row[0] != "BOS/EOS":
+            raise InvalidFormat("id 0 must be BOS/EOS")
+        out[int(m[1])] = [t(row) for t in templates]
+    if sorted(out) != list(range(len(out))):
+        raise InvalidFormat("ids must be 0, 1, 2, ...")
+    return out
+
+
+def text_model(spark: SparkSession, features: Iterable[str], right_ids: DataFrame, left_ids: DataFrame, model: DataFrame, factor: float) -> tuple[list[str], list[str], DataFrame]:
+    """Bigram files of an external text model: lines of the right and of the left features, and (line_no, value) of the costs.
+
+    Features are numbered by template and value; pairs of which one side occurs in no id are left out.
+    """
+    from ..functions.rewriting import Template
+
+    _, pairs = feature_def(features)
+    number: list[dict[str, int]] = [{}, {}]
+    text = []
+    for side, (lines, kind) in enumerate(((right_ids, "L"), (left_ids, "R"))):
+        rows = id_features(lines, [Template(p[side], kind) for p in pairs])
+        name = lambda f: "*" if f is None else str(number[side].setdefault(f, len(number[side]) + 1))  # noqa: B023, E731
+        text.append([f"{i}\t" + ",".join([name(f) for f in rows[i]]) for i in sorted(rows) if i])
+    costs = text_model_costs(model, factor).select(F.split("feature", "/").alias("f"), "cost").where("size(f) >= 2")
+    for k, c in enumerate("rl"):
+        ids = spark.createDataFrame([("", ""), *((f, str(i)) for f, i in number[k].items())], f"f{c} string, {c} string")
+        costs = costs.withColumn(f"f{c}", F.get("f", F.lit(k))).join(ids, f"f{c}")
+    value = F.concat("r", F.lit("/"), "l", F.lit("\t"), F.col("cost").cast("string"))
+    return text[0], text[1], costs.select(F.lit(0).cast("long").alias("line_no"), value.alias("value"))
+
+
 def text_model_costs(model: DataFrame, factor: float) -> DataFrame:
     """(feature, cost) of ``weight<TAB>feature`` rows: cost is the whole part of -weight * factor, zeros dropped, BOS/EOS as the empty string."""
     pattern = r"^(-?[0-9.eE+-]+)\t(.*)$"

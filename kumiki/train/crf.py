@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArgument
+from ..errors import InvalidArgument, InvalidFormat
 from ..functions.rewriting import Rewriter, Template
 from ..operators import viterbi as V
 from ..plans.dictionary import Dictionary
 from ..shipping import ship
-from ..sources.lines import csv_row
+from ..sources.lines import csv_row, lexicon, quote_cell
 
 
 class FeatureSet:
     """Unigram, left and right feature strings of a label, by templates after rewriting."""
 
     def __init__(self, unigram: list[str], bigram: list[tuple[str, str]], rules: dict | None = None):
+        self.config = {"unigram": unigram, "bigram": [list(b) for b in bigram], "rules": rules}
         self.uni = [Template(t, "F") for t in unigram]
         self.left, self.right = [Template(a, "L") for a, _ in bigram], [Template(b, "R") for _, b in bigram]
         self.rules = {k: Rewriter(v) for k, v in (rules or {}).items()}
@@ -29,16 +33,33 @@ class FeatureSet:
         return [x for t in self.uni if (x := t(own["unigram"], category)) is not None], [t(own["left"]) for t in self.left], [t(own["right"]) for t in self.right]
 
 
+class _Pairs(dict):
+    """Feature numbers of a right row after a left row, put together when first asked for."""
+
+    def __init__(self, lefts, rights, names):
+        self.lefts, self.rights, self.names = lefts, rights, names
+
+    def __missing__(self, key):
+        keys = [("b", k, a, b) for k, (a, b) in enumerate(zip(self.lefts[key[0]], self.rights[key[1]])) if a is not None and b is not None]
+        self[key] = out = [self.names[k] for k in keys if k in self.names]
+        return out
+
+    def __reduce__(self):
+        return _Pairs, (self.lefts, self.rights, self.names)
+
+
 class Model:
-    """Labels (lexicon words, then unknown entries), their features and the weights of features."""
+    """Labels (lexicon words, then unknown entries, then user words), their features and the weights of features."""
 
     def __init__(self, dictionary: Dictionary, features: FeatureSet):
-        self.dictionary, self.compact = dictionary, dictionary.compact()
+        self.dictionary, self.compact, self.features = dictionary, dictionary.compact(), features
         words = dictionary.lexicon.orderBy("word_id").collect()
         unk = dictionary.unknown.orderBy("unk_id").collect()
         self.labels = [(1, r.word_id, r.feature, self.compact.info(r.surface[0])[0]) for r in words] + [(2, r.unk_id, r.feature, r.cate_id) for r in unk]
         self.label_of = {(rank, k): i for i, (rank, k, _, _) in enumerate(self.labels)}
         self.by_word = {(r.surface, r.feature): (1, r.word_id) for r in words}
+        self.surfaces = {(1, r.word_id): r.surface for r in words}
+        self.user: list[tuple] = []
         sets = [features(f, c) for _, _, f, c in self.labels]
         self.names: dict[tuple, int] = {}
         name = lambda *k: self.names.setdefault(k, len(self.names))
@@ -46,10 +67,58 @@ class Model:
         edge = ([""] * len(features.left), [""] * len(features.right))
         left, right = [tuple(s[1]) for s in sets], [tuple(s[2]) for s in sets]
         self.lefts, self.rights = [tuple(edge[0]), *dict.fromkeys(left)], [tuple(edge[1]), *dict.fromkeys(right)]
-        self.left_id, self.right_id = [self.lefts.index(x) for x in left], [self.rights.index(x) for x in right]
-        self.pair = {(r, c): [name("b", k, a, b) for k, (a, b) in enumerate(zip(left_row, right_row)) if a is not None and b is not None] for r, left_row in enumerate(self.lefts) for c, right_row in enumerate(self.rights)}
+        at = [{row: i for i, row in reversed(list(enumerate(rows)))} for rows in (self.lefts, self.rights)]
+        self.left_id, self.right_id = [at[0][x] for x in left], [at[1][x] for x in right]
+        for k in range(len(features.left)):  # values that meet in a template, not rows
+            for a in dict.fromkeys(row[k] for row in self.lefts if row[k] is not None):
+                for b in dict.fromkeys(row[k] for row in self.rights if row[k] is not None):
+                    name("b", k, a, b)
+        self.pair = _Pairs(self.lefts, self.rights, self.names)
         self.w = np.zeros(len(self.names))
 
+    def add_user(self, lines: DataFrame) -> "Model":
+        """Labels for the rows of a user lexicon; features that training never saw have no weight, new rows of features get ids of their own."""
+        for r in lexicon(lines).orderBy("word_id").collect():
+            uni, left, right = self.features(r.feature, self.compact.info(r.surface[0])[0])
+            for rows, row, ids in ((self.lefts, tuple(left), self.left_id), (self.rights, tuple(right), self.right_id)):
+                if row not in rows:
+                    rows.append(row)
+                ids.append(rows.index(row))
+            self.user.append((r.surface, r.left_id, r.right_id, r.word_cost))
+            self.labels.append((0, len(self.user) - 1, r.feature, None))
+            self.uni.append([self.names[k] for x in uni if (k := ("u", x)) in self.names])
+        return self
+
+    def prune(self) -> "Model":
+        """Feature values without a weight are forgotten, so that rows which differ in them alone share a connection id."""
+        used = {k for k, i in self.names.items() if self.w[i] != 0}
+        for side, (rows, ids) in enumerate(((self.lefts, self.left_id), (self.rights, self.right_id))):
+            live = {(k[1], k[2 + side]) for k in used if k[0] == "b"}
+            short = [tuple(x if (k, x) in live else None for k, x in enumerate(row)) for row in rows]
+            short[0] = rows[0]
+            kept = [short[0], *dict.fromkeys(short[1:])]
+            place = {row: i for i, row in enumerate(kept) if i}
+            ids[:] = [place[short[i]] if i else 0 for i in ids]
+            rows[:] = kept
+        self.pair.clear()
+        return self
+
+    def write(self, path: str) -> None:
+        """The dictionary, the templates and rules, and the weights that are not 0, in a new folder."""
+        spark = self.dictionary.lexicon.sparkSession
+        self.dictionary.write(f"{path}/dictionary")
+        spark.createDataFrame([(json.dumps(self.features.config),)], "value string").coalesce(1).write.text(f"{path}/features")
+        rows = [(json.dumps(k), float(self.w[i])) for k, i in self.names.items() if self.w[i] != 0]
+        spark.createDataFrame(rows, "name string, weight double").write.option("compression", "zstd").parquet(f"{path}/weights")
+
+    @classmethod
+    def read(cls, spark, path: str) -> "Model":
+        config = json.loads(spark.read.text(f"{path}/features").first()[0])
+        model = cls(Dictionary.read(spark, f"{path}/dictionary"), FeatureSet(config["unigram"], [tuple(b) for b in config["bigram"]], config["rules"]))
+        for r in spark.read.parquet(f"{path}/weights").collect():
+            model.w[model.names[tuple(json.loads(r.name))]] = r.weight
+        return model
+
     def example(self, tokens: list[tuple[str, str]]) -> tuple[int, list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(length, all edges, gold edges) of a sentence; an edge is (start, end, label).
 
@@ -134,20 +203,47 @@ class Model:
                 yield start, before, end, label, self.score(label, w) + sum(w[k] for k in self.connect(before, label))
                 at.setdefault(end, set()).add(label)
 
+    def _scale(self) -> float:
+        conn = (sum(self.w[k] for k in self.pair[r, c]) for r in range(len(self.lefts)) for c in range(len(self.rights)))
+        return 32767 / max(1e-9, max(abs(x) for x in itertools.chain(conn, (self.score(i, self.w) for i in range(len(self.labels))))))
+
     def export(self) -> dict[str, str]:
-        """lexicon, matrix and unknown texts: costs are the whole part of -weight * 32767 / max |weight|."""
-        conn = {(r, c): sum(self.w[k] for k in keys) for (r, c), keys in self.pair.items()}
-        uni = [self.score(i, self.w) for i in range(len(self.labels))]
-        scale = 32767 / max(1e-9, max(abs(x) for x in [*conn.values(), *uni]))
+        """lexicon, matrix, unknown and user texts: costs are the whole part of -weight * 32767 / max |weight|.
+
+        A user row keeps its ids and cost unless all three are 0.
+        """
+        scale = self._scale()
         cost = lambda x: max(-32768, min(32767, int(-x * scale)))
-        surface = {r.word_id: r.surface for r in self.dictionary.lexicon.collect()}
         name = {r.cate_id: r.name for r in self.dictionary.categories.collect()}
         # a word's right side (towards what follows) uses its left templates' row, as in training
-        row = lambda i, head: f"{head},{self.right_id[i]},{self.left_id[i]},{cost(uni[i])},{self.labels[i][2]}"
-        lex = [row(i, surface[k]) for i, (rank, k, _, _) in enumerate(self.labels) if rank == 1]
-        unk = [row(i, name[c]) for i, (rank, _, _, c) in enumerate(self.labels) if rank == 2]
-        matrix = [f"{len(self.lefts)} {len(self.rights)}", *[f"{r} {c} {cost(v)}" for (r, c), v in sorted(conn.items()) if cost(v)]]
-        return {"lexicon": "\n".join(lex), "unknown": "\n".join(unk), "matrix": "\n".join(matrix)}
+        ids = lambda i: (self.right_id[i], self.left_id[i], cost(self.score(i, self.w)))
+        row = lambda i, head, own: ",".join([quote_cell(head), *map(str, own), self.labels[i][2]])
+        of = lambda rank: [(i, k, c) for i, (r, k, _, c) in enumerate(self.labels) if r == rank]
+        lex = [row(i, self.surfaces[1, k], ids(i)) for i, k, _ in of(1)]
+        unk = [row(i, name[c], ids(i)) for i, _, c in of(2)]
+        user = [row(i, self.user[k][0], self.user[k][1:] if any(self.user[k][1:]) else ids(i)) for i, k, _ in of(0)]
+        matrix = [f"{len(self.lefts)} {len(self.rights)}"]
+        for r in range(len(self.lefts)):
+            for c in range(len(self.rights)):
+                if v := cost(sum(self.w[k] for k in self.pair[r, c])):
+                    matrix.append(f"{r} {c} {v}")
+        return {"lexicon": "\n".join(lex), "unknown": "\n".join(unk), "matrix": "\n".join(matrix), "user": "\n".join(user)}
+
+    def export_bigrams(self) -> dict[str, str]:
+        """right, left and cost texts of the feature templates: what the matrix sums up, each cost cut to whole numbers.
+
+        Values are named by template, so that equal values of two templates stay apart; the pair of both edges has no cost here.
+        """
+        scale = self._scale()
+
+        def said(k, x):
+            if x and "/" in x:
+                raise InvalidFormat(f"a feature with a slash cannot be written: {x!r}")
+            return "*" if x is None else f"{k}:{x}" if x else ""
+
+        rows = lambda rows: "\n".join(f"{i}\t" + ",".join(quote_cell(said(k, x)) for k, x in enumerate(row)) for i, row in enumerate(rows) if i)
+        costs = [f"{said(n[1], n[2])}/{said(n[1], n[3])}\t{c}" for n, i in self.names.items() if n[0] == "b" and (n[2] or n[3]) and (c := int(-self.w[i] * scale))]
+        return {"right": rows(self.lefts), "left": rows(self.rights), "cost": "\n".join(costs)}
 
 
 def objective(model, examples: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -181,10 +277,10 @@ class _Plain(Model):
     """A model without DataFrames, for tasks."""
 
     def __init__(self, model: Model):
-        self.__dict__ = {k: v for k, v in model.__dict__.items() if k != "dictionary"}
+        self.__dict__ = {k: v for k, v in model.__dict__.items() if k not in ("dictionary", "features")}
 
 
-def train(dictionary: Dictionary, corpus: DataFrame, features: FeatureSet, l1: float = 0.01, max_iter: int = 60) -> Model:
+def train(dictionary: Dictionary, corpus: DataFrame, features: FeatureSet, l1: float = 0.01, max_iter: int = 100) -> Model:
     """Weights with an L1 penalty, by proximal gradient steps whose size adapts; zero weights carry no cost.
 
     ``corpus`` has (example_id, token_pos, surface, feature).
