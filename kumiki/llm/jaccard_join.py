@@ -34,7 +34,7 @@ from .components import components
 from .tables import drop, drop_since, keep, kept, text_rows
 
 #: Shingles and documents that a task counts before it sends them, and shingles that a range of hash values holds on average.
-CHUNK, CHUNK_ROWS, RANGE = 1 << 21, 60_000, 1 << 20
+CHUNK, CHUNK_ROWS, RANGE = 1 << 20, 60_000, 1 << 21
 #: Regions of more members are cut by pivots again, at most so many times and while balls take a twentieth out.
 CROWDED, ROUNDS = 768, 12
 #: Members and shingles of a block, on average; a cell holds one or two blocks.
@@ -75,8 +75,9 @@ def _chunks(n: int, ranges: int):
 
     def flush(ids, digests, heads, sets):
         chunk = int.from_bytes(os.urandom(8), "little") >> 1
-        owner = np.repeat(np.array([k for k, _ in sets], dtype=np.uint32), [len(s) for _, s in sets])
+        owner = np.repeat(np.array([k for k, _ in sets], dtype=np.uint16), [len(s) for _, s in sets])
         h = np.concatenate([s for _, s in sets]) if sets else np.zeros(0, np.uint64)
+        sets.clear()
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         edge = np.ones(len(h) + 1, dtype=bool)
@@ -85,10 +86,12 @@ def _chunks(n: int, ranges: int):
         recur = np.bincount(owner[~alone], minlength=len(ids))
         first = np.flatnonzero(edge[:-1])
         keys, slots = h[first], np.where(alone[first], owner[first], _NOBODY).astype(np.int64)
+        del h, owner, order, edge, alone, first
         part = (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         cut = np.searchsorted(part, np.arange(ranges + 1))
         order = np.argsort(part << 16 | slots, kind="stable")
         low, slots = keys.astype(np.uint32)[order], np.diff(slots[order], prepend=0)
+        del keys, part, order
         use = np.flatnonzero(np.diff(cut)).tolist()
         slots[cut[use]] += np.append(0, np.cumsum(slots))[cut[use]]  # a part's first one is whole
         slots = slots.astype(np.uint16)

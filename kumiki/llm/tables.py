@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Shuffle files go when the execution that made them ends; kept tables are read from the shared folder.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the execution that made them ends, as kept tables are read from the shared
+#: folder, and Arrow batches are small, as texts may be long.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _KEPT: list[str] = []
 
 
@@ -37,12 +38,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kumiki/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
     _KEPT.append(path)
