@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kumiki.llm import decontaminate, jaccard_join, secret_scan, source_mix, toxicity
-from kumiki.llm.tables import keep, read
+from kumiki.llm.tables import drop, drop_since, keep, kept, read
 from kumiki.shipping import ship
 
 
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep(docs, f"stage{k}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        mark = kept()
+        docs, before = keep(stage(spark, docs, sf_dir), f"stage{k}"), docs
+        drop_since(spark, mark, docs)
+        if k:
+            drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
