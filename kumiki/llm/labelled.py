@@ -23,7 +23,8 @@ def fold(parts: int) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, extract: Extract) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and 0/1 labels of at most ``rows`` labelled documents, those first by a hash of doc_id.
 
-    Null labels and ids are passed over; of repeated labels the largest counts.
+    Null labels and ids are passed over; of repeated labels the largest counts, of
+    texts that repeat an id one, the same in every run.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(usable)
     chosen = named.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -35,8 +36,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], names=["doc_id", "y", "f"])
 
     picked = text_rows(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    got = picked.mapInArrow(run, "doc_id long, y int, f binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [np.frombuffer(r.f, np.int32) for r in got], np.array([r.y > 0 for r in got], dtype=np.float64)
+    found = picked.mapInArrow(run, "doc_id long, y int, f binary")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("y", "f")).alias("r")).orderBy("doc_id").collect()
+    return [np.frombuffer(r.r.f, np.int32) for r in got], np.array([r.r.y > 0 for r in got], dtype=np.float64)
 
 
 def score_table(docs: DataFrame, held_out: Column, score: Callable[[pa.Array], np.ndarray], cut: float = 0.7) -> DataFrame:

@@ -53,7 +53,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     size counts the words of the text (null: 0).  Of each source all documents are
     taken once for every whole epoch that its target holds; the rest of the target
     is filled in the order of the exponential keys ``-ln(u) / quality``, u drawn from
-    doc_id and seed, up to the document whose end is nearest to it.  taken is
+    doc_id (a null one: from the text) and seed, up to the document whose end is nearest to it.  taken is
     copies times size.  Null sources are one source, last in order.  Repeated rows
     and equal doc_ids are separate documents that share u; ties go by doc_id, then
     by a hash of the text.  Empty texts have size 0 and take no words.  An empty
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.length(F.coalesce("text", F.lit(""))).alias("_chars"), F.xxhash64("text").alias("_tie"))
-    rows = rows.withColumn("_key", -F.ln(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)) / quality(F.col("size"), F.col("_chars")))
+    rows = rows.withColumn("_key", -F.ln(uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("_tie").cast("string"))), seed)) / quality(F.col("size"), F.col("_chars")))
     rows = keep(rows.drop("_chars"), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = keep(source_targets(sources, weights, share, most), "targets")

@@ -505,3 +505,46 @@ def test_entropy_sees_keys_with_runs_and_without_digits(spark):
     got = {r.doc_id: r.text for r in secret_scan.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert key[:20] not in got[0] and bare not in got[1]
     assert [got[2 + k] for k in range(len(plain))] == plain
+
+
+def test_pipeline_stages_in_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    w = lambda n: " ".join(f"p{r.randrange(10**6)}" for _ in range(n))
+    item, vile = w(24), "vile nasty people "
+    rows, labels = [], []
+    for k in range(240):
+        toxic = k % 4 == 0
+        rows.append((k, (vile if toxic else "kind ") + w(40), "en", "ab"[k % 2], 0))
+        labels.append((k, 1, int(toxic)))
+    rows += [(300, "kind " + w(60), "en", "a", 0), (303, None, "en", None, 5), (304, "", "en", "a", 0)]
+    rows += [(301, rows[-3][1], "en", "b", 0), (302, rows[-3][1] + " tail", "en", None, 0)]
+    rows += [(305, "kind " + w(9) + " " + item, "en", "a", 0), (306, 'kind words with token = "0123abcd4567efgh89" inside', "en", "a", 999)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns
+        kept.append({x.doc_id: x for x in docs.collect()})
+    everything = {x[0] for x in rows}
+    toxic = {k for k in range(240) if k % 4 == 0}
+    assert set(kept[0]) == everything - toxic
+    assert set(kept[1]) == set(kept[0]) - {301, 302}
+    assert set(kept[2]) == set(kept[1]) - {305}
+    assert set(kept[3]) == set(kept[2]) and "0123abcd" not in kept[3][306].text and kept[3][306].n_chars == len(kept[3][306].text)
+    assert all(kept[3][k].text == kept[2][k].text and kept[3][k].n_chars == kept[2][k].n_chars for k in kept[3] if k != 306)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in out} <= set(kept[3]) and all(x.copies >= 1 for x in out) and len(out) > 60
+
+
+def test_mix_of_null_ids_and_ties(spark):
+    rows = [(None, f"a{k} " * (k % 7), "s") for k in range(300)] + [(5, "same text here", "s")] * 40 + [(6, None, None), (7, "", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(str, source_mix.mix_sources(x).collect())) for x in (d, d.repartition(7)))
+    assert one == two and len(one) == len(rows)
+    got = source_mix.mix_sources(d).collect()
+    total = sum(x.taken for x in got if x.source == "s")
+    assert abs(total - next(x.target for x in got if x.source == "s")) <= 7
