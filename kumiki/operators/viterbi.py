@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from .batch import Index, best_paths
 from .lattice import SENT
 
 RANKS = ("User", "System", "Unknown")
@@ -92,40 +94,84 @@ def path(ends, at: int, index: int) -> list[tuple]:
     return out[::-1]
 
 
+#: Sentences folded side by side, characters of them, and the fewest that are worth it; longer or fewer ones are folded one by one.
+SIDE_BY_SIDE, CHARACTERS, FEWEST = 4096, 1 << 18, 24
+
+
+def _alike(texts: list[str]) -> tuple[list[list[int]], list[int]]:
+    """Groups of sentences of similar length, and those that have too few of their like."""
+    order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+    groups, alone, at = [], [], 0
+    while at < len(order):
+        shortest, end, size = len(texts[order[at]]), at, 0
+        while end < len(order) and end - at < SIDE_BY_SIDE and size < CHARACTERS and len(texts[order[end]]) <= 2 * shortest + 16:
+            size += len(texts[order[end]])
+            end += 1
+        (groups.append(order[at:end]) if end - at >= FEWEST else alone.extend(order[at:end]))
+        at = end
+    return groups, alone
+
+
+def _one_by_one(d, texts, rows, ignore_space, max_grouping_len):
+    """(has a path, columns as of ``best_paths``) of sentences that are folded by themselves."""
+    has, cols = [], [[] for _ in range(9)]
+    for i in rows:
+        ends, at, last = lattice(d, texts[i], ignore_space, max_grouping_len)
+        has.append(last is not None)
+        for end, (_, start, e, _, cost) in path(ends, at, last) if last is not None else ():
+            for o, v in zip(cols, (len(has) - 1, start, end, *e, cost)):
+                o.append(v)
+    return np.array(has, dtype=bool), *(np.array(c, dtype=np.int64) for c in cols)
+
+
 def tokenize_batches(d, ignore_space: bool = False, max_grouping_len: int = 0, strict: bool = False):
     """A function for mapInArrow: (doc_id, sent_id, text) to one row for each token.
 
-    A sentence without a path to its end gives one row of nulls, or raises when ``strict``.
+    A sentence without a path to its end gives one row of nulls, or raises when ``strict``;
+    tokens of a sentence come in order, sentences in any.
     """
 
     def run(batches):
+        index = getattr(d.value, "index", None)
+        if index is None and not ignore_space:
+            index = d.value.index = Index(d.value)
         for batch in batches:
-            out = tuple([] for _ in range(14))
-            for doc, sent, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text:
-                    continue
-                ends, at, last = lattice(d.value, text, ignore_space, max_grouping_len)
-                if last is None:
-                    if strict:
-                        raise InvalidArgument(f"no path through sentence {doc}/{sent}")
-                    for o, v in zip(out, (doc, sent, *[None] * 12)):
-                        o.append(v)
-                    continue
-                bytes_to, seen = [0], 0
-                ascii_ = text.isascii()
-                if not ascii_:
-                    for c in text:
-                        seen += len(c.encode())
-                        bytes_to.append(seen)
-                for k, (end, (_, start, e, _, cost)) in enumerate(path(ends, at, last)):
-                    row = (doc, sent, k, text[start:end], start, end, start if ascii_ else bytes_to[start], end if ascii_ else bytes_to[end], RANKS[e[0]], e[1], e[2], e[3], e[4], cost)
-                    for o, v in zip(out, row):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, _TYPES)], names=_NAMES)
+            keys, texts = batch.select(SENT), batch.column(2).to_pylist()
+            groups, alone = _alike(texts) if not ignore_space else ([], [i for i, t in enumerate(texts) if t])
+            parts = [(rows, best_paths(index, [texts[i] for i in rows], max_grouping_len)) for rows in groups]
+            for lo in range(0, len(alone), 256):
+                rows = alone[lo : lo + 256]
+                parts.append((rows, _one_by_one(d.value, texts, rows, ignore_space, max_grouping_len)))
+            for rows, (has, who, *cols) in parts:
+                if strict and not has.all():
+                    k = rows[int(np.flatnonzero(~has)[0])]
+                    raise InvalidArgument(f"no path through sentence {batch.column(0)[k]}/{batch.column(1)[k]}")
+                yield _token_rows(keys, texts, np.array(rows, dtype=np.int64), has, who, *cols)
 
     return run
 
 
+def _token_rows(keys, texts, rows, has, who, start, end, rank, word, left, right, cost, total) -> pa.RecordBatch:
+    first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(who)))
+    place = np.arange(len(who)) - np.repeat(first, count)
+    chosen = [texts[i] for i in rows.tolist()]
+    surface = [t[a:b] for t, a, b in zip((chosen[k] for k in who.tolist()), start.tolist(), end.tolist())]
+    # bytes before each character, where there are other than single-byte ones
+    width = np.zeros(len(chosen) + 1, dtype=np.int64)
+    width[1:] = np.cumsum([len(t) + 1 for t in chosen])
+    cps = np.frombuffer("\0".join([*chosen, ""]).encode("utf-32-le"), dtype=np.uint32)
+    before = np.concatenate(([0], np.cumsum(1 + (cps > 0x7F) + (cps > 0x7FF) + (cps > 0xFFFF), dtype=np.int64)))
+    at = width[who]
+    byte = lambda x: before[at + x] - before[at]
+    none = np.flatnonzero(~has)
+    nulls = lambda t: pa.nulls(len(none), t)
+    columns = [place, surface, start, end, byte(start), byte(end), pa.array(np.array(RANKS, dtype=object)[rank], pa.string()), word, left, right, cost, total]
+    out = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _TYPES[2:])]
+    ids = keys.take(pa.array(np.concatenate((rows[who], rows[none]))))
+    return pa.RecordBatch.from_arrays([*ids.columns, *(pa.concat_arrays([c, nulls(c.type)]) for c in out)], names=_NAMES)
+
+
 _NAMES = [*SENT, *(c.strip().split(" ")[0] for c in TOKEN.split(","))]
 _TYPES = [pa.int64(), pa.int64(), *({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.strip().split(" ")[1]] for c in TOKEN.split(","))]
 

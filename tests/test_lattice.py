@@ -175,3 +175,24 @@ def test_streams_give_the_same_tokens(spark, small, tmp_path):
     q.awaitTermination(60)
     assert sorted(r.surface for r in spark.table("toks").collect()) == [" ", "ab", "ab", "ab", "c"]
     assert F.lit(1) is not None
+
+
+def test_side_by_side_fold_equals_the_single_one(spark):
+    import random
+
+    import numpy as np
+
+    from kumiki.operators.batch import Index, best_paths
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["the", "tion", " ", "And", "é", "ß", "12", ",", "😀", "q", "\t"]) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    d = Dictionary.from_lines(spark, X.LEXICON, X.CHAR, X.UNKNOWN, X.MATRIX)
+    gaps = Dictionary.from_lines(spark, "the,0,0,1,A\ntion,0,0,1,A", X.CHAR, "ALPHA,0,0,9,L\nDIGIT,0,0,1,D", "1 1\n")  # not every sentence has a path
+    for dictionary in (d, d.with_user(L.from_text(spark, X.USER)), gaps):
+        c = dictionary.compact()
+        for most in (0, 2):
+            got, want = best_paths(Index(c), texts, most), V._one_by_one(c, texts, range(len(texts)), False, most)
+            assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert not got[0].all() and got[0].any()
+    groups, alone = V._alike(texts + [""] + ["x" * 5000])
+    assert sorted([i for g in groups for i in g] + alone) == [*range(len(texts)), len(texts) + 1] and len(texts) + 1 in alone
