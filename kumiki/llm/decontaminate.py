@@ -221,7 +221,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 cols = list(zip(*got)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        found = rows.mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
+        found = rows.mapInArrow(W.tidy(run), "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionAll(found)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
 
@@ -238,5 +238,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(W.tidy(run), docs.schema)
     return docs

@@ -190,12 +190,12 @@ def _judged(batches):
 def digested(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, f1, f2, maybe, rid) of every row of ``docs(doc_id, text)``, written out."""
     ranges = max(1, int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 / RANGE) + 1)
-    chunks = keep(docs.mapInArrow(_chunks(n, ranges), _CHUNK_SCHEMA), "chunks")
+    chunks = keep(docs.mapInArrow(W.tidy(_chunks(n, ranges)), _CHUNK_SCHEMA), "chunks")
     dealt = chunks.where("part >= 0").select("part", "chunk", "keys", "slots").repartition("part").sortWithinPartitions("part")
-    again = dealt.mapInArrow(_recurring, "chunk long, slots binary")
+    again = dealt.mapInArrow(W.tidy(_recurring), "chunk long, slots binary")
     told = chunks.where("part < 0").select("chunk", F.lit(None).cast("binary").alias("slots"), "ids", "f1", "f2", "n", "head", "recur")
     more = again.select("chunk", "slots", *[F.lit(None).cast("array<long>").alias(c) for c in ("ids", "f1", "f2", "n", "head", "recur")])
-    rows = told.unionAll(more).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_judged, "doc_id long, n long, f1 long, f2 long, maybe boolean")
+    rows = told.unionAll(more).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(W.tidy(_judged), "doc_id long, n long, f1 long, f2 long, maybe boolean")
     out = keep(rows.withColumn("rid", F.monotonically_increasing_id()), "digests")
     drop(chunks)
     return out
@@ -218,7 +218,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(-1))
     ids = classes.select(key.alias("k")).distinct()
     ids = F.broadcast(ids) if classes.count() <= MOST_IDS else ids
-    held = docs.withColumn("k", key).join(ids, "k", "left_semi").select("text").mapInArrow(_full_sets(n), "f1 long, f2 long, n long, shingles array<long>")
+    held = docs.withColumn("k", key).join(ids, "k", "left_semi").select("text").mapInArrow(W.tidy(_full_sets(n)), "f1 long, f2 long, n long, shingles array<long>")
     named = held.join(classes.select("cid", "f1", "f2", "n", "copies"), ["f1", "f2", "n"])
     return keep(named.dropDuplicates(["f1", "f2", "n"]).select("cid", "n", "copies", "shingles"), "sets")
 
@@ -299,7 +299,7 @@ def _cells(marks: DataFrame, sets: DataFrame) -> DataFrame:
     met = placed.withColumn("j", F.explode(meets)).select("g", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "i", "cid", "kind", "home", "own")
     met = met.join(sets.select("cid", "n", "copies", "shingles"), "cid")
     dealt = met.select("g", "a", "b", "i", "cid", "n", "copies", "kind", "home", "own", "shingles").repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
-    return keep(dealt.mapInArrow(_cell_rows, "cid long, root long, others long"), "cells")
+    return keep(dealt.mapInArrow(W.tidy(_cell_rows), "cid long, root long, others long"), "cells")
 
 
 def _cell_rows(batches):

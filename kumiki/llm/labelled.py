@@ -36,7 +36,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], names=["doc_id", "y", "f"])
 
     picked = text_rows(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    found = picked.mapInArrow(run, "doc_id long, y int, f binary")
+    found = picked.mapInArrow(W.tidy(run), "doc_id long, y int, f binary")
     got = found.groupBy("doc_id").agg(F.min(F.struct("y", "f")).alias("r")).orderBy("doc_id").collect()
     return [np.frombuffer(r.r.f, np.int32) for r in got], np.array([r.r.y > 0 for r in got], dtype=np.float64)
 
@@ -50,7 +50,7 @@ def score_table(docs: DataFrame, held_out: Column, score: Callable[[pa.Array], n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = text_rows(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(W.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def per_text(column: pa.Array, bare: bool = False):

@@ -202,9 +202,9 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
         if at is not None:
             yield from cut(counts, at)
 
-    dealt = rows.select("text").mapInArrow(count, _COUNTS).repartition("part").sortWithinPartitions("part")
+    dealt = rows.select("text").mapInArrow(W.tidy(count), _COUNTS).repartition("part").sortWithinPartitions("part")
     out = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    for r in dealt.mapInArrow(total, _COUNTS).collect():  # at most 10 bytes for each of 2**CELL_BITS cells
+    for r in dealt.mapInArrow(W.tidy(total), _COUNTS).collect():  # at most 10 bytes for each of 2**CELL_BITS cells
         out[(r.part << low) + np.frombuffer(r.cells, np.uint16).astype(np.int64)] = np.frombuffer(r.counts, np.int64)
     return out
 
@@ -251,11 +251,11 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["seen", "net"])
 
-        nets = keep(rows.select("text").mapInArrow(run, "seen long, net binary"), "nets")
+        nets = keep(rows.select("text").mapInArrow(W.tidy(run), "seen long, net binary"), "nets")
         many = nets.count()
         while many > 16:
             many = math.ceil(many / 16)
-            nets = keep(nets.repartition(many).mapInArrow(add, "seen long, net binary"), "nets")
+            nets = keep(nets.repartition(many).mapInArrow(W.tidy(add), "seen long, net binary"), "nets")
         got = nets.collect()  # at most 16 networks
         if got:
             total = sum(np.frombuffer(r.net, np.float32).astype(np.float64) for r in got)
@@ -296,4 +296,4 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
                 total[lo:hi] = np.where(many[lo:hi] > 0, np.add.reduceat(logs, first[:-1]) if hi > lo else 0.0, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(many), pa.array(np.round(total / np.maximum(many, 1), 6)), pa.array(np.round(total, 6))], names=["doc_id", "n_words", "score", "log_probability"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, score double, log_probability double")
+    return rows.mapInArrow(W.tidy(run), "doc_id long, n_words long, score double, log_probability double")

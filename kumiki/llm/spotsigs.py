@@ -109,7 +109,7 @@ def _with_next(rows: DataFrame) -> DataFrame:
                 b[k] = bisect.bisect_right(bounds, (int(ids[k]), batch.column(2)[k].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), *batch.columns], names=["b", *batch.schema.names])
 
-    placed = rows.select("doc_id", "text", "tie").mapInArrow(stretch, "b int, doc_id long, text string, tie long")
+    placed = rows.select("doc_id", "text", "tie").mapInArrow(W.tidy(stretch), "b int, doc_id long, text string, tie long")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
     heads = keep(placed.groupBy("b").agg(F.min_by(F.struct("doc_id", "tie", "text"), order).alias("head")), "heads")
     used = sorted(r.b for r in heads.select("b").collect())  # at most STRETCHES numbers
@@ -162,7 +162,7 @@ def spot_fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     order = _with_next(rows).repartition("b").sortWithinPartitions("b", "closing", F.col("doc_id").asc_nulls_first(), "tie")
-    return order.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return order.mapInArrow(W.tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def spot_near_pairs(docs: DataFrame, least: float = 0.75, chain: int = CHAIN) -> DataFrame:
@@ -181,7 +181,7 @@ def spot_near_pairs(docs: DataFrame, least: float = 0.75, chain: int = CHAIN) ->
             found = list(signature_sets(batch.column(1), common, chain))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["doc_id", "sigs"])
 
-    sets = rows.where("doc_id is not null").mapInArrow(run, "doc_id long, sigs array<long>").where(F.size("sigs") > 0)
+    sets = rows.where("doc_id is not null").mapInArrow(W.tidy(run), "doc_id long, sigs array<long>").where(F.size("sigs") > 0)
     sets = keep(sets.groupBy("sigs").agg(F.min("doc_id").alias("doc_id")), "spots")
     n = F.size("sigs")
     df = sets.select(F.explode("sigs").alias("g")).groupBy("g").agg(F.count("*").alias("df"))

@@ -195,11 +195,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     side = least - key
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    keys = keep(rows.select("row", "text").mapInArrow(_suffix_keys(least, key), "key long, row long, at int, few int, most int"), "suffixes")
+    keys = keep(rows.select("row", "text").mapInArrow(W.tidy(_suffix_keys(least, key)), "key long, row long, at int, few int, most int"), "suffixes")
     # written out, as an aggregate above the exchange would keep a hot key of this join from being split
     again = keep(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "again")
     places = keys.join(again.hint("shuffle_merge"), "key").groupBy("row").agg(F.collect_set(F.struct("at", "few", "most")).alias("places"))
-    found = keep(places.join(rows.select("row", "text"), "row").select("row", "text", "places").mapInArrow(_contexts(key, side), "key long, right binary, left binary, row long, at int, few int, most int"), "contexts")
+    found = keep(places.join(rows.select("row", "text"), "row").select("row", "text", "places").mapInArrow(W.tidy(_contexts(key, side)), "key long, right binary, left binary, row long, at int, few int, most int"), "contexts")
     drop(keys, again)
     found = found.withColumn("ctx", F.xxhash64("right", "left"))
     merged = found.groupBy("key", "ctx").agg(F.min("right").alias("right"), F.min("left").alias("left"), F.min("row").alias("some"), F.max("row").alias("other"), F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("few").alias("few"), F.max("most").alias("most"))
@@ -207,7 +207,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     twin = (F.col("c") > 1) & (F.col("lo") == F.col("hi")) & (F.col("some") == F.col("other"))
     merged = keep(merged.withColumn("other", F.when(twin, F.col("some") + 1).otherwise(F.col("other"))).drop("c", "lo", "hi"), "merged")
     order = merged.select("key", "right", "left", "ctx", "some", "other", "few", "most").repartitionByRange("key", "right", "left").sortWithinPartitions("key", "right", "left")
-    marks = keep(order.mapInArrow(_neighbours(side), "key long, ctx long, before int, after int, run long, some long, other long"), "marks")
+    marks = keep(order.mapInArrow(W.tidy(_neighbours(side)), "key long, ctx long, before int, after int, run long, some long, other long"), "marks")
     drop(merged)
     rest = marks.where("run is not null")
     shared = keep(rest.groupBy("run").agg(F.min("some").alias("least"), F.max("other").alias("most")).where("least <> most").select("run"), "runs")
@@ -215,4 +215,4 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Da
     spans = found.select("key", "ctx", "row", "at").join(keep(hits, "hits").hint("shuffle_merge"), ["key", "ctx"])
     span = F.transform("hits", lambda x: F.struct((F.col("at") - x.before).alias("a"), (F.col("at") + key + x.after).alias("b")))
     spans = spans.select("row", F.explode(span).alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))
-    return rows.join(spans, "row").select("doc_id", "text", "spans").mapInArrow(_merged, "doc_id long, first_word long, end_word long, start long, end long")
+    return rows.join(spans, "row").select("doc_id", "text", "spans").mapInArrow(W.tidy(_merged), "doc_id long, first_word long, end_word long, start long, end long")

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: While a table is written: shuffle files go when the execution that made them ends, as kept tables are read from the shared
-#: folder, and Arrow batches are small, as texts may be long.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: While a table is written: shuffle files go when the execution that made them ends, as kept tables are read from the shared folder.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _KEPT: list[str] = []
 
 

@@ -125,4 +125,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.score(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array(s < 0.7))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(W.tidy(run), docs.schema)
