@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENT = ["doc_id", "sent_id"]
@@ -26,6 +26,28 @@ def char_infos(chars: DataFrame, categories: DataFrame, points: DataFrame) -> Da
     return rows.join(F.broadcast(categories.select(F.col("cate_id").alias("base_id"), "invoke", "group", "length")), "base_id")
 
 
+#: Bits of a packed character info: categories, base category, invoke, group, length.
+_BITS = (("cate_mask", 18), ("base_id", 8), ("invoke", 1), ("group", 1), ("length", 4))
+
+
+def packed_info() -> Column:
+    """The five fields of a character info as one number."""
+    out, at = F.lit(0).cast("long"), 0
+    for name, bits in _BITS:
+        out, at = out.bitwiseOR(F.shiftleft(F.col(name).cast("long"), at)), at + bits
+    return out
+
+
+def unpacked_info(packed: Column) -> list[Column]:
+    """The five fields of a packed character info."""
+    out, at = [], 0
+    for name, bits in _BITS:
+        field = F.shiftright(packed, at).bitwiseAND((1 << bits) - 1)
+        out.append(field.cast("boolean" if bits == 1 else "int").alias(name))
+        at += bits
+    return out
+
+
 def groupable_runs(infos: DataFrame) -> DataFrame:
     """Adds groupable: length of the run from here on in which neighbours share a category."""
     order = Window.partitionBy(*SENT).orderBy("pos")

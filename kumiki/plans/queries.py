@@ -57,6 +57,12 @@ def char_categories(spark, sf_dir):
     return N.char_infos(N.char_positions(_lines(spark, sf_dir)), d.categories, d.points).select(*N.SENT, "pos", "cp", "base_id", "cate_mask", "invoke", F.col("group").alias("grp"), "length")
 
 
+def char_info_packed(spark, sf_dir):
+    d = dictionary(spark)
+    rows = N.char_infos(N.char_positions(_lines(spark, sf_dir)), d.categories, d.points).select("ch", N.packed_info().alias("packed")).distinct()
+    return rows.select("ch", "packed", *[c.alias("grp") if k == 3 else c for k, c in enumerate(N.unpacked_info(F.col("packed")))])
+
+
 def groupable_runs(spark, sf_dir):
     return _runs(spark, sf_dir).select(*N.SENT, "pos", "groupable")
 
@@ -308,7 +314,7 @@ def text_model_costs(spark, sf_dir):
     return L.text_model_costs(lines, 7.0)
 
 
-_QUERIES = (char_positions, char_categories, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_dual, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
+_QUERIES = (char_positions, char_categories, char_info_packed, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_dual, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -458,6 +464,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "char_positions": f"WITH {_LINES}, c AS (SELECT doc_id, sent_id, p - 1 AS pos, substr(text, p, 1) AS ch FROM lines, unnest(range(1, length(text) + 1)) AS t(p) WHERE text <> '') SELECT doc_id, sent_id, pos, ch, unicode(ch)::BIGINT AS cp, coalesce(sum(strlen(ch)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_pos FROM c",
         "char_categories": _sql("SELECT doc_id, sent_id, pos, cp, base_id, cate_mask, invoke, grp, length FROM infos"),
+        "char_info_packed": _sql("SELECT DISTINCT ch, (cate_mask + base_id * 262144 + invoke::INT * 67108864 + grp::INT * 134217728 + length::BIGINT * 268435456)::BIGINT AS packed, cate_mask::INT AS cate_mask, base_id::INT AS base_id, invoke, grp, length::INT AS length FROM infos"),
         "groupable_runs": _sql("SELECT doc_id, sent_id, pos, g AS groupable FROM runs"),
         "prefix_matches": _sql("SELECT * FROM matches"),
         "unknown_candidates": _sql("SELECT * FROM unks"),

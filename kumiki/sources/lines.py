@@ -182,6 +182,18 @@ def id_order(lines: DataFrame) -> DataFrame:
     return rows.select("old_id", F.row_number().over(_by_line()).alias("new_id"))
 
 
+def _before(rows: DataFrame, order: str, value: Column, name: str, width: int = 1 << 16) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of smaller ``order``, in two levels: within ranges of the order and over the ranges."""
+    from pyspark.sql import Window
+
+    rows = rows.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / width))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_b").agg(F.sum("_v").alias("_t"))
+    ranges = ranges.select("_b", F.coalesce(F.sum("_t").over(ahead(Window.orderBy("_b"))), F.lit(0)).alias("_o"))
+    own = F.coalesce(F.sum("_v").over(ahead(Window.partitionBy("_b").orderBy(order))), F.lit(0))
+    return rows.join(ranges, "_b").withColumn(name, own + F.col("_o")).drop("_v", "_b", "_o")
+
+
 def tagged_corpus(lines: DataFrame) -> DataFrame:
     """(example_id, token_pos, surface, feature) of ``surface<TAB>feature`` rows closed by EOS; empty sentences and an unclosed tail are left out."""
     from pyspark.sql import Window
@@ -189,11 +201,12 @@ def tagged_corpus(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("eos", F.col("value") == "EOS")
     if not rows.where("not eos and value <> '' and size(split(value, '\t')) <> 2").isEmpty():
         raise InvalidFormat("corpus rows are surface<TAB>feature or EOS")
-    rows = rows.withColumn("s", F.sum(F.when(F.col("eos"), 1).otherwise(0)).over(_by_line().rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("closed", F.max("eos").over(Window.partitionBy("s"))).where("closed and not eos and value <> ''")
+    closed = rows.where("eos").count()
+    rows = _before(rows, "line_no", F.col("eos").cast("long"), "s").where(~F.col("eos") & (F.col("value") != "") & (F.col("s") < closed))
+    examples = _before(rows.select("s").distinct(), "s", F.lit(1).cast("long"), "example_id")
     part = F.split("value", "\t")
-    rows = rows.select(F.dense_rank().over(Window.orderBy("s")).alias("e"), (F.row_number().over(Window.partitionBy("s").orderBy("line_no")) - 1).cast("long").alias("token_pos"), part[0].alias("surface"), part[1].alias("feature"))
-    return rows.select((F.col("e") - 1).cast("long").alias("example_id"), "token_pos", "surface", "feature")
+    place = F.row_number().over(Window.partitionBy("s").orderBy("line_no")) - 1
+    return rows.join(examples, "s").select("example_id", place.cast("long").alias("token_pos"), part[0].alias("surface"), part[1].alias("feature"))
 
 
 def order_lines(probs: DataFrame, side: str) -> DataFrame:
