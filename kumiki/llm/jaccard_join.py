@@ -393,7 +393,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED, roun
     Sets are compared by 64-bit hashes of their shingles, classes by 128 bits.
     Documents that repeat a doc_id with different texts are separate members.
     """
-    base = text_rows(docs)
+    base, mark = text_rows(docs), kept()
     rows = digested(base, n)
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("maybe").alias("maybe"))
     classes = keep(classes, "classes")
@@ -410,6 +410,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED, roun
         named = named.join(names, "root")
     # classes of one row without a link say nothing that the row does not
     told = keep(named.where("copies > 1 OR others > 0").select("f1", "f2", "n", "component_id", "copies", "others"), "told")
+    drop_since(docs.sparkSession, mark, rows, told)
     out = rows.select("doc_id", "n", "f1", "f2").join(told, ["f1", "f2", "n"], "left")
     copies = F.coalesce("copies", F.lit(1)).cast("long")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), copies.alias("class_size"), (copies - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))

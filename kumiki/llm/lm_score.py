@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import words as W
 from .tables import keep, text_rows
@@ -19,6 +20,8 @@ VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
 #: Rounds of training; each masks its own share of the positions, so that all rounds together mask every position once.
 ROUNDS = 2
 _BATCH = 8192
+#: Bytes of the texts of a shard, on average: what one network is trained on in a round.
+SHARD_BYTES = 1 << 24
 
 
 class WindowNet:
@@ -209,57 +212,82 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def masked_in(turn: int, n: int, rounds: int) -> np.ndarray:
-    """The positions of a block of ``n`` words that round ``turn`` masks: the rounds' shares are disjoint and cover the block."""
-    return np.random.RandomState(n % (1 << 31)).randint(0, rounds, n) == turn
+def masked_in(turn: int, places: np.ndarray, rounds: int) -> np.ndarray:
+    """The words, by their places in their texts, that round ``turn`` masks: the rounds' shares are disjoint and cover every text."""
+    return places % rounds == turn
 
 
-def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet:
-    """Each task runs over its documents from the common start; the networks are averaged by positions, in a tree."""
-    spark, net = rows.sparkSession, WindowNet(outputs=words.outputs)
+def sharded(rows: DataFrame) -> DataFrame:
+    """(shard, text) of all rows, written out in an order that ids and texts alone decide; a shard holds some SHARD_BYTES of texts."""
+    shards = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
+    keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", "text", F.lit(1)).alias("k"), "text")
+    return keep(keyed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "k", "text").select("shard", "text"), "shards")
+
+
+def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet:
+    """A network for each shard, from the common start; the networks are averaged by positions, in a tree of whole numbers, so that no order counts."""
+    spark, net = shards.sparkSession, WindowNet(outputs=words.outputs)
     held_words = spark.sparkContext.broadcast(words)
+    schema, fixed = "seen long, net binary", float(1 << 16)
+
+    def said(seen, total):
+        return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "net"])
+
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(net.pack())
 
         def run(batches, start=start, turn=turn):
             words = held_words.value
-            own, seen, held = WindowNet(outputs=words.outputs).load(np.frombuffer(start.value, np.float32)), 0, []
-            for batch in batches:
-                for _, _, context, ids, *_ in _windows(batch.column(0), words):
-                    pick = masked_in(turn, len(ids), rounds)
-                    held.append((context[pick], ids[pick]))
-                    if sum(len(y) for _, y in held) >= _BATCH:
-                        x, y = (np.concatenate(c) for c in zip(*held))
-                        for k in range(0, len(y) - _BATCH + 1, _BATCH):
-                            own.step(x[k : k + _BATCH], y[k : k + _BATCH])
-                        used = len(y) // _BATCH * _BATCH
-                        seen, held = seen + used, [(x[used:], y[used:])]
-            if held and len(held[0][1]):
+            fresh = lambda: (WindowNet(outputs=words.outputs).load(np.frombuffer(start.value, np.float32)), 0, [])
+            shard, (own, seen, held) = None, fresh()
+
+            def steps(last):
+                """Train on whole batches of the words held, on all when the shard ends."""
+                nonlocal seen, held
                 x, y = (np.concatenate(c) for c in zip(*held))
-                own.step(x, y)
-                seen += len(y)
-            if seen:
-                total = np.frombuffer(own.pack(), np.float32) * np.float32(seen)
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "net"])
+                used = len(y) if last else len(y) // _BATCH * _BATCH
+                for k in range(0, used, _BATCH):
+                    own.step(x[k : min(used, k + _BATCH)], y[k : min(used, k + _BATCH)])
+                seen, held = seen + used, [(x[used:], y[used:])]
+
+            def done():
+                if any(len(y) for _, y in held):
+                    steps(True)
+                if seen:
+                    yield said(seen, np.rint(np.frombuffer(own.pack(), np.float32).astype(np.float64) * seen * fixed).astype(np.int64))
+
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                cut = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else ids
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    if ids[a] != shard:
+                        yield from done()
+                        shard, (own, seen, held) = ids[a], fresh()
+                    for _, _, context, out, first, *_ in _windows(batch.column(1).slice(a, b - a), words):
+                        pick = masked_in(turn, np.arange(len(out)) - np.repeat(first[:-1], np.diff(first)), rounds)
+                        held.append((context[pick], out[pick]))
+                        if sum(len(y) for _, y in held) >= _BATCH:
+                            steps(False)
+            yield from done()
 
         def add(batches):
             seen, total = 0, None
             for batch in batches:
                 for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    one = np.frombuffer(b, np.float32).astype(np.float64)
+                    one = np.frombuffer(b, np.int64)
                     seen, total = seen + s, one if total is None else total + one
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["seen", "net"])
+                yield said(seen, total)
 
-        nets = keep(rows.select("text").mapInArrow(W.tidy(run), "seen long, net binary"), "nets")
+        nets = keep(shards.mapInArrow(W.tidy(run), schema), "nets")
         many = nets.count()
         while many > 16:
             many = math.ceil(many / 16)
-            nets = keep(nets.repartition(many).mapInArrow(W.tidy(add), "seen long, net binary"), "nets")
+            nets = keep(nets.repartition(many).mapInArrow(W.tidy(add), schema), "nets")
         got = nets.collect()  # at most 16 networks
         if got:
-            total = sum(np.frombuffer(r.net, np.float32).astype(np.float64) for r in got)
-            net = WindowNet(outputs=words.outputs).load(total / sum(r.seen for r in got))
+            total = sum(np.frombuffer(r.net, np.int64) for r in got)
+            net = WindowNet(outputs=words.outputs).load(total / (fixed * sum(r.seen for r in got)))
     return net
 
 
@@ -272,13 +300,14 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     output times its share of that output's count.  Counts and network come from all documents.
     Null texts, empty ones and ones without words have 0 for both.  Repeated rows have equal
     scores, to six places; a null doc_id stays null.  The network is the average of those that
-    the tasks train, so it depends on how the rows are dealt to tasks, the counts do not.
+    shards of the rows train; ids and texts decide the shards and the order in them, so that
+    scores do not depend on how the rows come.
     """
     rows = text_rows(docs)
     counts = cell_counts(rows)
     words = Vocabulary(counts)
     sc = rows.sparkSession.sparkContext
-    net, held_words = sc.broadcast(train(rows, words).pack()), sc.broadcast(words)
+    net, held_words = sc.broadcast(train(sharded(rows), words).pack()), sc.broadcast(words)
     held_counts = sc.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # four bytes a cell
 
     def run(batches):

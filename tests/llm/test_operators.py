@@ -432,7 +432,7 @@ def test_lm_scores_are_sums_over_masked_words(spark):
     assert (~other).sum() == lm_score.VOCABULARY
     share = np.bincount(ids[other], counts[use[other]], words.outputs)[lm_score.VOCABULARY :] / np.maximum(words.totals, 1)
     assert np.allclose(share[words.totals > 0], 1)
-    net = lm_score.train(d, words)
+    net = lm_score.train(lm_score.sharded(d), words)
     got = {r.doc_id: r for r in lm_score.pseudo_likelihood(d).collect()}
     assert len(got) == len(rows) and got[100].score == got[104].score and got[201].score == got[202].score == 0.0
     assert got[100].score - got[200].score > 1  # seen five times against once
@@ -450,12 +450,17 @@ def test_lm_scores_are_sums_over_masked_words(spark):
 
 def test_lm_training_masks_every_position_once(spark, monkeypatch):
     for n in (1, 7, 5000):
-        assert (sum(lm_score.masked_in(turn, n, lm_score.ROUNDS).astype(int) for turn in range(lm_score.ROUNDS)) == 1).all()
+        assert (sum(lm_score.masked_in(turn, np.arange(n), lm_score.ROUNDS).astype(int) for turn in range(lm_score.ROUNDS)) == 1).all()
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 9000)
     nets, kept = [], lm_score.keep
     monkeypatch.setattr(lm_score, "keep", lambda df, name: nets.append((name, out := kept(df, name))) or out)
     rows = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300))) for k in range(40)], "doc_id long, text string")
-    lm_score.train(rows, lm_score.Vocabulary(lm_score.cell_counts(rows)))
+    words, some = lm_score.Vocabulary(lm_score.cell_counts(rows)), lm_score.sharded(rows)
+    net = lm_score.train(some, words)
     assert sum(r.seen for name, df in nets if name == "nets" for r in df.collect()) == 40 * 300
+    assert some.select("shard").distinct().count() > 3
+    other = lm_score.train(lm_score.sharded(rows.repartition(3).sort("text")), words)  # the same shards from rows dealt otherwise
+    assert all(np.abs(a - b).max() < 1e-5 for a, b in zip(net.p, other.p))
 
 
 def test_one_of_each_decides_by_row(spark):
