@@ -256,7 +256,7 @@ def _marks(members: DataFrame, sets: DataFrame, crowded: int, rounds: int) -> Da
     out, before = None, None
     for turn in range(rounds + 1):
         first = F.min(F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("p"), F.col("n").alias("np"))).alias("first")
-        heads = keep(members.groupBy("s").agg(first, F.count("*").alias("m")).where("m > 1").select("s", "first.p", "first.np", "m"), "heads")
+        heads = keep(members.groupBy("s").agg(first, F.count("*").alias("m")).where("m > 1").select("s", "first.p", "first.np", "m"), "heads", narrow=True)
         size = heads.agg(F.max("m"), F.sum("m")).first()
         if size[0] is None:
             break
@@ -266,7 +266,7 @@ def _marks(members: DataFrame, sets: DataFrame, crowded: int, rounds: int) -> Da
         placed = members.join(heads.drop("m"), "s").where("cid <> p")
         pairs = placed.groupBy("cid", "p").agg(F.first("n").alias("n"), F.first("np").alias("np"))
         if last:
-            found = keep(pairs.select("cid", "p", F.lit(1).alias("kind")), "last")
+            found = keep(pairs.select("cid", "p", F.lit(1).alias("kind")), "last", narrow=True)
         else:
             found = _measured(pairs.where("2 * least(n, np) >= greatest(n, np)").select("cid", "p"), sets)
             # a pivot without a set in its ball besides itself has no links in its cell
@@ -277,8 +277,8 @@ def _marks(members: DataFrame, sets: DataFrame, crowded: int, rounds: int) -> Da
         out = cell if out is None else out.unionAll(cell)
         if last:
             break
-        members = keep(placed.join(measured.where("kind > 0").select("cid", "p"), ["cid", "p"], "left_anti").select("s", "cid", "n"), "members")
-    return None if out is None else keep(out, "marks")
+        members = keep(placed.join(measured.where("kind > 0").select("cid", "p"), ["cid", "p"], "left_anti").select("s", "cid", "n"), "members", narrow=True)
+    return None if out is None else keep(out, "marks", narrow=True)
 
 
 def _cells(marks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def _joined(docs: DataFrame, classes: DataFrame, n: int, crowded: int, rounds: i
     balls = marks.where(F.col("kind") > 0).where(F.col("cid") != F.col("p")).where(F.col("g") % 16 != _LAST)
     links = balls.select(F.col("cid").alias("a"), F.col("p").alias("b")).unionAll(cells.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     homes = marks.where("kind = 2").groupBy("cid").agg(F.min("g").alias("home")).join(sets.select("cid", "copies"), "cid")
-    homes = keep(homes, "homes")
+    homes = keep(homes, "homes", narrow=True)
     total = homes.groupBy("home").agg(F.sum("copies").alias("total"))
     close = homes.join(total, "home").select("cid", (F.col("total") - F.col("copies")).alias("others"))
     others = cells.select("cid", "others").unionAll(close).groupBy("cid").agg(F.sum("others").alias("others"))
@@ -396,7 +396,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED, roun
     base, mark = text_rows(docs), kept()
     rows = digested(base, n)
     classes = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc_id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("maybe").alias("maybe"))
-    classes = keep(classes, "classes")
+    classes = keep(classes, "classes", narrow=True)
     joined = _joined(base, classes, n, crowded, min(rounds, _LAST - 1))
     named = classes.select("cid", "f1", "f2", "n", "least", "copies")
     if joined is None:
@@ -405,11 +405,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, crowded: int = CROWDED, roun
         links, others = joined
         roots = components(links)
         named = named.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").join(others, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        named = keep(named, "named")
+        named = keep(named, "named", narrow=True)
         names = named.groupBy("root").agg(F.min("least").alias("component_id"))
         named = named.join(names, "root")
     # classes of one row without a link say nothing that the row does not
-    told = keep(named.where("copies > 1 OR others > 0").select("f1", "f2", "n", "component_id", "copies", "others"), "told")
+    told = keep(named.where("copies > 1 OR others > 0").select("f1", "f2", "n", "component_id", "copies", "others"), "told", narrow=True)
     drop_since(docs.sparkSession, mark, rows, told)
     out = rows.select("doc_id", "n", "f1", "f2").join(told, ["f1", "f2", "n"], "left")
     copies = F.coalesce("copies", F.lit(1)).cast("long")
@@ -425,9 +425,9 @@ def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
     """
     rows, mark = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), kept()
     groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n).where("n_links > 0")
-    groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups", narrow=True)
     members = groups.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
     first = members.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    gone = keep(groups.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select("_row"), "gone")
+    gone = keep(groups.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select("_row"), "gone", narrow=True)
     drop_since(docs.sparkSession, mark, gone)
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: While a table is written: shuffle files go when the execution that made them ends, as kept tables are read from the shared folder.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a table is written: shuffle files go when the execution that made them ends, as kept tables are read from the shared
+#: folder; small shuffle partitions are merged up to the advisory size, so that small tables are few files.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: Shuffle partitions that one task of a table of narrow rows writes.
+_NARROW = 8
 _KEPT: list[str] = []
 
 
@@ -33,9 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: a cut of lineage that outlives any executor."""
+def keep(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: a cut of lineage that outlives any executor.
+
+    Rows of a few numbers that come out of a shuffle are ``narrow``: fewer tasks write them, in fewer files.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / _NARROW)))
     path = f"{shared_dir(spark)}/kumiki/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
