@@ -36,7 +36,7 @@ from .tables import drop, drop_since, keep, kept, text_rows
 #: Shingles and documents that a task counts before it sends them, and shingles that a range of hash values holds on average.
 CHUNK, CHUNK_ROWS, RANGE = 1 << 20, 60_000, 1 << 21
 #: Regions of more members are cut by pivots again, at most so many times and while balls take a twentieth out.
-CROWDED, ROUNDS = 768, 12
+CROWDED, ROUNDS = 4096, 12
 #: Members and shingles of a block, on average; a cell holds one or two blocks.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Ids that a broadcast may hold (8 bytes each); more are met by a shuffle.
