@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import keep, text_rows
+from .tables import drop, keep, text_rows
 
 #: Words fall in so many cells, by the leading bits of their hash; cells are counted over all documents.
 CELL_BITS = 24
@@ -282,9 +282,11 @@ def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowN
         nets = keep(shards.mapInArrow(W.tidy(run), schema), "nets")
         many = nets.count()
         while many > 16:
-            many = math.ceil(many / 16)
-            nets = keep(nets.repartition(many).mapInArrow(W.tidy(add), schema), "nets")
-        got = nets.collect()  # at most 16 networks
+            many = math.ceil(many / 16)  # tasks; what they add up is a row each
+            nets, before = keep(nets.coalesce(many).mapInArrow(W.tidy(add), schema), "nets"), nets  # read, not shuffled
+            drop(before)
+        got = nets.collect()  # 16 networks or little more
+        drop(nets)
         if got:
             total = sum(np.frombuffer(r.net, np.int64) for r in got)
             net = WindowNet(outputs=words.outputs).load(total / (fixed * sum(r.seen for r in got)))
@@ -307,7 +309,9 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     counts = cell_counts(rows)
     words = Vocabulary(counts)
     sc = rows.sparkSession.sparkContext
-    net, held_words = sc.broadcast(train(sharded(rows), words).pack()), sc.broadcast(words)
+    shards = sharded(rows)
+    net, held_words = sc.broadcast(train(shards, words).pack()), sc.broadcast(words)
+    drop(shards)
     held_counts = sc.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # four bytes a cell
 
     def run(batches):
