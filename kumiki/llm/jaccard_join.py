@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import drop, drop_since, keep, kept, text_rows
+from .tables import drop, drop_since, free, keep, kept, text_rows
 
 #: Shingles and documents that a task counts before it sends them, and shingles that a range of hash values holds on average.
 CHUNK, CHUNK_ROWS, RANGE = 1 << 20, 60_000, 1 << 21
@@ -423,11 +423,12 @@ def one_of_each(docs: DataFrame, n: int = 5) -> DataFrame:
     row of the smallest doc_id stays, null ids last, of such rows the first.
     Documents without words stay.  All columns of ``docs`` are returned.
     """
-    rows, mark = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), kept()
-    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), n).where("n_links > 0")
+    (row,) = free(docs, "_row")
+    rows, mark = keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), kept()
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), n).where("n_links > 0")
     groups = keep(groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups", narrow=True)
-    members = groups.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row")
+    members = groups.join(rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("_id")), "_row")
     first = members.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    gone = keep(groups.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select("_row"), "gone", narrow=True)
+    gone = keep(groups.join(first.select("_group", F.col("first._row").alias("_first")), "_group").where("_row <> _first").select(F.col("_row").alias(row)), "gone", narrow=True)
     drop_since(docs.sparkSession, mark, gone)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

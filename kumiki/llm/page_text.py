@@ -101,7 +101,8 @@ class _Open:
 def _tags(page: str):
     """(start, end, name, closing, attributes) of each tag and comment (name None), in time that grows with the page.
 
-    After a raw element's start tag the scan goes on at its end tag.
+    After a raw element's start tag the scan goes on at its end tag.  A tag whose quote is never closed ends at its
+    first ">", so that no text is lost; the text after it is text of the page.
     """
     at, last = page.find("<"), page.rfind(">")
     while at >= 0:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import free
+
 # Fixed patterns of the base scan.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"  # a whole run of [A-Z0-9] after AKIA; shorter runs hold no longer one
@@ -26,6 +28,7 @@ ALLOWED = (r"^(?!.*(?:[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Z]{2}[a-z]|[a-z][A-Z](?![a-
 _MARK = "\x01"
 
 
+_FOUND = "array<struct<start:int,rank:int,kind:string,end:int>>"
 _SPANS = "array<struct<start:int,end:int,match:string>>"
 #: Pieces of a split text that are placed one after the other; such runs are placed by their lengths.
 _RUN = 256
@@ -96,6 +99,23 @@ def hot_window(candidate: Column, least: float, window: int = WINDOW) -> Column:
     return F.aggregate(F.split(candidate, ""), start, move, lambda acc: F.struct(acc.first.alias("first"), acc["last"].alias("last")))
 
 
+def _swept(spans: Column, end, take, kind: str) -> Column:
+    """What ``take(at, span)`` gives for each span in order, concatenated; ``at`` is the largest ``end(span)`` of those before.
+
+    Spans are taken in runs, whose first ``at`` comes from the ends of the runs before: no array grows by more than a run.
+    """
+
+    def step(acc, s):
+        return F.struct(F.greatest(acc["at"], end(s)).alias("at"), F.concat(acc.out, take(acc["at"], s)).alias("out"))
+
+    def swept(runs):
+        tops = F.aggregate(runs, F.array(F.lit(0)), lambda tops, run: F.concat(tops, F.array(F.greatest(F.element_at(tops, -1), F.array_max(F.transform(run, end))))))
+        return _bound(tops, lambda tops: F.flatten(F.transform(runs, lambda run, k: F.aggregate(run, F.struct(F.get(tops, k).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc.out))))
+
+    count = F.ceil(F.size(spans) / _RUN).cast("int")
+    return F.when(count > 0, _bound(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.slice(spans, k * _RUN + 1, _RUN)), swept)).otherwise(F.array().cast(kind))
+
+
 def _kind(spans: Column, kind: str, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s.end.alias("end")))
 
@@ -104,12 +124,6 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def scan_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
     """``docs`` with ``name``: array of (start, rank, kind, end) by start, then kind; rank 0 to 2 are the base patterns.
 
@@ -120,8 +134,8 @@ def scan_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
     other columns stay as they are, but a column of that name is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    base_, runs_, more_ = (_free(docs, c) for c in ("_base", "_runs", "_more"))
+    none = F.array().cast(_FOUND)
+    base_, runs_, more_ = free(docs, "_base", "_runs", "_more")
     assign = F.filter(found(text, ASSIGN), lambda s: F.length(F.regexp_extract(s.match, ASSIGN, 2)) >= VALUE_LENGTH)
     base = F.concat(_kind(assign, "assign", 0), _kind(found(text, ACCESS), "access", 1), _kind(found(text, HEX), "hex", 2))
     rows = docs.withColumn(base_, base).withColumn(runs_, found(text, CANDIDATE))
@@ -134,8 +148,10 @@ def scan_secrets(docs: DataFrame, name: str = "secrets") -> DataFrame:
         hot = F.filter(hot, lambda h: h.w["last"] > 0)
         more = F.concat(more, F.transform(hot, lambda h: F.struct((h.at + h.w.first).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (h.at + h.w["last"]).alias("end"))))  # noqa: B023
     rows = rows.withColumn(more_, F.when(F.size(runs_) > 0, more).otherwise(none))
-    new = F.filter(more_, lambda m: ~F.exists(base_, lambda b: (b.start <= m.start) & (b.end >= m.end)))
-    return rows.withColumn(name, F.array_sort(F.concat(base_, new))).drop(base_, runs_, more_)
+    # base spans come first where starts are equal, so a span lies in one of them exactly if it ends by the largest end so far
+    own = lambda at, s: F.filter(F.array(s), lambda x: (x["rank"] <= 2) | (x.end > at))
+    swept = _swept(F.col(more_), lambda s: F.when(s["rank"] <= 2, s.end).otherwise(0), own, _FOUND)
+    return rows.withColumn(more_, F.array_sort(F.concat(base_, more_))).withColumn(name, swept).drop(base_, runs_, more_)
 
 
 def _any(value: Column, patterns) -> Column:
@@ -153,17 +169,26 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("secrets")).alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of a secret replaced; overlapping spans are one.  All columns stay, a null text stays null."""
-    name = _free(docs, "secrets")
-    rows = scan_secrets(docs, name)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with the spans, sorted by start, replaced, in time that grows with the text and the spans."""
+    gap = lambda at, s: F.filter(F.array(F.struct(at.alias("start"), s.start.alias("end"))), lambda g: g.end >= g.start)
 
-    def step(acc, s):
-        fresh = s.start >= acc.at
-        kept = F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(fresh, F.concat(acc.out, kept, F.lit(mask))).otherwise(acc.out).alias("out"))
+    def joined(chars):
+        piece = lambda start, end: F.array_join(F.slice(chars, start + 1, end - start), "")
+        gaps = _swept(spans, lambda s: s.end, gap, "array<struct<start:int,end:int>>")
+        return F.concat(F.array_join(F.transform(gaps, lambda g: F.concat(piece(g.start, g.end), F.lit(mask))), ""), piece(F.array_max(F.transform(spans, lambda s: s.end)), F.size(chars)))
 
-    masked = F.aggregate(name, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, 2147483647)))
-    return rows.withColumn("text", F.when(F.size(name) > 0, masked).otherwise(F.col("text"))).select(*docs.columns)
+    return _bound(F.split(text, ""), joined)
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[secret]", length: str | None = None) -> DataFrame:
+    """``docs`` with every span of a secret replaced; overlapping spans are one.  All columns stay, a null text stays null.
+
+    ``length`` names a column that is to hold the code points of a text wherever the text changed.
+    """
+    (name,) = free(docs, "secrets")
+    rows, changed = scan_secrets(docs, name), F.size(name) > 0
+    rows = rows.withColumn("text", F.when(changed, _masked(F.col("text").cast("string"), F.col(name), mask)).otherwise(F.col("text")))
+    if length is not None:
+        rows = rows.withColumn(length, F.when(changed, F.length("text").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return rows.select(*docs.columns)

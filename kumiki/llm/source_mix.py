@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import keep
+from .tables import free, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one window of the prefix sums holds on average.
@@ -93,7 +93,9 @@ def taken_documents(docs: DataFrame, **options) -> DataFrame:
     columns of ``docs`` that have one of these names give way to the result's.
     """
     mixed = mix_sources(docs, **options).where("copies > 0")
-    mixed = mixed.groupBy(F.col("doc_id").alias("_i"), F.col("_tie").alias("_t"), F.col("source").alias("_s")).agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    rows = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("_x", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_t")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-    return rows.join(mixed, same).drop("_x", "_i", "_t", "_s")
+    rows = docs.drop("size", "source_size", "target", "copies", "taken")
+    x, i, t, s = free(rows, "_x", "_i", "_t", "_s")
+    mixed = mixed.groupBy(F.col("doc_id").alias(i), F.col("_tie").alias(t), F.col("source").alias(s)).agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
+    rows = rows.withColumn(x, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(x) == F.col(t)) & F.col("source").cast("string").eqNullSafe(F.col(s))
+    return rows.join(mixed, same).drop(x, i, t, s)

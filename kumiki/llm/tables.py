@@ -83,6 +83,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each lengthened until no column of ``docs`` has it (case counts no more than it does in Spark)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text as string, null texts empty; other columns, clashing names included, are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

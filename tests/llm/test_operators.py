@@ -326,7 +326,7 @@ def test_leaf_blocks_of_loose_pages():
     # end tags of html, head, body, p, li, td, tr left out
     assert text("<html><head><title>T</title><meta charset=x><body><p>One<p>Two<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == ["One", "Two", "a", "b", "c", "d", "e"]
     assert text("<head><title>T</title><p>after") == ["after"] and text("<head><style>x</style></head>tail") == ["tail"]
-    assert text("<p title='a > b'>x</p><p title=\"it's\">y</p><a href='>z") == ["x", "y z"]
+    assert text("<p title='a > b'>x</p><p title=\"it's\">y</p><a href='>z") == ["x", "y", "z"]  # </p> cuts; the open quote ends with its tag
     assert text("a <!-- b <p> --> c <!-- open <p>d") == ["a c"] and text("1 < 2 <p>3 <4") == ["1 < 2", "3 <4"]
     assert text("<script>if (a < b) '</p>'</script><p>x</p><textarea>no <p>no</textarea>y<script>open") == ["x", "y"]
     assert text("<div><b>x</div>y</b><p>z</p></b></i>w") == ["x", "y", "z", "w"]
@@ -554,3 +554,24 @@ def test_mix_of_null_ids_and_ties(spark):
     got = source_mix.mix_sources(d).collect()
     total = sum(x.taken for x in got if x.source == "s")
     assert abs(total - next(x.target for x in got if x.source == "s")) <= 7
+
+
+def test_no_column_of_the_user_is_lost(spark):
+    rows = [(k, f"one two three four five six {k // 2}" if k < 8 else 'token = "0123abcd4567efgh89" x', "s", k, f"r{k}") for k in range(12)]
+    plain = "doc_id long, text string, source string, {} int, {} string"
+    for a, b in (("_row", "_group"), ("_before", "secrets"), ("_base", "_runs"), ("_x", "_i"), ("_t", "_s"), ("_X", "_ROW")):
+        d = spark.createDataFrame(rows, plain.format(a, b))
+        mine = {x[0]: tuple(x)[3:] for x in rows}
+        masked = secret_scan.mask_secrets(d)
+        for out, many in ((jaccard_join.one_of_each(d), 5), (masked, 12), (source_mix.taken_documents(d), None)):
+            got = out.collect()
+            assert out.columns[:5] == d.columns and all((x[3], x[4]) == mine[x.doc_id] for x in got) and len(got) == (many or len(got)) > 0
+        assert all(("0123abcd" in x.text) is False and x.text.endswith("[secret]\" x") == (x.doc_id >= 8) for x in masked.collect())
+
+
+def test_fifty_thousand_secrets_are_masked_in_linear_time(spark):
+    secret = [hashlib.sha256(str(k).encode()).hexdigest()[:20] for k in range(50_000)]
+    d = spark.createDataFrame([(1, " ä ".join(secret), 0)], "doc_id long, text string, n_chars int")
+    began = time.time()
+    got = secret_scan.mask_secrets(d, length="n_chars").first()
+    assert got.text == " ä ".join(["[secret]"] * 50_000) and got.n_chars == len(got.text) and time.time() - began < 60
