@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kumiki.llm import decontaminate, jaccard_join, secret_scan, source_mix, toxicity
 from kumiki.llm.tables import drop, drop_since, keep, kept, read
@@ -28,11 +27,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked; n_chars follows where a text changed."""
-    masked = secret_scan.mask_secrets(docs.withColumn("_before", F.col("text")))
-    changed = F.col("text").isNotNull() & (F.col("text") != F.col("_before"))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    return secret_scan.mask_secrets(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
