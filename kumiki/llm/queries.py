@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import decontaminate, jaccard_join, lm_score, page_text, quality, secret_scan, source_mix, spotsigs, suffix_dedup, toxicity
+from . import collocations, decontaminate, jaccard_join, lm_score, page_text, quality, secret_scan, source_mix, spotsigs, suffix_dedup, toxicity
 from .tables import read
 
 
@@ -57,6 +57,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", share("question_overlap"), share("answer_overlap"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, pipeline)
+    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -124,5 +128,25 @@ WHERE q.part = 'question' AND q.share >= 0.75 AND (n.n IS NULL OR a.share >= 0.7
 """
 
 
+OP13_SQL = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS p FROM t)),
+s AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+x AS (SELECT c.lang, c.k, c.phrase, c.a, j, array_to_string(c.ws[1:j], ' ') AS head, array_to_string(c.ws[j + 1:], ' ') AS rest
+      FROM c, (SELECT unnest([1, 2, 3, 4]) AS j) WHERE j < c.k),
+y AS (SELECT x.lang, x.phrase, x.a, x.j, h.a AS l, r.a AS r, s.n, ((1000::HUGEINT * x.a * s.n) // (h.a::HUGEINT * r.a)) AS score
+      FROM x JOIN f h ON h.lang = x.lang AND h.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.rest JOIN s ON s.lang = x.lang),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM y),
+inside AS (SELECT DISTINCT c.lang, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase, c.a
+      FROM c, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS m) WHERE m < c.k AND i + m - 1 <= c.k),
+o AS (SELECT z.lang, z.phrase, z.a, z.l, z.r, z.n, z.score::BIGINT AS score FROM z ANTI JOIN inside i ON i.lang = z.lang AND i.phrase = z.phrase AND i.a = z.a WHERE cut = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op6_source_mix": OP6_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op6_source_mix": OP6_SQL, "op10_decontaminate": OP10_SQL, "op13_collocations": OP13_SQL}
