@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import collocations, decontaminate, jaccard_join, lm_score, page_text, quality, secret_scan, source_mix, spotsigs, suffix_dedup, toxicity
+from . import collocations, decontaminate, jaccard_join, lm_score, page_text, perplexity_rules, quality, secret_scan, source_mix, spotsigs, suffix_dedup, toxicity, whitening
 from .tables import read
 
 
@@ -57,6 +57,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark")).select("doc_id", "item_id", share("question_overlap"), share("answer_overlap"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(ship(spark), sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_rules.quality_rules(_docs(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_docs(spark, sf_dir))
 
@@ -68,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, op13_collocations, pipeline)
+    own = (op1_lm_score, op2_quality, op3_secrets, op4_jaccard_join, op5_spotsigs, op6_source_mix, op7_suffix_dedup, op8_toxicity, op9_page_text, op10_decontaminate, op11_whitening, op12_quality_rules, op13_collocations, pipeline)
     return {f.__name__: f for f in own}
 
 
