@@ -63,7 +63,7 @@ def test_the_basis_grows_only_where_residuals_fail(spark, decay, width):
 def test_few_dimensions_equal_vectors_and_no_rows(spark):
     few = np.random.default_rng(5).standard_normal((50, 3)).tolist()
     against(whitening.whiten(table(spark, few)).collect(), {k: whole(v) for k, v in enumerate(few)}, 3)
-    line = [[t, 2.0 * t, 0.0, 5.0] for t in range(30)]
+    line = [[t + 0.0, 2.0 * t, 0.0, 5.0] for t in range(30)]
     against(whitening.whiten(table(spark, line)).collect(), {k: whole(v) for k, v in enumerate(line)}, 1)
     assert whitening.whiten(table(spark, [[1.5, 2.5]] * 4)).count() == 0
     assert whitening.whiten(table(spark, [])).count() == 0 and whitening.whiten(table(spark, [None, []])).count() == 0
