@@ -1,7 +1,9 @@
-"""The best-path fold over many sentences at once: numpy steps from place to place, each for all sentences of a batch."""
+"""Lattices of many sentences at once: numpy steps from place to place, each for all sentences of a batch."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 _U = np.uint64
@@ -9,56 +11,88 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << np.int64(60)
 #: Node and left-neighbour pairs of one step at most; more are taken in pieces.
 PAIRS = 1 << 20
+#: Costs of single pairs that a worker remembers for sentences folded by themselves.
+HELD_COSTS = 1 << 18
 
 
-def _hashes(cps: np.ndarray, before: np.ndarray) -> np.ndarray:
+def hashes(cps: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Hashes of strings one character longer."""
     h = (before + cps.astype(np.uint64) + _U(1)) * _BASE
     return h ^ (h >> _U(29))
 
 
 class Index:
-    """A compact dictionary as arrays: words as a trie of prefix hashes, their entries, character and unknown-word tables."""
+    """A dictionary as arrays: words as a trie of prefix hashes, their entries, character and unknown-word tables, costs.
+
+    Words are numbered by length, then hash.  This one is made of a compact dictionary; ``mapped.Mapped`` opens one from files.
+    """
 
     def __init__(self, d):
-        surfaces = sorted(d.words)
-        self.entries = np.array([e for s in surfaces for e in d.words[s]], dtype=np.int64).reshape(-1, 5)
-        many = np.array([len(d.words[s]) for s in surfaces], dtype=np.int64)
-        self.many, self.at = many, np.cumsum(many) - many
-        self.text = np.frombuffer("".join(surfaces).encode("utf-32-le"), dtype=np.uint32)
+        surfaces = list(d.words)
+        cps = np.frombuffer("".join(surfaces).encode("utf-32-le"), dtype=np.uint32)
         size = np.array([len(s) for s in surfaces], dtype=np.int64)
-        self.size, self.first = size, np.cumsum(size) - size
-        #: For each length: sorted hashes of the prefixes of longer words, sorted hashes of the words and their numbers.
-        self.levels = []
-        h, live = np.zeros(len(surfaces), dtype=np.uint64), np.arange(len(surfaces))
+        first = np.cumsum(size) - size
+        h, whole, live, prefixes = np.zeros(len(surfaces), dtype=np.uint64), np.zeros(len(surfaces), dtype=np.uint64), np.arange(len(surfaces)), []
         for n in range(1, int(size.max(initial=0)) + 1):
-            h = _hashes(self.text[self.first[live] + n - 1], h)
-            whole = size[live] == n
-            order = np.argsort(h[whole], kind="stable")
-            self.levels.append((np.unique(h[~whole]), h[whole][order], live[whole][order]))
-            h, live = h[~whole], live[~whole]
-        self.base, self.mask = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64)
-        for cp, (base, mask) in d.points.items():
-            self.base[cp], self.mask[cp] = base, mask
+            h = hashes(cps[first[live] + n - 1], h)
+            done = size[live] == n
+            whole[live[done]] = h[done]
+            h, live = h[~done], live[~done]
+            prefixes.append(np.unique(h))
+        order = np.lexsort((whole, size))
+        surfaces = [surfaces[i] for i in order]
+        self.entries = np.array([e for s in surfaces for e in d.words[s]], dtype=np.int64).reshape(-1, 5)
+        self.set_words(np.frombuffer("".join(surfaces).encode("utf-32-le"), dtype=np.uint32), size[order], whole[order], np.array([len(d.words[s]) for s in surfaces], dtype=np.int64), prefixes)
         cates = max(d.categories) + 1
-        self.invoke, self.group, self.length = (np.zeros(cates, dtype=np.int64) for _ in range(3))
-        for k, (invoke, group, length) in d.categories.items():
-            self.invoke[k], self.group[k], self.length[k] = invoke, group, length
-        self.unknown = np.array([e for k in range(cates) for e in d.unknown.get(k, ())], dtype=np.int64).reshape(-1, 5)
-        self.unk_many = np.array([len(d.unknown.get(k, ())) for k in range(cates)], dtype=np.int64)
-        self.unk_at = np.cumsum(self.unk_many) - self.unk_many
+        points = np.array([(cp, *v) for cp, v in d.points.items()], dtype=np.int64).reshape(-1, 3)
+        categories = np.zeros((cates, 3), dtype=np.int64)
+        for k, row in d.categories.items():
+            categories[k] = row
+        unknown = [(k, *e) for k in range(cates) for e in d.unknown.get(k, ())]
+        self.set_characters(points, categories, np.array(unknown, dtype=np.int64).reshape(-1, 6), d.names.get("SPACE"))
         self.cost = d.cost if not isinstance(d.cost, list) else np.array(d.cost, dtype=np.int64)
 
+    def set_words(self, text: np.ndarray, size: np.ndarray, whole: np.ndarray, many: np.ndarray, prefixes: list[np.ndarray]) -> None:
+        """Characters, lengths, hashes and numbers of entries of the words in order, and for each length the sorted hashes of longer words' prefixes."""
+        self.text, self.size, self.many = text, size, many
+        self.first, self.at = np.cumsum(size) - size, np.cumsum(many) - many
+        top = int(size[-1]) if len(size) else 0
+        start = np.searchsorted(size, np.arange(1, top + 2))
+        #: For each length: prefixes of longer words, words, and the number of the first word.
+        self.levels = [(prefixes[n], whole[start[n] : start[n + 1]], int(start[n])) for n in range(top)]
+
+    def set_characters(self, points: np.ndarray, categories: np.ndarray, unknown: np.ndarray, space: int | None) -> None:
+        """(code point, base, categories), (invoke, group, length) by category, (category, entry...) in order of category, and the category of spaces."""
+        self.base, self.mask = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64)
+        self.base[points[:, 0]], self.mask[points[:, 0]] = points[:, 1], points[:, 2]
+        self.invoke, self.group, self.length = categories.T
+        self.unknown = unknown[:, 1:]
+        self.unk_many = np.bincount(unknown[:, 0], minlength=len(categories))
+        self.unk_at = np.cumsum(self.unk_many) - self.unk_many
+        self.space = 0 if space is None else 1 << space
+        self.single: dict[tuple[int, int], int] = {}
+
     def conn(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Costs of nodes with these left ids after nodes with these right ids."""
         if isinstance(self.cost, np.ndarray):
             return self.cost[left, right].astype(np.int64)
+        if hasattr(self.cost, "conn"):
+            return self.cost.conn(left, right)
         out, order = np.empty(len(left), dtype=np.int64), np.argsort(left, kind="stable")
         cut = np.flatnonzero(np.append(True, left[order][1:] != left[order][:-1])) if len(left) else np.zeros(0, np.int64)
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(left)]):
             out[order[a:b]] = self.cost[int(left[order[a]])][right[order[a:b]]]
         return out
 
+    def one(self, left: int, right: int) -> int:
+        """The cost of one pair."""
+        got = self.single.get((left, right))
+        if got is None:
+            if len(self.single) >= HELD_COSTS:
+                self.single.clear()
+            got = self.single[left, right] = int(self.conn(np.array([left]), np.array([right]))[0])
+        return got
+
 
 def _spread(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts: the row that each of their units belongs to, and its place there."""
@@ -83,11 +117,11 @@ def _matches(ix: Index, cps: np.ndarray, left: np.ndarray) -> tuple[np.ndarray,
         at, h = at[room], h[room]
         if not len(at):
             break
-        h = _hashes(cps[at + n - 1], h)
+        h = hashes(cps[at + n - 1], h)
         if len(whole):
             k = np.minimum(np.searchsorted(whole, h), len(whole) - 1)
             hit = whole[k] == h
-            g, w = at[hit], number[k[hit]]
+            g, w = at[hit], number + k[hit]
             row, j = _spread(np.full(len(g), n))  # the characters themselves decide
             same = np.bincount(row[cps[g[row] + j] == ix.text[ix.first[w[row]] + j]], minlength=len(g)) == n
             places.append(g[same])
@@ -118,12 +152,37 @@ def _unknown(ix: Index, base: np.ndarray, run: np.ndarray, matched: np.ndarray,
     return np.concatenate(places), np.concatenate(lengths)
 
 
-def best_paths(ix: Index, texts: list[str], most_run: int = 0):
-    """(has a path, token's sentence, start, end, rank, word id, left id, right id, word cost, total cost) of non-empty sentences.
+@dataclass
+class Lattice:
+    """All words of some sentences, whether a path reaches them or not.
 
-    Tokens come by sentence and place.  Of equally cheap left neighbours the last wins: that
-    of the latest start, user words before the system's before unknown ones, then of the largest word id.
+    Nodes: first the beginning of each sentence, then the words in order of the place where
+    they start, of the sentence, of rank and number; ``key`` of their starts rises.
     """
+
+    size: np.ndarray
+    off: np.ndarray
+    run: np.ndarray
+    blank: np.ndarray | None
+    who: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    rank: np.ndarray
+    word: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    cost: np.ndarray
+
+    @property
+    def many(self) -> int:
+        return len(self.size)
+
+    def spot(self, who: np.ndarray, at) -> np.ndarray:
+        """The number of a place of a sentence; a sentence of n characters has n + 1."""
+        return self.off[who] + who + at
+
+
+def lattice(ix: Index, texts: list[str], most_run: int = 0, ignore_space: bool = False) -> Lattice:
     size = np.array([len(t) for t in texts], dtype=np.int64)
     off = np.cumsum(size) - size
     cps = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
@@ -142,26 +201,70 @@ def best_paths(ix: Index, texts: list[str], most_run: int = 0):
     g, n = _unknown(ix, base, run, matched, most_run)
     row, k = _spread(ix.unk_many[base[g]])
     unk, unk_g, unk_n = ix.unknown[ix.unk_at[base[g[row]]] + k], g[row], n[row]
-    # Nodes: first one before each sentence, then all words in order of their start.
-    g, n, e = np.concatenate((lex_g, unk_g)), np.concatenate((lex_n, unk_n)), np.concatenate((lex, unk))
+    g, n, e = np.concatenate((lex_g, unk_g)), np.concatenate((lex_n, unk_n)), np.concatenate((lex, unk)).astype(np.int64)
     s, start = sent[g], place[g]
     order = _order(start * len(texts) + s, e[:, 0] * (int(e[:, 1].max(initial=0)) + 1) + e[:, 1])
     s, start, n, e = s[order], start[order], n[order], e[order]
-    many = len(texts)
-    who = np.concatenate((np.arange(many), s))
-    start, end = np.concatenate((np.zeros(many, np.int64), start)), np.concatenate((np.zeros(many, np.int64), start + n))
-    rank, word, left, right, cost = (np.concatenate((np.zeros(many, np.int64), e[:, c])) for c in range(5))
-    total, back = np.full(len(who), _FAR), np.full(len(who), -1)
+    zero = np.zeros(len(texts), dtype=np.int64)
+    fields = (np.concatenate((zero, e[:, c])) for c in range(5))
+    blank = (mask & ix.space) > 0 if ignore_space else None
+    return Lattice(size, off, run, blank, np.concatenate((np.arange(len(texts)), s)), np.concatenate((zero, start)), np.concatenate((zero, start + n)), *fields)
+
+
+def _walk(x: Lattice, visit) -> np.ndarray:
+    """Take the places from left to right: ``visit(nodes, at)`` gets the words that start there and says which of them are reached.
+
+    Where spaces are ignored, the words after a run of spaces start at the run's first
+    reachable place, and its other places, with the one after it, start none.  Returns the
+    place of each sentence's end: the run of spaces that closes it, or its last character.
+    """
+    many, end = x.many, x.size.copy()
+    if x.blank is None:
+        step = np.searchsorted(x.start[many:], np.arange(int(x.size.max(initial=0)) + 1)) + many
+        for t in range(len(step) - 1):
+            if step[t] < step[t + 1]:
+                visit(np.arange(step[t], step[t + 1]), t)
+        return end
+    reached = np.zeros(int(x.size.sum()) + many, dtype=bool)
+    reached[x.spot(np.arange(many), 0)] = True
+    first, after = x.start[many:] * many + x.who[many:], np.zeros(many, dtype=np.int64)
+    for t in range(int(x.size.max(initial=0))):
+        s = np.flatnonzero((x.size > t) & (after <= t))
+        s = s[reached[x.spot(s, t)]]
+        at = x.off[s] + t
+        word = t + np.where(x.blank[at], x.run[at], 0)
+        over = word >= x.size[s]
+        end[s[over]], after[s[over]] = t, x.size[s[over]] + 1
+        s, word = s[~over], word[~over]
+        after[s] = word + 1
+        lo, hi = (np.searchsorted(first, word * many + s, side=side) for side in ("left", "right"))
+        row, k = _spread(hi - lo)
+        if len(row):
+            nodes = lo[row] + k + many
+            ok = nodes[visit(nodes, t)]
+            reached[x.spot(x.who[ok], x.end[ok])] = True
+    return end
+
+
+def best_paths(ix: Index, texts: list[str], most_run: int = 0, ignore_space: bool = False):
+    """(has a path, token's sentence, start, end, rank, word id, left id, right id, word cost, total cost) of non-empty sentences.
+
+    Tokens come by sentence and place.  Of equally cheap left neighbours the last wins: that
+    of the latest start, user words before the system's before unknown ones, then of the largest word id.
+    """
+    x = lattice(ix, texts, most_run, ignore_space)
+    many = x.many
+    total, back = np.full(len(x.who), _FAR), np.full(len(x.who), -1)
     total[:many] = 0
     # Nodes by the place where they end, in the order in which they would be put there.
-    key = end * many + who
+    key = x.end * many + x.who
     ends = _order(key, np.arange(len(key)))
     key = key[ends]
 
-    def relax(nodes, at, owner, left_id, add):
-        """Best left neighbours of ``nodes`` that start at ``at``: costs and their numbers."""
+    def relax(at, owner, left_id, add):
+        """Best left neighbours of nodes that start at ``at``: costs and their numbers."""
         lo, hi = np.searchsorted(key, at * many + owner), np.searchsorted(key, at * many + owner, side="right")
-        best, chosen = np.full(len(nodes), _FAR), np.full(len(nodes), -1)
+        best, chosen = np.full(len(owner), _FAR), np.full(len(owner), -1)
         count = hi - lo
         use = np.flatnonzero(count)
         if not len(use):
@@ -170,7 +273,7 @@ def best_paths(ix: Index, texts: list[str], most_run: int = 0):
             own = use[a:b]
             row, j = _spread(count[own])
             other = ends[lo[own][row] + j]
-            value = total[other] + ix.conn(left_id[own][row], right[other])
+            value = total[other] + ix.conn(left_id[own][row], x.right[other])
             first = np.cumsum(count[own]) - count[own]
             least = np.minimum.reduceat(value, first)
             last = np.maximum.reduceat(np.where(value == least[row], np.arange(len(row)), -1), first)
@@ -179,22 +282,94 @@ def best_paths(ix: Index, texts: list[str], most_run: int = 0):
             chosen[own[reached]] = other[last[reached]]
         return best, chosen
 
-    step = np.searchsorted(start[many:], np.arange(int(size.max()) + 1)) + many
-    for t in range(int(size.max())):
-        nodes = slice(step[t], step[t + 1])
-        if nodes.start < nodes.stop:
-            total[nodes], back[nodes] = relax(np.arange(nodes.start, nodes.stop), t, who[nodes], left[nodes], cost[nodes])
-    zero = np.zeros(many, dtype=np.int64)
-    _, at = relax(np.arange(many), size, np.arange(many), zero, zero)
+    def visit(nodes, t):
+        total[nodes], back[nodes] = relax(t, x.who[nodes], x.left[nodes], x.cost[nodes])
+        return back[nodes] >= 0
+
+    end, zero = _walk(x, visit), np.zeros(many, dtype=np.int64)
+    _, at = relax(end, np.arange(many), zero, zero)
     has = at >= 0
-    out, live = [], at[has]
+    out, live = [], at[at >= many]
     while len(live):
         out.append(live)
         live = back[live]
         live = live[live >= many]
     path = np.concatenate(out) if out else zero[:0]
-    path = path[_order(who[path], start[path])]
-    return (has, *(x[path] for x in (who, start, end, rank, word, left, right, cost, total)))
+    path = path[_order(x.who[path], x.start[path])]
+    return (has, *(c[path] for c in (x.who, x.start, x.end, x.rank, x.word, x.left, x.right, x.cost, total)))
+
+
+def one_by_one(ix: Index, texts: list[str], most_run: int = 0, ignore_space: bool = False):
+    """What ``best_paths`` gives, each sentence folded by itself: for long sentences, of which there are few."""
+    has, cols = [], [[] for _ in range(9)]
+    for text in texts:
+        x = lattice(ix, [text], most_run, ignore_space)
+        left, right, cost, until = (c.tolist() for c in (x.left, x.right, x.cost, x.end))
+        total, back = [0] + [None] * (len(left) - 1), [-1] * len(left)
+        ends: list[list[int]] = [[] for _ in range(len(text) + 1)]
+        ends[0].append(0)
+
+        def best(at, left_id):
+            return min(((total[k] + ix.one(left_id, right[k]), -i, k) for i, k in enumerate(ends[at])), default=None)  # noqa: B023
+
+        def visit(nodes, t):
+            by: dict[int, tuple] = {}
+            ok = bool(ends[t])  # noqa: B023
+            for k in nodes.tolist() if ok else ():
+                got = by.get(left[k])  # noqa: B023
+                if got is None:
+                    got = by[left[k]] = best(t, left[k])  # noqa: B023
+                total[k], back[k] = got[0] + cost[k], got[2]  # noqa: B023
+                ends[until[k]].append(k)  # noqa: B023
+            return np.full(len(nodes), ok)
+
+        end = int(_walk(x, visit)[0])
+        last = best(end, 0)
+        has.append(last is not None)
+        path, k = [], last[2] if last else 0
+        while k:
+            path.append(k)
+            k = back[k]
+        path = np.array(path[::-1], dtype=np.int64)
+        for o, v in zip(cols, (np.full(len(path), len(has) - 1), *(c[path] for c in (x.start, x.end, x.rank, x.word, x.left, x.right, x.cost)), np.array([total[k] for k in path.tolist()], dtype=np.int64))):
+            o.append(v)
+    return np.array(has, dtype=bool), *(np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+
+
+def pair_counts(ix: Index, texts: list[str], most_run: int = 0, ignore_space: bool = False) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """left and right: (ids, how many adjacent pairs of reachable nodes have them on that side) in non-empty sentences, no cost asked.
+
+    A place passes its reachability on to the ends of the words that start there; then
+    words that end and words that start at a place make all pairs.
+    """
+    x = lattice(ix, texts, most_run, ignore_space)
+    many, spots = x.many, int(x.size.sum()) + x.many
+    reached = np.zeros(spots, dtype=bool)
+    reached[x.spot(np.arange(many), 0)] = True
+    begins = np.full(len(x.who), -1)  # where a word hangs: before the spaces that it skips
+
+    def visit(nodes, t):
+        at = x.spot(x.who[nodes], t)
+        ok = reached[at]
+        live = nodes[ok]
+        begins[live] = at[ok]
+        reached[x.spot(x.who[live], x.end[live])] = True
+        return ok
+
+    closing = x.spot(np.arange(many), _walk(x, visit))
+    used = np.flatnonzero(begins >= 0)
+    stops = x.spot(x.who[used], x.end[used])
+    ending = np.bincount(np.concatenate((x.spot(np.arange(many), 0), stops)), minlength=spots)
+    starting = np.bincount(np.concatenate((closing, begins[used])), minlength=spots)
+    out = {}
+    for side, ids, count in (
+        ("left", np.concatenate((np.zeros(many, np.int64), x.left[used])), ending[np.concatenate((closing, begins[used]))]),
+        ("right", np.concatenate((np.zeros(many, np.int64), x.right[used])), starting[np.concatenate((x.spot(np.arange(many), 0), stops))]),
+    ):
+        sums = np.bincount(ids, count).astype(np.int64)  # exact: far below 2^53
+        met = np.flatnonzero(sums)
+        out[side] = met, sums[met]
+    return out
 
 
 def _pieces(count: np.ndarray):

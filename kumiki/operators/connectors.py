@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,18 @@ def raw_cost(pairs: DataFrame, right_feats: DataFrame, left_feats: DataFrame, pa
     return matrix_cost(pairs, total)
 
 
+def scored_cost(pairs: DataFrame, dictionary) -> DataFrame:
+    """Adds cost to distinct ``pairs(right_id, left_id)`` by a packed dictionary (a broadcast): only the pairs given are scored."""
+
+    def run(batches):
+        index = dictionary.value.open()
+        for batch in batches:
+            right, left = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.conn(left, right).astype(np.int32))], names=["right_id", "left_id", "cost"])
+
+    return pairs.select("right_id", "left_id").distinct().mapInArrow(run, "right_id int, left_id int, cost int")
+
+
 def split_templates(right_feats: DataFrame, left_feats: DataFrame, raw: int = DUAL_RAW) -> list[int]:
     """The ``raw`` templates that stay factored: one after another, the one without which the fewest distinct rows remain; ties take the highest index.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from .batch import Index, best_paths
+from .batch import best_paths, one_by_one, pair_counts
 from .lattice import SENT
 
 RANKS = ("User", "System", "Unknown")
@@ -132,17 +132,13 @@ def tokenize_batches(d, ignore_space: bool = False, max_grouping_len: int = 0, s
     """
 
     def run(batches):
-        index = getattr(d.value, "index", None)
-        if index is None and not ignore_space:
-            index = d.value.index = Index(d.value)
+        index = d.value.open()
         for batch in batches:
             keys, texts = batch.select(SENT), batch.column(2).to_pylist()
-            groups, alone = _alike(texts) if not ignore_space else ([], [i for i, t in enumerate(texts) if t])
-            parts = [(rows, best_paths(index, [texts[i] for i in rows], max_grouping_len)) for rows in groups]
-            for lo in range(0, len(alone), 256):
-                rows = alone[lo : lo + 256]
-                parts.append((rows, _one_by_one(d.value, texts, rows, ignore_space, max_grouping_len)))
-            for rows, (has, who, *cols) in parts:
+            groups, alone = _alike(texts)
+            folds = [(best_paths, rows) for rows in groups] + [(one_by_one, alone[lo : lo + 64]) for lo in range(0, len(alone), 64)]
+            for fold, rows in folds:
+                has, who, *cols = fold(index, [texts[i] for i in rows], max_grouping_len, ignore_space)
                 if strict and not has.all():
                     k = rows[int(np.flatnonzero(~has)[0])]
                     raise InvalidArgument(f"no path through sentence {batch.column(0)[k]}/{batch.column(1)[k]}")
@@ -180,29 +176,15 @@ def count_batches(d, ignore_space: bool = False, max_grouping_len: int = 0):
     """A function for mapInArrow: (doc_id, sent_id, text) to (side, id, cnt) over all adjacent reachable pairs of a batch."""
 
     def run(batches):
+        index = d.value.open()
         for batch in batches:
-            left, right = {}, {}
-            for text in batch.column(2).to_pylist():
-                if not text:
-                    continue
-                ends, at, _ = lattice(d.value, text, ignore_space, max_grouping_len)
-                before = [(len(b), b) for b in ends]
-                for nodes in ends[1:]:
-                    for node in nodes:
-                        many, b = before[node[0]]
-                        left[node[2][2]] = left.get(node[2][2], 0) + many
-                starts: dict[int, int] = {}
-                for nodes in ends[1:]:
-                    for node in nodes:
-                        starts[node[0]] = starts.get(node[0], 0) + 1
-                starts[at] = starts.get(at, 0) + 1
-                left[0] = left.get(0, 0) + len(ends[at])
-                for place, many in starts.items():
-                    for node in ends[place]:
-                        right[node[2][3]] = right.get(node[2][3], 0) + many
-            rows = [("left", i, c) for i, c in left.items()] + [("right", i, c) for i, c in right.items()]
-            s, i, c = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(i, pa.int32()), pa.array(c, pa.int64())], names=["side", "id", "cnt"])
+            texts, total = batch.column(2).to_pylist(), {}
+            groups, alone = _alike(texts)
+            for rows in [*groups, *([i] for i in alone)]:
+                for side, (ids, counts) in pair_counts(index, [texts[i] for i in rows], max_grouping_len, ignore_space).items():
+                    for i, c in zip(ids.tolist(), counts.tolist()):
+                        total[side, i] = total.get((side, i), 0) + c
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["side", "id", "cnt"])
 
     return run
 

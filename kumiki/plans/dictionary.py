@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, InvalidFormat
 from ..operators import connectors as C
+from ..operators.batch import Index
 from ..sources import lines as L
+from .mapped import Mapped
 
 VERSION = 2
 #: Cells of a dense matrix that may be broadcast, two bytes each; beyond it the feature templates are used, or the load refused.
 MATRIX_CELLS = 256_000_000
 #: Words that may be broadcast.
 LEXICON_WORDS = 8_000_000
+#: Words, and cells of a matrix, up to which tasks get a dictionary as a broadcast; a larger one is mapped from files.
+SMALL_WORDS, SMALL_CELLS = 50_000, 4_000_000
 #: Rows of a factored matrix that a task holds.
 HELD_ROWS = 1024
 
@@ -31,6 +35,7 @@ class Dictionary:
     def __init__(self, lexicon: DataFrame, categories: DataFrame, points: DataFrame, unknown: DataFrame, costs: DataFrame, num_right: int, num_left: int, user: DataFrame | None = None, mapping: tuple[DataFrame, DataFrame] | None = None, factors: tuple | None = None):
         self.lexicon, self.categories, self.points, self.unknown, self.costs = lexicon, categories, points, unknown, costs
         self.num_right, self.num_left, self.user, self.mapping, self.factors = num_right, num_left, user, mapping, factors
+        self._packed: dict[tuple, "Compact | Mapped"] = {}
 
     @classmethod
     def from_lines(cls, spark: SparkSession, lexicon, char, unk, matrix=None, bigram=None, dual: bool = False) -> "Dictionary":
@@ -118,6 +123,23 @@ class Dictionary:
         factors = (t["factor_right"], t["factor_left"], t["factor_pair"], meta["raw"]) if "factor_pair" in t else None
         return cls(t["lexicon"], t["categories"], t["points"], t["unknown"], t["costs"], meta["num_right"], meta["num_left"], t.get("user"), mapping, factors)
 
+    def packed(self, mapped: bool | None = None, scorer: bool | None = None) -> "Compact | Mapped":
+        """What tasks get, made once: plain Python for a small dictionary, else files that a machine's workers map, of any size.
+
+        With ``scorer``, connection costs are summed from feature pairs when they are asked, not held as a
+        matrix; by itself that is so for a matrix of over MATRIX_CELLS cells.
+        """
+        cells = self.num_right * self.num_left
+        if scorer is None:
+            scorer = bool(self.factors) and cells > MATRIX_CELLS
+        if mapped is None:
+            mapped = cells > SMALL_CELLS or self.words().limit(SMALL_WORDS + 1).count() > SMALL_WORDS
+        if scorer and not self.factors:
+            raise InvalidArgument("summing costs needs the feature templates")
+        if (mapped, scorer) not in self._packed:
+            self._packed[mapped, scorer] = Mapped.of(self, scorer) if mapped else self.compact()
+        return self._packed[mapped, scorer]
+
     def compact(self) -> "Compact":
         if self.num_right * self.num_left > MATRIX_CELLS and not self.factors:
             raise InvalidArgument(f"a matrix of {self.num_right} x {self.num_left} is too large to broadcast")
@@ -216,6 +238,15 @@ class Compact:
             cost[r.left_id] = row
         self.cost = cost.tolist() if cost.size <= 4_000_000 else cost
 
+    def open(self) -> Index:
+        """The dictionary's arrays, made once in each worker."""
+        if getattr(self, "index", None) is None:
+            self.index = Index(self)
+        return self.index
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
     def info(self, ch: str) -> tuple[int, int]:
         cp = ord(ch)
         return self.points.get(cp if cp < 65536 else 0, (0, 1))

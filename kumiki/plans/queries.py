@@ -100,6 +100,31 @@ def connection_cost_raw(spark, sf_dir):
     return C.raw_cost(lattice_edges(spark, sf_dir).select("right_id", "left_id"), *_bigrams(spark))
 
 
+def bigram_dictionary(spark: SparkSession) -> Dictionary:
+    key = spark.sparkContext.applicationId, "bigram"
+    if key not in _MADE:
+        _MADE[key] = Dictionary.from_lines(spark, X.LEXICON, X.CHAR, X.UNKNOWN, bigram=(X.BIGRAM_RIGHT, X.BIGRAM_LEFT, X.BIGRAM_COST))
+    return _MADE[key]
+
+
+def connection_cost_scorer(spark, sf_dir):
+    """The raw costs again, summed in tasks from the mapped feature pairs of the pairs of ids that are asked."""
+    index = ship(spark).sparkContext.broadcast(bigram_dictionary(spark).packed(mapped=True, scorer=True))
+    return C.scored_cost(lattice_edges(spark, sf_dir).select("right_id", "left_id"), index)
+
+
+def tokens_scorer(spark, sf_dir):
+    """Tokens by costs that are summed from feature pairs when the fold asks for them."""
+    t = T.Tokenizer(bigram_dictionary(spark), mapped=True, scorer=True)
+    return t.transform(_lines(spark, sf_dir)).select(*N.SENT, "token_pos", "surface", "lex_type", "word_id", "total_cost")
+
+
+def tokens_mapped(spark, sf_dir):
+    """Tokens by a dictionary whose arrays all workers of a machine map."""
+    t = T.Tokenizer(dictionary(spark, True), mapped=True)
+    return t.transform(_lines(spark, sf_dir)).select(*N.SENT, "token_pos", "surface", "lex_type", "word_id", "total_cost")
+
+
 def connection_cost_dual(spark, sf_dir):
     right, left, pair = _bigrams(spark)
     return C.dual_cost(lattice_edges(spark, sf_dir).select("right_id", "left_id"), right, left, pair, C.split_templates(right, left))
@@ -170,6 +195,14 @@ def tokens_max_grouping(spark, sf_dir):
 
 
 def tokens_ignore_space(spark, sf_dir):
+    return _tokens(spark, sf_dir, ignore_space=True).select(*N.SENT, "token_pos", "surface", "char_start", "char_end", "lex_type", "word_id", "total_cost")
+
+
+def connid_counts_ignore_space(spark, sf_dir):
+    return T.Tokenizer(dictionary(spark), ignore_space=True).connid_counts(_lines(spark, sf_dir))
+
+
+def tokens_ignore_space_documents(spark, sf_dir):
     return _tokens(spark, sf_dir, ignore_space=True, table="documents", key="doc_id").groupBy("doc_id").agg(F.count("token_pos").alias("n_tokens"), F.max("total_cost").alias("most"))
 
 
@@ -193,6 +226,11 @@ def connid_counts(spark, sf_dir):
     return T.Tokenizer(dictionary(spark)).connid_counts(_lines(spark, sf_dir))
 
 
+def connid_counts_documents(spark, sf_dir):
+    """Pairs of the reachable lattices of all documents' lines."""
+    return T.Tokenizer(dictionary(spark)).connid_counts(_lines(spark, sf_dir, "documents", "doc_id"))
+
+
 def connid_probs(spark, sf_dir):
     d = dictionary(spark)
     out = N.connid_probs(connid_counts(spark, sf_dir), d.num_left, d.num_right)
@@ -314,7 +352,7 @@ def text_model_costs(spark, sf_dir):
     return L.text_model_costs(lines, 7.0)
 
 
-_QUERIES = (char_positions, char_categories, char_info_packed, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_dual, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
+_QUERIES = (char_positions, char_categories, char_info_packed, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_scorer, connection_cost_dual, tokens_scorer, tokens_mapped, connid_counts_ignore_space, tokens_ignore_space_documents, connid_counts_documents, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -410,8 +448,50 @@ tokens AS MATERIALIZED (SELECT p.doc_id, p.sent_id, p.path_cost, p.token_pos, su
   LEFT JOIN lex x ON x.lex_rank = p.t.lex_rank AND x.word_id = p.t.word_id LEFT JOIN unk u ON p.t.lex_rank = 2 AND u.unk_id = p.t.word_id)"""
 
 
-def _sql(select: str, path: bool = False, **options) -> str:
-    return f"WITH RECURSIVE {_lattice(**options)}{_PATH if path else ''}\n{select}"
+#: The same where spaces are skipped: words after a run of spaces hang from its first reached place, whose other places and the one
+#: after it start none (``nxt`` is the first that may); a run to the end closes the sentence where it begins (``fin``).
+_SPACES = f""",
+spaces AS MATERIALIZED (SELECT doc_id, sent_id, pos, pos + g AS w FROM runs WHERE (cate_mask & {1 << [c[0] for c in L.char_def(X.CHAR.splitlines())[0]].index("SPACE")}) <> 0)"""
+_SPACED_PATH = _SPACES + _PATH.replace("0::BIGINT AS step,", "0::BIGINT AS step, 0::BIGINT AS nxt, false AS fin,").replace("""(WITH cur AS (SELECT * FROM dp WHERE step < n)
+    SELECT doc_id, sent_id, n, step + 1, e, ix, right_id, cost, path FROM cur WHERE e > step
+    UNION ALL
+    SELECT doc_id, sent_id, n, step + 1, e, ix, right_id, b.c + word_cost,""", """(WITH cur AS (SELECT * FROM dp WHERE step < n AND NOT fin),
+    hit AS (SELECT DISTINCT c.doc_id, c.sent_id, coalesce(s.w, c.step) AS w FROM cur c LEFT JOIN spaces s ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id AND s.pos = c.step WHERE c.e = c.step AND c.step >= c.nxt)
+    SELECT c.doc_id, c.sent_id, n, step + 1, coalesce(h.w + 1, nxt), false, e, ix, right_id, cost, path FROM cur c LEFT JOIN hit h ON h.doc_id = c.doc_id AND h.sent_id = c.sent_id WHERE e > step AND (h.w IS NULL OR h.w < n)
+    UNION ALL
+    SELECT c.doc_id, c.sent_id, n, step, nxt, true, e, ix, right_id, cost, path FROM cur c JOIN hit h ON h.doc_id = c.doc_id AND h.sent_id = c.sent_id WHERE e = step AND h.w >= n
+    UNION ALL
+    SELECT doc_id, sent_id, n, step + 1, start + 1, false, e, ix, right_id, b.c + word_cost,""").replace(
+    "FROM cur c JOIN nodes d ON d.doc_id = c.doc_id AND d.sent_id = c.sent_id AND d.start = c.step AND c.e = c.step",
+    "FROM cur c JOIN hit h ON h.doc_id = c.doc_id AND h.sent_id = c.sent_id JOIN nodes d ON d.doc_id = c.doc_id AND d.sent_id = c.sent_id AND d.start = h.w AND c.e = c.step",
+).replace("WHERE d.step = d.n AND d.e = d.n GROUP BY", "WHERE d.fin OR (d.step = d.n AND d.e = d.n) GROUP BY")
+#: Where words hang when spaces are skipped, by the same walk over places alone: (at, w) is a place that is reached and its word place.
+_SPACED_EDGES = _SPACES + """,
+walk AS (SELECT doc_id, sent_id, length(text) AS n, 0::BIGINT AS step, 0::BIGINT AS nxt, 0::BIGINT AS e, NULL::BIGINT AS spot, NULL::BIGINT AS w FROM lines WHERE text <> ''
+  UNION ALL (WITH cur AS (SELECT * FROM walk WHERE step < n AND e IS NOT NULL),
+    hit AS (SELECT DISTINCT c.doc_id, c.sent_id, c.n, c.step, coalesce(s.w, c.step) AS w FROM cur c LEFT JOIN spaces s ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id AND s.pos = c.step WHERE c.e = c.step AND c.step >= c.nxt)
+    SELECT DISTINCT c.doc_id, c.sent_id, c.n, c.step + 1, coalesce(h.w + 1, c.nxt), c.e, NULL::BIGINT, NULL::BIGINT FROM cur c LEFT JOIN hit h ON h.doc_id = c.doc_id AND h.sent_id = c.sent_id WHERE c.e > c.step AND (h.w IS NULL OR h.w < c.n)
+    UNION ALL
+    SELECT doc_id, sent_id, n, step, NULL::BIGINT, NULL::BIGINT, step, w FROM hit
+    UNION ALL
+    SELECT DISTINCT h.doc_id, h.sent_id, h.n, h.step + 1, h.w + 1, d."end", NULL::BIGINT, NULL::BIGINT FROM hit h JOIN nodes d ON d.doc_id = h.doc_id AND d.sent_id = h.sent_id AND d.start = h.w)),
+hung AS (SELECT DISTINCT doc_id, sent_id, n, spot, w FROM walk WHERE spot IS NOT NULL),
+closed AS (SELECT l.doc_id, l.sent_id, coalesce(min(h.spot), length(any_value(l.text))) AS spot FROM lines l LEFT JOIN hung h ON h.doc_id = l.doc_id AND h.sent_id = l.sent_id AND h.w >= h.n WHERE l.text <> '' GROUP BY 1, 2),
+spaced AS (SELECT a.right_id, b.left_id FROM (SELECT d.doc_id, d.sent_id, d."end" AS at, d.right_id FROM nodes d JOIN hung h ON h.doc_id = d.doc_id AND h.sent_id = d.sent_id AND h.w = d.start UNION ALL SELECT doc_id, sent_id, 0, 0 FROM lines WHERE text <> '') a
+  JOIN (SELECT d.doc_id, d.sent_id, h.spot AS at, d.left_id FROM nodes d JOIN hung h ON h.doc_id = d.doc_id AND h.sent_id = d.sent_id AND h.w = d.start UNION ALL SELECT doc_id, sent_id, spot, 0 FROM closed) b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.at = b.at)"""
+
+
+def _sql(select: str, path: bool = False, spaced: bool = False, **options) -> str:
+    return f"WITH RECURSIVE {_lattice(**options)}{(_SPACED_PATH if spaced else _PATH) if path else ''}\n{select}"
+
+
+def _scorer_sql() -> str:
+    """The paths of the bigram dictionary: its costs stand in for the matrix."""
+    feats = [{0: [""] * X.TEMPLATES} | {int(i): row.split(",") for i, _, row in (line.partition("\t") for line in text.splitlines())} for text in (X.BIGRAM_RIGHT, X.BIGRAM_LEFT)]
+    pair = {tuple(names.split("/")): int(cost) for names, cost in (line.split("\t") for line in X.BIGRAM_COST.splitlines())}
+    cost = [(r, l, sum(pair.get(p, 0) for p in zip(feats[0][r], feats[1][l]))) for r in feats[0] for l in feats[1]]
+    sql, old = _sql(_SHORT, path=True), _tables().split("\n")[-1]
+    return sql.replace(old, _values("cost", "right_id, left_id, cost", cost))
 
 
 def _document_sql(select: str) -> str:
@@ -473,7 +553,13 @@ def oracle_sql() -> dict[str, str]:
         "lattice_edges": _sql("SELECT right_id, left_id, count(*) AS cnt FROM edges GROUP BY 1, 2"),
         "connection_cost_matrix": _sql("SELECT e.right_id, e.left_id, count(*) AS cnt, coalesce(any_value(k.cost), 0) AS cost FROM edges e LEFT JOIN cost k ON k.right_id = e.right_id AND k.left_id = e.left_id GROUP BY 1, 2"),
         "connection_cost_raw": _raw_sql(),
+        "connection_cost_scorer": _raw_sql(),
         "connection_cost_dual": _raw_sql(),
+        "tokens_scorer": _scorer_sql(),
+        "tokens_mapped": _sql(_SHORT, path=True, user=True),
+        "tokens_ignore_space": _sql("SELECT doc_id, sent_id, token_pos, surface, char_start, char_end, lex_type, word_id, total_cost FROM tokens", path=True, spaced=True),
+        "connid_counts_ignore_space": _sql("@").replace("\n@", f"{_SPACED_EDGES}, {_COUNTS.replace('FROM edges', 'FROM spaced')} SELECT * FROM counts"),
+        "connid_counts_documents": _document_sql("@").replace("\n@", f", {_COUNTS} SELECT * FROM counts"),
         "tokens_detail": _sql("SELECT doc_id, sent_id, token_pos, surface, char_start, char_end, byte_start, byte_end, lex_type, word_id, left_id, right_id, word_cost, total_cost, feature FROM tokens", path=True),
         "best_path_fold": _sql('SELECT doc_id, sent_id, path_cost, token_pos, char_start AS start, char_end AS "end", lex_rank, word_id FROM tokens', path=True),
         "tokens_wakati": _sql("SELECT l.doc_id, l.sent_id, coalesce(string_agg(t.surface, ' ' ORDER BY t.token_pos), '') AS out FROM lines l LEFT JOIN tokens t ON t.doc_id = l.doc_id AND t.sent_id = l.sent_id GROUP BY 1, 2", path=True),

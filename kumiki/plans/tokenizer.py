@@ -22,17 +22,16 @@ def _spread(sentences: DataFrame) -> DataFrame:
 
 
 class Tokenizer:
-    """Options and a dictionary; works alike on static and streaming sentences."""
+    """Options and a dictionary; works alike on static and streaming sentences.  ``mapped`` and ``scorer`` are those of ``Dictionary.packed``."""
 
-    def __init__(self, dictionary: Dictionary, ignore_space: bool = False, max_grouping_len: int = 0, strict: bool = False):
+    def __init__(self, dictionary: Dictionary, ignore_space: bool = False, max_grouping_len: int = 0, strict: bool = False, mapped: bool | None = None, scorer: bool | None = None):
         spark = dictionary.lexicon.sparkSession
         self.dictionary, self.options, self.strict = dictionary, (ignore_space, max_grouping_len), strict
-        compact = dictionary.compact()
-        if ignore_space and "SPACE" not in compact.names:
+        if ignore_space and dictionary.categories.where("name = 'SPACE'").isEmpty():
             raise InvalidArgument("ignoring spaces needs a category SPACE")
         if max_grouping_len < 0:
             raise InvalidArgument("max_grouping_len must not be negative")
-        self._compact = ship(spark).sparkContext.broadcast(compact)
+        self._compact = ship(spark).sparkContext.broadcast(dictionary.packed(mapped, scorer))
 
     def transform(self, sentences: DataFrame) -> DataFrame:
         """One row for each token of ``sentences(doc_id, sent_id, text)``, without features; no shuffle."""
