@@ -56,6 +56,44 @@ def groupable_runs(infos: DataFrame) -> DataFrame:
     return rows.withColumn("groupable", F.min("_cut").over(ahead) - F.col("pos") + 1).drop("_cut")
 
 
+def postings(lexicon: DataFrame) -> DataFrame:
+    """(surface, word_ids): the numbers of each surface's words, rising."""
+    return lexicon.groupBy("surface").agg(F.array_sort(F.collect_list("word_id")).alias("word_ids"))
+
+
+def unknown_ids(words: DataFrame, num_left: int, num_right: int) -> DataFrame:
+    """The words with a connection id that a matrix of these sizes has not; both are counted from 0."""
+    return words.where((F.col("left_id") >= num_left) | (F.col("right_id") >= num_right) | (F.least("left_id", "right_id") < 0))
+
+
+def labels(lexicon: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(label_id, kind, id, feature, first_char): labels 1, 2, ... of words in order of their numbers, then of unknown entries.
+
+    Words are numbered in two levels, within ranges of their numbers and over the ranges.
+    """
+    rows = numbered(lexicon.select(F.lit("word").alias("kind"), F.col("word_id").alias("id"), "feature", F.substring("surface", 1, 1).alias("first_char")), "id", "label_id")
+    more = unknown.select(F.lit("unknown").alias("kind"), F.col("unk_id").alias("id"), "feature", F.lit(None).cast("string").alias("first_char"), (F.col("unk_id") + 1 + lexicon.count()).alias("label_id"))
+    columns = ["label_id", "kind", "id", "feature", "first_char"]
+    return rows.withColumn("label_id", F.col("label_id") + 1).select(columns).unionAll(more.select(columns))
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, ... in order of a column of whole numbers, ties in any order.
+
+    A sample of the numbers cuts them into ranges; a row's place in its range and the sizes of
+    the ranges before make its number, so that no task has all rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [c for c in rows.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("c")).first().c or []] if parts > 1 else []
+    place = F.size(F.filter(F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    rows = rows.withColumn("_range", place)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(sizes.select("_range", ahead.alias("_ahead")))  # a row for each partition
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return rows.join(sizes, "_range").withColumn(name, (own + F.col("_ahead")).cast("long")).drop("_range", "_ahead")
+
+
 def prefix_matches(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, sent_id, start, end, lex_rank, word_id, left_id, right_id, word_cost): every word at every place.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, InvalidFormat
 from ..operators import connectors as C
+from ..operators import lattice as N
 from ..operators.batch import Index
 from ..sources import lines as L
 from .mapped import Mapped
@@ -68,7 +69,7 @@ class Dictionary:
     def check(self) -> "Dictionary":
         """Every connection id must be known to the matrix."""
         for name, df in (("lexicon", self.lexicon), ("unknown", self.unknown), ("user", self.user)):
-            if df is not None and not df.where((F.col("left_id") >= self.num_left) | (F.col("right_id") >= self.num_right)).isEmpty():
+            if df is not None and not N.unknown_ids(df, self.num_left, self.num_right).isEmpty():
                 raise InvalidArgument(f"{name} has a connection id that the matrix has not")
         return self
 
@@ -100,7 +101,7 @@ class Dictionary:
 
     def postings(self) -> DataFrame:
         """(surface, word_ids) of the system words."""
-        return self.lexicon.groupBy("surface").agg(F.array_sort(F.collect_list("word_id")).alias("word_ids"))
+        return N.postings(self.lexicon)
 
     def write(self, path: str) -> None:
         """As Parquet tables in a new folder: lexica, categories, costs, the mapping of ids and the factors."""

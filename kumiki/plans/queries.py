@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rewriting import Rewriter, Template
+from ..functions.table import register_tokenize
+from ..operators import alignment as A
 from ..operators import connectors as C
 from ..operators import lattice as N
 from ..operators import viterbi as V
@@ -269,6 +271,71 @@ def _corpus(spark, sf_dir):
     return rows.withColumn("token_pos", F.col("token_pos").cast("long"))
 
 
+#: Unknown entries with tags, for a corpus whose features are the cells of p_type and p_brand.
+TAGGED_UNKNOWN = """DEFAULT,0,0,0,*
+SPACE,0,0,0,*
+ALPHA,0,0,0,"PROMO",*,STEEL
+ALPHA,0,0,0,STANDARD,*,*,*
+ALPHA,0,0,0,*,BRUSHED
+UPPER,0,0,0,*
+"""
+
+
+def _number(*columns) -> F.Column:
+    """A number below 2^60 of the columns' values: the same wherever and in whatever order they are met."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 15), 16, 10).cast("long")
+
+
+def _part_lexicon(spark, sf_dir):
+    """A lexicon of the words of part names with their features: three quarters of them, by digest."""
+    rows = _corpus(spark, sf_dir).select("surface", "feature").distinct().where(F.substring(F.md5(F.concat_ws("|", "feature", "surface")), 1, 1) < "c")
+    number = _number("surface", "feature")
+    return rows.select(number.alias("word_id"), "surface", (number % 1200).cast("int").alias("left_id"), (number % 1100).cast("int").alias("right_id"), (number % 900).cast("int").alias("word_cost"), "feature")
+
+
+def _gold(spark, sf_dir):
+    d, corpus = dictionary(spark), _corpus(spark, sf_dir)
+    sentences, runs = A.sentence_runs(corpus, d.categories, d.points)
+    unknown = L.unknowns(L.from_text(spark, TAGGED_UNKNOWN), d.categories)
+    lexicon = _part_lexicon(spark, sf_dir)
+    return sentences, runs, unknown, lexicon, A.gold_edges(corpus, lexicon, unknown, runs)
+
+
+def gold_alignment(spark, sf_dir):
+    """The label of every token of the part names: a word, a compatible unknown entry, or none."""
+    return _gold(spark, sf_dir)[-1]
+
+
+def training_edges(spark, sf_dir):
+    """All edges of the part names' lattices, right ones and others."""
+    sentences, runs, unknown, lexicon, gold = _gold(spark, sf_dir)
+    matches = N.prefix_matches(sentences, lexicon.withColumn("lex_rank", F.lit(N.SYSTEM)))
+    return A.training_edges(gold, matches, N.unknown_candidates(runs, matches, unknown))
+
+
+def postings_parts(spark, sf_dir):
+    """The word numbers of every surface of the part names' lexicon."""
+    return N.postings(_part_lexicon(spark, sf_dir)).select("surface", F.array_join(F.transform("word_ids", lambda x: x.cast("string")), ",").alias("word_ids"))
+
+
+def validation_parts(spark, sf_dir):
+    """Words of the part names' lexicon whose connection ids a matrix of 1000 by 1050 has not, by feature."""
+    return N.unknown_ids(_part_lexicon(spark, sf_dir), 1050, 1000).groupBy("feature").agg(F.count("*").alias("bad"), F.min("word_id").alias("least"))
+
+
+def labels_parts(spark, sf_dir):
+    """Labels of the part names' lexicon in order of words' numbers, then of the unknown entries."""
+    d = dictionary(spark)
+    return N.labels(_part_lexicon(spark, sf_dir), L.unknowns(L.from_text(spark, TAGGED_UNKNOWN), d.categories))
+
+
+def tokens_lateral(spark, sf_dir):
+    """The tokens of the benchmark's texts by a table function in SQL."""
+    ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet").createOrReplaceTempView("lateral_benchmark")
+    register_tokenize(spark, T.Tokenizer(dictionary(spark)), "kumiki_tokenize")
+    return spark.sql("SELECT b.item_id AS doc_id, t.sent_id, t.token_pos, t.surface, t.char_start, t.char_end, t.lex_type, t.word_id, t.left_id, t.right_id, t.word_cost, t.total_cost FROM lateral_benchmark b, LATERAL kumiki_tokenize(b.text) t")
+
+
 def corpus_sentences(spark, sf_dir):
     return T.corpus_sentences(_corpus(spark, sf_dir))
 
@@ -352,7 +419,7 @@ def text_model_costs(spark, sf_dir):
     return L.text_model_costs(lines, 7.0)
 
 
-_QUERIES = (char_positions, char_categories, char_info_packed, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_scorer, connection_cost_dual, tokens_scorer, tokens_mapped, connid_counts_ignore_space, tokens_ignore_space_documents, connid_counts_documents, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
+_QUERIES = (gold_alignment, training_edges, postings_parts, validation_parts, labels_parts, tokens_lateral, char_positions, char_categories, char_info_packed, groupable_runs, prefix_matches, unknown_candidates, lattice_nodes, lattice_reachable, lattice_edges, connection_cost_matrix, connection_cost_raw, connection_cost_scorer, connection_cost_dual, tokens_scorer, tokens_mapped, connid_counts_ignore_space, tokens_ignore_space_documents, connid_counts_documents, tokens_detail, best_path_fold, tokens_wakati, tokens_lines, tokens_user_lexicon, tokens_max_grouping, tokens_ignore_space, tokens_documents, tokens_conversations, token_counts, connid_counts, connid_probs, connid_remap, remap_invariance, homograph_postings, dictionary_validation, corpus_sentences, corpus_lines, corpus_split, eval_prf, feature_rewrite, feature_templates, label_table, weight_scaling, bench_stats, text_model_costs, word_counts_documents, lattice_counts_documents, mapping_file, lexicon_scraped)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -535,6 +602,30 @@ def _templates_sql() -> str:
     return f"""WITH {_CORPUS} SELECT DISTINCT feature, 'U0:' || {c(0)} AS u0, {must(1, f"'U1:' || {c(1)} || '/' || {c(2)}")} AS u1, 'U2:2-' || {c(7)} AS u2, {must(7, f"'U3:' || {c(7)}")} AS u3, {must(3, f"'B:' || {c(0)} || '+' || {c(3)}")} AS l0 FROM corpus"""
 
 
+def _part_sql(select: str) -> str:
+    """A lattice over the part names' sentences with the lexicon of their words and the tagged unknown entries."""
+    sql, tables = _sql("@"), _tables().split(",\n")
+    ids = {c[0]: i for i, c in enumerate(L.char_def(X.CHAR.splitlines())[0])}
+    unk = sorted(((ids[e[0]], i, e) for i, e in enumerate(_entries(TAGGED_UNKNOWN))), key=lambda x: x[:2])
+    number = lambda *c: "('0x' || substr(md5(" + " || '|' || ".join(c) + "), 1, 15))::BIGINT"
+    lines = f"{_CORPUS}, lines AS (SELECT example_id AS doc_id, 0::BIGINT AS sent_id, string_agg(surface, '' ORDER BY token_pos) AS text FROM corpus GROUP BY 1)"
+    lex = f"lex AS (SELECT 1 AS lex_rank, w AS word_id, surface, (w % 1200)::INT AS left_id, (w % 1100)::INT AS right_id, (w % 900)::INT AS word_cost, feature FROM (SELECT DISTINCT surface, feature, {number('surface', 'feature')} AS w FROM corpus WHERE substr(md5(feature || '|' || surface), 1, 1) < 'c'))"
+    sql = sql.replace(_LINES, lines).replace(next(t for t in tables if t.startswith("lex(")), lex)
+    sql = sql.replace(next(t for t in tables if t.startswith("unk(")), _values("unk", "unk_id, base_id, left_id, right_id, word_cost, feature", [(k, c, *e[1:]) for k, (c, _, e) in enumerate(unk)]))
+    gold = """,
+spans AS (SELECT *, coalesce(sum(length(surface)) OVER (PARTITION BY example_id ORDER BY token_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM corpus),
+named AS (SELECT feature, substr(surface, 1, 1) AS c, max(word_id) AS word_id FROM lex GROUP BY 1, 2),
+met AS (SELECT s.example_id, s.token_pos, s.start, s.start + length(s.surface) AS "end", s.feature, n.word_id, r.base_id, r.grp, r.length, r.g FROM spans s
+  LEFT JOIN named n ON n.feature = s.feature AND n.c = substr(s.surface, 1, 1) LEFT JOIN runs r ON r.doc_id = s.example_id AND r.pos = s.start),
+fitting AS (SELECT m.example_id, m.token_pos, min(u.unk_id) AS unk_id FROM met m JOIN unk u ON u.base_id = m.base_id
+  WHERE m.word_id IS NULL AND (m.grp OR m."end" - m.start <= least(m.length, m.g))
+    AND list_bool_and(list_transform(string_split(replace(u.feature, '"', ''), ','), lambda c, i: c = '*' OR coalesce(string_split(m.feature, ',')[i] = c, false))) GROUP BY 1, 2),
+gold AS MATERIALIZED (SELECT m.example_id, m.token_pos, m.start, m."end", CASE WHEN m.word_id IS NOT NULL THEN 'word' WHEN f.unk_id IS NOT NULL THEN 'unknown' ELSE 'virtual' END AS kind, coalesce(m.word_id, f.unk_id)::BIGINT AS id
+  FROM met m LEFT JOIN fitting f ON f.example_id = m.example_id AND f.token_pos = m.token_pos)
+"""
+    return sql.replace("\n@", gold + select)
+
+
 def _remap_sql() -> str:
     left, right = f"CASE WHEN left_id = 0 THEN 0 ELSE {X.SIZE} - left_id END", f"CASE WHEN right_id = 0 THEN 0 WHEN right_id = 1 THEN {X.SIZE - 1} ELSE right_id - 1 END"
     return f"WITH {_tables()} SELECT 'lexicon' AS part, word_id::BIGINT AS k, {left} AS left_id, {right} AS right_id, word_cost AS cost FROM lex UNION ALL SELECT 'unknown', unk_id, {left}, {right}, word_cost FROM unk UNION ALL SELECT 'matrix', 0, {left}, {right}, cost FROM cost"
@@ -553,6 +644,14 @@ def oracle_sql() -> dict[str, str]:
         "lattice_edges": _sql("SELECT right_id, left_id, count(*) AS cnt FROM edges GROUP BY 1, 2"),
         "connection_cost_matrix": _sql("SELECT e.right_id, e.left_id, count(*) AS cnt, coalesce(any_value(k.cost), 0) AS cost FROM edges e LEFT JOIN cost k ON k.right_id = e.right_id AND k.left_id = e.left_id GROUP BY 1, 2"),
         "connection_cost_raw": _raw_sql(),
+        "gold_alignment": _part_sql("SELECT * FROM gold"),
+        "training_edges": _part_sql("""SELECT example_id, start, "end", kind, id, true AS gold FROM gold UNION ALL
+SELECT e.* FROM (SELECT doc_id AS example_id, start, "end", CASE WHEN lex_rank = 2 THEN 'unknown' ELSE 'word' END AS kind, word_id::BIGINT AS id, false AS gold FROM (SELECT * FROM matches UNION ALL SELECT * FROM unks)) e
+ANTI JOIN gold g ON g.example_id = e.example_id AND g.start = e.start AND g."end" = e."end" AND g.kind = e.kind AND g.id = e.id"""),
+        "postings_parts": _part_sql("SELECT surface, string_agg(word_id::VARCHAR, ',' ORDER BY word_id) AS word_ids FROM lex GROUP BY 1"),
+        "validation_parts": _part_sql("SELECT feature, count(*) AS bad, min(word_id) AS least FROM lex WHERE left_id >= 1050 OR right_id >= 1000 GROUP BY 1"),
+        "labels_parts": _part_sql("SELECT row_number() OVER (ORDER BY word_id) AS label_id, 'word' AS kind, word_id AS id, feature, substr(surface, 1, 1) AS first_char FROM lex UNION ALL SELECT unk_id + 1 + (SELECT count(*) FROM lex), 'unknown', unk_id, feature, NULL FROM unk"),
+        "tokens_lateral": _sql("SELECT doc_id, sent_id, token_pos, surface, char_start, char_end, lex_type, word_id::BIGINT AS word_id, left_id, right_id, word_cost, total_cost FROM tokens", path=True),
         "connection_cost_scorer": _raw_sql(),
         "connection_cost_dual": _raw_sql(),
         "tokens_scorer": _scorer_sql(),

@@ -71,7 +71,8 @@ def lexicon(lines: DataFrame) -> DataFrame:
     if bad:
         raise InvalidFormat(f"lexicon line {bad.line_no}: {bad.value[:80]!r}")
     rows = rows.where("surface <> ''")
-    return rows.select((F.row_number().over(_by_line()) - 1).cast("long").alias("word_id"), "surface", "left_id", "right_id", "word_cost", "feature")
+    numbered = _before(rows, "line_no", F.lit(1).cast("long"), "word_id")
+    return numbered.select("word_id", "surface", "left_id", "right_id", "word_cost", "feature")
 
 
 def _by_line():
