@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from ..errors import InvalidArgument, InvalidFormat
 from ..functions.rewriting import Rewriter, Template
 from ..operators import viterbi as V
 from ..plans.dictionary import Dictionary
+from ..plans.mapped import shared_dir
 from ..shipping import ship
 from ..sources.lines import csv_row, lexicon, quote_cell
+from .owlqn import minimise
 
 
 class FeatureSet:
@@ -57,7 +60,7 @@ class Model:
         unk = dictionary.unknown.orderBy("unk_id").collect()
         self.labels = [(1, r.word_id, r.feature, self.compact.info(r.surface[0])[0]) for r in words] + [(2, r.unk_id, r.feature, r.cate_id) for r in unk]
         self.label_of = {(rank, k): i for i, (rank, k, _, _) in enumerate(self.labels)}
-        self.by_word = {(r.surface, r.feature): (1, r.word_id) for r in words}
+        self.by_word = {(r.feature, r.surface[0]): (1, r.word_id) for r in words}  # words of one feature and first character share the last one's label
         self.surfaces = {(1, r.word_id): r.surface for r in words}
         self.user: list[tuple] = []
         sets = [features(f, c) for _, _, f, c in self.labels]
@@ -132,7 +135,7 @@ class Model:
             for end, entries in V.candidates(d, text, i, infos[i][0], run[i], 0):
                 edges.update((i, end, self.label_of[e[0], e[1]]) for e in entries if (e[0], e[1]) in self.label_of)
         for surface, feature in tokens:
-            key = self.by_word.get((surface, feature))
+            key = self.by_word.get((feature, surface[:1]))
             if key is None and surface:
                 cells, (base, _) = csv_row(feature), infos[at]
                 _, group, length = d.categories[base]
@@ -155,7 +158,10 @@ class Model:
 
     def gradient(self, tokens, w) -> tuple[float, dict[int, float]]:
         """Negative log-likelihood of a sentence and its gradient, by forward-backward over (place, label) states."""
-        n, edges, gold = self.example(tokens)
+        return self.lattice_gradient(*self.example(tokens), w)
+
+    def lattice_gradient(self, n: int, edges, gold, w) -> tuple[float, dict[int, float]]:
+        """The same of a sentence whose lattice is built."""
         fore = {(0, -2): 0.0}
         walk = list(self._ordered(edges, w))
         for start, before, end, label, s in walk:
@@ -246,31 +252,45 @@ class Model:
         return {"right": rows(self.lefts), "left": rows(self.rights), "cost": "\n".join(costs)}
 
 
-def objective(model, examples: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss and gradient over all examples: tasks add up theirs, the features are summed by key."""
-    spark = examples.sparkSession
+def lattices(model: Model, corpus: DataFrame) -> DataFrame:
+    """(n, edges, gold) of every sentence of ``corpus(example_id, token_pos, surface, feature)``: its length, all edges and the right ones, as whole numbers."""
+    ship(corpus.sparkSession)
+    examples = corpus.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("token_pos", "surface", "feature"))).alias("tokens"))
+    m = corpus.sparkSession.sparkContext.broadcast(_Plain(model))
+
+    def run(batches):
+        for batch in batches:
+            found = [Model.example(m.value, [(t["surface"], t["feature"]) for t in tokens]) for tokens in batch.column(0).to_pylist()]
+            packed = [pa.array([np.array(f[k], dtype=np.int32).tobytes() for f in found], pa.binary()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), *packed], names=["n", "edges", "gold"])
+
+    return examples.select("tokens").mapInArrow(run, "n int, edges binary, gold binary")
+
+
+def objective(model, built: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss and gradient over all ``lattices``: tasks add up theirs, features are summed by key."""
+    spark = built.sparkSession
     m, shared = spark.sparkContext.broadcast(_Plain(model)), spark.sparkContext.broadcast(w)
+    three = lambda b: list(map(tuple, np.frombuffer(b, np.int32).reshape(-1, 3).tolist()))
 
     def run(batches):
         loss, grad = 0.0, {}
         for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                value, g = Model.gradient(m.value, [(t["surface"], t["feature"]) for t in tokens], shared.value)
+            for n, edges, gold in zip(*(c.to_pylist() for c in batch.columns)):
+                value, g = Model.lattice_gradient(m.value, n, three(edges), three(gold), shared.value)
                 loss += value
                 for k, v in g.items():
                     grad[k] = grad.get(k, 0.0) + v
         grad[-1] = loss
         yield pa.RecordBatch.from_arrays([pa.array(list(grad), pa.int64()), pa.array(list(grad.values()), pa.float64())], names=["k", "v"])
 
-    rows = examples.select("tokens").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = built.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    k, v = (rows.column(c).to_numpy() for c in ("k", "v"))
     out = np.zeros(len(w))
-    loss = 0.0
-    for r in rows:
-        if r.k < 0:
-            loss = r.v
-        else:
-            out[r.k] = r.v
-    return loss, out
+    out[k[k >= 0]] = v[k >= 0]
+    m.destroy()
+    shared.destroy()
+    return float(v[k < 0].sum()), out
 
 
 class _Plain(Model):
@@ -281,25 +301,18 @@ class _Plain(Model):
 
 
 def train(dictionary: Dictionary, corpus: DataFrame, features: FeatureSet, l1: float = 0.01, max_iter: int = 100) -> Model:
-    """Weights with an L1 penalty, by proximal gradient steps whose size adapts; zero weights carry no cost.
+    """Weights with an L1 penalty, by quasi-Newton steps; zero weights carry no cost.
 
-    ``corpus`` has (example_id, token_pos, surface, feature).
+    ``corpus`` has (example_id, token_pos, surface, feature).  Lattices are built once and written
+    to the shared folder; every evaluation is one pass over them.  ``passes`` of the model has their number.
     """
     if l1 < 0 or max_iter < 1:
         raise InvalidArgument("l1 must not be negative and max_iter at least 1")
-    ship(corpus.sparkSession)
-    examples = corpus.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("token_pos", "surface", "feature"))).alias("tokens")).persist()
-    model, step = Model(dictionary, features), 0.5
-    loss, grad = objective(model, examples, model.w)
-    for _ in range(max_iter):
-        move = model.w - step * grad
-        new = np.sign(move) * np.maximum(np.abs(move) - step * l1, 0.0)
-        if np.abs(new - model.w).max() < 1e-4:
-            break
-        got, g = objective(model, examples, new)
-        if got + l1 * np.abs(new).sum() <= loss + l1 * np.abs(model.w).sum() + 1e-12:
-            model.w, loss, grad, step = new, got, g, step * 1.3
-        else:
-            step *= 0.4
-    examples.unpersist()
+    spark = ship(corpus.sparkSession)
+    model, path = Model(dictionary, features), f"{shared_dir(spark)}/kumiki/lattices-{uuid.uuid4().hex}"
+    lattices(model, corpus).write.parquet(path)
+    built = spark.read.parquet(path)
+    model.w, model.passes = minimise(lambda w: objective(model, built, w), model.w, l1, max_iter)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     return model
