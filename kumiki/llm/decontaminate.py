@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,8 @@ K1, B = 1.2, 0.75
 SHINGLE = 5
 #: Share of the shingles of an item's question, and of its answer, that a text must hold.
 OVERLAP = 0.75
-#: Text of test items that one index holds, and indexes that a pass over the documents asks; larger tables take more passes.
-INDEX_BYTES, INDEXES = 1 << 20, 64
+#: Text of test items that one index holds, and bytes of indexes that a worker holds in a pass over the documents; larger tables take more passes.
+INDEX_BYTES, HELD_BYTES = 1 << 20, 500_000_000
 _BLOCK = 16
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -36,59 +35,96 @@ def parts_of(text: str) -> tuple[str, str]:
     return (text[:cut], text[cut + 1 :]) if cut >= 0 else (text, "")
 
 
+class _Lists:
+    """Postings of terms in flat arrays; one term's come as lists."""
+
+    def __init__(self, start: np.ndarray, items: np.ndarray, impacts: np.ndarray):
+        self.start, self.items, self.impacts = start, items, impacts
+
+    def __getitem__(self, t: int) -> tuple[list[int], list[float]]:
+        a, b = self.start[t], self.start[t + 1]
+        return self.items[a:b].tolist(), self.impacts[a:b].tolist()
+
+
 class BlockMaxIndex:
-    """Postings of items by shingle, with the largest impact of every block of postings.
+    """Postings of items by shingle in flat arrays, with the largest impact of every block of postings.
 
     Impacts are BM25 weights over the least score that an item can have when the
     overlaps hold: the sum of its lightest shingles that suffice.  So an item with
-    enough overlap scores 1 or more, and all above 1 are retrieved.
+    enough overlap scores 1 or more, and all above 1 are retrieved.  An index takes some
+    40 bytes for each word of its items: their words' hashes, and term, posting and impact.
     """
 
     def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE):
-        self.items, counts = [], []
+        self.shingle, self.ids, words, cuts, grams, owner = shingle, [], [], [], [], []
         for item_id, text in items:
             whole, parts = _words(text), [_words(part) for part in parts_of(text)]
             if not len(whole):
                 continue
-            sizes = [min(shingle, len(part)) for part in parts]
-            sets = [W.shingle_set(part, shingle) for part in parts]
-            self.items.append((item_id, (W.shingle_set(whole, shingle), min(shingle, len(whole))), sets, sizes))
-            counts.append(Counter(g for part, k in zip(parts, sizes) if k for g in W.grams(part, k).tolist()))
-        self.lengths = sorted({k for _, (_, size), _, sizes in self.items for k in (size, *sizes) if k})
-        postings: dict[int, list[tuple[int, int]]] = {}
-        for k, held in enumerate(counts):
-            for g, tf in held.items():
-                postings.setdefault(g, []).append((k, tf))
-        n = len(self.items)
-        length = [sum(held.values()) for held in counts]
-        mean = sum(length) / n if n else 1.0
-        weight: list[dict[int, float]] = [{} for _ in range(n)]
-        for g, own in postings.items():
-            idf = math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5))
-            for k, tf in own:
-                weight[k][g] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[k] / mean))
-        least = []
-        for k, (_, _, sets, _) in enumerate(self.items):
-            needs = [sum(sorted(weight[k][g] for g in part.tolist())[: math.ceil(OVERLAP * len(part))]) for part in sets]
-            shared = len(np.intersect1d(*sets))  # a shingle of both parts scores once
-            least.append(max(needs) if shared else sum(needs))
-        self.terms = np.array(sorted(postings), dtype=np.uint64)
-        self.lists = [([k for k, _ in postings[g]], [weight[k][g] / least[k] for k, _ in postings[g]]) for g in self.terms.tolist()]
-        self.most = np.array([max(i) for _, i in self.lists])
-        self.blocks = [([d[min(k + _BLOCK, len(d)) - 1] for k in range(0, len(d), _BLOCK)], [max(i[k : k + _BLOCK]) for k in range(0, len(d), _BLOCK)]) for d, i in self.lists]
+            for part in parts:
+                if len(part):
+                    grams.append(W.grams(part, min(shingle, len(part))))
+                    owner.append(np.full(len(grams[-1]), len(self.ids), dtype=np.int64))
+            self.ids.append(item_id)
+            words.append(whole)
+            cuts.append(len(parts[0]))  # a part's words are the whole text's: parts are cut at white space
+        n = len(self.ids)
+        none = np.zeros(0, np.uint64)
+        self.words, self.cuts = np.concatenate(words) if words else none, np.array(cuts, dtype=np.int64)
+        self.at = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+        self.lengths = sorted({k for w, c in zip(words, cuts) for k in (min(shingle, len(w)), min(shingle, c), min(shingle, len(w) - c)) if k})
+        g, k = (np.concatenate(x) if x else none for x in (grams, owner))
+        self.terms, term = np.unique(g, return_inverse=True)
+        pairs, tf = np.unique(term.astype(np.int64) * max(n, 1) + k.astype(np.int64), return_counts=True)
+        term, item = pairs // max(n, 1), pairs % max(n, 1)
+        start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        length = np.bincount(item, tf, minlength=n)
+        held = np.diff(start)
+        idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (length.mean() if n else 1.0)))
+        by_item = np.argsort(item, kind="stable")
+        first = np.searchsorted(item[by_item], np.arange(n + 1))
+        least = np.ones(n)
+        for i in range(n):
+            own = by_item[first[i] : first[i + 1]]
+            known, weight = self.terms[term[own]], impact[own]  # terms rise, as pairs do
+            sets = self._sets(i)
+            needs = [np.sort(weight[np.searchsorted(known, s)])[: math.ceil(OVERLAP * len(s))].sum() for s in sets]
+            least[i] = max(needs) if len(np.intersect1d(*sets)) else sum(needs)  # a shingle of both parts scores once
+        self.lists = _Lists(start.astype(np.int32), item.astype(np.int32), impact / least[item])
+        self.most = np.maximum.reduceat(self.lists.impacts, start[:-1]) if len(self.terms) else np.zeros(0)
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.terms >> np.uint64(44)).astype(np.int64)] = True
 
+    def _sets(self, item: int) -> list[np.ndarray]:
+        """The shingles of an item's question and answer."""
+        own, cut = self.words[self.at[item] : self.at[item + 1]], self.cuts[item]
+        return [W.shingle_set(part, self.shingle) for part in (own[:cut], own[cut:])]
+
+    @staticmethod
+    def _blocks(items: list[int], impacts: list[float]) -> tuple[list[int], list[float]]:
+        """Last item and largest impact of each block."""
+        return [items[min(k + _BLOCK, len(items)) - 1] for k in range(0, len(items), _BLOCK)], [max(impacts[k : k + _BLOCK]) for k in range(0, len(items), _BLOCK)]
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes that its arrays hold."""
+        arrays = (self.words, self.cuts, self.at, self.terms, self.most, self.maybe, self.lists.start, self.lists.items, self.lists.impacts)
+        return sum(a.nbytes for a in arrays) + 40 * len(self.ids)
+
     def search(self, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
         """All items that score ``threshold`` or more for the distinct query terms, by block-max WAND."""
         threshold -= 1e-9
-        cursor = [[self.lists[t][0][0], 0, t] for t in terms]
+        lists = {t: self.lists[t] for t in terms}
+        blocks = {t: self._blocks(*own) for t, own in lists.items()}
+        most = {t: max(best) for t, (_, best) in blocks.items()}
+        cursor = [[lists[t][0][0], 0, t] for t in terms]
         found = []
         while cursor:
             cursor.sort()
             bound, pivot = 0.0, -1
             for k, (_, _, t) in enumerate(cursor):
-                bound += self.most[t]
+                bound += most[t]
                 if bound >= threshold:
                     pivot = k
                     break
@@ -99,7 +135,7 @@ class BlockMaxIndex:
                 pivot += 1
             tight, ends = 0.0, 1 << 60
             for _, place, t in cursor[: pivot + 1]:
-                last, best = self.blocks[t]
+                last, best = blocks[t]
                 b = place // _BLOCK
                 while b < len(last) and last[b] < doc:
                     b += 1
@@ -110,21 +146,22 @@ class BlockMaxIndex:
                 nxt = ends + 1 if ends < 1 << 60 else doc + 1
                 if pivot + 1 < len(cursor):
                     nxt = min(nxt, cursor[pivot + 1][0])
-                self._advance(cursor, pivot + 1, max(nxt, doc + 1))
+                self._advance(lists, blocks, cursor, pivot + 1, max(nxt, doc + 1))
             elif cursor[0][0] == doc:
-                score = sum(self.lists[t][1][p] for _, p, t in cursor[: pivot + 1])
+                score = sum(lists[t][1][p] for _, p, t in cursor[: pivot + 1])
                 if score >= threshold:
                     found.append((doc, score))
-                self._advance(cursor, pivot + 1, doc + 1)
+                self._advance(lists, blocks, cursor, pivot + 1, doc + 1)
             else:
                 first = next(k for k in range(pivot + 1) if cursor[k][0] == doc)
-                self._advance(cursor, first, doc)
+                self._advance(lists, blocks, cursor, first, doc)
         return found
 
-    def _advance(self, cursor, many, doc):
+    @staticmethod
+    def _advance(lists, blocks, cursor, many, doc):
         for c in cursor[:many]:
-            docs, place = self.lists[c[2]][0], c[1]
-            last = self.blocks[c[2]][0]
+            docs, place = lists[c[2]][0], c[1]
+            last = blocks[c[2]][0]
             b = place // _BLOCK
             while b < len(last) and last[b] < doc:
                 b += 1
@@ -163,26 +200,32 @@ class BlockMaxIndex:
         for doc, terms in self.queries(grams, first) if len(self.terms) else ():
             held = self.terms[terms]
             for item, score in self.search(terms.tolist()):
-                item_id, (whole, size), sets, _ = self.items[item]
-                question, answer = (float(np.isin(s, held).mean()) if len(s) else 1.0 for s in sets)
+                question, answer = (float(np.isin(s, held).mean()) if len(s) else 1.0 for s in self._sets(item))
                 if min(question, answer) >= OVERLAP:
+                    item_id, own = self.ids[item], self.words[self.at[item] : self.at[item + 1]]
+                    whole, size = W.shingle_set(own, self.shingle), min(self.shingle, len(own))
                     every = np.isin(whole, grams[size][first[doc] : first[doc + 1] - size + 1])
                     out.append((doc, item_id, score, float(every.mean()), question, answer))
         return out
 
 
 def _indexes(items: DataFrame):
-    """Broadcast indexes that together hold all items with a text and an item_id, in lists of at most INDEXES."""
+    """Broadcast indexes that together hold all items with a text and an item_id, in lists of at most HELD_BYTES."""
     held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / INDEX_BYTES))
     if parts > 1:
         held = keep(held, "items")
-    made = []
+    passes, room = [], 0
     for part in range(parts):
         own = held if parts == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        made.append(items.sparkSession.sparkContext.broadcast(BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()])))
-    return [made[k : k + INDEXES] for k in range(0, parts, INDEXES)]
+        index = BlockMaxIndex([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()])
+        if not passes or index.nbytes > room:
+            passes.append([])
+            room = HELD_BYTES
+        room -= index.nbytes
+        passes[-1].append(items.sparkSession.sparkContext.broadcast(index))
+    return passes
 
 
 def _found(column: pa.Array, indexes):

@@ -575,3 +575,18 @@ def test_fifty_thousand_secrets_are_masked_in_linear_time(spark):
     began = time.time()
     got = secret_scan.mask_secrets(d, length="n_chars").first()
     assert got.text == " ä ".join(["[secret]"] * 50_000) and got.n_chars == len(got.text) and time.time() - began < 60
+
+
+def test_an_index_holds_few_bytes_and_passes_are_bounded(spark, monkeypatch):
+    r = random.Random(1)
+    w = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    items = [(k, w(40) + "\n" + w(8)) for k in range(2000)]
+    index, size = decontaminate.BlockMaxIndex(items), sum(len(t) for _, t in items)
+    assert index.nbytes - (1 << 20) < 8 * size  # the filter's size is fixed
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(k, f"x y {t} z") for k, t in items[:50]] + [(99999, w(50))], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size // 6)
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 3_500_000)
+    passes = decontaminate._indexes(b)
+    assert len(passes) > 1 and all(sum(i.value.nbytes for i in some) <= 3_500_000 or len(some) == 1 for some in passes)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(d, b).collect()} == {(k, k) for k in range(50)}
