@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +40,33 @@ def scored_cost(pairs: DataFrame, dictionary) -> DataFrame:
     return pairs.select("right_id", "left_id").distinct().mapInArrow(run, "right_id int, left_id int, cost int")
 
 
+def _row_hashes(features: DataFrame, side: str, keys: list[int]) -> DataFrame:
+    """(side, h): for each id the hashes of its features by template, in order of ``keys``; one of its own where it has none."""
+    rows = features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "feat"))).alias("m"))
+    return rows.select(F.lit(side).alias("side"), F.array(*[F.xxhash64(F.lit(k), F.try_element_at("m", F.lit(k))) for k in keys]).alias("h"))
+
+
 def split_templates(right_feats: DataFrame, left_feats: DataFrame, raw: int = DUAL_RAW) -> list[int]:
     """The ``raw`` templates that stay factored: one after another, the one without which the fewest distinct rows remain; ties take the highest index.
 
-    The rows are those of the connection ids, a few thousand cells, read once.
+    A row's hash is that of all its features together, so without a template it is that hash less the
+    template's part: one aggregate a round counts the distinct rows for every candidate, and
+    only these counts are collected.
     """
-    table = lambda df: {i: dict(g) for i, g in itertools.groupby(sorted((r.id, (r.k, r.feat)) for r in df.collect()), key=lambda x: x[0]) for g in [[x[1] for x in g]]}
-    rights, lefts = table(right_feats), table(left_feats)
-    keys = sorted({k for row in [*rights.values(), *lefts.values()] for k in row})
+    keys = sorted(r.k for r in right_feats.select("k").unionAll(left_feats.select("k")).distinct().collect())
     if len(keys) < raw:
         raise InvalidArgument(f"at least {raw} templates are needed")
-    out, rest = [], list(keys)
+    rows = _row_hashes(right_feats, "right", keys).unionAll(_row_hashes(left_feats, "left", keys)).persist()
+    out, rest = [], list(range(len(keys)))
     for _ in range(raw):
-        size = lambda rows, drop: len({tuple(row.get(k) for k in rest if k != drop) for row in rows.values()})  # noqa: B023, E731
-        worst = min(rest, key=lambda k: (size(rights, k) * size(lefts, k), -k))
-        out.append(worst)
+        whole = reduce(lambda a, b: a.bitwiseXOR(b), [F.get("h", F.lit(i)) for i in rest])
+        without = F.array(*[F.struct(F.lit(i).alias("i"), whole.bitwiseXOR(F.get("h", F.lit(i))).alias("h")) for i in rest])
+        counts = rows.select("side", F.explode(without).alias("c")).groupBy("side", "c.i").agg(F.count_distinct("c.h").alias("n")).collect()
+        size = {(r.side, r.i): r.n for r in counts}
+        worst = min(rest, key=lambda i: (size.get(("right", i), 0) * size.get(("left", i), 0), -i))  # noqa: B023
+        out.append(keys[worst])
         rest.remove(worst)
+    rows.unpersist()
     return sorted(out)
 
 
