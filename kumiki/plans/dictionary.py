@@ -42,16 +42,17 @@ class Dictionary:
     def from_lines(cls, spark: SparkSession, lexicon, char, unk, matrix=None, bigram=None, dual: bool = False) -> "Dictionary":
         """From the texts (or line lists) of definition files; either ``matrix`` or ``bigram`` = (right, left, cost)."""
         text = lambda x: L.from_text(spark, x)
-        return cls._made(spark, text(lexicon), char.splitlines() if isinstance(char, str) else char, text(unk), None if matrix is None else text(matrix), None if bigram is None else [text(x) for x in bigram], dual)
+        return cls.from_frames(spark, text(lexicon), char.splitlines() if isinstance(char, str) else char, text(unk), None if matrix is None else text(matrix), None if bigram is None else [text(x) for x in bigram], dual)
 
     @classmethod
     def from_paths(cls, spark: SparkSession, lexicon: str, char: str, unk: str, matrix: str | None = None, bigram: tuple[str, str, str] | None = None, dual: bool = False) -> "Dictionary":
         """From the paths of definition files, read in splits."""
         read = lambda path: L.from_path(spark, path)
-        return cls._made(spark, read(lexicon), [r.value for r in read(char).orderBy("line_no").collect()], read(unk), None if matrix is None else read(matrix), None if bigram is None else [read(x) for x in bigram], dual)
+        return cls.from_frames(spark, read(lexicon), [r.value for r in read(char).orderBy("line_no").collect()], read(unk), None if matrix is None else read(matrix), None if bigram is None else [read(x) for x in bigram], dual)
 
     @classmethod
-    def _made(cls, spark, lexicon, char, unk, matrix, bigram, dual) -> "Dictionary":
+    def from_frames(cls, spark: SparkSession, lexicon: DataFrame, char: list[str], unk: DataFrame, matrix: DataFrame | None = None, bigram: tuple[DataFrame, DataFrame, DataFrame] | None = None, dual: bool = False) -> "Dictionary":
+        """From (line_no, value) rows; the few lines of the character file as a list."""
         categories, points = L.char_tables(spark, char)
         factors = None
         if matrix is not None:

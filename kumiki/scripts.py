@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,8 @@ def _dictionary(spark: SparkSession, o) -> Dictionary:
 
 
 def _lines(rows: DataFrame, path: str, order: str = "line_no") -> None:
-    """One text file in order of its lines."""
-    rows.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
-
-
-def _text(spark: SparkSession, text: str, path: str) -> None:
-    _lines(L.from_text(spark, text), path)
+    """Text files that together hold the lines in order: ``from_path`` reads the folder as one file."""
+    rows.sort(order).select("value").write.text(path)
 
 
 def tokenize(spark: SparkSession, o) -> None:
@@ -40,6 +37,27 @@ def tokenize(spark: SparkSession, o) -> None:
     out.sort("sent_id").select(F.col("out").alias("value")).write.text(o.output)
 
 
+def benchmark(spark: SparkSession, o) -> tuple[float, float, float]:
+    """Seconds to tokenise all sentences, held in memory: least, mean and most of a trial's runs without the fastest and the slowest, averaged over trials."""
+    t, lines = T.Tokenizer(_dictionary(spark, o), o.ignore_space, o.max_grouping_len), _sentences(spark, o.input).persist()
+    run = lambda: t.transform(lines).write.format("noop").mode("overwrite").save()
+    n = lines.agg(F.count("*"), F.sum(F.length("text"))).first()
+    run()
+    trials = []
+    for _ in range(o.trials):
+        took = []
+        for _ in range(o.runs):
+            began = time.perf_counter()
+            run()
+            took.append(time.perf_counter() - began)
+        took = sorted(took)[1:-1]
+        trials.append((took[0], sum(took) / len(took), took[-1]))
+    out = tuple(sum(x) / len(x) for x in zip(*trials))
+    print(f"Number_of_sentences: {n[0]}\nCharacters: {n[1]}\nElapsed_seconds: [{', '.join(f'{x:.4f}' for x in out)}]")
+    lines.unpersist()
+    return out
+
+
 def compile_(spark: SparkSession, o) -> None:
     """Definition files to a dictionary."""
     Dictionary.from_paths(spark, o.lexicon, o.char, o.unknown, o.matrix, tuple(o.bigram) if o.bigram else None, o.dual).write(o.output)
@@ -74,14 +92,19 @@ def train(spark: SparkSession, o) -> None:
 
 def dictgen(spark: SparkSession, o) -> None:
     """A model to definition files lexicon, unknown, matrix, user, and bigram.right, .left, .cost, in OUTPUT."""
-    from .train.crf import Model
+    from .train import merge
+
+    m = merge.merged(spark, o.model, L.from_path(spark, o.user_lexicon) if o.user_lexicon else None, pruned=True)
+    lines = merge.definition_lines(m) | ({f"bigram.{k}": v for k, v in merge.bigram_lines(m).items()} if o.bigram else {})
+    for name, rows in lines.items():
+        _lines(rows, f"{o.output}/{name}")
 
-    model = Model.read(spark, o.model).prune()
-    if o.user_lexicon:
-        model.add_user(L.from_path(spark, o.user_lexicon))
-    texts = model.export() | ({f"bigram.{k}": v for k, v in model.export_bigrams().items()} if o.bigram else {})
-    for name, text in texts.items():
-        _text(spark, text, f"{o.output}/{name}")
+
+def smalldic(spark: SparkSession, o) -> None:
+    """An external text model (its templates, right and left ids, and weights) with lexicon, character and unknown files to a dictionary of factored costs."""
+    values = lambda path: [r.value for r in L.from_path(spark, path).orderBy("line_no").collect()]
+    right, left, costs = L.text_model(spark, values(o.features), L.from_path(spark, o.right), L.from_path(spark, o.left), L.from_path(spark, o.model), o.factor)
+    Dictionary.from_frames(spark, L.from_path(spark, o.lexicon), values(o.char), L.from_path(spark, o.unknown), bigram=(L.from_text(spark, right), L.from_text(spark, left), costs), dual=o.dual).write(o.output)
 
 
 def evaluate(spark: SparkSession, o) -> DataFrame:
@@ -117,11 +140,14 @@ def parser() -> argparse.ArgumentParser:
     ratio = lambda flag: (flag, {"type": T.ratio, "default": 0.1})
     spaces = [("--ignore-space", {"action": "store_true"}), ("--max-grouping-len", {"type": int, "default": 0})]
     command("tokenize", tokenize, "dictionary", "input", "output", "user-lexicon?", options=[*spaces, ("--mode", {"choices": ("lines", "wakati", "detail"), "default": "lines"})])
+    many = lambda flag, least: (flag, {"type": int, "default": 10, "choices": range(least, 1001), "metavar": "N"})
+    command("benchmark", benchmark, "dictionary", "input", "user-lexicon?", options=[*spaces, many("--trials", 1), many("--runs", 3)])
     command("compile", compile_, "lexicon", "char", "unknown", "output", "matrix?", options=[("--bigram", {"nargs": 3}), ("--dual", {"action": "store_true"})])
     command("reorder", reorder, "dictionary", "input", "output", options=spaces)
     command("map", map_, "dictionary", "mapping", "output")
     command("train", train, "lexicon", "char", "unknown", "features", "corpus", "output", "rewrite?", options=[("--l1", {"type": float, "default": 0.01}), ("--max-iter", {"type": int, "default": 100})])
     command("dictgen", dictgen, "model", "output", "user-lexicon?", options=[("--bigram", {"action": "store_true"})])
+    command("smalldic", smalldic, "features", "right", "left", "model", "lexicon", "char", "unknown", "output", options=[("--factor", {"type": float, "default": 700.0}), ("--dual", {"action": "store_true"})])
     command("evaluate", evaluate, "dictionary", "corpus", "user-lexicon?", options=[spaces[1], ("--cells", {"type": int, "nargs": "*", "default": [0]})])
     command("split", split, "corpus", "output", options=[ratio("--valid"), ratio("--test"), ("--seed", {"type": int, "default": 0})])
     return top

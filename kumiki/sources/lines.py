@@ -23,10 +23,22 @@ def from_text(spark: SparkSession, text: str | Iterable[str]) -> DataFrame:
 
 
 def from_path(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of one definition file; it is read in splits, and a line's number rises with its place in the file."""
+    """(line_no, value) of a definition file, or of the parts of one in order of their names.
+
+    Files are read in splits; a line's number rises with its place in the file, and with the sizes of the files before.
+    """
     from pyspark.sql import Window
 
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    text = spark.read.text(path)
+    rows = text.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    files = sorted(text.inputFiles())
+    if len(files) > 1:
+        hadoop, offsets, at = spark.sparkContext._jvm.org.apache.hadoop.fs, [], 0
+        for file in files:
+            where = hadoop.Path(spark.sparkContext._jvm.java.net.URI(file))
+            offsets.append((where.getName(), at))
+            at += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen() + 1
+        rows = rows.join(F.broadcast(spark.createDataFrame(offsets, "file string, at long")), "file").withColumn("block", F.col("block") + F.col("at"))
     # a line takes a byte at least, so a split's numbers end before the next split's first
     return rows.select((F.col("block") + F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1).cast("long").alias("line_no"), "value")
 

@@ -125,6 +125,7 @@ def test_scripts_from_files_to_scores(spark, files, tmp_path):
     assert read("dic-lines") == read("mapped-lines") and read("dic-lines").count("EOS") == 4
     (tmp_path / "corpus").write_text("the\tVERB\n \tSPACE\nof\tNOUN\nEOS\nla\tNOUN\nEOS\n" * 5)
     scripts.main(["evaluate", "--dictionary", out("dic"), "--corpus", out("corpus")])
+    scripts.main(["benchmark", "--dictionary", out("dic"), "--input", out("text"), "--trials", "1", "--runs", "3"])
     scripts.main(["split", "--corpus", out("corpus"), "--output", out("parts"), "--valid", "0.2", "--test", "0.3"])
     assert [sum(x == "EOS" for x in read(f"parts/{p}")) for p in ("train", "valid", "test")] == [5, 2, 3]
     with pytest.raises(SystemExit):
@@ -150,3 +151,28 @@ def test_scripts_train_and_generate(spark, tmp_path):
     cells = lambda d: {(r.right_id, r.left_id): r.cost for r in d.costs.collect()}
     a, b = cells(dense), cells(factored)
     assert all(abs(a.get(k, 0) - b.get(k, 0)) <= 2 for k in a.keys() | b.keys() if k != (0, 0))
+
+
+def test_the_parts_of_a_file_are_read_in_order(spark, tmp_path):
+    lines = [f"line {k}" * (k % 3 + 1) for k in range(500)]
+    scripts._lines(L.from_text(spark, lines).repartition(6), str(tmp_path / "parts"))
+    spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "line_no long, value string").repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select("value").write.text(str(tmp_path / "five"))
+    for name in ("parts", "five"):
+        assert [r.value for r in L.from_path(spark, str(tmp_path / name)).orderBy("line_no").collect()] == lines
+
+
+def test_a_small_dictionary_from_an_external_model(spark, tmp_path):
+    out = lambda name: str(tmp_path / name)
+    files = {
+        "features": "BIGRAM %L[0]/%R[0]\nBIGRAM %L?[1]/y%R[0]\n", "right": "0 BOS/EOS,*\n1 N,x\n2 V,y\n", "left": "0 BOS/EOS,*\n1 N\n2 V\n",
+        "model": "0.5\tN/V\n-0.25\tV/N\n1.5\tBOS/EOS/N\n0.1\tx/yV\n9\tnever/seen\n", "lex": "ab,1,1,10,N\na,2,2,5,V\nb,1,2,7,N\n", "char": "DEFAULT 0 1 0\n", "unk": "DEFAULT,1,1,99,U\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    scripts.main(["smalldic", "--features", out("features"), "--right", out("right"), "--left", out("left"), "--model", out("model"), "--lexicon", out("lex"), "--char", out("char"), "--unknown", out("unk"), "--factor", "100", "--output", out("dic")])
+    d = D.Dictionary.read(spark, out("dic"))
+    assert {(r.right_id, r.left_id): r.cost for r in d.costs.collect() if r.cost} == {(1, 2): -60, (2, 1): 25, (0, 1): -150}
+    lines = spark.createDataFrame([(0, 0, "ab"), (0, 1, "aab")], "doc_id long, sent_id long, text string")
+    for scorer in (False, True):
+        got = T.Tokenizer(d, mapped=True, scorer=scorer).transform(lines).orderBy("sent_id", "token_pos").collect()
+        assert [(r.sent_id, r.surface) for r in got] == [(0, "ab"), (1, "a"), (1, "ab")] and got[0].total_cost == 10 - 150
