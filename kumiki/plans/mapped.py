@@ -189,10 +189,16 @@ class Mapped:
         """Write the pieces of a dictionary and send the files to every machine; ``scorer``: costs are summed from features when asked."""
         spark, name = d.lexicon.sparkSession, f"dictionary-{uuid.uuid4().hex}"
         path = f"{shared_dir(spark)}/kumiki/{name}"
+
+        def once(df: DataFrame, part: str) -> DataFrame:
+            """``df`` written and read back: what is made of it several times is not made anew."""
+            df.write.parquet(f"{path}/made/{part}")
+            return spark.read.schema(df.schema).parquet(f"{path}/made/{part}")
+
         entry = F.struct("lex_rank", F.col("word_id").cast("int").alias("word_id"), "left_id", "right_id", "word_cost")
-        words = d.words().select("surface", entry.alias("e")).groupBy("surface").agg(F.array_sort(F.collect_list("e")).alias("entries"))
-        words = words.mapInArrow(_word_hashes, "n int, h long, surface string, entries array<struct<lex_rank:int,word_id:int,left_id:int,right_id:int,word_cost:int>>")
-        prefixes = d.words().select("surface").distinct().mapInArrow(_prefix_hashes, "n int, h long").distinct()
+        words = once(d.words().select("surface", entry.alias("e")).groupBy("surface").agg(F.array_sort(F.collect_list("e")).alias("entries")), "entries")
+        prefixes = once(words.select("surface").mapInArrow(_prefix_hashes, "n int, h long").distinct(), "prefixes")
+        words = once(words.mapInArrow(_word_hashes, "n int, h long, surface string, entries array<struct<lex_rank:int,word_id:int,left_id:int,right_id:int,word_cost:int>>"), "words")
         tables = {"words": _sorted_pieces(words, _word_pieces, "n", "h"), "prefixes": _sorted_pieces(prefixes, lambda b: [("prefix", _unsigned(b.column(1))), ("depth", b.column(0).to_numpy())], "n", "h")}
         shapes, raw = {}, None
         if scorer:
@@ -217,6 +223,8 @@ class Mapped:
             for file in spark.read.parquet(f"{path}/{part}").inputFiles():
                 spark.sparkContext.addFile(file)
                 files.append(file.rsplit("/", 1)[1])
+        made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/made")
+        made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(made, True)
         table = lambda df, *columns: np.array([tuple(int(v) for v in r) for r in df.select(*columns).collect()], dtype=np.int64).reshape(-1, len(columns))
         cates = table(d.categories, "cate_id", "invoke", "group", "length")
         categories = np.zeros((int(cates[:, 0].max()) + 1, 3), dtype=np.int64)
