@@ -20,8 +20,8 @@ VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
 #: Rounds of training; each masks its own share of the positions, so that all rounds together mask every position once.
 ROUNDS = 2
 _BATCH = 8192
-#: Bytes of the texts of a shard, on average: what one network is trained on in a round.
-SHARD_BYTES = 1 << 24
+#: Bytes of the texts of a shard, on average: what one network is trained on in a round.  Shards that one task trains and adds up, at most.
+SHARD_BYTES, GROUP = 1 << 24, 4
 
 
 class WindowNet:
@@ -218,17 +218,24 @@ def masked_in(turn: int, places: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def sharded(rows: DataFrame) -> DataFrame:
-    """(shard, text) of all rows, written out in an order that ids and texts alone decide; a shard holds some SHARD_BYTES of texts."""
+    """(shard, text) of all rows, written out in an order that ids and texts alone decide; a shard holds some SHARD_BYTES of texts.
+
+    A partition holds up to GROUP whole shards; how many changes the plan, not what a shard holds.
+    """
     shards = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
     keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", "text", F.lit(1)).alias("k"), "text")
-    return keep(keyed.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "k", "text").select("shard", "text"), "shards")
+    group = max(1, min(GROUP, shards // rows.sparkSession.sparkContext.defaultParallelism))
+    return keep(keyed.repartitionById(math.ceil(shards / group), F.floor(F.col("shard") / group).cast("int")).sortWithinPartitions("shard", "k", "text").select("shard", "text"), "shards")
 
 
 def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet:
-    """A network for each shard, from the common start; the networks are averaged by positions, in a tree of whole numbers, so that no order counts."""
+    """A network for each shard, from the common start; the networks are averaged by positions, in a tree of whole numbers, so that no order counts.
+
+    A task adds up the networks of its shards and returns one sum.
+    """
     spark, net = shards.sparkSession, WindowNet(outputs=words.outputs)
     held_words = spark.sparkContext.broadcast(words)
-    schema, fixed = "seen long, net binary", float(1 << 16)
+    schema, fixed = "seen long, net binary", float(1 << 12)  # sums over 10**14 words stay far below 64 bits
 
     def said(seen, total):
         return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["seen", "net"])
@@ -240,6 +247,7 @@ def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowN
             words = held_words.value
             fresh = lambda: (WindowNet(outputs=words.outputs).load(np.frombuffer(start.value, np.float32)), 0, [])
             shard, (own, seen, held) = None, fresh()
+            every, total = 0, 0
 
             def steps(last):
                 """Train on whole batches of the words held, on all when the shard ends."""
@@ -251,24 +259,28 @@ def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowN
                 seen, held = seen + used, [(x[used:], y[used:])]
 
             def done():
+                """Add the shard's network to the task's sum."""
+                nonlocal every, total
                 if any(len(y) for _, y in held):
                     steps(True)
                 if seen:
-                    yield said(seen, np.rint(np.frombuffer(own.pack(), np.float32).astype(np.float64) * seen * fixed).astype(np.int64))
+                    every, total = every + seen, total + np.rint(np.frombuffer(own.pack(), np.float32).astype(np.float64) * seen * fixed).astype(np.int64)
 
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 cut = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else ids
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     if ids[a] != shard:
-                        yield from done()
+                        done()
                         shard, (own, seen, held) = ids[a], fresh()
                     for _, _, context, out, first, *_ in _windows(batch.column(1).slice(a, b - a), words):
                         pick = masked_in(turn, np.arange(len(out)) - np.repeat(first[:-1], np.diff(first)), rounds)
                         held.append((context[pick], out[pick]))
                         if sum(len(y) for _, y in held) >= _BATCH:
                             steps(False)
-            yield from done()
+            done()
+            if every:
+                yield said(every, total)
 
         def add(batches):
             seen, total = 0, None
