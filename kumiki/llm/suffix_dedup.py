@@ -74,9 +74,10 @@ def _contexts(key, side):
                 raw, back, n = small.tobytes(), small[::-1].tobytes(), len(h)
                 right = [raw[4 * (a + key) : 4 * (a + key + side)] for a in at.tolist()]
                 left = [back[4 * (n - a) : 4 * (n - a + side)] for a in at.tolist()]
+                keys = W.grams(h, key)[at].view(np.int64)
                 for lo in range(0, len(at), 1 << 14):
                     hi = min(len(at), lo + (1 << 14))
-                    cols = [pa.array(W.grams(h, key)[at[lo:hi]].view(np.int64)), pa.array(right[lo:hi], pa.binary()), pa.array(left[lo:hi], pa.binary()), pa.array(np.full(hi - lo, rows[r])), pa.array(at[lo:hi].astype(np.int32)), pa.array(few[lo:hi].astype(np.int32)), pa.array(most[lo:hi].astype(np.int32))]
+                    cols = [pa.array(keys[lo:hi]), pa.array(right[lo:hi], pa.binary()), pa.array(left[lo:hi], pa.binary()), pa.array(np.full(hi - lo, rows[r])), pa.array(at[lo:hi].astype(np.int32)), pa.array(few[lo:hi].astype(np.int32)), pa.array(most[lo:hi].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(cols, names=["key", "right", "left", "row", "at", "few", "most"])
 
     return run
