@@ -14,7 +14,7 @@ Jaccard distance is a metric, so a document's links lie in a ball of radius 1/4
    inequality a link from the ball ends within 1/2 of p: only those boundary sets are
    replicated into the cell of p, in which every link that has an end in the ball is found.
    What is outside the ball stays in the region, which is cut again by another pivot, until
-   regions are small or balls take out no more; the rest of a region is one more cell.
+   it is small or its balls take out no more; the rest of a region is one more cell.
 5. Sets within 1/8 of the same pivot are linked with each other by the triangle inequality:
    they are counted, not compared.  Large cells are cut into blocks that meet two by two.
 """
@@ -35,15 +35,15 @@ from .tables import drop, drop_since, free, keep, kept, text_rows
 
 #: Shingles and documents that a task counts before it sends them, and shingles that a range of hash values holds on average.
 CHUNK, CHUNK_ROWS, RANGE = 1 << 20, 60_000, 1 << 21
-#: Regions of more members are cut by pivots again, at most so many times and while balls take a twentieth out.
+#: Regions of more members are cut by pivots again, at most so many times and while the region's last ball took a twentieth out.
 CROWDED, ROUNDS = 4096, 12
 #: Members and shingles of a block, on average; a cell holds one or two blocks.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Ids that a broadcast may hold (8 bytes each); more are met by a shuffle.
 MOST_IDS = 1 << 21
 _NOBODY = 0xFFFF
-#: The number of the last cells, above that of any round.
-_LAST = 15
+#: Last cells of a round have its number and this one more; rounds are fewer.
+_LAST = 16
 
 
 def _sets(column: pa.Array, n: int):
@@ -251,33 +251,34 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _marks(members: DataFrame, sets: DataFrame, crowded: int, rounds: int) -> DataFrame:
     """(g, p, cid, kind): the cells of each set; g names the cell, kind 0 is its boundary.  Written out.
 
-    Two linked sets share a cell that has one of them in its ball, or a last cell.
+    Two linked sets share a cell that has one of them in its ball, or a last cell.  Each region
+    decides for itself: all are cut once, and again while they are large and the last cut took enough out.
     """
-    out, before = None, None
+    out, members = None, members.withColumn("before", F.lit(None).cast("long"))
     for turn in range(rounds + 1):
         first = F.min(F.struct(F.xxhash64("cid").alias("rank"), F.col("cid").alias("p"), F.col("n").alias("np"))).alias("first")
-        heads = keep(members.groupBy("s").agg(first, F.count("*").alias("m")).where("m > 1").select("s", "first.p", "first.np", "m"), "heads", narrow=True)
-        size = heads.agg(F.max("m"), F.sum("m")).first()
-        if size[0] is None:
-            break
-        # the first turn always measures; later ones where regions are still large and the last ball took enough out
-        last = turn == rounds or (turn and (size[0] <= crowded or size[1] > 0.95 * before))
-        before = size[1]
-        placed = members.join(heads.drop("m"), "s").where("cid <> p")
-        pairs = placed.groupBy("cid", "p").agg(F.first("n").alias("n"), F.first("np").alias("np"))
-        if last:
-            found = keep(pairs.select("cid", "p", F.lit(1).alias("kind")), "last", narrow=True)
-        else:
-            found = _measured(pairs.where("2 * least(n, np) >= greatest(n, np)").select("cid", "p"), sets)
+        closed = F.lit(turn == rounds) | F.coalesce((F.col("m") <= crowded) | (F.col("m") > 0.95 * F.col("before")), F.lit(False)) if turn else F.lit(rounds == 0)
+        heads = members.groupBy("s").agg(first, F.count("*").alias("m"), F.first("before").alias("before")).where("m > 1")
+        heads = keep(heads.select("s", "first.p", "first.np", "m", closed.alias("closed")), "heads", narrow=True)
+        held = {r.closed for r in heads.select("closed").distinct().collect()}  # two rows at most
+        placed = lambda ended, heads=heads, members=members: members.join(heads.where("closed" if ended else "not closed"), "s").where("cid <> p")
+        cells = []
+        if True in held:
+            found = keep(placed(True).select("cid", "p").distinct(), "last", narrow=True)
+            cells.append((_LAST + turn, 1, found.withColumn("kind", F.lit(1))))
+        if False in held:
+            pairs = placed(False).groupBy("cid", "p").agg(F.first("n").alias("n"), F.first("np").alias("np"))
+            measured = _measured(pairs.where("2 * least(n, np) >= greatest(n, np)").select("cid", "p"), sets)
             # a pivot without a set in its ball besides itself has no links in its cell
-            full = found.where("kind > 0").select("p").distinct()
-            found, measured = found.join(full, "p", "left_semi"), found
-        number = F.shiftleft("p", 4) + (_LAST if last else turn)
-        cell = found.unionByName(found.select("p").distinct().select(F.col("p").alias("cid"), "p", F.lit(1 if last else 2).alias("kind"))).select(number.alias("g"), "p", "cid", "kind")
-        out = cell if out is None else out.unionAll(cell)
-        if last:
+            cells.append((turn, 2, measured.join(measured.where("kind > 0").select("p").distinct(), "p", "left_semi")))
+        for number, own, found in cells:
+            all_ = found.unionByName(found.select("p").distinct().select(F.col("p").alias("cid"), "p", F.lit(own).alias("kind")))
+            cell = all_.select((F.shiftleft("p", 5) + number).alias("g"), "p", "cid", "kind")
+            out = cell if out is None else out.unionAll(cell)
+        if False not in held:
             break
-        members = keep(placed.join(measured.where("kind > 0").select("cid", "p"), ["cid", "p"], "left_anti").select("s", "cid", "n"), "members", narrow=True)
+        left = placed(False).join(measured.where("kind > 0").select("cid", "p"), ["cid", "p"], "left_anti")
+        members = keep(left.select("s", "cid", "n", F.col("m").alias("before")), "members", narrow=True)
     return None if out is None else keep(out, "marks", narrow=True)
 
 
@@ -368,7 +369,7 @@ def _joined(docs: DataFrame, classes: DataFrame, n: int, crowded: int, rounds: i
     if marks is None:
         return None
     cells = _cells(marks, sets)
-    balls = marks.where(F.col("kind") > 0).where(F.col("cid") != F.col("p")).where(F.col("g") % 16 != _LAST)
+    balls = marks.where(F.col("kind") > 0).where(F.col("cid") != F.col("p")).where(F.col("g") % (2 * _LAST) < _LAST)
     links = balls.select(F.col("cid").alias("a"), F.col("p").alias("b")).unionAll(cells.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     homes = marks.where("kind = 2").groupBy("cid").agg(F.min("g").alias("home")).join(sets.select("cid", "copies"), "cid")
     homes = keep(homes, "homes", narrow=True)

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kumiki.llm import decontaminate, jaccard_join, labelled, lm_score, page_text, quality, secret_scan, source_mix, spotsigs, suffix_dedup, toxicity
 from kumiki.llm import words as W
@@ -464,6 +465,19 @@ def test_lm_training_masks_every_position_once(spark, monkeypatch):
     assert all(np.abs(a - b).max() < 1e-5 for a, b in zip(net.p, other.p))
 
 
+def test_lm_tasks_add_up_their_shards(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 600)
+    rows = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(300))) for k in range(40)], "doc_id long, text string")
+    words, nets = lm_score.Vocabulary(lm_score.cell_counts(rows)), []
+    for group in (4, 1):
+        monkeypatch.setattr(lm_score, "GROUP", group)
+        some = lm_score.sharded(rows)
+        held = some.select(F.spark_partition_id().alias("p"), "shard").distinct().groupBy("shard").count()
+        assert held.agg(F.max("count")).first()[0] == 1
+        nets.append(lm_score.train(some, words))
+    assert all((a == b).all() for a, b in zip(nets[0].p, nets[1].p))
+
+
 def test_one_of_each_decides_by_row(spark):
     r = random.Random(5)
     w = lambda: " ".join("v" + str(r.randrange(10**6)) for _ in range(60))
@@ -504,6 +518,29 @@ def test_jaccard_links_are_all_counted(spark, monkeypatch):
         assert {x.doc_id: (x.component_id, x.n_links) for x in jaccard_join.jaccard_components(d, crowded=4, rounds=rounds).collect()} == {i: (x.component_id, x.n_links) for i, x in got.items()}
 
 
+def test_jaccard_regions_of_many_sizes_stop_on_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 16)
+    r = random.Random(12)
+    word = lambda: "u" + str(r.randrange(10**6))
+    common, rows = [word() for _ in range(30)], []
+    for size, edits in ((40, 3), (9, 1), (3, 1), (25, 5)):
+        base = common[:20] + [word() for _ in range(60)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(r.randrange(edits + 1)):
+                own[r.randrange(80)] = word()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + k, " ".join(common[:25] + [word() for _ in range(4 + k % 3)])) for k in range(30)]  # a region of sets that no ball takes out
+    sets = [shingles(t) for _, t in rows]
+    links = [[j for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= 75 * len(a | b)] for i, a in enumerate(sets)]
+    name = list(range(len(rows)))
+    for _ in rows:
+        name = [min([name[i], *(name[j] for j in links[i])]) for i in range(len(rows))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard_join.jaccard_components(d, crowded=6).collect()}
+    assert got == {i: (name[i], len(links[i])) for i in range(len(rows))}
+
+
 def test_entropy_sees_keys_with_runs_and_without_digits(spark):
     key, bare = "Zx9kQ2mW7pLr4TvB8nYc3HdF", "ZxQkJqmWvpLrXTvBgnYcRHdF"
     plain = ["/usr/share/localization/templates/emailNotification", "getUserNameFromDatabaseTable", "CONSTANT_NAME_OF_SOMETHING_LONG", "z" * 40, "abc/2024/quarterly_report/final"]
