@@ -19,7 +19,8 @@ _COUNTS = "part int, cells binary, counts binary"
 VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
 #: Rounds of training; each masks its own share of the positions, so that all rounds together mask every position once.
 ROUNDS = 2
-_BATCH = 8192
+#: Words of a training step, and of a scoring one (what a core's cache holds).
+_BATCH, _SCORED = 8192, 8192
 #: Bytes of the texts of a shard, on average: what one network is trained on in a round.  Shards that one task trains and adds up, at most.
 SHARD_BYTES, GROUP = 1 << 24, 4
 
@@ -45,15 +46,16 @@ class WindowNet:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """One column for each context."""
-        h = self.p[0][0][context[:, 0]]
+        h = self.p[0][0].take(context[:, 0], axis=0)
         for j in range(1, 2 * SIDE):
-            h += self.p[0][j][context[:, j]]
+            h += self.p[0][j].take(context[:, j], axis=0)
         h += self.p[1]
-        return np.ascontiguousarray(np.tanh(h, out=h).T)
+        h = np.ascontiguousarray(h.T)
+        return np.tanh(h, out=h)
 
     def _slices(self, cls: np.ndarray):
         """Targets in order of their classes, and (class, first, last) of each class that has some."""
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # outputs stay below 2**16, in which stable sorts are linear
         cut = np.searchsorted(cls[order], np.arange(len(self.p[3]) + 1)).tolist()
         return order, [(c, a, b) for c, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
 
@@ -99,16 +101,20 @@ class WindowNet:
         back *= 1 - h * h
         back = np.ascontiguousarray(back.T)
         grads += [(4, inner), (5, bias), (1, back.sum(axis=0))]
-        table = np.zeros_like(self.p[0])
-        for j in range(2 * SIDE):
-            order = np.argsort(context[:, j], kind="stable")
-            ids = context[order, j]
-            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            table[j][ids[first]] = np.add.reduceat(back[order], first, axis=0)
-        for k, g in [*grads, (0, table)]:
+        for k, g in grads:
             g = g / n
             self.g[k] += g * g
             self.p[k] -= rate * g / np.sqrt(self.g[k])
+        # of the embeddings only those that the batch has move
+        rows = (context + np.arange(2 * SIDE) * self.p[0].shape[1]).reshape(-1)
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        g = np.add.reduceat(back.take(order // (2 * SIDE), axis=0), first, axis=0) / n
+        table, seen = (x.reshape(-1, WIDTH) for x in (self.p[0], self.g[0]))
+        own = seen[rows[first]] + g * g
+        seen[rows[first]] = own
+        table[rows[first]] -= rate * g / np.sqrt(own)
 
 
 class Vocabulary:
@@ -334,8 +340,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
             total, many = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
             for lo, hi, context, ids, first, cells, other in _windows(batch.column(1), words):
                 logs = np.zeros(len(ids) + 1)
-                for k in range(0, len(ids), 1 << 15):
-                    logs[k : min(len(ids), k + (1 << 15))] = model.log_probabilities(context[k : k + (1 << 15)], ids[k : k + (1 << 15)])
+                for k in range(0, len(ids), _SCORED):
+                    logs[k : min(len(ids), k + _SCORED)] = model.log_probabilities(context[k : k + _SCORED], ids[k : k + _SCORED])
                 logs[:-1][other] += np.log(np.maximum(counts[cells[other]], 1)) - size[ids[other] - VOCABULARY]
                 many[lo:hi] = np.diff(first)
                 total[lo:hi] = np.where(many[lo:hi] > 0, np.add.reduceat(logs, first[:-1]) if hi > lo else 0.0, 0.0)
