@@ -415,7 +415,8 @@ def bench_stats(spark, sf_dir):
 def text_model_costs(spark, sf_dir):
     """Costs of a weights file whose rows are the customers' balances and segments."""
     rows = ship(spark).read.parquet(f"{sf_dir}/customer.parquet")
-    lines = rows.select(F.concat(F.format_string("%.2f", F.col("c_acctbal") / 1000), F.lit("\t"), "c_mktsegment", F.lit("/"), "c_name").alias("value"))
+    # the two digits nearest to the double itself; format_string would round its shortest decimal form once more
+    lines = rows.select(F.concat(F.expr("format_number(c_acctbal / 1000, '0.00')"), F.lit("\t"), "c_mktsegment", F.lit("/"), "c_name").alias("value"))
     return L.text_model_costs(lines, 7.0)
 
 
