@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
-from .batch import best_paths, one_by_one, pair_counts
+from .batch import best_paths, node_counts, one_by_one, pair_counts
 from .lattice import SENT
 
 RANKS = ("User", "System", "Unknown")
@@ -172,16 +176,79 @@ _NAMES = [*SENT, *(c.strip().split(" ")[0] for c in TOKEN.split(","))]
 _TYPES = [pa.int64(), pa.int64(), *({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.strip().split(" ")[1]] for c in TOKEN.split(","))]
 
 
-def count_batches(d, ignore_space: bool = False, max_grouping_len: int = 0):
-    """A function for mapInArrow: (doc_id, sent_id, text) to (side, id, cnt) over all adjacent reachable pairs of a batch."""
+#: Bits of a piece's place in its sentence.
+FIRST, LAST = 1, 2
+PIECE = "piece string, place int, cnt long"
+#: Different pieces, and characters met, up to which a task collects pieces before it sends them.
+PIECES, PIECE_CHARACTERS = 1 << 18, 1 << 26
+
+
+def _piece_rows(pieces: list, place: int, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(np.full(len(pieces), place, dtype=np.int32)), pa.array(counts, pa.int64())], names=["piece", "place", "cnt"])
+
+
+def cut_batches(fence: tuple[int, str | None] | None):
+    """A function for mapInArrow: (text) to (piece, place, cnt) of non-empty sentences.
+
+    With a ``fence`` (that of ``batch.fence``) sentences are cut behind each space, and equal pieces of some
+    texts are one row; sentences with a character that may swallow a space are a piece as they are.
+    """
+
+    def whole(batches):
+        for batch in batches:
+            texts = batch.column(0)
+            texts = texts.filter(pc.greater(pc.binary_length(texts), 0))
+            yield _piece_rows(texts, FIRST | LAST, np.ones(len(texts), dtype=np.int64))
+
+    def run(batches):
+        swallows = re.compile(fence[1]).search if fence[1] else lambda text: None
+        held, met = [Counter() for _ in range(4)], 0
+
+        def out():
+            for place, some in enumerate(held):
+                if some:
+                    yield _piece_rows(list(some) if place & LAST else [x + " " for x in some], place, list(some.values()))
+                    some.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                met += len(text)
+                parts = [text] if swallows(text) else text.split(" ")
+                if len(parts) > 1 and not parts[-1]:  # a space ends the sentence
+                    parts.pop()
+                    parts[-1] += " "
+                if len(parts) == 1:
+                    held[FIRST | LAST][parts[0]] += 1
+                else:
+                    held[FIRST][parts[0]] += 1
+                    held[LAST][parts[-1]] += 1
+                    held[0].update(parts[1:-1])
+            if met > PIECE_CHARACTERS or sum(map(len, held)) > PIECES:
+                yield from out()
+                met = 0
+        yield from out()
+
+    return run if fence else whole
+
+
+def _pieces_of(batch, right: int):
+    """(texts, right ids of what comes before them, whether they reach their sentence's end, counts) of a batch of pieces."""
+    place = batch.column(1).to_numpy()
+    return batch.column(0).to_pylist(), np.where(place & FIRST, 0, right).astype(np.int64), (place & LAST) > 0, batch.column(2).to_numpy()
+
+
+def count_batches(d, right: int = 0, ignore_space: bool = False, max_grouping_len: int = 0):
+    """A function for mapInArrow: PIECE rows to (side, id, cnt) over all adjacent reachable pairs of a batch; ``right`` is the right id of the space's word."""
 
     def run(batches):
         index = d.value.open()
         for batch in batches:
-            texts, total = batch.column(2).to_pylist(), {}
+            (texts, begin, whole, weight), total = _pieces_of(batch, right), {}
             groups, alone = _alike(texts)
             for rows in [*groups, *([i] for i in alone)]:
-                for side, (ids, counts) in pair_counts(index, [texts[i] for i in rows], max_grouping_len, ignore_space).items():
+                for side, (ids, counts) in pair_counts(index, [texts[i] for i in rows], max_grouping_len, ignore_space, begin[rows], whole[rows], weight[rows]).items():
                     for i, c in zip(ids.tolist(), counts.tolist()):
                         total[side, i] = total.get((side, i), 0) + c
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in total], pa.string()), pa.array([i for _, i in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["side", "id", "cnt"])
@@ -189,6 +256,50 @@ def count_batches(d, ignore_space: bool = False, max_grouping_len: int = 0):
     return run
 
 
+NODE_COUNT = "lex_rank int, word_id long, n_chars long, cnt long, ix_sum long"
+
+
+def node_batches(d, max_grouping_len: int = 0):
+    """A function for mapInArrow: PIECE rows to (lex_rank, word_id, n_chars, cnt, ix_sum) of the nodes of a batch's lattices, reached or not."""
+
+    def run(batches):
+        index = d.value.open()
+        for batch in batches:
+            texts, _, _, weight = _pieces_of(batch, 0)
+            groups, alone = _alike(texts)
+            for rows in [*groups, *([i] for i in alone)]:
+                cols = node_counts(index, [texts[i] for i in rows], weight[rows], max_grouping_len)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(cols)], names=["lex_rank", "word_id", "n_chars", "cnt", "ix_sum"])
+
+    return run
+
+
+SURFACE_COUNT = "surface string, lex_type string, cnt long, least_cost int"
+
+
+def surface_batches(d, right: int = 0, ignore_space: bool = False, max_grouping_len: int = 0):
+    """A function for mapInArrow: PIECE rows to (surface, lex_type, cnt, least_cost) of the tokens of a batch; a sentence without a path counts as a row of nulls."""
+
+    def run(batches):
+        index = d.value.open()
+        for batch in batches:
+            (texts, begin, _, weight), total = _pieces_of(batch, right), {}
+            groups, alone = _alike(texts)
+            for fold, rows in [(best_paths, rows) for rows in groups] + [(one_by_one, alone[lo : lo + 64]) for lo in range(0, len(alone), 64)]:
+                some, many = [texts[i] for i in rows], weight[rows]
+                has, who, start, end, rank, _, _, _, cost, _ = fold(index, some, max_grouping_len, ignore_space, begin[rows])
+                for k, a, b, r, c, n in zip(who.tolist(), start.tolist(), end.tolist(), rank.tolist(), cost.tolist(), many[who].tolist()):
+                    key = some[k][a:b], r
+                    got = total.get(key)
+                    total[key] = (n, c) if got is None else (got[0] + n, min(got[1], c))
+                if not has.all():
+                    total[None, None] = (total.get((None, None), (0, None))[0] + int(many[~has].sum()), None)
+            kinds = [None if r is None else RANKS[r] for _, r in total]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in total], pa.string()), pa.array(kinds, pa.string()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([c for _, c in total.values()], pa.int32())], names=["surface", "lex_type", "cnt", "least_cost"])
+
+    return run
+
+
 def best_path_fold(nodes: DataFrame, sentences: DataFrame, cost: list[list[int]]) -> DataFrame:
     """(doc_id, sent_id, path, cost): the fold as one aggregate over each sentence's nodes, all in the JVM.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument, InvalidFormat
 from ..operators import connectors as C
 from ..operators import lattice as N
-from ..operators.batch import Index
+from ..operators.batch import Index, fence
 from ..sources import lines as L
 from .mapped import Mapped
 
@@ -246,6 +246,10 @@ class Compact:
             self.index = Index(self)
         return self.index
 
+    @property
+    def fence(self) -> tuple[int, str | None] | None:
+        return fence(self.open())
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "index"}
 

@@ -183,6 +183,7 @@ class Mapped:
     shapes: dict[str, tuple]
     raw: list[bool] | None = None
     kinds: dict = field(default_factory=dict)
+    fence = None  # the driver does not open the files
 
     @classmethod
     def of(cls, d, scorer: bool) -> "Mapped":

@@ -140,11 +140,8 @@ def word_counts_documents(spark, sf_dir):
 
 def lattice_counts_documents(spark, sf_dir):
     """Nodes of the lattices of all documents' lines by kind of word and length."""
-    d, lines = dictionary(spark), _lines(spark, sf_dir, "documents", "doc_id")
-    matches = N.prefix_matches(lines, d.words())
-    runs = N.groupable_runs(N.char_infos(N.char_positions(lines), d.categories, d.points))
-    nodes = N.lattice_nodes(matches, N.unknown_candidates(runs, matches, d.unknown))
-    return nodes.groupBy("lex_rank", (F.col("end") - F.col("start")).alias("n_chars")).agg(F.count("*").alias("cnt"), F.sum("ix").alias("ix_sum"))
+    nodes = T.Tokenizer(dictionary(spark)).node_counts(_lines(spark, sf_dir, "documents", "doc_id"))
+    return nodes.groupBy("lex_rank", "n_chars").agg(F.sum("cnt").alias("cnt"), F.sum("ix_sum").alias("ix_sum"))
 
 
 def mapping_file(spark, sf_dir):

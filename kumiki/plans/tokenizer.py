@@ -42,11 +42,38 @@ class Tokenizer:
         feats = self.dictionary.features().select(names[F.col("lex_rank")].alias("lex_type"), "word_id", "feature")
         return tokens.join(feats, ["lex_type", "word_id"], "left").select(*tokens.columns, "feature")
 
+    def _pieces(self, sentences: DataFrame) -> tuple[DataFrame, int]:
+        """(piece, place, cnt) of sentences, and the right id before pieces that do not begin one.
+
+        Where all paths go through every space, sentences are cut behind spaces and equal pieces are folded once, with
+        their counts: there are far fewer different pieces than words.  Else a piece is a sentence.
+        """
+        fence = None if self.options[0] or sentences.isStreaming else self._compact.value.fence
+        rows = _spread(sentences.select("text")).mapInArrow(V.cut_batches(fence), V.PIECE)
+        return (rows.groupBy("piece", "place").agg(F.sum("cnt").alias("cnt")), fence[0]) if fence else (rows, 0)
+
     def connid_counts(self, sentences: DataFrame) -> DataFrame:
         """(side, id, cnt) over all pairs of the reachable lattices; batches are added up before the shuffle."""
-        rows = _spread(sentences.select(*SENT, "text")).mapInArrow(V.count_batches(self._compact, *self.options), "side string, id int, cnt long")
+        pieces, right = self._pieces(sentences)
+        rows = pieces.mapInArrow(V.count_batches(self._compact, right, *self.options), "side string, id int, cnt long")
         return rows.groupBy("side", "id").agg(F.sum("cnt").alias("cnt"))
 
+    def surface_counts(self, sentences: DataFrame) -> DataFrame:
+        """(surface, lex_type, cnt, least_cost) over all tokens; batches are added up before the shuffle."""
+        pieces, right = self._pieces(sentences)
+        rows = pieces.mapInArrow(V.surface_batches(self._compact, right, *self.options), V.SURFACE_COUNT)
+        return rows.groupBy("surface", "lex_type").agg(F.sum("cnt").alias("cnt"), F.min("least_cost").alias("least_cost"))
+
+    def node_counts(self, sentences: DataFrame) -> DataFrame:
+        """(lex_rank, word_id, n_chars, cnt, ix_sum) over all nodes of the lattices, reached or not; batches are added up before the shuffle.
+
+        ix_sum adds up the nodes' places among those that end together; spaces are not ignored.
+        """
+        if self.options[0]:
+            raise InvalidArgument("nodes are counted with their spaces")
+        rows = self._pieces(sentences)[0].mapInArrow(V.node_batches(self._compact, self.options[1]), V.NODE_COUNT)
+        return rows.groupBy("lex_rank", "word_id", "n_chars").agg(F.sum("cnt").alias("cnt"), F.sum("ix_sum").alias("ix_sum"))
+
 
 def _joined(tokens: DataFrame, sentences: DataFrame, line: Column, sep: str) -> DataFrame:
     rows = tokens.where("token_pos is not null").groupBy(*SENT).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", line.alias("v")))), lambda x: x.v), sep).alias("out"))
