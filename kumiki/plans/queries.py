@@ -134,8 +134,8 @@ def connection_cost_dual(spark, sf_dir):
 
 def word_counts_documents(spark, sf_dir):
     """How often each lexicon word stands in the lines of all documents."""
-    lines = _lines(spark, sf_dir, "documents", "doc_id")
-    return N.prefix_matches(lines, dictionary(spark).words()).groupBy("lex_rank", "word_id").agg(F.count("*").alias("cnt"))
+    nodes = T.Tokenizer(dictionary(spark)).node_counts(_lines(spark, sf_dir, "documents", "doc_id"))
+    return nodes.where(F.col("lex_rank") < N.UNKNOWN).groupBy("lex_rank", "word_id").agg(F.sum("cnt").alias("cnt"))
 
 
 def lattice_counts_documents(spark, sf_dir):
