@@ -207,14 +207,14 @@ def tokens_ignore_space_documents(spark, sf_dir):
 
 def tokens_documents(spark, sf_dir):
     """Counts of every surface over all document lines."""
-    return _tokens(spark, sf_dir, table="documents", key="doc_id").groupBy("surface", "lex_type").agg(F.count("*").alias("cnt"), F.min("word_cost").alias("least_cost"))
+    return T.Tokenizer(dictionary(spark)).surface_counts(_lines(spark, sf_dir, "documents", "doc_id"))
 
 
 def tokens_conversations(spark, sf_dir):
     """Tokens of each role in all conversations."""
     rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").withColumn("k", F.col("conv_id") * 4096 + F.col("turn"))
-    out = T.Tokenizer(dictionary(spark)).transform(L.sentences(rows, "k"))
-    return out.groupBy("lex_type", F.length("surface").alias("n_chars")).agg(F.count("*").alias("cnt"))
+    out = T.Tokenizer(dictionary(spark)).surface_counts(L.sentences(rows, "k"))
+    return out.groupBy("lex_type", F.length("surface").alias("n_chars")).agg(F.sum("cnt").alias("cnt"))
 
 
 def token_counts(spark, sf_dir):
