@@ -116,6 +116,12 @@ def _alike(texts: list[str]) -> tuple[list[list[int]], list[int]]:
     return groups, alone
 
 
+def _folds(texts: list[str]) -> list[tuple]:
+    """(fold, its sentences): side by side or one by one."""
+    groups, alone = _alike(texts)
+    return [(best_paths, rows) for rows in groups] + [(one_by_one, alone[lo : lo + 64]) for lo in range(0, len(alone), 64)]
+
+
 def _one_by_one(d, texts, rows, ignore_space, max_grouping_len):
     """(has a path, columns as of ``best_paths``) of sentences that are folded by themselves."""
     has, cols = [], [[] for _ in range(9)]
@@ -139,9 +145,7 @@ def tokenize_batches(d, ignore_space: bool = False, max_grouping_len: int = 0, s
         index = d.value.open()
         for batch in batches:
             keys, texts = batch.select(SENT), batch.column(2).to_pylist()
-            groups, alone = _alike(texts)
-            folds = [(best_paths, rows) for rows in groups] + [(one_by_one, alone[lo : lo + 64]) for lo in range(0, len(alone), 64)]
-            for fold, rows in folds:
+            for fold, rows in _folds(texts):
                 has, who, *cols = fold(index, [texts[i] for i in rows], max_grouping_len, ignore_space)
                 if strict and not has.all():
                     k = rows[int(np.flatnonzero(~has)[0])]
@@ -284,8 +288,7 @@ def surface_batches(d, right: int = 0, ignore_space: bool = False, max_grouping_
         index = d.value.open()
         for batch in batches:
             (texts, begin, _, weight), total = _pieces_of(batch, right), {}
-            groups, alone = _alike(texts)
-            for fold, rows in [(best_paths, rows) for rows in groups] + [(one_by_one, alone[lo : lo + 64]) for lo in range(0, len(alone), 64)]:
+            for fold, rows in _folds(texts):
                 some, many = [texts[i] for i in rows], weight[rows]
                 has, who, start, end, rank, _, _, _, cost, _ = fold(index, some, max_grouping_len, ignore_space, begin[rows])
                 for k, a, b, r, c, n in zip(who.tolist(), start.tolist(), end.tolist(), rank.tolist(), cost.tolist(), many[who].tolist()):
@@ -300,6 +303,31 @@ def surface_batches(d, right: int = 0, ignore_space: bool = False, max_grouping_
     return run
 
 
+TOTAL = "doc_id long, n_tokens long, most long"
+
+
+def total_batches(d, ignore_space: bool = False, max_grouping_len: int = 0):
+    """A function for mapInArrow: (doc_id, text) to (doc_id, n_tokens, most) of each sentence: tokens, and the largest total cost up to one.
+
+    Sentences without tokens have no row, those without a path 0 and null.
+    """
+
+    def run(batches):
+        index = d.value.open()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for fold, rows in _folds(texts):
+                has, who, *_, total = fold(index, [texts[i] for i in rows], max_grouping_len, ignore_space)
+                count, most = np.bincount(who, minlength=len(rows)), np.zeros(len(rows), dtype=np.int64)
+                first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+                if len(first):
+                    most[who[first]] = np.maximum.reduceat(total, first)
+                use = np.flatnonzero((count > 0) | ~has)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, dtype=np.int64)[use])), pa.array(count[use], pa.int64()), pa.array(most[use], pa.int64(), mask=count[use] == 0)], names=["doc_id", "n_tokens", "most"])
+
+    return run
+
+
 def best_path_fold(nodes: DataFrame, sentences: DataFrame, cost: list[list[int]]) -> DataFrame:
     """(doc_id, sent_id, path, cost): the fold as one aggregate over each sentence's nodes, all in the JVM.
 

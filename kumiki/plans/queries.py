@@ -202,7 +202,7 @@ def connid_counts_ignore_space(spark, sf_dir):
 
 
 def tokens_ignore_space_documents(spark, sf_dir):
-    return _tokens(spark, sf_dir, ignore_space=True, table="documents", key="doc_id").groupBy("doc_id").agg(F.count("token_pos").alias("n_tokens"), F.max("total_cost").alias("most"))
+    return T.Tokenizer(dictionary(spark), ignore_space=True).totals(_lines(spark, sf_dir, "documents", "doc_id"))
 
 
 def tokens_documents(spark, sf_dir):

@@ -64,6 +64,11 @@ class Tokenizer:
         rows = pieces.mapInArrow(V.surface_batches(self._compact, right, *self.options), V.SURFACE_COUNT)
         return rows.groupBy("surface", "lex_type").agg(F.sum("cnt").alias("cnt"), F.min("least_cost").alias("least_cost"))
 
+    def totals(self, sentences: DataFrame) -> DataFrame:
+        """(doc_id, n_tokens, most) of each document with tokens or a sentence without a path: its tokens, and the largest total cost up to one of them."""
+        rows = _spread(sentences.select("doc_id", "text")).mapInArrow(V.total_batches(self._compact, *self.options), V.TOTAL)
+        return rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.max("most").alias("most"))
+
     def node_counts(self, sentences: DataFrame) -> DataFrame:
         """(lex_rank, word_id, n_chars, cnt, ix_sum) over all nodes of the lattices, reached or not; batches are added up before the shuffle.
 
