@@ -58,18 +58,33 @@ def gold_edges(corpus: DataFrame, lexicon: DataFrame, unknown: DataFrame, runs:
     return rows.select("example_id", "token_pos", "start", "end", kind.alias("kind"), F.coalesce("word_id", "unk_id").alias("id"))
 
 
-def training_edges(gold: DataFrame, matches: DataFrame, unknowns: DataFrame) -> DataFrame:
+def training_edges(gold: DataFrame, matches: DataFrame | None, unknowns: DataFrame) -> DataFrame:
     """(example_id, start, end, kind, id, gold): the gold edges, and every other word and unknown word of the lattices.
 
-    ``matches`` and ``unknowns`` are those of the sentences (system words only), reachable or not; what equals a
+    ``matches`` and ``unknowns`` are those of the sentences (system words only; None: no words), reachable or not; what equals a
     gold edge is not repeated.
     """
     other = lambda df, kind: df.select(F.col("doc_id").alias("example_id"), "start", "end", F.lit(kind).alias("kind"), F.col("word_id").alias("id"))
-    wrong = other(matches, WORD).unionAll(other(unknowns, UNKNOWN)).join(gold.where(F.col("kind") != VIRTUAL).select("example_id", "start", "end", "kind", "id"), ["example_id", "start", "end", "kind", "id"], "left_anti")
+    every = other(unknowns, UNKNOWN) if matches is None else other(matches, WORD).unionAll(other(unknowns, UNKNOWN))
+    wrong = every.join(gold.where(F.col("kind") != VIRTUAL).select("example_id", "start", "end", "kind", "id"), ["example_id", "start", "end", "kind", "id"], "left_anti")
     right = gold.select("example_id", "start", "end", "kind", "id", F.lit(True).alias("gold"))
     return right.unionAll(wrong.select("example_id", "start", "end", "kind", "id", F.lit(False)))
 
 
+def surface_edges(gold: DataFrame, sentences: DataFrame, runs: DataFrame, lexicon: DataFrame, unknown: DataFrame) -> DataFrame:
+    """What ``training_edges`` gives of a lexicon in which many words may have one surface.
+
+    Places meet surfaces, and the gold word of the place, before each becomes all words of its surface: with a
+    lexicon that can be broadcast no shuffle carries a row for each edge.  A place has one gold word at most, as tokens do not overlap.
+    """
+    surfaces = lexicon.select("surface").distinct()
+    hits = N.substrings(sentences, surfaces).join(surfaces, "surface", "left_semi")
+    own = gold.where((F.col("kind") == WORD) & (F.col("end") > F.col("start"))).select(F.col("example_id").alias("doc_id"), "start", "end", F.col("id").alias("own"))
+    words = hits.join(own, ["doc_id", "start", "end"], "left").join(lexicon.select("surface", "word_id"), "surface").where("own IS NULL OR own <> word_id")
+    few = training_edges(gold, None, N.unknown_candidates(runs, hits, unknown))
+    return few.unionAll(words.select(F.col("doc_id").alias("example_id"), "start", "end", F.lit(WORD).alias("kind"), F.col("word_id").alias("id"), F.lit(False)))
+
+
 def sentence_runs(corpus: DataFrame, categories: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sentences, groupable runs) of a tagged corpus."""
     rows = corpus.groupBy("example_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_pos", "surface"))), lambda x: x.surface), "").alias("text"))

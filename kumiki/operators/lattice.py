@@ -94,12 +94,10 @@ def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
     return rows.join(sizes, "_range").withColumn(name, (own + F.col("_ahead")).cast("long")).drop("_range", "_ahead")
 
 
-def prefix_matches(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, start, end, lex_rank, word_id, left_id, right_id, word_cost): every word at every place.
+def substrings(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, start, end, surface): every substring that is as long as some word of ``lexicon``.
 
-    A hash join on the substring, once for each surface length that the lexicon has (the
-    lengths are collected); substrings are cut from the line's characters, so a row carries its own only.
-    ``lexicon`` carries lex_rank (user words before system words).
+    The lengths are collected; substrings are cut from the line's characters, so a row carries its own only.
     """
     lengths = sorted(r.n for r in lexicon.select(F.length("surface").alias("n")).distinct().collect())
     if not lengths:
@@ -107,8 +105,15 @@ def prefix_matches(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
     sizes = F.array(*[F.lit(n) for n in lengths])
     chars = F.transform(F.array(F.split("text", "")), lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.transform(F.filter(sizes, lambda n: i + n <= F.size(c)), lambda n: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.slice(c, i + 1, n), "").alias("surface"))))))
     rows = sentences.where("text <> ''").select(*SENT, F.explode(F.element_at(chars, 1)).alias("m"))
-    rows = rows.select(*SENT, F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.surface")
-    return rows.join(lexicon, "surface").select(*SENT, "start", "end", "lex_rank", "word_id", "left_id", "right_id", "word_cost")
+    return rows.select(*SENT, F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.surface")
+
+
+def prefix_matches(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, start, end, lex_rank, word_id, left_id, right_id, word_cost): every word at every place.
+
+    A hash join on the substring.  ``lexicon`` carries lex_rank (user words before system words).
+    """
+    return substrings(sentences, lexicon).join(lexicon, "surface").select(*SENT, "start", "end", "lex_rank", "word_id", "left_id", "right_id", "word_cost")
 
 
 def unknown_candidates(runs: DataFrame, matches: DataFrame, unknown: DataFrame, max_grouping_len: int = 0) -> DataFrame:

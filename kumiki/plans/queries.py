@@ -306,8 +306,7 @@ def gold_alignment(spark, sf_dir):
 def training_edges(spark, sf_dir):
     """All edges of the part names' lattices, right ones and others."""
     sentences, runs, unknown, lexicon, gold = _gold(spark, sf_dir)
-    matches = N.prefix_matches(sentences, lexicon.withColumn("lex_rank", F.lit(N.SYSTEM)))
-    return A.training_edges(gold, matches, N.unknown_candidates(runs, matches, unknown))
+    return A.surface_edges(gold, sentences, runs, lexicon, unknown)
 
 
 def postings_parts(spark, sf_dir):
