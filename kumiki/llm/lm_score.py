@@ -148,25 +148,26 @@ def cell_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _windows(column, words: Vocabulary):
-    """For blocks of texts: contexts, targets, each text's first position, cells and whether the target is a hashed output."""
-    outside = words.outputs
+def _outputs(column, words: Vocabulary):
+    """For blocks of texts: outputs of their words, each text's first position, cells and whether the output is a hashed one."""
     for lo, hi, buf, offs in W.blocks(column, 1 << 19):
         starts, ends, first = W.split(buf, offs)
         cells = cell_of(W.hashes(buf, starts, ends))
         ids, other = words.ids(cells)
-        n = len(ids)
-        padded = np.full(n + 2 * SIDE, outside, dtype=np.int64)
-        padded[SIDE : SIDE + n] = ids
-        doc = np.repeat(np.arange(hi - lo), np.diff(first))
-        context = np.empty((n, 2 * SIDE), dtype=np.int64)
-        for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            context[:, j] = padded[SIDE + d : SIDE + d + n]
-            at = np.arange(n) + d
-            inside = (at >= 0) & (at < n)
-            inside[inside] = doc[at[inside]] == doc[inside]
-            context[~inside, j] = outside
-        yield lo, hi, context, ids, first, cells, other
+        yield lo, hi, ids, first, cells, other
+
+
+def _contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray, outside: int) -> np.ndarray:
+    """The outputs around the words at ``places``; ``outside`` where their text, which begins at one of ``first``, has none."""
+    n, size = len(ids), np.diff(first)
+    padded = np.full(n + 2 * SIDE, outside, dtype=np.int64)
+    padded[SIDE : SIDE + n] = ids
+    before = (np.arange(n) - np.repeat(first[:-1], size))[places]
+    after = np.repeat(size, size)[places] - 1 - before
+    context = np.empty((len(places), 2 * SIDE), dtype=np.int64)
+    for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
+        context[:, j] = np.where(before >= -d if d < 0 else after >= d, padded[SIDE + d + places], outside)
+    return context
 
 
 def cell_counts(rows: DataFrame) -> np.ndarray:
@@ -223,24 +224,52 @@ def masked_in(turn: int, places: np.ndarray, rounds: int) -> np.ndarray:
     return places % rounds == turn
 
 
-def sharded(rows: DataFrame) -> DataFrame:
+def coded(rows: DataFrame, words) -> DataFrame:
+    """``rows`` with ids for text, two bytes for the output of each word (outputs stay below 2**16); ``words`` is a broadcast Vocabulary."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, ids, first, *_ in _outputs(batch.column(len(others)), words.value):
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(ids.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(others))), raw], names=[*others, "ids"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*others, "text").mapInArrow(W.tidy(run), ", ".join([*(f"{c} {kinds[c]}" for c in others), "ids binary"]))
+
+
+def sharded(rows: DataFrame, words=None) -> DataFrame:
     """(shard, text) of all rows, written out in an order that ids and texts alone decide; a shard holds some SHARD_BYTES of texts.
 
-    A partition holds up to GROUP whole shards; how many changes the plan, not what a shard holds.
+    A partition holds up to GROUP whole shards; how many changes the plan, not what a shard holds.  With ``words``, a
+    broadcast Vocabulary, texts are ``coded``: a third of the bytes, and words are cut and hashed once for all rounds.
     """
     shards = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
     keyed = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", "text", F.lit(1)).alias("k"), "text")
+    keyed, held = (keyed, "text") if words is None else (coded(keyed, words), "ids")
     group = max(1, min(GROUP, shards // rows.sparkSession.sparkContext.defaultParallelism))
-    return keep(keyed.repartitionById(math.ceil(shards / group), F.floor(F.col("shard") / group).cast("int")).sortWithinPartitions("shard", "k", "text").select("shard", "text"), "shards")
+    return keep(keyed.repartitionById(math.ceil(shards / group), F.floor(F.col("shard") / group).cast("int")).sortWithinPartitions("shard", "k", held).select("shard", held), "shards")
+
+
+def _texts(column, most: int = 1 << 17):
+    """(outputs, first positions) of blocks of texts, of a binary column with two bytes for each word; ``most`` words or one text."""
+    raw = column.to_pylist()
+    size = np.array([len(x) // 2 for x in raw], dtype=np.int64)
+    upto, a = np.cumsum(size), 0
+    while a < len(raw):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, side="right")))
+        yield np.frombuffer(b"".join(raw[a:b]), np.uint16).astype(np.int64), np.concatenate(([0], np.cumsum(size[a:b])))
+        a = b
 
 
 def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowNet:
     """A network for each shard, from the common start; the networks are averaged by positions, in a tree of whole numbers, so that no order counts.
 
-    A task adds up the networks of its shards and returns one sum.
+    ``shards`` are those of ``sharded``.  A task adds up the networks of its shards and returns one sum.
     """
-    spark, net = shards.sparkSession, WindowNet(outputs=words.outputs)
-    held_words = spark.sparkContext.broadcast(words)
+    spark, net, outside = shards.sparkSession, WindowNet(outputs=words.outputs), words.outputs
+    if "ids" not in shards.columns:
+        shards = coded(shards, spark.sparkContext.broadcast(words))
     schema, fixed = "seen long, net binary", float(1 << 12)  # sums over 10**14 words stay far below 64 bits
 
     def said(seen, total):
@@ -250,8 +279,7 @@ def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowN
         start = spark.sparkContext.broadcast(net.pack())
 
         def run(batches, start=start, turn=turn):
-            words = held_words.value
-            fresh = lambda: (WindowNet(outputs=words.outputs).load(np.frombuffer(start.value, np.float32)), 0, [])
+            fresh = lambda: (WindowNet(outputs=outside).load(np.frombuffer(start.value, np.float32)), 0, [])
             shard, (own, seen, held) = None, fresh()
             every, total = 0, 0
 
@@ -279,9 +307,9 @@ def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowN
                     if ids[a] != shard:
                         done()
                         shard, (own, seen, held) = ids[a], fresh()
-                    for _, _, context, out, first, *_ in _windows(batch.column(1).slice(a, b - a), words):
-                        pick = masked_in(turn, np.arange(len(out)) - np.repeat(first[:-1], np.diff(first)), rounds)
-                        held.append((context[pick], out[pick]))
+                    for out, first in _texts(batch.column(1).slice(a, b - a)):
+                        pick = np.flatnonzero(masked_in(turn, np.arange(len(out)) - np.repeat(first[:-1], np.diff(first)), rounds))
+                        held.append((_contexts(out, first, pick, outside), out[pick]))
                         if sum(len(y) for _, y in held) >= _BATCH:
                             steps(False)
             done()
@@ -327,8 +355,9 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     counts = cell_counts(rows)
     words = Vocabulary(counts)
     sc = rows.sparkSession.sparkContext
-    shards = sharded(rows)
-    net, held_words = sc.broadcast(train(shards, words).pack()), sc.broadcast(words)
+    held_words = sc.broadcast(words)
+    shards = sharded(rows, held_words)
+    net = sc.broadcast(train(shards, words).pack())
     drop(shards)
     held_counts = sc.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # four bytes a cell
 
@@ -338,7 +367,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
         size = np.log(np.maximum(words.totals, 1))
         for batch in batches:
             total, many = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
-            for lo, hi, context, ids, first, cells, other in _windows(batch.column(1), words):
+            for lo, hi, ids, first, cells, other in _outputs(batch.column(1), words):
+                context = _contexts(ids, first, np.arange(len(ids)), words.outputs)
                 logs = np.zeros(len(ids) + 1)
                 for k in range(0, len(ids), _SCORED):
                     logs[k : min(len(ids), k + _SCORED)] = model.log_probabilities(context[k : k + _SCORED], ids[k : k + _SCORED])
