@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kumiki.llm import perplexity_rules as P
@@ -127,3 +128,38 @@ def test_numbers_survive_packing():
 
 def test_no_rows(spark):
     assert P.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def same_perplexity(got, rows):
+    want = sorted(((str(i), n) for (i, _, _), n in zip(rows, kneser_ney(rows))), key=str)
+    have = sorted(((str(x.doc_id), x.perplexity) for x in got), key=str)
+    return len(have) == len(want) and all(a[0] == b[0] and (a[1] is b[1] is None or abs(a[1] - b[1]) < 2e-3 * a[1]) for a, b in zip(have, want))
+
+
+def test_more_pairs_than_models_used_to_hold(spark):
+    r = random.Random(5)
+    rows = [(k, " ".join(f"w{int(400_000 * r.random())}" for _ in range(9000)), "en") for k in range(130)]
+    assert len({p for _, t, _ in rows for p in zip(t.split(), t.split()[1:])}) > P.ENTRIES
+    got = P.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()
+    assert same_perplexity(got, rows)
+
+
+def test_many_chunks_and_ranges_and_rows_that_come_in_other_orders(spark, monkeypatch):
+    for name, value in (("BUFFER", 200), ("RANGE", 700), ("ROUNDS", 3)):
+        monkeypatch.setattr(P, name, value)
+    rows = [x for x in corpus() if x[0] not in (206, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+
+    def anyhow(batches):
+        table = pa.Table.from_batches(batches)
+        yield from table.take(np.random.default_rng().permutation(table.num_rows)).to_batches()
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        assert same_perplexity(P.quality_rules(d).collect(), rows)
+        loose = d.mapInArrow(anyhow, d.schema)
+        assert not P.scored_texts(loose.select("doc_id", "text", "lang")).agg({"fits": "min"}).first()[0]
+        assert same_perplexity(P.quality_rules(loose).collect(), rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
