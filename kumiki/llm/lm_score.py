@@ -21,6 +21,8 @@ VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
 ROUNDS = 2
 #: Words of a training step, and of a scoring one (what a core's cache holds).
 _BATCH, _SCORED = 8192, 8192
+#: Words whose classes are worked out at once; runs of so many rows or fewer are added side by side; sums beyond which exp takes the largest off first.
+PIECE, SHORT, LARGE = 1024, 4, 60.0
 #: Bytes of the texts of a shard, on average: what one network is trained on in a round.  Shards that one task trains and adds up, at most.
 SHARD_BYTES, GROUP = 1 << 24, 4
 
@@ -45,13 +47,20 @@ class WindowNet:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        """One column for each context."""
+        """One column for each context; the last row is of ones, for the biases."""
         h = self.p[0][0].take(context[:, 0], axis=0)
         for j in range(1, 2 * SIDE):
             h += self.p[0][j].take(context[:, j], axis=0)
         h += self.p[1]
-        h = np.ascontiguousarray(h.T)
-        return np.tanh(h, out=h)
+        out = np.empty((WIDTH + 1, len(h)), dtype=np.float32)
+        out[-1] = 1
+        np.tanh(h.T, out=out[:-1])
+        return out
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Rows of classes, and of the outputs of each class, with their biases; whether their products with what is hidden (1 at most) may be too large for exp."""
+        rows = np.concatenate((self.p[2].T, self.p[3][:, None]), axis=1), np.concatenate((self.p[4].transpose(0, 2, 1), self.p[5][:, :, None]), axis=2)
+        return *rows, max(float(np.abs(x).sum(axis=-1).max()) for x in rows) > LARGE
 
     def _slices(self, cls: np.ndarray):
         """Targets in order of their classes, and (class, first, last) of each class that has some."""
@@ -62,16 +71,24 @@ class WindowNet:
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         cls, within = target // CLASS, target % CLASS
         order, slices = self._slices(cls)
-        h, cls, within, column = self.hidden(context[order]), cls[order], within[order], np.arange(len(target))
-        z = self.p[2].T @ h + self.p[3][:, None]
-        z -= z.max(axis=0)
-        mine = z[cls, column]
-        mine -= np.log(np.exp(z, out=z).sum(axis=0))
+        h, cls, within, column = self.hidden(context.take(order, axis=0)), cls[order], within[order], np.arange(len(target))
+        top, inner, large = self._weights()
+        mine, sums = np.empty((2, len(target)), dtype=np.float32)
+        for a in range(0, len(target), PIECE):  # what a core's nearest cache holds
+            b = min(len(target), a + PIECE)
+            z = top @ h[:, a:b]
+            if large:
+                z -= z.max(axis=0)
+            mine[a:b] = z[cls[a:b], column[: b - a]]
+            np.exp(z, out=z).sum(axis=0, out=sums[a:b])
+        mine -= np.log(sums)
         for c, a, b in slices:
-            y = self.p[4][c].T @ h[:, a:b] + self.p[5][c][:, None]
-            y -= y.max(axis=0)
+            y = inner[c] @ h[:, a:b]
+            if large:
+                y -= y.max(axis=0)
             mine[a:b] += y[within[a:b], column[: b - a]]
-            mine[a:b] -= np.log(np.exp(y, out=y).sum(axis=0))
+            np.add.reduce(np.exp(y, out=y), axis=0, out=sums[a:b])
+        mine -= np.log(sums)
         out = np.empty(len(target), dtype=np.float32)
         out[order] = mine
         return out
@@ -80,28 +97,34 @@ class WindowNet:
         """One AdaGrad step on the mean negative log-probability."""
         n, cls, within = len(target), target // CLASS, target % CLASS
         order, slices = self._slices(cls)
-        context, cls, within, column = context[order], cls[order], within[order], np.arange(n)
+        context, cls, within, column = context.take(order, axis=0), cls[order], within[order], np.arange(n)
         h = self.hidden(context)
-        z = self.p[2].T @ h + self.p[3][:, None]
-        z -= z.max(axis=0)
-        np.exp(z, out=z)
-        z /= z.sum(axis=0)
-        z[cls, column] -= 1
-        back = self.p[2] @ z
-        grads = [(2, h @ z.T), (3, z.sum(axis=1))]
-        inner, bias = np.zeros_like(self.p[4]), np.zeros_like(self.p[5])
+        top, inner, large = self._weights()
+        back, outer = np.empty((WIDTH, n), dtype=np.float32), np.zeros((WIDTH + 1, len(top)), dtype=np.float32)
+        for a in range(0, n, PIECE):
+            b = min(n, a + PIECE)
+            z = top @ h[:, a:b]
+            if large:
+                z -= z.max(axis=0)
+            np.exp(z, out=z)
+            z /= z.sum(axis=0)
+            z[cls[a:b], column[: b - a]] -= 1
+            np.matmul(self.p[2], z, out=back[:, a:b])
+            outer += h[:, a:b] @ z.T
+        own = np.zeros((len(inner), WIDTH + 1, CLASS), dtype=np.float32)
         for c, a, b in slices:
-            y = self.p[4][c].T @ h[:, a:b] + self.p[5][c][:, None]
-            y -= y.max(axis=0)
+            part = h[:, a:b]
+            y = inner[c] @ part
+            if large:
+                y -= y.max(axis=0)
             np.exp(y, out=y)
-            y /= y.sum(axis=0)
+            y /= np.add.reduce(y, axis=0)
             y[within[a:b], column[: b - a]] -= 1
-            inner[c], bias[c] = h[:, a:b] @ y.T, y.sum(axis=1)
+            np.matmul(part, y.T, out=own[c])
             back[:, a:b] += self.p[4][c] @ y
-        back *= 1 - h * h
+        back *= 1 - h[:-1] * h[:-1]
         back = np.ascontiguousarray(back.T)
-        grads += [(4, inner), (5, bias), (1, back.sum(axis=0))]
-        for k, g in grads:
+        for k, g in [(2, outer[:-1]), (3, outer[-1]), (4, own[:, :-1]), (5, own[:, -1]), (1, back.sum(axis=0))]:
             g = g / n
             self.g[k] += g * g
             self.p[k] -= rate * g / np.sqrt(self.g[k])
@@ -110,13 +133,29 @@ class WindowNet:
         order = np.argsort(rows.astype(np.uint16), kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        g = np.add.reduceat(back.take(order // (2 * SIDE), axis=0), first, axis=0) / n
+        g = _sums(back, order // (2 * SIDE), first) / n
         table, seen = (x.reshape(-1, WIDTH) for x in (self.p[0], self.g[0]))
         own = seen[rows[first]] + g * g
         seen[rows[first]] = own
         table[rows[first]] -= rate * g / np.sqrt(own)
 
 
+def _sums(values: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows at ``places`` from each of ``first`` to the next; short runs, of which there are many, are added side by side."""
+    size, out = np.diff(np.append(first, len(places))), np.empty((len(first), values.shape[1]), dtype=values.dtype)
+    for k in range(1, SHORT + 1):
+        own = np.flatnonzero(size == k)
+        total = values.take(places[first[own]], axis=0)
+        for j in range(1, k):
+            total += values.take(places[first[own] + j], axis=0)
+        out[own] = total
+    own = np.flatnonzero(size > SHORT)
+    if len(own):
+        long = values.take(places[np.repeat(size > SHORT, size)], axis=0)
+        out[own] = np.add.reduceat(long, np.cumsum(size[own]) - size[own], axis=0)
+    return out
+
+
 class Vocabulary:
     """Cells of words by hash.  The commonest cells are outputs of their own, the others share hashed outputs, whose number grows with the root of theirs.
 
