@@ -14,6 +14,8 @@ from .tables import drop, keep, text_rows
 
 #: Words fall in so many cells, by the leading bits of their hash; cells are counted over all documents.
 CELL_BITS = 24
+#: Cells are counted in ranges of this many bits.
+_LOW = CELL_BITS - 8
 _COUNTS = "part int, cells binary, counts binary"
 #: Commonest cells, each an output of its own, in classes of equal size; words on each side; width of the network.
 VOCABULARY, CLASS, SIDE, WIDTH = 1024, 32, 2, 24
@@ -165,13 +167,40 @@ class Vocabulary:
 
     def __init__(self, counts: np.ndarray):
         use = np.flatnonzero(counts)
-        top = use[np.lexsort((use, -counts[use].astype(np.int64)))[:VOCABULARY]]
-        many = CLASS * max(1, math.ceil(math.sqrt(len(use)) / CLASS))
-        rest = counts.astype(np.float64)
-        rest[top] = 0
-        self.totals = np.bincount(np.arange(len(counts)) % many, rest, many).astype(np.int64)
+        own = counts[use].astype(np.int64)
+        top = _commonest(use, own)[0]
+        self._hold(len(use), top, _shared(use, own, top, _hashed(len(use))))
+
+    @classmethod
+    def of(cls, table: DataFrame) -> "Vocabulary":
+        """That of the counts that ``counted`` gives: tasks choose the commonest of their ranges and add up the outputs' counts; no count of another cell comes to the driver."""
+
+        def commonest(batches):
+            used, cells, counts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for own, c in _ranges(batches):
+                used += len(own)
+                cells, counts = _commonest(np.concatenate((cells, own)), np.concatenate((counts, c)))
+            if used:
+                yield pa.RecordBatch.from_arrays([pa.array([used], pa.int64()), pa.array([cells.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["used", "cells", "counts"])
+
+        some = table.mapInArrow(W.tidy(commonest), "used long, cells binary, counts binary").collect()
+        top = _commonest(*(np.frombuffer(b"".join(r[k] for r in some), np.int64) for k in (1, 2)))[0]
+        used = sum(r.used for r in some)
+        many = _hashed(used)
+
+        def shared(batches):
+            total = np.zeros(many, dtype=np.int64)
+            for own, c in _ranges(batches):
+                total += _shared(own, c, top, many)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        out = cls.__new__(cls)
+        out._hold(used, top, sum((np.frombuffer(r.total, np.int64) for r in table.mapInArrow(W.tidy(shared), "total binary").collect()), np.zeros(many, dtype=np.int64)))
+        return out
+
+    def _hold(self, used: int, top: np.ndarray, totals: np.ndarray) -> None:
         order = np.argsort(top)
-        self.known, self.rank, self.outputs = top[order], order, VOCABULARY + many
+        self.used, self.known, self.rank, self.totals, self.outputs = used, top[order], order, totals, VOCABULARY + len(totals)
 
     def ids(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The output of each cell, and whether it is a hashed one."""
@@ -183,6 +212,29 @@ class Vocabulary:
         return np.where(other, hashed, self.rank[at]), other
 
 
+def _commonest(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The VOCABULARY commonest cells, the smaller first where counts are equal, and their counts."""
+    order = np.lexsort((cells, -counts))[:VOCABULARY]
+    return cells[order], counts[order]
+
+
+def _hashed(used: int) -> int:
+    """How many hashed outputs so many cells share."""
+    return CLASS * max(1, math.ceil(math.sqrt(used) / CLASS))
+
+
+def _shared(cells: np.ndarray, counts: np.ndarray, top: np.ndarray, many: int) -> np.ndarray:
+    """The count of each of ``many`` hashed outputs, to which cells outside ``top`` belong."""
+    return np.bincount(cells % many, np.where(np.isin(cells, top), 0, counts), many).astype(np.int64)
+
+
+def _ranges(batches):
+    """Cells and their counts, of each row of _COUNTS."""
+    for batch in batches:
+        for part, cells, counts in zip(*(col.to_pylist() for col in batch.columns)):
+            yield (part << _LOW) + np.frombuffer(cells, np.uint16).astype(np.int64), np.frombuffer(counts, np.int64)
+
+
 def cell_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
@@ -209,13 +261,12 @@ def _contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray, outside: i
     return context
 
 
-def cell_counts(rows: DataFrame) -> np.ndarray:
-    """How often the words of each cell stand in all documents: tasks count, ranges of cells are added up."""
-    low = CELL_BITS - 8
+def counted(rows: DataFrame) -> DataFrame:
+    """How often the words of each cell stand in all documents, a row of _COUNTS for each range of cells: tasks count, ranges are added up."""
 
     def cut(counts, base=0):
-        for part in range(len(counts) >> low):
-            own = counts[part << low : (part + 1) << low]
+        for part in range(len(counts) >> _LOW):
+            own = counts[part << _LOW : (part + 1) << _LOW]
             use = np.flatnonzero(own)
             if len(use):
                 yield pa.RecordBatch.from_arrays([pa.array([base + part], pa.int32()), pa.array([use.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[use].tobytes()], pa.binary())], names=["part", "cells", "counts"])
@@ -246,18 +297,59 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
                 if part != at:
                     if at is not None:
                         yield from cut(counts, at)
-                    at, counts = part, np.zeros(1 << low, dtype=np.int64)
+                    at, counts = part, np.zeros(1 << _LOW, dtype=np.int64)
                 counts[np.frombuffer(cells, np.uint16)] += np.frombuffer(c, np.int64)
         if at is not None:
             yield from cut(counts, at)
 
     dealt = rows.select("text").mapInArrow(W.tidy(count), _COUNTS).repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(W.tidy(total), _COUNTS)
+
+
+def cell_counts(rows: DataFrame) -> np.ndarray:
+    """How often the words of each cell stand in all documents, 8 bytes for each of 2**CELL_BITS cells."""
     out = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    for r in dealt.mapInArrow(W.tidy(total), _COUNTS).collect():  # at most 10 bytes for each of 2**CELL_BITS cells
-        out[(r.part << low) + np.frombuffer(r.cells, np.uint16).astype(np.int64)] = np.frombuffer(r.counts, np.int64)
+    for r in counted(rows).collect():  # at most 10 bytes for each cell
+        out[(r.part << _LOW) + np.frombuffer(r.cells, np.uint16).astype(np.int64)] = np.frombuffer(r.counts, np.int64)
     return out
 
 
+class CellCounts:
+    """Counts of cells for scoring, four bytes each; counts beyond them stay at the largest.
+
+    Holds what has a count, or all cells where that is less: at most 4 bytes for each of
+    2**CELL_BITS cells, and little where there are few words.
+    """
+
+    def __init__(self, table: DataFrame, used: int):
+        self.cells, self.all = None, None
+        if 2 * used > 1 << CELL_BITS:
+            self.all = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+        else:
+            self.cells, self.counts = np.empty((2, used), dtype=np.uint32)
+
+        def narrow(batches):
+            for cells, counts in _ranges(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint32).tobytes()], pa.binary()) for x in (cells, np.minimum(counts, 0xFFFFFFFF))], names=["cells", "counts"])
+
+        at = 0
+        for r in table.mapInArrow(W.tidy(narrow), "cells binary, counts binary").toLocalIterator():  # some ranges at a time
+            cells, counts = np.frombuffer(r.cells, np.uint32), np.frombuffer(r.counts, np.uint32)
+            if self.cells is None:
+                self.all[cells] = counts
+            else:
+                self.cells[at : at + len(cells)], self.counts[at : at + len(cells)] = cells, counts
+                at += len(cells)
+
+    def of_all(self) -> np.ndarray:
+        """The count of every cell; a worker sets them out once."""
+        if self.all is None:
+            self.all = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+            self.all[self.cells] = self.counts
+            self.cells = self.counts = None
+        return self.all
+
+
 def masked_in(turn: int, places: np.ndarray, rounds: int) -> np.ndarray:
     """The words, by their places in their texts, that round ``turn`` masks: the rounds' shares are disjoint and cover every text."""
     return places % rounds == turn
@@ -370,11 +462,12 @@ def train(shards: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> WindowN
             many = math.ceil(many / 16)  # tasks; what they add up is a row each
             nets, before = keep(nets.coalesce(many).mapInArrow(W.tidy(add), schema), "nets"), nets  # read, not shuffled
             drop(before)
-        got = nets.collect()  # 16 networks or little more
+        seen, total = 0, 0
+        for r in nets.toLocalIterator():  # 16 networks at most, some at a time
+            seen, total = seen + r.seen, total + np.frombuffer(r.net, np.int64)
         drop(nets)
-        if got:
-            total = sum(np.frombuffer(r.net, np.int64) for r in got)
-            net = WindowNet(outputs=words.outputs).load(total / (fixed * sum(r.seen for r in got)))
+        if seen:
+            net = WindowNet(outputs=words.outputs).load(total / (fixed * seen))
     return net
 
 
@@ -391,17 +484,18 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     scores do not depend on how the rows come.
     """
     rows = text_rows(docs)
-    counts = cell_counts(rows)
-    words = Vocabulary(counts)
+    table = keep(counted(rows), "cells")
+    words = Vocabulary.of(table)
     sc = rows.sparkSession.sparkContext
     held_words = sc.broadcast(words)
     shards = sharded(rows, held_words)
     net = sc.broadcast(train(shards, words).pack())
     drop(shards)
-    held_counts = sc.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))  # four bytes a cell
+    held_counts = sc.broadcast(CellCounts(table, words.used))
+    drop(table)
 
     def run(batches):
-        words, counts = held_words.value, held_counts.value
+        words, counts = held_words.value, held_counts.value.of_all()
         model = WindowNet(outputs=words.outputs).load(np.frombuffer(net.value, np.float32))
         size = np.log(np.maximum(words.totals, 1))
         for batch in batches:
