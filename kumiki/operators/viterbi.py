@@ -312,18 +312,24 @@ def total_batches(d, ignore_space: bool = False, max_grouping_len: int = 0):
     Sentences without tokens have no row, those without a path 0 and null.
     """
 
+    def folded(index, texts):
+        has, count, most = np.ones(len(texts), dtype=bool), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        for fold, some in _folds(texts):
+            reached, who, *_, total = fold(index, [texts[i] for i in some], max_grouping_len, ignore_space)
+            some, first = np.array(some, dtype=np.int64), np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+            has[some], count[some] = reached, np.bincount(who, minlength=len(some))
+            if len(first):
+                most[some[who[first]]] = np.maximum.reduceat(total, first)
+        return has, count, most
+
     def run(batches):
         index = d.value.open()
+        stretches = index.stretches(ignore_space)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for fold, rows in _folds(texts):
-                has, who, *_, total = fold(index, [texts[i] for i in rows], max_grouping_len, ignore_space)
-                count, most = np.bincount(who, minlength=len(rows)), np.zeros(len(rows), dtype=np.int64)
-                first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
-                if len(first):
-                    most[who[first]] = np.maximum.reduceat(total, first)
-                use = np.flatnonzero((count > 0) | ~has)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(rows, dtype=np.int64)[use])), pa.array(count[use], pa.int64()), pa.array(most[use], pa.int64(), mask=count[use] == 0)], names=["doc_id", "n_tokens", "most"])
+            has, count, most = folded(index, texts) if stretches is None else stretches.totals([t or "" for t in texts], max_grouping_len)
+            use = np.flatnonzero((count > 0) | ~has)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), pa.array(count[use], pa.int64()), pa.array(most[use], pa.int64(), mask=count[use] == 0)], names=["doc_id", "n_tokens", "most"])
 
     return run
 
