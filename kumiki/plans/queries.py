@@ -33,7 +33,7 @@ def dictionary(spark: SparkSession, user: bool = False) -> Dictionary:
 
 
 def _lines(spark: SparkSession, sf_dir: str, table: str = "benchmark", key: str = "item_id") -> DataFrame:
-    return L.sentences(ship(spark).read.parquet(f"{sf_dir}/{table}.parquet"), key)
+    return L.sentences(T.evened(ship(spark).read.parquet(f"{sf_dir}/{table}.parquet").select(key, "text")), key)
 
 
 def _runs(spark, sf_dir):
@@ -212,7 +212,7 @@ def tokens_documents(spark, sf_dir):
 
 def tokens_conversations(spark, sf_dir):
     """Tokens of each role in all conversations."""
-    rows = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").withColumn("k", F.col("conv_id") * 4096 + F.col("turn"))
+    rows = T.evened(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("k", F.col("conv_id") * 4096 + F.col("turn"))
     out = T.Tokenizer(dictionary(spark)).surface_counts(L.sentences(rows, "k"))
     return out.groupBy("lex_type", F.length("surface").alias("n_chars")).agg(F.sum("cnt").alias("cnt"))
 

@@ -21,6 +21,16 @@ def _spread(sentences: DataFrame) -> DataFrame:
     return sentences.repartition(cores) if sentences.rdd.getNumPartitions() < cores else sentences
 
 
+def evened(table: DataFrame) -> DataFrame:
+    """A table's rows, dealt anew where one of its splits holds over twice a core's share, as where files have few large row groups; only row numbers are read to tell."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    splits = table.rdd.getNumPartitions()
+    if splits < cores:  # the fold spreads these
+        return table
+    rows = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]
+    return table.repartition(splits) if rows and max(rows) * cores > 2 * sum(rows) else table
+
+
 class Tokenizer:
     """Options and a dictionary; works alike on static and streaming sentences.  ``mapped`` and ``scorer`` are those of ``Dictionary.packed``."""
 

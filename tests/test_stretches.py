@@ -3,12 +3,14 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kumiki.operators import batch as B
 from kumiki.operators import stretches as S
 from kumiki.operators import viterbi as V
 from kumiki.plans import fixture as X
 from kumiki.plans.dictionary import Dictionary
+from kumiki.plans.tokenizer import evened
 from kumiki.sources import lines as L
 
 PARTS = ["the", "tion", "auf", "idiot", "a", " ", "  ", " ", " ", ",", ", ", ".", "And", "É", "ß", "12", "\t", " \t ", "\x0b", "#", "漢", "😀", "zzzz", "The IN", "xqj"]
@@ -104,3 +106,23 @@ def test_documents_are_not_folded_node_by_node(plain, monkeypatch):
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
     got = {d: (n, m) for b in V.total_batches(Sent, True)([rows]) for d, n, m in zip(*(c.to_pylist() for c in b.columns))}
     assert got == {k: (n, m) for k, (n, m) in enumerate(zip(want[1].tolist(), want[2].tolist()))}
+
+
+def test_rows_of_one_large_row_group_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(4000).selectExpr("id doc_id", "concat(repeat(md5(string(id)), 60), '\n', id) text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 14))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        table = spark.read.parquet(str(tmp_path / "one"))
+        cores = spark.sparkContext.defaultParallelism
+        assert table.rdd.getNumPartitions() >= cores
+        dealt = [r["count"] for r in evened(table).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(dealt) * cores <= 2 * 4000 and sum(dealt) == 4000
+        assert sorted(evened(table).collect()) == sorted(table.collect())
+        few = table.coalesce(1)
+        assert evened(few) is few
+        even = table.repartition(2 * cores)
+        assert evened(even) is even
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
